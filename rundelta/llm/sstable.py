@@ -256,10 +256,13 @@ class CachedEncoder:
     def __init__(self, path: str, end_id: int | None, limit: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
+        #: The same model for pieces of letters alone, which its pattern never cuts.
+        self.letters = Tokenizer.from_str(self.model.to_str())
+        self.letters.pre_tokenizer = Sequence([Split("\n", "isolated"), ByteLevel(add_prefix_space=False, use_regex=False)])
         pre = self.model.pre_tokenizer
         self.by_piece = isinstance(pre, ByteLevel) and pre.use_regex and not pre.add_prefix_space and self.model.normalizer is None
         self.feed = self._plain(["\n"])[0]
@@ -271,14 +274,16 @@ class CachedEncoder:
         found = self.model.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def _together(self, pieces: list[str]) -> list[bytes]:
+    def _together(self, model, pieces: list[str]) -> list[bytes]:
         """Pieces without line feeds, encoded as the lines of one text."""
-        found = self._plain(["\n".join(pieces)])[0]
-        ends = np.flatnonzero(np.frombuffer(found, dtype="<u4") == np.frombuffer(self.feed, dtype="<u4")[0]) * 4
+        if not pieces:
+            return []
+        found = np.array(model.encode_batch_fast(["\n".join(pieces)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = (np.flatnonzero(found == np.frombuffer(self.feed, dtype="<u4")[0]) * 4).tolist()
         if len(ends) != len(pieces) - 1:
             return self._plain(pieces)
-        cuts = [-4, *ends.tolist(), len(found)]
-        return [found[a + 4 : b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        raw, cuts = found.tobytes(), [-4, *ends, 4 * len(found)]
+        return [raw[a + 4 : b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit identifiers of each text and the end; null is the empty text."""
@@ -294,9 +299,12 @@ class CachedEncoder:
         table, new = self.young, set().union(*(c for c in cut if c)).difference(self.young)
         known = new.intersection(self.old)
         table.update((p, self.old[p]) for p in known)
-        new = list(new - known)
-        for i in range(0, len(new), 20_000):
-            table.update(zip(new[i : i + 20_000], self._together(new[i : i + 20_000]), strict=True))
+        plain, mixed = [], []
+        for p in new - known:
+            (plain if p[0] == " " and p[1:].isalpha() else mixed).append(p)
+        for model, pieces in ((self.letters, plain), (self.model, mixed)):
+            for i in range(0, len(pieces), 20_000):
+                table.update(zip(pieces[i : i + 20_000], self._together(model, pieces[i : i + 20_000]), strict=True))
         whole = iter(self._plain([t for t, c in zip(texts, cut, strict=True) if c is None]))
         return [(next(whole) if c is None else b"".join(map(table.__getitem__, c))) + self.end for c in cut]
 
