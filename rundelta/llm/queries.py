@@ -21,8 +21,27 @@ def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_digests(spark, manifest)
 
 
+def op3_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record in Zstandard archives, read back."""
+    from rundelta.llm import warc
+
+    return warc.read_archives(spark, warc.write_archives(table(spark, sf_dir, "pages"))).drop("url")
+
+
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed by source: weights 5, 2, 1 repeating, targets up to three times a source."""
+    from rundelta.llm import mixing
+
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "shards")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_token_shards": op2_token_shards}
+    return {
+        "op2_token_shards": op2_token_shards,
+        "op3_warc_archives": op3_warc_archives,
+        "op10_mix_sources": op10_mix_sources,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
