@@ -36,11 +36,29 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "shards")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by the counterfactual-regularised classifier."""
+    from rundelta.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit_on_tables(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    from rundelta.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit_on_table(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_shards": op2_token_shards,
         "op3_warc_archives": op3_warc_archives,
         "op10_mix_sources": op10_mix_sources,
+        "op6_toxicity": op6_toxicity,
+        "op9_language": op9_language,
     }
 
 
