@@ -52,6 +52,14 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit_on_table(docs))
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best rows by integer inner product for every query row (identifier divisible by 20)."""
+    from rundelta.llm import topk
+
+    rows = table(spark, sf_dir, "embeddings")
+    return topk.top_k(rows, rows.where("vec_id % 20 = 0"), k=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_shards": op2_token_shards,
@@ -59,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_mix_sources": op10_mix_sources,
         "op6_toxicity": op6_toxicity,
         "op9_language": op9_language,
+        "op1_top_k": op1_top_k,
     }
 
 

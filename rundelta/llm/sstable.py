@@ -241,19 +241,37 @@ class ShardReader:
                 yield key, decode_value(value)
 
 
+class _Table(dict):
+    """Identifiers by piece; what is absent is noted in ``new`` and stands as nothing meanwhile."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        known = self.old.get(piece)
+        if known is None:
+            self.new.append(piece)
+            return b""
+        self[piece] = known
+        return known
+
+
 class CachedEncoder:
     """Encodes whole texts with a ``tokenizers`` model, looking up pieces that were seen before.
 
-    A byte-level model with the usual pattern never joins a piece across a space or a line feed that
-    stands between two characters that are not white space, so the identifiers of a text are those
-    of its pieces in a row.  Texts with any other white space, and models of another kind, are
-    encoded as they are.  Pieces live in two tables; when the younger has ``limit`` entries, it
-    replaces the older, which changes speed only.
+    A byte-level model with the usual pattern never joins a piece across a lone space or a lone line
+    feed between two characters that are not white space, so the identifiers of a text are those of
+    its pieces in a row: of a line's first word as it is, of each other word with its space, and of
+    line feeds.  Texts with any other white space, and models of another kind, are encoded as they
+    are.  When a table has ``limit`` entries, it becomes the older one and the one before is let go,
+    which changes speed only.
     """
 
-    PIECE = re.compile(r" ?\S+|\n")
+    ODD = re.compile(r"[^\S \n]")
 
-    def __init__(self, path: str, end_id: int | None, limit: int = 500_000):
+    def __init__(self, path: str, end_id: int | None, limit: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
@@ -268,7 +286,8 @@ class CachedEncoder:
         self.feed = self._plain(["\n"])[0]
         self.by_piece = self.by_piece and len(self.feed) == 4
         self.end = b"" if end_id is None else struct.pack("<I", end_id)
-        self.limit, self.young, self.old = limit, {"\n": self.feed}, {}
+        #: Words that begin a line, and words after a space.
+        self.limit, self.first, self.spaced = limit, _Table(), _Table()
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         found = self.model.encode_batch_fast(texts, add_special_tokens=False)
@@ -285,28 +304,53 @@ class CachedEncoder:
         raw, cuts = found.tobytes(), [-4, *ends, 4 * len(found)]
         return [raw[a + 4 : b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
+    def _learn(self, table: _Table, before: str) -> None:
+        new, table.new = list(dict.fromkeys(table.new)), []
+        kinds: tuple[list[str], list[str]] = ([], [])
+        for p in new:
+            kinds[p.isalpha()].append(p)
+        for model, words in zip((self.model, self.letters), kinds, strict=True):
+            for i in range(0, len(words), 20_000):
+                part = words[i : i + 20_000]
+                table.update(zip(part, self._together(model, [before + w for w in part]), strict=True))
+
+    def _cut(self, text: str) -> list[list[str]] | None:
+        """Lines as lists of words, or None if there is white space but lone spaces and line feeds."""
+        if not text or self.ODD.search(text):
+            return None
+        lines = [line.split(" ") for line in text.split("\n")]
+        return None if any("" in words for words in lines) else lines
+
+    def _found(self, lines: list[list[str]]) -> bytes:
+        first, spaced = self.first.__getitem__, self.spaced.__getitem__
+        return self.feed.join([b"".join([first(words[0]), *map(spaced, words[1:])]) for words in lines])
+
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit identifiers of each text and the end; null is the empty text."""
         texts = [t or "" for t in texts]
         if not self.by_piece:
             return [x + self.end for x in self._plain(texts)]
-        if len(self.young) > self.limit:
-            self.young, self.old = {"\n": self.feed}, self.young
-        cut: list[list[str] | None] = []
-        for t in texts:
-            pieces = self.PIECE.findall(t)
-            cut.append(None if "\n\n" in t or sum(map(len, pieces)) != len(t) else pieces)
-        table, new = self.young, set().union(*(c for c in cut if c)).difference(self.young)
-        known = new.intersection(self.old)
-        table.update((p, self.old[p]) for p in known)
-        plain, mixed = [], []
-        for p in new - known:
-            (plain if p[0] == " " and p[1:].isalpha() else mixed).append(p)
-        for model, pieces in ((self.letters, plain), (self.model, mixed)):
-            for i in range(0, len(pieces), 20_000):
-                table.update(zip(pieces[i : i + 20_000], self._together(model, pieces[i : i + 20_000]), strict=True))
-        whole = iter(self._plain([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        return [(next(whole) if c is None else b"".join(map(table.__getitem__, c))) + self.end for c in cut]
+        for name in ("first", "spaced"):
+            if len(getattr(self, name)) > self.limit:
+                younger = _Table()
+                younger.old = dict(getattr(self, name))
+                setattr(self, name, younger)
+        out: list[bytes | None] = []
+        again, plain = [], []
+        for i, t in enumerate(texts):
+            lines, known = self._cut(t), len(self.first.new) + len(self.spaced.new)
+            out.append(None if lines is None else self._found(lines))
+            if lines is None:
+                plain.append(i)
+            elif len(self.first.new) + len(self.spaced.new) > known:
+                again.append((i, lines))
+        self._learn(self.first, "")
+        self._learn(self.spaced, " ")
+        for i, lines in again:
+            out[i] = self._found(lines)
+        for i, x in zip(plain, self._plain([texts[i] for i in plain]), strict=True):
+            out[i] = x
+        return [x + self.end for x in out]
 
 
 _ENCODERS: dict = {}

@@ -1,7 +1,8 @@
 """Toxicity: a counterfactual-regularised linear classifier over the words of a text.
 
 The model is a logistic regression on the presence of words (ASCII case folded, ASCII punctuation
-apart).  It is fitted in numpy by AdaGrad on the log loss plus ``fairness`` times the squared change of
+apart) and of their beginnings (4 to 6 bytes, which meet inflected and compounded forms).  It is
+fitted in numpy by proximal AdaGrad on the log loss with an absolute penalty plus ``fairness`` times the squared change of
 the logit when the identity terms of a text are swapped for other terms of their group.  So a mention
 of a group by itself can carry no weight of its own.
 """
@@ -36,6 +37,14 @@ def words_of(text: str | None) -> set[bytes]:
     return set((text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split())
 
 
+BEGINNINGS = (4, 5, 6)
+
+
+def features_of(words: set[bytes]) -> set[bytes]:
+    """Words, and beginnings of longer words behind a byte that tells their length."""
+    return words.union(*({bytes([n]) + w[:n] for w in words if len(w) > n} for n in BEGINNINGS))
+
+
 def identity_terms() -> dict[bytes, list[bytes]]:
     """Each identity term and the other terms of its group."""
     groups = [[t.encode().translate(_FOLD) for t in g.split()] for g in IDENTITY_GROUPS]
@@ -49,14 +58,22 @@ class ToxicityModel:
 
     def logits(self, texts: list[str | None]) -> np.ndarray:
         w = self.weights
-        return np.array([self.intercept + sum(map(w.__getitem__, w.keys() & words_of(t))) for t in texts], dtype=np.float64)
+        tables = {n: {k[1:]: x for k, x in w.items() if k[0] == n} for n in BEGINNINGS}
+        out = []
+        for t in texts:
+            words = words_of(t)
+            z = self.intercept + sum(map(w.__getitem__, w.keys() & words))
+            for n, table in tables.items():
+                z += sum(map(table.__getitem__, table.keys() & {x[:n] for x in words if len(x) > n}))
+            out.append(z)
+        return np.array(out, dtype=np.float64)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logits(texts), -40, 40)))
 
 
-def fit(bags: list[set[bytes]], labels: np.ndarray, min_count: int = 4, max_words: int = 100_000, epochs: int = 12, rate: float = 0.4, ridge: float = 2e-4, fairness: float = 1.0, seed: int = 5) -> ToxicityModel:
-    """Fit on word sets.  Words in fewer than ``min_count`` of them are left out, as are all but the ``max_words`` most common.
+def fit(bags: list[set[bytes]], labels: np.ndarray, min_count: int = 4, max_words: int = 100_000, epochs: int = 15, rate: float = 0.3, sparse: float = 1e-4, fairness: float = 1.0, seed: int = 5) -> ToxicityModel:
+    """Fit on word sets.  Features in fewer than ``min_count`` of them are left out, as are all but the ``max_words`` most common.
 
     Without any label, or with one kind of label only, the score is the smoothed share of label 1.
     """
@@ -65,7 +82,7 @@ def fit(bags: list[set[bytes]], labels: np.ndarray, min_count: int = 4, max_word
     start = float(np.log(prior / (1 - prior)))
     counts: dict[bytes, int] = {}
     for bag in bags:
-        for w in bag:
+        for w in features_of(bag):
             counts[w] = counts.get(w, 0) + 1
     kept = sorted((w for w, n in counts.items() if n >= min_count), key=lambda w: (-counts[w], w))[:max_words]
     if not kept or labels.min() == labels.max():
@@ -74,10 +91,10 @@ def fit(bags: list[set[bytes]], labels: np.ndarray, min_count: int = 4, max_word
     rng = np.random.default_rng(seed)
     rows, other = [], []
     for bag in bags:
-        rows.append(np.fromiter(sorted(number[w] for w in bag if w in number), dtype=np.int64))
+        rows.append(np.fromiter(sorted(number[w] for w in features_of(bag) if w in number), dtype=np.int64))
         if swapped := [w for w in sorted(bag) if w in swap]:
             changed = set(bag) - set(swapped) | {swap[w][int(rng.integers(len(swap[w])))] for w in swapped}
-            other.append(np.fromiter(sorted(number[w] for w in changed if w in number), dtype=np.int64))
+            other.append(np.fromiter(sorted(number[w] for w in features_of(changed) if w in number), dtype=np.int64))
         else:
             other.append(None)
     w, b = np.zeros(len(kept)), start
@@ -93,7 +110,7 @@ def fit(bags: list[set[bytes]], labels: np.ndarray, min_count: int = 4, max_word
             at, seg = segments([rows[i] for i in pick])
             z = b + np.bincount(seg, weights=w[at], minlength=len(pick))
             error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels[pick]) / len(pick)
-            grad = np.bincount(at, weights=error[seg], minlength=len(w)) + ridge * w
+            grad = np.bincount(at, weights=error[seg], minlength=len(w))
             if pairs := [i for i in pick if other[i] is not None]:
                 a, sa = segments([rows[i] for i in pairs])
                 c, sc = segments([other[i] for i in pairs])
@@ -101,7 +118,9 @@ def fit(bags: list[set[bytes]], labels: np.ndarray, min_count: int = 4, max_word
                 pull = 2 * fairness * change / len(pick)
                 grad += np.bincount(a, weights=pull[sa], minlength=len(w)) - np.bincount(c, weights=pull[sc], minlength=len(w))
             gw += grad * grad
-            w -= rate * grad / np.sqrt(gw)
+            pace = rate / np.sqrt(gw + 1e-4)
+            w -= pace * grad
+            w = np.sign(w) * np.maximum(np.abs(w) - pace * sparse, 0)
             step = error.sum()
             gb += step * step
             b -= 0.1 * rate * step / np.sqrt(gb)
@@ -114,7 +133,7 @@ def _bags(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bags, pa.binary())], ["label", "bag"])
 
 
-def fit_on_tables(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, max_rows: int = 16_000, **settings) -> ToxicityModel:
+def fit_on_tables(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, max_rows: int = 10_000, **settings) -> ToxicityModel:
     """Fit on labelled documents outside the held-out fold ``crc32(doc_id as text) mod folds = held``.
 
     At most ``max_rows`` labelled rows are used, those of smallest identifier hash; only their word sets
