@@ -27,8 +27,9 @@ def ready(spark: SparkSession) -> SparkSession:
     root = str(Path(rundelta.__file__).resolve().parent.parent)
     if root not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         cloudpickle.register_pickle_by_value(rundelta)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 2000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    for key, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 16 * 1024 * 1024)):
+        if int(spark.conf.get(f"spark.sql.execution.arrow.{key}").removesuffix("b")) > most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
     return spark
 
 

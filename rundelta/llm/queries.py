@@ -60,6 +60,13 @@ def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, rows.where("vec_id % 20 = 0"), k=20)
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents at similarity 0.85."""
+    from rundelta.llm import neardup
+
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_shards": op2_token_shards,
@@ -68,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_toxicity": op6_toxicity,
         "op9_language": op9_language,
         "op1_top_k": op1_top_k,
+        "op4_near_duplicates": op4_near_duplicates,
     }
 
 
