@@ -67,6 +67,13 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by context-tree weighting over bytes, beside the word model."""
+    from rundelta.llm import ctw
+
+    return ctw.score_texts(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_shards": op2_token_shards,
@@ -76,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_language": op9_language,
         "op1_top_k": op1_top_k,
         "op4_near_duplicates": op4_near_duplicates,
+        "op7_language_model": op7_language_model,
     }
 
 
