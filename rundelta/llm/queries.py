@@ -74,6 +74,13 @@ def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score_texts(table(spark, sf_dir, "documents"))
 
 
+def op8_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 100-byte strings that also start earlier."""
+    from rundelta.llm import substrings
+
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_shards": op2_token_shards,
@@ -84,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_top_k": op1_top_k,
         "op4_near_duplicates": op4_near_duplicates,
         "op7_language_model": op7_language_model,
+        "op8_repeated_substrings": op8_repeated_substrings,
     }
 
 
