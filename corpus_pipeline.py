@@ -1,13 +1,70 @@
-"""A corpus from raw documents to token shards."""
+"""A training corpus from raw documents: filter, de-duplicate, decontaminate, mix, write token shards.
+
+Every stage takes ``(spark, docs, sf_dir)`` and returns a frame; all but the last return the columns of
+``docs``.  Between stages the documents are Parquet on shared storage.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rundelta.llm import decontaminate, mixing, neardup, sstable, toxicity
+from rundelta.llm.common import materialize
+
+#: Five-word shingles at a similarity of 0.8 or more.
+SIMILARITY_PERCENT = 80
+END_ID = 2
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    model = toxicity.fit_on_tables(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.keep_clean(docs, model)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, the one of smallest identifier; rows with a null identifier stay."""
+    judged = neardup.near_duplicates(docs, percent=SIMILARITY_PERCENT)
+    gone = materialize(judged.where("not kept").select("doc_id").distinct(), "pipeline-duplicates")
+    return neardup.join_small(docs, gone, "doc_id", 24, "left_anti").select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark passages go."""
+    return decontaminate.keep_uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, dealt to shards and shuffled there."""
+    packed = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("whole"))
+    shards = mixing.shard_count(docs)
+    mixed = mixing.mix(packed, n_shards=shards, keep=["whole"])
+    return mixing.shuffled(mixed, ["whole"], shards).select("whole.*")
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token shards in identifier order; a document taken twice is written twice."""
+    manifest = sstable.write_shards(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=END_ID)
+    return sstable.read_digests(spark, manifest)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("token shards", write_tokens),
+]
+
+#: No stage but the mix can be stated in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order over the documents of a data folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -81,6 +81,13 @@ def op8_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents hold benchmark passages, copied or paraphrased."""
+    from rundelta.llm import decontaminate
+
+    return decontaminate.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_shards": op2_token_shards,
@@ -92,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_near_duplicates": op4_near_duplicates,
         "op7_language_model": op7_language_model,
         "op8_repeated_substrings": op8_repeated_substrings,
+        "op5_decontamination": op5_decontamination,
     }
 
 
