@@ -158,6 +158,11 @@ def _pairs_alive(percent: int, miss: float):
 
 
 def _tiles_alive(percent: int, miss: float):
+    """Groups of two tiles to the pairs in them that have to be verified.
+
+    A pair counts in the first band on which it agrees only, so it is verified once.
+    """
+
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
@@ -170,11 +175,45 @@ def _tiles_alive(percent: int, miss: float):
                 if row["left"] != row["right"]:
                     differ &= tiles[i] != tiles[j]
                 i, j = i[differ], j[differ]
-                keep = np.zeros(0, dtype=bool)
-                if len(i):
-                    keep = np.concatenate([plausible(sigs[i[lo : lo + 20_000]], sigs[j[lo : lo + 20_000]], percent / 100, miss) for lo in range(0, len(i), 20_000)])
-                a, b = [members[x]["node"] for x in i[keep]], [members[x]["node"] for x in j[keep]]
-                yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in zip(a, b, strict=True)], pa.binary()), pa.array([max(p) for p in zip(a, b, strict=True)], pa.binary())], ["a", "b"])
+                keep = [np.zeros(0, dtype=bool)]
+                for lo in range(0, len(i), 10_000):
+                    a, b = sigs[i[lo : lo + 10_000]], sigs[j[lo : lo + 10_000]]
+                    ok = plausible(a, b, percent / 100, miss)
+                    agree = (a[ok] == b[ok]).reshape(-1, BANDS, ROWS).all(axis=2)
+                    ok[np.flatnonzero(ok)[agree.argmax(axis=1) != members[0]["band"]]] = False
+                    keep.append(ok)
+                keep = np.concatenate(keep)
+                if keep.any():
+                    used, at = np.unique(np.concatenate([i[keep], j[keep]]), return_inverse=True)
+                    yield pa.RecordBatch.from_pylist([{"bucket": row["bucket"], "left": row["left"], "right": row["right"], "nodes": [members[u]["node"] for u in used], "i": at[: keep.sum()].tolist(), "j": at[keep.sum() :].tolist()}], schema=_BLOCKS)
+
+    return run
+
+
+_BLOCKS = pa.schema([("bucket", pa.int64()), ("left", pa.int32()), ("right", pa.int32()), ("nodes", pa.list_(pa.binary())), ("i", pa.list_(pa.int32())), ("j", pa.list_(pa.int32()))])
+
+
+def _exact_blocks(percent: int):
+    """The links of a block that join its members; pairs already joined in it need no look."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                sets = {t["pos"]: shingle_set(t["text"]) for t in row["texts"]}
+                root = list(range(len(row["nodes"])))
+
+                def find(x, root=root):
+                    while root[x] != x:
+                        root[x] = root[root[x]]
+                        x = root[x]
+                    return x
+
+                out = []
+                for i, j in zip(row["i"], row["j"], strict=True):
+                    if i in sets and j in sets and find(i) != find(j) and is_link(sets[i], sets[j], percent):
+                        root[find(i)] = find(j)
+                        out.append({"a": min(row["nodes"][i], row["nodes"][j]), "b": max(row["nodes"][i], row["nodes"][j])})
+                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("a", pa.binary()), ("b", pa.binary())]))
 
     return run
 
@@ -204,15 +243,28 @@ def _node_texts(batches):
         yield batch.filter(pa.array(ok, pa.bool_()))
 
 
+def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of the wanted nodes, each by its smallest identifier."""
+    need = materialize(wanted.distinct().join(nodes.select("node", "label"), "node").where("label is not null"), "neardup-need")
+    return join_small(docs, need.withColumnRenamed("label", "doc_id"), "doc_id", 64).select("node", "text").mapInArrow(_node_texts, "node binary, text string")
+
+
 def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose full sets reach the threshold; each node's text comes from its smallest identifier."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    need = materialize(ends.join(nodes.select("node", "label"), "node").where("label is not null"), "neardup-need")
-    texts = join_small(docs, need.withColumnRenamed("label", "doc_id"), "doc_id", 64).select("node", "text").mapInArrow(_node_texts, "node binary, text string")
+    """The pairs (a, b) of nodes whose full sets reach the threshold."""
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes, docs)
     named = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "a_text"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "b_text"}), "b")
     return materialize(named.select("a", "b", "a_text", "b_text").mapInArrow(_exact(percent), "a binary, b binary").distinct(), "neardup-links")
 
 
+def verify_blocks(blocks: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links in blocks of at most two tiles of nodes: a block's texts meet in one task, pairs are never rows."""
+    key = ["bucket", "left", "right"]
+    members = blocks.select(*key, F.posexplode("nodes").alias("pos", "node"))
+    texts = members.join(_texts(members.select("node"), nodes, docs), "node").groupBy(*key).agg(F.collect_list(F.struct("pos", "text")).alias("texts"))
+    found = blocks.join(texts, key).select(*key, "nodes", "i", "j", "texts").mapInArrow(_exact_blocks(percent), "a binary, b binary")
+    return materialize(found.distinct(), "neardup-links")
+
+
 def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, comp for every node with a link: the smallest label that it reaches.
 
@@ -230,12 +282,12 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _tile_groups(rows: DataFrame) -> DataFrame:
-    """Rows (bucket, node, comp, sig) of open buckets as groups of two tiles of about ``TILE`` members."""
+    """Rows (bucket, band, node, comp, sig) of open buckets as groups of two tiles of about ``TILE`` members."""
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     rows = rows.join(sizes, "bucket").withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     # A member of tile t is in the groups (t, t), (t, j) and (i, t).
-    keyed = rows.select("bucket", F.least("tile", "other").alias("left"), F.greatest("tile", "other").alias("right"), F.struct("node", "comp", "sig", "tile").alias("member"))
+    keyed = rows.select("bucket", F.least("tile", "other").alias("left"), F.greatest("tile", "other").alias("right"), F.struct("node", "comp", "sig", "tile", "band").alias("member"))
     return keyed.groupBy("bucket", "left", "right").agg(F.collect_list("member").alias("members"))
 
 
@@ -256,20 +308,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-8, id_c
     rows = materialize(docs.mapInArrow(_signatures, "doc_id long, n_shingles long, node binary, sig binary"), "neardup-rows")
     full = rows.where("node is not null")
     nodes = materialize(full.groupBy("node").agg(F.min("doc_id").alias("label"), F.first("sig").alias("sig")), "neardup-nodes")
-    bands = nodes.select("node", "sig").mapInArrow(_bands, "node binary, buckets array<long>").select("node", F.explode("buckets").alias("bucket"))
+    bands = nodes.select("node", "sig").mapInArrow(_bands, "node binary, buckets array<long>").select("node", F.posexplode("buckets").alias("band", "bucket"))
     shared = bands.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     shared = materialize(shared, "neardup-buckets")
     met = materialize(join_small(bands, shared, "bucket", 96), "neardup-members")
     stars = met.select(F.explode(F.array("low", "high")).alias("centre"), "node").where("centre != node").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
     links = verify(_alive(stars, nodes, percent, miss), nodes, docs, percent)
     comps = components(links, nodes)
-    placed = met.select("bucket", "node").join(nodes.select("node", "label", "sig"), "node").join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "label").alias("comp"), "sig")
+    placed = met.select("bucket", "band", "node").join(nodes.select("node", "label", "sig"), "node").join(comps, "node", "left").select("bucket", "band", "node", F.coalesce("comp", "label").alias("comp"), "sig")
     open_buckets = placed.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("n")).where("c0 < c1 and n > 2").select("bucket")
     rest = placed.join(open_buckets, "bucket", "left_semi")
-    more = _tile_groups(rest).mapInArrow(_tiles_alive(percent, miss), "a binary, b binary").distinct()
-    more = materialize(more.join(links, ["a", "b"], "left_anti"), "neardup-pairs")
-    if more.count():
-        links = links.union(verify(more, nodes, docs, percent))
+    blocks = materialize(_tile_groups(rest).mapInArrow(_tiles_alive(percent, miss), "bucket long, left int, right int, nodes array<binary>, i array<int>, j array<int>"), "neardup-blocks")
+    if blocks.count():
+        links = links.union(verify_blocks(blocks, nodes, docs, percent))
         comps = components(links, nodes)
     groups = nodes.select("node", "label").join(comps, "node", "left").select("node", F.coalesce("comp", "label").alias("component_id"))
     out = rows.drop("sig").join(groups, "node", "left")
