@@ -27,6 +27,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import DataFrame
@@ -147,37 +148,48 @@ def log_probabilities(grams: np.ndarray, depth: int, levels: dict[int, Level]) -
 
 
 class HashTable:
-    """Values by unsigned 64-bit key, looked up for whole arrays."""
+    """Values by unsigned 64-bit key, looked up for whole arrays (open addressing, at most two thirds full)."""
+
+    EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
     def __init__(self, keys: np.ndarray, values: np.ndarray, default: float):
-        self.shift = 64 - max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2))))
+        self.default = values.dtype.type(default)
+        #: The value of the one key that marks free slots, if it is among the keys.
+        self.of_empty = values[keys == self.EMPTY][0] if (keys == self.EMPTY).any() else self.default
+        self.shift = 64 - max(4, int(np.ceil(np.log2(max(1, len(keys)) * 1.5))))
         size = 1 << (64 - self.shift)
-        self.mask, self.used = size - 1, np.zeros(size, dtype=bool)
-        self.keys, self.values = np.zeros(size, np.uint64), np.full(size, default, dtype=values.dtype)
-        self.default = default
-        at, left = self._home(keys), np.arange(len(keys))
-        while len(left):
-            free = ~self.used[at]
-            put, first = np.unique(at[free], return_index=True)
-            row = left[free][first]
-            self.keys[put], self.values[put], self.used[put] = keys[row], values[row], True
-            unset = self.keys[at] != keys[left]
-            left, at = left[unset], (at[unset] + 1) & self.mask
+        self.mask = size - 1
+        self.keys, self.values = np.full(size, self.EMPTY), np.full(size, default, dtype=values.dtype)
+        for lo in range(0, len(keys), 500_000):
+            part = np.arange(lo, min(lo + 500_000, len(keys)))
+            left = part[keys[part] != self.EMPTY]
+            at = self._home(keys[left])
+            while len(left):
+                free = self.keys[at] == self.EMPTY
+                put, first = np.unique(at[free], return_index=True)
+                row = left[free][first]
+                self.keys[put], self.values[put] = keys[row], values[row]
+                unset = self.keys[at] != keys[left]
+                left, at = left[unset], (at[unset] + 1) & self.mask
 
     def _home(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(self.shift)).astype(np.int64)
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         at = self._home(keys)
-        out = self.values[at]
-        left = np.flatnonzero((self.keys[at] != keys) & self.used[at])
-        out[~self.used[at]] = self.default
+        found = self.keys[at]
+        out = np.where(found == keys, self.values[at], self.default)
+        left = np.flatnonzero((found != keys) & (found != self.EMPTY))
         at = at[left]
         while len(left):
             at = (at + 1) & self.mask
-            out[left] = np.where(self.used[at], self.values[at], self.default)
-            more = (self.keys[at] != keys[left]) & self.used[at]
+            found = self.keys[at]
+            hit = found == keys[left]
+            out[left[hit]] = self.values[at[hit]]
+            more = ~hit & (found != self.EMPTY)
             left, at = left[more], at[more]
+        if (keys == self.EMPTY).any():
+            out[keys == self.EMPTY] = self.of_empty
         return out
 
 
@@ -192,12 +204,32 @@ def load_table(folder: str, default: float) -> HashTable:
         import pyarrow.fs as pafs
 
         names = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(path)) if f.path.endswith(".parquet"))
-        parts = [pq.read_table(n, filesystem=fs, columns=["key", "value"]) for n in names]
-        t = pa.concat_tables(parts) if parts else pa.table({"key": pa.array([], pa.int64()), "value": pa.array([], pa.float64())})
-        _TABLES[folder] = HashTable(t["key"].to_numpy().view(np.uint64), t["value"].to_numpy(), default)
+        keys, values = [np.zeros(0, np.int64)], [np.zeros(0, np.float64)]
+        for n in names:
+            t = pq.read_table(n, filesystem=fs, columns=["key", "value"])
+            keys.append(t["key"].to_numpy())
+            values.append(t["value"].to_numpy())
+        _TABLES[folder] = HashTable(np.concatenate(keys).view(np.uint64), np.concatenate(values), default)
     return _TABLES[folder]
 
 
+#: Bytes of text that are taken together.
+CHUNK_BYTES = 1_500_000
+
+
+def chunks_of(texts: pa.Array):
+    """Ranges of rows with about ``CHUNK_BYTES`` of text each."""
+    sizes = [n or 0 for n in pc.binary_length(texts).to_pylist()]
+    lo = size = 0
+    for i, n in enumerate(sizes):
+        size += n
+        if size >= CHUNK_BYTES or i - lo >= 400:
+            yield lo, i + 1
+            lo, size = i + 1, 0
+    if lo < len(sizes):
+        yield lo, len(sizes)
+
+
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > 1_000_000:
@@ -233,9 +265,9 @@ def _counter(folds: int, held: int, depth: int):
         parts: dict[int, list] = {0: [], 1: []}
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for lo in range(0, len(ids), 400):
-                tokens = [tokens_of(t) for t in texts.slice(lo, 400).to_pylist()]
-                learns = np.array([_learns(i, folds, held) for i in ids[lo : lo + 400]])
+            for lo, hi in chunks_of(texts):
+                tokens = [tokens_of(t) for t in texts.slice(lo, hi - lo).to_pylist()]
+                learns = np.array([_learns(i, folds, held) for i in ids[lo:hi]])
                 grams, begins = grams_of(tokens, depth)
                 weights = np.repeat(learns.astype(np.float64), np.diff(np.append(begins, len(grams))))
                 parts[0].append(merged([(grams, weights)]))
@@ -243,7 +275,7 @@ def _counter(folds: int, held: int, depth: int):
                     hashes = word_hashes(used)
                     parts[1].append(merged([(hashes, np.ones(len(hashes)))]))
             for kind, p in parts.items():
-                if len(p) > 1 and sum(len(x[0]) for x in p[1:]) > max(2_000_000, len(p[0][0])):
+                if len(p) > 1 and sum(len(x[0]) for x in p[1:]) > max(1_000_000, len(p[0][0])):
                     parts[kind] = [merged(p)]
         for kind, p in parts.items():
             if p:
@@ -361,8 +393,8 @@ def _scorer(folds: int, held: int, depth: int, string_folder: str | None, often_
         for batch in batches:
             ids, keys, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(1)
             out = []
-            for lo in range(0, len(ids), 200):
-                tokens = [tokens_of(t) for t in texts.slice(lo, 200).to_pylist()]
+            for lo, hi in chunks_of(texts):
+                tokens = [tokens_of(t) for t in texts.slice(lo, hi - lo).to_pylist()]
                 grams, begins = grams_of(tokens, depth)
                 ends = np.append(begins[1:], len(grams))
                 if strings is not None:
