@@ -83,7 +83,7 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return number, place - begins[number], place - ends, place - starts, h[place]
 
 
-def _in_chunks(batch, text_at: int, most: int = 4_000_000):
+def _in_chunks(batch, text_at: int, most: int = 1_500_000):
     """Row numbers and texts as bytes, some megabytes at a time."""
     rows, texts, size = [], [], 0
     for i, t in enumerate(batch.column(text_at).to_pylist()):
