@@ -32,6 +32,8 @@ BATCH = 24
 TILE = 128
 #: A side of a join is broadcast if its rows are known to take no more than this; else both sides are shuffled.
 BROADCAST_BYTES = 24 * 1024 * 1024
+#: Stands for a null identifier: after all others.
+LAST = (1 << 63) - 1
 
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32)
@@ -131,7 +133,7 @@ def _signatures(batches):
             sizes.append(len(s))
             nodes.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             sigs.append(signature(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "node", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "ord", "tk", "n_shingles", "node", "sig"])
 
 
 def _bands(batches):
@@ -168,7 +170,7 @@ def _tiles_alive(percent: int, miss: float):
             for row in batch.to_pylist():
                 members = row["members"]
                 sigs = np.frombuffer(b"".join(m["sig"] for m in members), np.uint16).reshape(len(members), -1)
-                comps = np.array([m["comp"] if m["comp"] is not None else -1 for m in members])
+                comps = np.array([m["comp"] for m in members])
                 tiles = np.array([m["tile"] for m in members])
                 i, j = np.triu_indices(len(members), 1)
                 differ = comps[i] != comps[j]
@@ -235,18 +237,10 @@ def _exact(percent: int):
     return run
 
 
-def _node_texts(batches):
-    """(node, text) where the text has the set that the node names: identifiers may repeat."""
-    for batch in batches:
-        r = batch.to_pydict()
-        ok = [xxhash.xxh3_128_digest(shingle_set(t).tobytes()) == n for n, t in zip(r["node"], r["text"], strict=True)]
-        yield batch.filter(pa.array(ok, pa.bool_()))
-
-
 def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, text) of the wanted nodes, each by its smallest identifier."""
-    need = materialize(wanted.distinct().join(nodes.select("node", "label"), "node").where("label is not null"), "neardup-need")
-    return join_small(docs, need.withColumnRenamed("label", "doc_id"), "doc_id", 64).select("node", "text").mapInArrow(_node_texts, "node binary, text string")
+    """(node, text) of the wanted nodes, each from the row of its smallest identifier."""
+    need = materialize(wanted.distinct().join(nodes.select("node", F.col("label").alias("ord"), "tk"), "node"), "neardup-need")
+    return join_small(docs, need, ["ord", "tk"], 72).select("node", "text")
 
 
 def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -305,9 +299,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-8, id_c
     """
     ready(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = materialize(docs.mapInArrow(_signatures, "doc_id long, n_shingles long, node binary, sig binary"), "neardup-rows")
-    full = rows.where("node is not null")
-    nodes = materialize(full.groupBy("node").agg(F.min("doc_id").alias("label"), F.first("sig").alias("sig")), "neardup-nodes")
+    docs = docs.withColumns({"ord": F.coalesce("doc_id", F.lit(LAST)), "tk": F.xxhash64("text")})
+    rows = materialize(docs.mapInArrow(_signatures, "doc_id long, ord long, tk long, n_shingles long, node binary, sig binary"), "neardup-rows")
+    full = rows.where("node is not null").groupBy("node").agg(F.min(F.struct("ord", "tk")).alias("first"), F.first("sig").alias("sig"))
+    nodes = materialize(full.select("node", F.col("first.ord").alias("label"), F.col("first.tk").alias("tk"), "sig"), "neardup-nodes")
     bands = nodes.select("node", "sig").mapInArrow(_bands, "node binary, buckets array<long>").select("node", F.posexplode("buckets").alias("band", "bucket"))
     shared = bands.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     shared = materialize(shared, "neardup-buckets")
@@ -324,7 +319,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-8, id_c
         comps = components(links, nodes)
     groups = nodes.select("node", "label").join(comps, "node", "left").select("node", F.coalesce("comp", "label").alias("component_id"))
     out = rows.drop("sig").join(groups, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).when(F.col("component_id") != LAST, F.col("component_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
