@@ -32,7 +32,7 @@ from rundelta.llm.common import materialize, partitions_for, ready
 from rundelta.llm.ctw import _written, load_table
 from rundelta.llm.neardup import join_small
 
-LENGTH, GRAM, SHALLOW, GROUP = 100, 24, 16, 256
+LENGTH, GRAM, SHALLOW, GROUP = 100, 24, 16, 2048
 #: Repeated anchor hashes that workers load at once; more are taken in turns.
 LOADED = 12_000_000
 FIRST = -(1 << 63)
