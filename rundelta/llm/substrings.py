@@ -366,7 +366,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = found.select("ord", "tk", "pos", "lo", "hi").join(kept, ["ord", "tk", "pos"], "left")
     spans = spans.groupBy("ord", "tk").agg(F.collect_list(F.struct("pos", "lo", "hi", "kept")).alias("found"))
     spans = materialize(spans, "substr-spans")
-    out = join_small(rows, spans, ["ord", "tk"], 400, "left")
+    out = rows.join(spans, ["ord", "tk"], "left")
     out = join_small(out, copies, ["ord", "tk"], 48, "left")
     types = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, stop: long>>"
     return out.select("doc_id", "text", "copy", "found").mapInArrow(_finish, types)
