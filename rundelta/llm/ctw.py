@@ -199,7 +199,8 @@ _TABLES: dict = {}
 def load_table(folder: str, default: float) -> HashTable:
     """A written table (key long, value double) as a hash table, once per worker."""
     if folder not in _TABLES:
-        _TABLES.clear() if len(_TABLES) > 2 else None
+        if len(_TABLES) > 1:  # a worker outlives queries: tables of earlier ones go
+            _TABLES.clear()
         fs, path = file_system(folder)
         import pyarrow.fs as pafs
 
@@ -232,7 +233,7 @@ def chunks_of(texts: pa.Array):
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -262,6 +263,7 @@ def _counter(folds: int, held: int, depth: int):
         return found, np.bincount(at, weights=n, minlength=len(found))
 
     def run(batches):
+        _TABLES.clear()
         parts: dict[int, list] = {0: [], 1: []}
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
