@@ -99,10 +99,10 @@ def origin_grain(spark, d):
     return rounded(t.df.select("lob", "origin_period", "dev_lag", "value"), value=4)
 
 
-@query(q('SELECT origin_period, round(sum(value) FILTER (dev_lag = 12), 2) AS "12", round(sum(value) FILTER (dev_lag = 24), 2) AS "24", round(sum(value) FILTER (dev_lag = 36), 2) AS "36" FROM cells GROUP BY 1'))
+@query(q('SELECT origin_period, round(sum(value) FILTER (dev_lag = 12), 4) AS "12", round(sum(value) FILTER (dev_lag = 24), 4) AS "24", round(sum(value) FILTER (dev_lag = 36), 4) AS "36" FROM cells GROUP BY 1'))
 def to_wide(spark, d):
     wide = as_triangle(marts.cells(spark, d)).to_wide("paid_loss", [12, 24, 36])
-    return rounded(wide, **{"12": 2, "24": 2, "36": 2})
+    return rounded(wide, **{"12": 4, "24": 4, "36": 4})
 
 
 @query(q("SELECT lob, origin_period, dev_lag, 'claim_count' AS field, round(CAST(qty AS DOUBLE), 4) AS value FROM inc"))
@@ -397,9 +397,9 @@ _ODP = [
 ]
 
 
-@query(q("SELECT lob, origin_period, dev_lag, round(x, 2) AS increment, round(m, 2) AS fitted, round((x - m) / sqrt(abs(m)), 4) + 0.0 AS pearson FROM ob", *_ODP))
+@query(q("SELECT lob, origin_period, dev_lag, round(x, 4) AS increment, round(m, 2) AS fitted, round((x - m) / sqrt(abs(m)), 4) + 0.0 AS pearson FROM ob", *_ODP))
 def odp_residuals(spark, d):
-    out = rounded(simulate.odp_residuals(marts.cells(spark, d), LOB, STEP), increment=2, fitted=2, pearson=4)
+    out = rounded(simulate.odp_residuals(marts.cells(spark, d), LOB, STEP), increment=4, fitted=2, pearson=4)
     return out.withColumn("pearson", F.col("pearson") + 0.0)
 
 
@@ -454,10 +454,10 @@ def point_metrics(spark, d):
     return rounded(out, mae=2, rmse=2, wrmse=2, mape=6, medape=6, pool_ape=6, pool_pe=6, prop_over=6)
 
 
-@query(q("SELECT dev_lag, round(sum(predicted), 2) AS predicted, round(sum(actual), 2) AS actual, round(abs(sum(predicted) - sum(actual)), 2) AS abs_error FROM pr GROUP BY 1", *_PRED))
+@query(q("SELECT dev_lag, round(sum(predicted), 2) AS predicted, round(sum(actual), 4) AS actual, round(abs(sum(predicted) - sum(actual)), 2) AS abs_error FROM pr GROUP BY 1", *_PRED))
 def level_errors(spark, d):
     out = bt.level_errors(predictions(spark, d), ["dev_lag"]).select("dev_lag", "predicted", "actual", "abs_error")
-    return rounded(out, predicted=2, actual=2, abs_error=2)
+    return rounded(out, predicted=2, actual=4, abs_error=2)
 
 
 @query(q("SELECT lob, origin_period, round(prev_value + 0.7 * (predicted - prev_value), 2) AS blend FROM pr", *_PRED))
@@ -500,9 +500,9 @@ def _replayed(spark, d):
     return bt.replay(marts.cells(spark, d), marts.premiums(spark, d), bt.candidates_frame(spark, _GRID), _DAYS, LOB, STEP)
 
 
-@query(q("SELECT candidate, snapshot, lob, origin_period, dev_lag, round(expected, 2) AS expected, round(actual, 2) AS actual, round(actual - expected, 2) AS ave, round(cdr, 2) AS cdr FROM rp", *_REPLAY))
+@query(q("SELECT candidate, snapshot, lob, origin_period, dev_lag, round(expected, 2) AS expected, round(actual, 4) AS actual, round(actual - expected, 2) AS ave, round(cdr, 2) AS cdr FROM rp", *_REPLAY))
 def replay_ave_cdr(spark, d):
-    return rounded(_replayed(spark, d).drop("remaining_revision"), expected=2, actual=2, ave=2, cdr=2)
+    return rounded(_replayed(spark, d).drop("remaining_revision"), expected=2, actual=4, ave=2, cdr=2)
 
 
 @query(q("SELECT candidate, snapshot, count(*) AS n, round(sqrt(sum(abs(actual) * pow(actual - expected, 2)) / sum(abs(actual))), 2) AS rmse, 'scored' AS status FROM rp GROUP BY 1, 2", *_REPLAY))
