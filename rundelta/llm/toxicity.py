@@ -10,6 +10,7 @@ of a group by itself can carry no weight of its own.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -72,8 +73,19 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(self.logits(texts), -40, 40)))
 
 
-def fit(bags: list[set[bytes]], labels: np.ndarray, min_count: int = 4, max_words: int = 100_000, epochs: int = 15, rate: float = 0.3, sparse: float = 1e-4, fairness: float = 1.0, seed: int = 5) -> ToxicityModel:
-    """Fit on word sets.  Features in fewer than ``min_count`` of them are left out, as are all but the ``max_words`` most common.
+class PackedBags:
+    """Word sets kept as their words joined by spaces; each set exists only while it is looked at."""
+
+    def __init__(self, packed: pa.ChunkedArray):
+        self.packed = packed
+
+    def __iter__(self):
+        for bag in self.packed:
+            yield set(bag.as_py().split())
+
+
+def fit(bags: Iterable[set[bytes]], labels: np.ndarray, min_count: int = 4, max_words: int = 100_000, epochs: int = 15, rate: float = 0.3, sparse: float = 1e-4, fairness: float = 1.0, seed: int = 5) -> ToxicityModel:
+    """Fit on word sets, which are gone through twice.  Features in fewer than ``min_count`` of them are left out, as are all but the ``max_words`` most common.
 
     Without any label, or with one kind of label only, the score is the smoothed share of label 1.
     """
@@ -91,10 +103,10 @@ def fit(bags: list[set[bytes]], labels: np.ndarray, min_count: int = 4, max_word
     rng = np.random.default_rng(seed)
     rows, other = [], []
     for bag in bags:
-        rows.append(np.fromiter(sorted(number[w] for w in features_of(bag) if w in number), dtype=np.int64))
+        rows.append(np.fromiter(sorted(number[w] for w in features_of(bag) if w in number), dtype=np.int32))
         if swapped := [w for w in sorted(bag) if w in swap]:
             changed = set(bag) - set(swapped) | {swap[w][int(rng.integers(len(swap[w])))] for w in swapped}
-            other.append(np.fromiter(sorted(number[w] for w in features_of(changed) if w in number), dtype=np.int64))
+            other.append(np.fromiter(sorted(number[w] for w in features_of(changed) if w in number), dtype=np.int32))
         else:
             other.append(None)
     w, b = np.zeros(len(kept)), start
@@ -147,8 +159,8 @@ def fit_on_tables(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int
         return fit([], np.zeros(0), **settings)
     chosen = F.broadcast(spark.createDataFrame([tuple(r) for r in picked], "label_id long, label int"))
     sample = docs.select(F.col("doc_id").cast("long").alias("label_id"), F.col("text").cast("string").alias("text")).join(chosen, "label_id").select("label", "text")
-    found = sample.mapInArrow(_bags, "label int, bag binary").orderBy(F.crc32("bag"), "bag").limit(2 * max_rows).collect()
-    return fit([set(bytes(r["bag"]).split()) for r in found], np.array([r["label"] for r in found]), **settings)
+    found = sample.mapInArrow(_bags, "label int, bag binary").orderBy(F.crc32("bag"), "bag").limit(2 * max_rows).toArrow()
+    return fit(PackedBags(found["bag"]), found["label"].to_numpy(), **settings)
 
 
 def score(docs: DataFrame, model: ToxicityModel, folds: int = 4, held: int = 2, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
