@@ -6,7 +6,9 @@
    are summed by blocks of terms, and power iterations sharpen the result.
 2. *Candidates.*  A document is a row of overlapping windows of words.  Windows are projected with
    the benchmark's words and compared by cosine with every item; words outside the benchmark count in
-   a window's length, so unrelated text scores low.
+   a window's length, so unrelated text scores low.  The space holds only a share of an item's length,
+   less in larger benchmarks, so cosines are given in units of that share.  Beside it, an index of the
+   items' word triples finds places that hold as many of an item's triples as a copy must.
 3. *Checks.*  Around each candidate window the longest common subsequence of words with the item is
    computed (bit-parallel).  ``copied`` of the item's words in order are a copy; ``paraphrased`` are
    enough if the item's answer is there as well: its ``answer`` text if the table has one, else its
@@ -16,6 +18,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,8 @@ HALF = 12
 ANSWER_WORDS = 4
 #: Items searched in one pass over the documents; larger benchmarks take several.
 ITEMS_A_PASS = 5_000
+GRAM = 3
+_PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 TERM_BLOCK = 256
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if chr(c) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else c for c in range(256))
 
@@ -93,6 +98,53 @@ def randomized_svd(passages: DataFrame, terms: dict[bytes, int], weights: np.nda
     return q[:, :rank]
 
 
+def _gram_keys(ids: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every ``n`` consecutive words."""
+    keys = np.zeros(max(0, len(ids) - n + 1), dtype=np.uint64)
+    for j in range(n):
+        keys += (ids[j : len(ids) - n + 1 + j].astype(np.uint64) + np.uint64(1)) * _PLACE[j]
+    return keys * _PLACE[0]
+
+
+@dataclass(frozen=True)
+class Grams:
+    """Items by their runs of ``n`` words: ``items[first[k]:first[k + 1]]`` hold the run of hash ``keys[k]``."""
+
+    n: int
+    keys: np.ndarray
+    first: np.ndarray
+    items: np.ndarray
+    near: np.ndarray
+    shift: np.uint64
+
+    @staticmethod
+    def of(items: dict[int, list[int]], n: int) -> Grams:
+        parts = [_gram_keys(np.array(w, dtype=np.int64), n) for w in items.values()]
+        keys = np.concatenate(parts)
+        owners = np.repeat(np.fromiter(items, dtype=np.int64, count=len(items)), [len(x) for x in parts])
+        order = np.argsort(keys, kind="stable")
+        keys, first = np.unique(keys[order], return_index=True)
+        bits = max(10, (16 * len(keys)).bit_length())
+        near = np.zeros(1 << bits, dtype=bool)
+        near[keys >> np.uint64(64 - bits)] = True
+        return Grams(n, keys, np.append(first, len(owners)), owners[order], near, np.uint64(64 - bits))
+
+    def places(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, position in the text) of every run of a text that an item has, sorted."""
+        keys = _gram_keys(ids, self.n)
+        at = np.flatnonzero(self.near[keys >> self.shift])
+        if not len(at):
+            return at, at
+        k = np.minimum(np.searchsorted(self.keys, keys[at]), len(self.keys) - 1)
+        same = self.keys[k] == keys[at]
+        at, k = at[same], k[same]
+        many = self.first[k + 1] - self.first[k]
+        inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        item, at = self.items[np.repeat(self.first[k], many) + inner], np.repeat(at, many)
+        order = np.lexsort((at, item))
+        return item[order], at[order]
+
+
 @dataclass(frozen=True)
 class Benchmark:
     """Items in the latent space; ``table`` has a row per term and a last row of zeros for other words."""
@@ -104,14 +156,28 @@ class Benchmark:
     table: np.ndarray
     squares: np.ndarray
     items: np.ndarray
+    grams: list[Grams]
+    item_sets: list[frozenset[int]]
 
     def check(self, words: list[bytes], floor: float, copied: float, paraphrased: float) -> dict[int, tuple[float, float]]:
         """Items found in a text: item to (share of its words in order, cosine)."""
         if not words or not self.item_ids:
             return {}
-        ids = np.fromiter((self.terms.get(w, -1) for w in words), dtype=np.int64, count=len(words))
+        ids = np.fromiter(map(self.terms.get, words, repeat(-1)), dtype=np.int64, count=len(words))
         starts = np.arange(0, len(ids), HALF)
         found: dict[int, tuple[float, float]] = {}
+
+        def judge(i: int, lo: int, hi: int, cosine: float) -> None:
+            wanted = self.item_words[i]
+            region = ids[max(0, lo - len(wanted)) : hi + len(wanted)].tolist()
+            if sum(map(self.item_sets[i].__contains__, region)) < min(copied, paraphrased) * len(wanted):
+                return
+            share = lcs_length(wanted, region) / len(wanted)
+            if share >= copied or share >= paraphrased and self._answered(i, region):
+                best = found.get(i)
+                if best is None or (share, cosine) > best:
+                    found[i] = (share, cosine)
+
         for lo in range(0, len(starts), 2048):
             # One half more than is judged here: windows of two halves overlap the next chunk.
             part = starts[lo : lo + 2049]
@@ -123,16 +189,32 @@ class Benchmark:
             cosine = (halves @ self.items) / np.sqrt(np.maximum(lengths, 1e-12))[:, None]
             window, item = np.nonzero(cosine >= floor)
             for w, i in zip(window.tolist(), item.tolist(), strict=True):
-                wanted = self.item_words[i]
-                at = int(part[w])
-                region = ids[max(0, at - len(wanted)) : at + 2 * HALF + len(wanted)].tolist()
-                share = lcs_length(wanted, region) / len(wanted)
-                if share >= copied or share >= paraphrased and self._answered(i, region):
-                    best = found.get(i)
-                    if best is None or (share, cosine[w, i]) > best:
-                        found[i] = (share, float(cosine[w, i]))
+                judge(i, int(part[w]), int(part[w]) + 2 * HALF, float(cosine[w, i]))
+        for i, at in self._copies(ids, copied):
+            if found.get(i, (0.0,))[0] < 1.0:
+                judge(i, at, at + len(self.item_words[i]), 0.0)
         return found
 
+    def _copies(self, ids: np.ndarray, copied: float):
+        """(item, position) where as many of an item's runs stand as are left when words are changed up to a share of ``copied``."""
+        for grams in self.grams:
+            item, at = grams.places(ids)
+            if not len(item):
+                continue
+            sizes = np.array([len(w) for w in self.item_words])[item]
+            changed = np.floor((1 - copied) * sizes + 1e-9).astype(np.int64)
+            least = np.maximum(1, sizes - grams.n + 1 - grams.n * changed)
+            last = np.arange(len(item)) + least - 1
+            fits = last < len(item)
+            item, at, sizes, last, whole, where = item[fits], at[fits], sizes[fits], last[fits], item, at
+            near = (whole[last] == item) & (where[last] - at <= 2 * sizes)
+            told: dict[int, int] = {}
+            for i, a, n in zip(item[near].tolist(), at[near].tolist(), sizes[near].tolist(), strict=True):
+                # A place judges a region that reaches an item's length to both sides.
+                if i not in told or a - told[i] > n // 2:
+                    told[i] = a
+                    yield i, a
+
     def _answered(self, i: int, region: list[int]) -> bool:
         answer = self.answers[i]
         return not answer or 4 * lcs_length(answer, region) >= 3 * len(answer)
@@ -166,15 +248,23 @@ def prepare(docs: DataFrame, items: list[tuple], rank: int = 128) -> Benchmark:
     weights = np.array([np.log((total + 1) / (df.get(w, 0) + 1)) + 0.1 for w in vocabulary])
     other = float(np.log(total + 1) + 0.1)
     if not kept:
-        return Benchmark({}, [], [], [], np.zeros((1, 0), np.float32), np.zeros(1), np.zeros((0, 0), np.float32))
+        return Benchmark({}, [], [], [], np.zeros((1, 0), np.float32), np.zeros(1), np.zeros((0, 0), np.float32), [], [])
     passages = spark.createDataFrame([(b" ".join(w).decode("utf-8", "replace"),) for _, w, _ in kept], "text string")
     basis = randomized_svd(passages.repartition(max(1, len(kept) // 2000)), terms, weights, rank)
     table = np.vstack([weights[:, None] * basis, np.zeros((1, basis.shape[1]))]).astype(np.float32)
     words = [[terms[x] for x in w] for _, w, _ in kept]
-    latent = np.vstack([table[w].sum(axis=0) for w in words])
-    latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)).T.astype(np.float32)
     squares = np.append(weights**2, other**2)
-    return Benchmark(terms, [i for i, _, _ in kept], words, [[terms[x] for x in a] for _, _, a in kept], table, squares, latent)
+    latent = np.vstack([_in_units_of_itself(table, weights, w) for w in words]).T.astype(np.float32)
+    by_run = {n: {i: w for i, w in enumerate(words) if min(GRAM, len(w)) == n} for n in range(1, GRAM + 1)}
+    grams = [Grams.of(some, n) for n, some in by_run.items() if some]
+    return Benchmark(terms, [i for i, _, _ in kept], words, [[terms[x] for x in a] for _, _, a in kept], table, squares, latent, grams, [frozenset(w) for w in words])
+
+
+def _in_units_of_itself(table: np.ndarray, weights: np.ndarray, words: list[int]) -> np.ndarray:
+    """An item's vector in the space, scaled so that its product with the item's own unit TF-IDF vector is 1."""
+    ids, n = np.unique(words, return_counts=True)
+    v = table[ids].astype(np.float64).T @ n
+    return v * np.sqrt(((n * weights[ids]) ** 2).sum()) / max(v @ v, 1e-12)
 
 
 def _judge(model: Benchmark, floor: float, copied: float, paraphrased: float):

@@ -423,6 +423,24 @@ def test_leaks_are_found_and_clean_texts_left(spark):
     assert decontaminate.find_contaminated(docs.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("n_items", [200, 2000, 5000])
+def test_copies_are_found_at_every_benchmark_size(spark, n_items):
+    rng = random.Random(n_items)
+
+    def varied(n):
+        return [f"w{int(20_000 * rng.random() ** 3)}" for _ in range(n)]
+
+    items = [(i, " ".join(varied(rng.randint(16, 59))), None) for i in range(n_items)]
+    docs = documents(spark, [(i, " ".join(varied(100))) for i in range(200)])
+    model = decontaminate.prepare(docs, items)
+    for i, text, _ in rng.sample(items, 60):
+        changed = [w if n % 5 else "other" for n, w in enumerate(text.split())]
+        for copy in (text.split(), changed):
+            found = model.check(decontaminate.words_of(" ".join([*varied(70), *copy, *varied(70)])), 0.3, 0.75, 0.5)
+            assert i in found and len(found) == 1
+    assert not any(model.check(decontaminate.words_of(" ".join(varied(200))), 0.3, 0.75, 0.5) for _ in range(60))
+
+
 def test_longest_common_subsequence():
     rng = random.Random(3)
     for _ in range(50):
