@@ -6,7 +6,8 @@
    are summed by blocks of terms, and power iterations sharpen the result.
 2. *Candidates.*  A document is a row of overlapping windows of words.  Windows are projected with
    the benchmark's words and compared by cosine with every item; words outside the benchmark count in
-   a window's length, so unrelated text scores low.  The space holds only a share of an item's length,
+   a window's length, so unrelated text scores low.  Long items are compared in pieces, each leading to
+   the check of the whole item, and short ones with windows of their size.  The space holds only a share of an item's length,
    less in larger benchmarks, so cosines are given in units of that share.  Beside it, an index of the
    items' word triples finds places that hold as many of an item's triples as a copy must.
 3. *Checks.*  Around each candidate window the longest common subsequence of words with the item is
@@ -17,6 +18,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -27,7 +29,10 @@ from pyspark.sql import functions as F
 
 from rundelta.llm.common import ready
 
-HALF = 12
+#: Halves of windows in words; a piece of an item is compared with the widest windows of which it fills more than one half.
+HALVES = (12, 6, 3)
+#: Items of more words are cut into equal pieces.
+PIECE_WORDS = 64
 ANSWER_WORDS = 4
 #: Items searched in one pass over the documents; larger benchmarks take several.
 ITEMS_A_PASS = 5_000
@@ -145,6 +150,15 @@ class Grams:
         return item[order], at[order]
 
 
+@dataclass(frozen=True)
+class Scale:
+    """Pieces of items (columns of ``vectors``) that are compared with windows of two halves; ``owners`` are their items."""
+
+    half: int
+    vectors: np.ndarray
+    owners: np.ndarray
+
+
 @dataclass(frozen=True)
 class Benchmark:
     """Items in the latent space; ``table`` has a row per term and a last row of zeros for other words."""
@@ -155,22 +169,24 @@ class Benchmark:
     answers: list[list[int]]
     table: np.ndarray
     squares: np.ndarray
-    items: np.ndarray
+    scales: list[Scale]
     grams: list[Grams]
-    item_sets: list[frozenset[int]]
+    item_counts: list[list[tuple[int, int]]]
 
     def check(self, words: list[bytes], floor: float, copied: float, paraphrased: float) -> dict[int, tuple[float, float]]:
         """Items found in a text: item to (share of its words in order, cosine)."""
         if not words or not self.item_ids:
             return {}
         ids = np.fromiter(map(self.terms.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-        starts = np.arange(0, len(ids), HALF)
         found: dict[int, tuple[float, float]] = {}
 
         def judge(i: int, lo: int, hi: int, cosine: float) -> None:
             wanted = self.item_words[i]
             region = ids[max(0, lo - len(wanted)) : hi + len(wanted)].tolist()
-            if sum(map(self.item_sets[i].__contains__, region)) < min(copied, paraphrased) * len(wanted):
+            # No subsequence is longer than what item and region share in any order.
+            there = Counter(region)
+            most = sum(n if n < (k := there.get(w, 0)) else k for w, n in self.item_counts[i]) / len(wanted)
+            if most < copied and (most < paraphrased or not self._answerable(i, there)):
                 return
             share = lcs_length(wanted, region) / len(wanted)
             if share >= copied or share >= paraphrased and self._answered(i, region):
@@ -178,22 +194,31 @@ class Benchmark:
                 if best is None or (share, cosine) > best:
                     found[i] = (share, cosine)
 
+        for scale in self.scales:
+            for (i, at), cosine in self._alike(ids, scale, floor):
+                judge(i, at, at + 2 * scale.half, cosine)
+        for i, at in self._copies(ids, copied):
+            if found.get(i, (0.0,))[0] < 1.0:
+                judge(i, at, at + len(self.item_words[i]), 0.0)
+        return found
+
+    def _alike(self, ids: np.ndarray, scale: Scale, floor: float):
+        """((item, start), cosine) of windows that are like a piece of the item."""
+        starts = np.arange(0, len(ids), scale.half)
         for lo in range(0, len(starts), 2048):
             # One half more than is judged here: windows of two halves overlap the next chunk.
             part = starts[lo : lo + 2049]
-            chunk = ids[part[0] : part[-1] + HALF]
+            chunk = ids[part[0] : part[-1] + scale.half]
             halves = np.add.reduceat(self.table[chunk], part - part[0], axis=0)
             lengths = np.add.reduceat(self.squares[chunk], part - part[0])
             if len(part) > 1:
                 halves, lengths = halves[:-1] + halves[1:], lengths[:-1] + lengths[1:]
-            cosine = (halves @ self.items) / np.sqrt(np.maximum(lengths, 1e-12))[:, None]
-            window, item = np.nonzero(cosine >= floor)
-            for w, i in zip(window.tolist(), item.tolist(), strict=True):
-                judge(i, int(part[w]), int(part[w]) + 2 * HALF, float(cosine[w, i]))
-        for i, at in self._copies(ids, copied):
-            if found.get(i, (0.0,))[0] < 1.0:
-                judge(i, at, at + len(self.item_words[i]), 0.0)
-        return found
+            cosine = (halves @ scale.vectors) / np.sqrt(np.maximum(lengths, 1e-12))[:, None]
+            window, piece = np.nonzero(cosine >= floor)
+            best: dict[tuple[int, int], float] = {}
+            for i, at, c in zip(scale.owners[piece].tolist(), part[window].tolist(), cosine[window, piece].tolist(), strict=True):
+                best[i, at] = max(c, best.get((i, at), c))
+            yield from best.items()
 
     def _copies(self, ids: np.ndarray, copied: float):
         """(item, position) where as many of an item's runs stand as are left when words are changed up to a share of ``copied``."""
@@ -215,6 +240,10 @@ class Benchmark:
                     told[i] = a
                     yield i, a
 
+    def _answerable(self, i: int, there: Counter) -> bool:
+        answer = self.answers[i]
+        return not answer or 4 * sum(1 for w in answer if w in there) >= 3 * len(answer)
+
     def _answered(self, i: int, region: list[int]) -> bool:
         answer = self.answers[i]
         return not answer or 4 * lcs_length(answer, region) >= 3 * len(answer)
@@ -248,16 +277,27 @@ def prepare(docs: DataFrame, items: list[tuple], rank: int = 128) -> Benchmark:
     weights = np.array([np.log((total + 1) / (df.get(w, 0) + 1)) + 0.1 for w in vocabulary])
     other = float(np.log(total + 1) + 0.1)
     if not kept:
-        return Benchmark({}, [], [], [], np.zeros((1, 0), np.float32), np.zeros(1), np.zeros((0, 0), np.float32), [], [])
-    passages = spark.createDataFrame([(b" ".join(w).decode("utf-8", "replace"),) for _, w, _ in kept], "text string")
-    basis = randomized_svd(passages.repartition(max(1, len(kept) // 2000)), terms, weights, rank)
+        return Benchmark({}, [], [], [], np.zeros((1, 0), np.float32), np.zeros(1), [], [], [])
+    pieces = [(n, x) for n, (_, w, _) in enumerate(kept) for x in _pieces(w)]
+    passages = spark.createDataFrame([(b" ".join(x).decode("utf-8", "replace"),) for _, x in pieces], "text string")
+    basis = randomized_svd(passages.repartition(max(1, len(pieces) // 2000)), terms, weights, rank)
     table = np.vstack([weights[:, None] * basis, np.zeros((1, basis.shape[1]))]).astype(np.float32)
     words = [[terms[x] for x in w] for _, w, _ in kept]
     squares = np.append(weights**2, other**2)
-    latent = np.vstack([_in_units_of_itself(table, weights, w) for w in words]).T.astype(np.float32)
+    scales = []
+    for half in HALVES:
+        some = [(n, x) for n, x in pieces if half == next((h for h in HALVES if len(x) > h), HALVES[-1])]
+        if some:
+            latent = np.vstack([_in_units_of_itself(table, weights, [terms[w] for w in x]) for _, x in some]).T.astype(np.float32)
+            scales.append(Scale(half, latent, np.array([n for n, _ in some])))
     by_run = {n: {i: w for i, w in enumerate(words) if min(GRAM, len(w)) == n} for n in range(1, GRAM + 1)}
     grams = [Grams.of(some, n) for n, some in by_run.items() if some]
-    return Benchmark(terms, [i for i, _, _ in kept], words, [[terms[x] for x in a] for _, _, a in kept], table, squares, latent, grams, [frozenset(w) for w in words])
+    return Benchmark(terms, [i for i, _, _ in kept], words, [[terms[x] for x in a] for _, _, a in kept], table, squares, scales, grams, [list(Counter(w).items()) for w in words])
+
+
+def _pieces(words: list) -> list[list]:
+    n = -(-len(words) // PIECE_WORDS)
+    return [words[len(words) * k // n : len(words) * (k + 1) // n] for k in range(n)]
 
 
 def _in_units_of_itself(table: np.ndarray, weights: np.ndarray, words: list[int]) -> np.ndarray:

@@ -441,6 +441,24 @@ def test_copies_are_found_at_every_benchmark_size(spark, n_items):
     assert not any(model.check(decontaminate.words_of(" ".join(varied(200))), 0.3, 0.75, 0.5) for _ in range(60))
 
 
+@pytest.mark.parametrize(("shortest", "longest"), [(1, 3), (4, 10), (150, 300), (400, 600)])
+def test_copies_and_paraphrases_of_items_of_every_length_are_found(spark, shortest, longest):
+    rng = random.Random(longest)
+
+    def varied(n):
+        return [f"w{int(20_000 * rng.random() ** 3)}" for _ in range(n)]
+
+    items = [(i, " ".join([f"k{i}", *varied(rng.randint(shortest, longest) - 1)]), None) for i in range(200)]
+    docs = documents(spark, [(i, " ".join(varied(100))) for i in range(200)])
+    model = decontaminate.prepare(docs, items)
+    for i, text, _ in rng.sample(items, 60):
+        words = text.split()
+        changed = [f"x{n}" if n % 5 in (1, 3) and n < len(words) - 4 else w for n, w in enumerate(words)]
+        for copy in (words, changed):
+            found = model.check(decontaminate.words_of(" ".join([*varied(310), *copy, *varied(310)])), 0.3, 0.75, 0.5)
+            assert i in found
+
+
 def test_longest_common_subsequence():
     rng = random.Random(3)
     for _ in range(50):
