@@ -25,10 +25,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one of smallest identifier; rows with a null identifier stay."""
-    judged = neardup.near_duplicates(docs, percent=SIMILARITY_PERCENT)
-    gone = materialize(judged.where("not kept").select("doc_id").distinct(), "pipeline-duplicates")
-    return neardup.join_small(docs, gone, "doc_id", 24, "left_anti").select(docs.columns)
+    """One row of each group stays, the one of smallest identifier, null after all others; rows without words stay."""
+    return neardup.keep_one_of_each(docs, percent=SIMILARITY_PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

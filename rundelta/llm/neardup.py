@@ -239,7 +239,7 @@ def _exact(percent: int):
 
 def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, text) of the wanted nodes, each from the row of its smallest identifier."""
-    need = materialize(wanted.distinct().join(nodes.select("node", F.col("label").alias("ord"), "tk"), "node"), "neardup-need")
+    need = materialize(wanted.distinct().join(nodes.select("node", F.col("label.ord").alias("ord"), "tk"), "node"), "neardup-need")
     return join_small(docs, need, ["ord", "tk"], 72).select("node", "text")
 
 
@@ -281,7 +281,7 @@ def _tile_groups(rows: DataFrame) -> DataFrame:
     rows = rows.join(sizes, "bucket").withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     # A member of tile t is in the groups (t, t), (t, j) and (i, t).
-    keyed = rows.select("bucket", F.least("tile", "other").alias("left"), F.greatest("tile", "other").alias("right"), F.struct("node", "comp", "sig", "tile", "band").alias("member"))
+    keyed = rows.select("bucket", F.least("tile", "other").alias("left"), F.greatest("tile", "other").alias("right"), F.struct("node", F.col("comp.node").alias("comp"), "sig", "tile", "band").alias("member"))
     return keyed.groupBy("bucket", "left", "right").agg(F.collect_list("member").alias("members"))
 
 
@@ -297,12 +297,40 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-8, id_c
     are kept only where the group has none; an empty table gives an empty result; other columns are
     ignored.
     """
+    out = _judged(docs, percent, miss, id_col, text_col)
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).when(F.col("comp.ord") != LAST, F.col("comp.ord"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_one_of_each(docs: DataFrame, percent: int = 85, miss: float = 1e-8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, of which exactly one stays of every component.
+
+    It is the row of the smallest identifier (null after all others), then of the smallest hash of the
+    text, then of the smallest columns.  Rows without words are in no component and all stay.
+    """
+    judged = _judged(docs, percent, miss, id_col, text_col).where("node is not null")
+    alike = judged.groupBy("ord", "tk", "comp").agg(F.count(F.lit(1)).alias("n"))
+    first = (F.col("ord") == F.col("comp.ord")) & (F.col("tk") == F.col("comp.tk"))
+    gone = materialize(alike.select("ord", "tk", "n", first.cast("int").alias("stay")).where("n > stay").select("ord", "tk", "stay"), "neardup-gone")
+    whole = docs.select(F.struct(*docs.columns).alias("whole"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord"), F.xxhash64(F.col(text_col).cast("string")).alias("tk"))
+    out = join_small(whole, gone.select("ord", "tk"), ["ord", "tk"], 24, "left_anti").select("whole.*")
+    repeated = gone.where("stay = 1")
+    if repeated.limit(1).count():
+        one = join_small(whole, repeated, ["ord", "tk"], 24, "left_semi").groupBy("ord", "tk").agg(F.min("whole").alias("whole"))
+        out = out.union(one.select("whole.*"))
+    return out
+
+
+def _judged(docs: DataFrame, percent: int, miss: float, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, ord, tk, n_shingles, node of every row, and comp, the first (ord, tk, node) of its component."""
     ready(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.withColumns({"ord": F.coalesce("doc_id", F.lit(LAST)), "tk": F.xxhash64("text")})
     rows = materialize(docs.mapInArrow(_signatures, "doc_id long, ord long, tk long, n_shingles long, node binary, sig binary"), "neardup-rows")
     full = rows.where("node is not null").groupBy("node").agg(F.min(F.struct("ord", "tk")).alias("first"), F.first("sig").alias("sig"))
-    nodes = materialize(full.select("node", F.col("first.ord").alias("label"), F.col("first.tk").alias("tk"), "sig"), "neardup-nodes")
+    # The node itself is in its label: identifiers may repeat or be null in unlike texts.
+    nodes = materialize(full.select("node", F.struct("first.ord", "first.tk", "node").alias("label"), F.col("first.tk").alias("tk"), "sig"), "neardup-nodes")
     bands = nodes.select("node", "sig").mapInArrow(_bands, "node binary, buckets array<long>").select("node", F.posexplode("buckets").alias("band", "bucket"))
     shared = bands.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     shared = materialize(shared, "neardup-buckets")
@@ -317,11 +345,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-8, id_c
     if blocks.count():
         links = links.union(verify_blocks(blocks, nodes, docs, percent))
         comps = components(links, nodes)
-    groups = nodes.select("node", "label").join(comps, "node", "left").select("node", F.coalesce("comp", "label").alias("component_id"))
-    out = rows.drop("sig").join(groups, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).when(F.col("component_id") != LAST, F.col("component_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    groups = nodes.select("node", "label").join(comps, "node", "left").select("node", F.coalesce("comp", "label").alias("comp"))
+    return rows.drop("sig").join(groups, "node", "left")
 
 
 def _alive(pairs: DataFrame, nodes: DataFrame, percent: int, miss: float) -> DataFrame:

@@ -28,6 +28,18 @@ def test_stages(spark):
         docs = out
 
 
+def test_one_row_of_each_group_stays_without_unique_identifiers(spark):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    rows = [(None, a), (None, a + " end"), (1, b), (1, b), (1, b), (2, c), (3, c + " end"), (3, d), (4, e), (None, e), (5, None), (5, None), (6, " ")]
+    docs = spark.createDataFrame([(i, t, "xyz"[n % 3]) for n, (i, t) in enumerate(rows)], "doc_id long, text string, source string")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, FOLDER)
+    assert out.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    groups = [sum((t or "").startswith(x) for _, t in got) for x in "abcde"]
+    assert groups == [1, 1, 1, 1, 1] and len(got) == 8
+    assert {(1, b), (2, c), (3, d), (4, e)} <= set(got)
+
+
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
     assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
