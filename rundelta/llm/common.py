@@ -1,13 +1,15 @@
-"""What the operators share: shared-storage folders, shipping of code, sizing of partitions."""
+"""What the operators share: shared-storage folders, shipping of code, sizing of partitions, lean workers."""
 
 from __future__ import annotations
 
+import ctypes
 import math
 import os
 import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -36,19 +38,26 @@ def ready(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A new folder name below the shared folder that the session names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests in local mode) a local temporary folder takes its place.
+    Where that setting is absent, a local temporary folder takes its place in local mode (tests) only;
+    on a cluster its absence is an error, as executors do not see each other's folders.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="rundelta-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/rundelta/{tag}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write a frame as Parquet on shared storage and read it back: lineage ends, lost executors cost nothing."""
+    """Write a frame as Parquet on shared storage and read it back: lineage ends, lost executors cost nothing.
+
+    ``discard`` removes the files of such a frame when nothing reads it any more.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, tag)
     schema = df.schema
@@ -56,11 +65,43 @@ def materialize(df: DataFrame, tag: str, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of frames that ``materialize`` returned; no frame may read them later."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def lean(run, *caches):
+    """A task function after which the worker, which later tasks use again, holds no more than before it.
+
+    ``caches`` are emptied, and memory that the allocators keep goes back to the system.
+    """
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            for cache in caches:
+                cache.clear()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return task
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     """The Arrow file system of a Hadoop-style URI and the path in it."""
+    for hadoop in ("s3a://", "s3n://"):
+        if uri.startswith(hadoop):
+            uri = "s3://" + uri.removeprefix(hadoop)
     if uri.startswith("file:/") and not uri.startswith("file://"):
         uri = "file://" + uri[5:]
     return pafs.FileSystem.from_uri(uri)
@@ -88,16 +129,22 @@ def read_range(handle, offset: int, length: int) -> bytes:
     return data
 
 
+#: A larger estimate stands for "unknown": Catalyst gives frames without statistics the largest long.
+PLAUSIBLE_BYTES = 1 << 60
+
+
 def partitions_for(df: DataFrame) -> int:
     """Partitions of about ``spark.sql.files.maxPartitionBytes`` each, at least the session's shuffle partitions.
 
-    The size is Catalyst's estimate, so no job runs.
+    The size is that of the tables under the frame by Catalyst's statistics, so no job runs.  Tables
+    without statistics (rows of the driver, RDDs) count nothing: they get the shuffle partitions.
     """
     spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     each = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(100_000, math.ceil(size / each)))
+    return max(least, min(100_000, math.ceil(sum(s for s in sizes if s < PLAUSIBLE_BYTES) / each)))
 
 
 def bucket_of(column: str, n: int, salt: int = 0):

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rundelta.llm.common import file_system, materialize, partitions_for, read_range, ready, shared_dir, write_bytes
+from rundelta.llm.common import file_system, lean, materialize, partitions_for, read_range, ready, shared_dir, write_bytes
 
 MAGIC = b"RDSSTBL1"
 RESTART = 16
@@ -242,20 +242,29 @@ class ShardReader:
 
 
 class _Table(dict):
-    """Identifiers by piece; what is absent is noted in ``new`` and stands as nothing meanwhile."""
+    """Identifiers by piece; what is absent is encoded when it is asked for."""
 
-    def __init__(self):
+    def __init__(self, learn):
         super().__init__()
-        self.new: list[str] = []
-        self.old: dict[str, bytes] = {}
+        self.learn, self.old = learn, {}
 
     def __missing__(self, piece: str) -> bytes:
-        known = self.old.get(piece)
-        if known is None:
-            self.new.append(piece)
-            return b""
-        self[piece] = known
-        return known
+        found = self.old.get(piece)
+        if found is None:
+            found = self.learn(piece)
+        if len(piece) <= CachedEncoder.LONGEST:
+            self[piece] = found
+        return found
+
+    def age(self) -> None:
+        """Full: this table becomes the older one, and the one before is let go."""
+        if len(self) > CachedEncoder.LIMIT:
+            self.old = dict(self)
+            super().clear()
+
+    def clear(self) -> None:
+        self.old = {}
+        super().clear()
 
 
 class CachedEncoder:
@@ -264,94 +273,100 @@ class CachedEncoder:
     A byte-level model with the usual pattern never joins a piece across a lone space or a lone line
     feed between two characters that are not white space, so the identifiers of a text are those of
     its pieces in a row: of a line's first word as it is, of each other word with its space, and of
-    line feeds.  Texts with any other white space, and models of another kind, are encoded as they
-    are.  When a table has ``limit`` entries, it becomes the older one and the one before is let go,
-    which changes speed only.
+    line feeds.  A word of letters alone is one piece of the pattern and goes to the model's merges at
+    once; a word of ASCII characters, or of letters and ASCII signs after them, is cut by the pattern
+    first; any other word is encoded by the whole model.
+    Texts with any other white space or with a special token's text, and models of another kind, are
+    encoded as they are.  The tables are bounded (``LIMIT`` pieces of at most ``LONGEST`` characters in
+    each of two generations), which changes speed only.
     """
 
-    ODD = re.compile(r"[^\S \n]")
+    LIMIT, LONGEST = 250_000, 64
+    #: The model's pattern within a word of ASCII characters and its space.
+    PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+")
+    SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
-    def __init__(self, path: str, end_id: int | None, limit: int = 800_000):
+    def __init__(self, path: str, end_id: int | None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
+        from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
-        #: The same model for pieces of letters alone, which its pattern never cuts.
-        self.letters = Tokenizer.from_str(self.model.to_str())
-        self.letters.pre_tokenizer = Sequence([Split("\n", "isolated"), ByteLevel(add_prefix_space=False, use_regex=False)])
-        pre = self.model.pre_tokenizer
-        self.by_piece = isinstance(pre, ByteLevel) and pre.use_regex and not pre.add_prefix_space and self.model.normalizer is None
-        self.feed = self._plain(["\n"])[0]
-        self.by_piece = self.by_piece and len(self.feed) == 4
+        self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        pre, merges = self.model.pre_tokenizer, self.model.model
+        self.by_piece = isinstance(pre, ByteLevel) and pre.use_regex and not pre.add_prefix_space and self.model.normalizer is None and isinstance(merges, BPE) and merges.dropout is None
         self.end = b"" if end_id is None else struct.pack("<I", end_id)
+        if self.by_piece:
+            self.merge = merges.tokenize
+            self.feed = self._plain(["\n"])[0]
+            self.mapped = self._byte_characters(ByteLevel(add_prefix_space=False, use_regex=False))
+            self.by_piece = all(self.mapped[c] == chr(c) for c in range(33, 127))
+            self.packed = [struct.pack("<I", i) for i in range(self.model.get_vocab_size())]
         #: Words that begin a line, and words after a space.
-        self.limit, self.first, self.spaced = limit, _Table(), _Table()
+        self.first = _Table(lambda w: self._learn("", w))
+        self.spaced = _Table(lambda w: self._learn(" ", w))
+
+    @staticmethod
+    def _byte_characters(pre) -> dict[int, str]:
+        """The character by which the model writes each byte, asked of the library."""
+        found = {}
+        some = [*range(0x800), *range(0x800, 0xD800, 0x800), 0xE000, 0xF000, *range(0x10000, 0x110000, 0x10000)]
+        for c in map(chr, some):
+            found |= zip(c.encode(), pre.pre_tokenize_str(c)[0][0], strict=True)
+        return found
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         found = self.model.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def _together(self, model, pieces: list[str]) -> list[bytes]:
-        """Pieces without line feeds, encoded as the lines of one text."""
-        if not pieces:
-            return []
-        found = np.array(model.encode_batch_fast(["\n".join(pieces)], add_special_tokens=False)[0].ids, dtype="<u4")
-        ends = (np.flatnonzero(found == np.frombuffer(self.feed, dtype="<u4")[0]) * 4).tolist()
-        if len(ends) != len(pieces) - 1:
-            return self._plain(pieces)
-        raw, cuts = found.tobytes(), [-4, *ends, 4 * len(found)]
-        return [raw[a + 4 : b] for a, b in zip(cuts, cuts[1:], strict=False)]
-
-    def _learn(self, table: _Table, before: str) -> None:
-        new, table.new = list(dict.fromkeys(table.new)), []
-        kinds: tuple[list[str], list[str]] = ([], [])
-        for p in new:
-            kinds[p.isalpha()].append(p)
-        for model, words in zip((self.model, self.letters), kinds, strict=True):
-            for i in range(0, len(words), 20_000):
-                part = words[i : i + 20_000]
-                table.update(zip(part, self._together(model, [before + w for w in part]), strict=True))
-
-    def _cut(self, text: str) -> list[list[str]] | None:
-        """Lines as lists of words, or None if there is white space but lone spaces and line feeds."""
-        if not text or self.ODD.search(text):
+    def _merged(self, before: str, word: str) -> bytes:
+        if not (word.isascii() and word.isprintable()):
+            word = word.encode().decode("latin-1").translate(self.mapped)
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.merge(self.mapped[32] + word if before else word)])
+
+    def _learn(self, before: str, word: str) -> bytes:
+        if word.isalpha():
+            return self._merged(before, word)
+        if not word.isascii():
+            letters = word.rstrip(self.SIGNS)
+            if not letters.isalpha():
+                return self._plain([before + word])[0]
+            return (self.spaced if before else self.first)[letters] + self.first[word[len(letters) :]]
+        pieces = self.PIECES.findall(before + word)
+        if len(pieces) == 1:
+            return self._merged(before, word)
+        return b"".join([self.spaced[p[1:]] if p[0] == " " else self.first[p] for p in pieces])
+
+    def _found(self, text: str) -> bytes | None:
+        """None for a text that has to be encoded as it is."""
+        if "\u180e" in text or any(s in text for s in self.special):
             return None
-        lines = [line.split(" ") for line in text.split("\n")]
-        return None if any("" in words for words in lines) else lines
-
-    def _found(self, lines: list[list[str]]) -> bytes:
-        first, spaced = self.first.__getitem__, self.spaced.__getitem__
-        return self.feed.join([b"".join([first(words[0]), *map(spaced, words[1:])]) for words in lines])
+        first, spaced, out = self.first.__getitem__, self.spaced.__getitem__, []
+        for line in text.split("\n"):
+            words = line.split()
+            if not words or " ".join(words) != line:
+                return None
+            out.append(first(words[0]) + b"".join(map(spaced, words[1:])))
+        return self.feed.join(out)
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit identifiers of each text and the end; null is the empty text."""
         texts = [t or "" for t in texts]
-        if not self.by_piece:
-            return [x + self.end for x in self._plain(texts)]
-        for name in ("first", "spaced"):
-            if len(getattr(self, name)) > self.limit:
-                younger = _Table()
-                younger.old = dict(getattr(self, name))
-                setattr(self, name, younger)
-        out: list[bytes | None] = []
-        again, plain = [], []
-        for i, t in enumerate(texts):
-            lines, known = self._cut(t), len(self.first.new) + len(self.spaced.new)
-            out.append(None if lines is None else self._found(lines))
-            if lines is None:
-                plain.append(i)
-            elif len(self.first.new) + len(self.spaced.new) > known:
-                again.append((i, lines))
-        self._learn(self.first, "")
-        self._learn(self.spaced, " ")
-        for i, lines in again:
-            out[i] = self._found(lines)
+        self.first.age()
+        self.spaced.age()
+        out = [self._found(t) if self.by_piece else None for t in texts]
+        plain = [i for i, x in enumerate(out) if x is None]
         for i, x in zip(plain, self._plain([texts[i] for i in plain]), strict=True):
             out[i] = x
         return [x + self.end for x in out]
 
+    def clear(self) -> None:
+        """Forget the pieces; the model stays."""
+        self.first.clear()
+        self.spaced.clear()
+
 
 _ENCODERS: dict = {}
 
@@ -390,15 +405,17 @@ def _writer(folder: str, tokenizer: str, end_id: int | None, shard_bytes: int):
                         seq, shard = seq + 1, ShardWriter()
         if shard.n_docs:
             yield close()
+        enc.clear()
 
-    return write
+    return lean(write)
 
 
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int | None, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encode documents and write them as shards in ascending identifier order; returns the manifest.
 
-    One range shuffle deals the rows by identifier; each task sorts its range (ties by text, so reruns
-    agree), encodes it and writes shards of about ``shard_bytes`` to ``folder`` on shared storage.  A
+    One range shuffle deals the rows by identifier, and by a hash of the text where many rows share one;
+    each task sorts its range (ties by that hash, then by text, so reruns agree), encodes it and writes
+    shards of about ``shard_bytes`` to ``folder`` on shared storage.  A
     file appears under its name only when whole, and the manifest names the files of the attempt that
     ended, so lost executors leave at most unnamed files.  Manifest: part, seq, path, n_docs,
     n_tokens, n_bytes; (part, seq) is identifier order.
@@ -409,7 +426,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int | None, folder: st
     spark = ready(docs.sparkSession)
     folder = folder or shared_dir(spark, "tokens")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    dealt = rows.repartitionByRange(partitions_for(rows), "doc_id").sortWithinPartitions("doc_id", "text")
+    order = [F.col("doc_id"), F.xxhash64("text")]
+    dealt = rows.repartitionByRange(partitions_for(rows), *order).sortWithinPartitions(*order, "text")
     return materialize(dealt.mapInArrow(_writer(folder, tokenizer, end_id, shard_bytes), MANIFEST), "manifest")
 
 

@@ -84,7 +84,8 @@ def test_shards_round_trip(spark, texts):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(BPE)
-    plain.encode_special_tokens = True
+    odd = ["a <|endoftext|> b", "<|endoftext|>", "it's 12.5%, don't \u00e9t\u00e9, na\u00efve-ish! we'll x1y2 'sup 'S", "two  spaces\tand tab", "nbsp\u00a0here \u180e\u2003end", "\u4e2d\u6587 \ud55c\uad6d\uc5b4\u3002 \U0001f600\U0001f600 ok", "\u0663\u0664 \u00b2\u2462 A\u0301b", "x" * 500 + " " + "ab1" * 100, "a\n\nb \n c\r\nd", "\x00 \x1c \x85", "(a) [b] {c} $5 #tag @you a_b http://x.y/z?q=1&r=%20"]
+    texts = texts + [(300 + n, t) for n, t in enumerate(odd)]
     docs = documents(spark, texts)
     manifest = sstable.write_shards(docs, BPE, end_id=2, shard_bytes=20_000)
     got = sstable.read_digests(spark, manifest).collect()
@@ -105,6 +106,40 @@ def test_shards_round_trip(spark, texts):
     assert sstable.read_digests(spark, sstable.write_shards(docs.limit(0), BPE, 2)).count() == 0
 
 
+def test_pieces_equal_whole_texts():
+    from tokenizers import Tokenizer
+
+    plain, rng = Tokenizer.from_file(BPE), random.Random(14)
+    signs = "aab\u00e9\u00df\u4e2d\u0661\u00b2'.,!-$ \n\u0301S19" + "\U0001f600"
+    texts = [" ".join("".join(rng.choice(signs) for _ in range(rng.randint(1, 7))).strip() or "x" for _ in range(12)) for _ in range(400)]
+    enc = sstable.CachedEncoder(BPE, None)
+    for _ in range(2):
+        for t, ids in zip(texts, enc.encode(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t
+    enc.first.age()
+    assert len(enc.spaced) and not enc.first.old
+    enc.clear()
+    assert not enc.spaced
+
+
+def test_one_identifier_may_hold_most_rows(spark):
+    docs = documents(spark, [(7, f"text {i}") for i in range(300)] + [(8, "end"), (6, "start")])
+    manifest = sstable.write_shards(docs.repartition(4), BPE, end_id=2)
+    assert manifest.select("part").distinct().count() > 1
+    got = sorted(sstable.read_digests(spark, manifest).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [6] + [7] * 300 + [8]
+
+
+def test_partitions_of_frames_of_unknown_size(spark):
+    from rundelta.llm.common import partitions_for
+
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    few = spark.createDataFrame([(1, "a"), (2, "b")], "i long, t string")
+    assert partitions_for(few) == partitions_for(few.repartition(3)) == least
+    read = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert partitions_for(read.alias("a").join(read.alias("b"), "doc_id")) == least
+
+
 def test_damaged_shards_are_refused():
     import pyarrow as pa
 
