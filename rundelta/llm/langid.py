@@ -12,7 +12,6 @@ batches of texts are scored by gathers and segment sums.
 
 from __future__ import annotations
 
-import re
 import zlib
 from dataclasses import dataclass
 
@@ -20,11 +19,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from rundelta.llm.common import bucket_of, ready
+from rundelta.llm.common import bucket_of, lean, ready
 
 BUCKETS = 1 << 16
-_LETTER = re.compile(r"[^\W\d_]")
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 
 
@@ -82,7 +81,7 @@ class LanguageModel:
         names, conf = ["und"] * len(texts), np.zeros(len(texts))
         if not self.classes:
             return names, conf
-        asked = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+        asked = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
         lo = 0
         while lo < len(asked):
             hi, size = lo, 0
@@ -159,21 +158,27 @@ def fit(texts: list[str], langs: list[str], dim: int = 16, epochs: int = 8, rate
     return LanguageModel(model.classes, scores, model.bias, temperature, reject)
 
 
-def fit_on_table(docs: DataFrame, folds: int = 5, held: int = 0, max_rows: int = 4000, **settings) -> LanguageModel:
+def fit_on_table(docs: DataFrame, folds: int = 5, held: int = 0, max_rows: int = 4000, max_bytes: int = 64 << 20, **settings) -> LanguageModel:
     """Fit on texts with a language outside the held-out fold ``crc32(doc_id as text) mod folds = held``.
 
-    At most ``max_rows`` rows a language are used, those of smallest identifier hash among equally many
-    of each language; rows with a null text or language are not learned from.
+    At most ``max_rows`` rows in all are used, equally many of each language, those of smallest
+    identifier hash, and of these as many as ``max_bytes`` bytes of text hold; rows with a null text or
+    language and texts of more than a 64th of ``max_bytes`` are not learned from.
     """
     ready(docs.sparkSession)
     usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null and doc_id is not null")
+    usable = usable.where(F.octet_length("text") <= max_bytes // 64)
     usable = usable.where(bucket_of("doc_id", folds) != held)
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     each = max(1, max_rows // max(1, len(counts)))
     # About ``each`` rows a language by a threshold on the hash: no sort, no language gathered in one task.
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, 1.2 * each / n))) for k, n in counts.items()], F.lit(0.0)) if counts else F.lit(0.0)
     place = F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    found = usable.where(place < share).select("doc_id", "text", "lang").orderBy(F.xxhash64(F.lit(2), "doc_id"), "text").limit(2 * max_rows + 100).collect()
+    order = [F.xxhash64(F.lit(2), "doc_id"), F.col("text")]
+    sample = usable.where(place < share).select("doc_id", "text", "lang").orderBy(*order).limit(2 * max_rows + 100)
+    # A window over these few rows.
+    upto = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    found = sample.withColumn("upto", upto).where(F.col("upto") <= max_bytes).collect()
     taken, texts, langs = dict.fromkeys(counts, 0), [], []
     for r in found:
         if taken[r["lang"]] < each:
@@ -199,4 +204,4 @@ def identify(docs: DataFrame, model: LanguageModel, folds: int = 5, held: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held_out), pa.array(names), pa.array(conf), pa.array(rejected)], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(lean(run), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")

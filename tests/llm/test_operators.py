@@ -423,7 +423,7 @@ def test_languages(spark):
     for i in range(300):
         lang = list(kinds)[i % 3]
         rows.append((i, " ".join(rng.choice(kinds[lang]) + rng.choice(kinds[lang]) for _ in range(rng.randint(1, 40))), lang, "s", 1, "x", 1))
-    rows += [(1000, None, "en", "s", 1, "x", 1), (1001, "", None, "s", 1, "x", 1), (1002, "12 34 !!", None, "s", 1, "x", 1), (None, "the of and", None, "s", 1, "x", 1)]
+    rows += [(1000, None, "en", "s", 1, "x", 1), (1001, "", None, "s", 1, "x", 1), (1002, "12 34 !! ²③Ⅷ", None, "s", 1, "x", 1), (None, "the of and", None, "s", 1, "x", 1)]
     docs = spark.createDataFrame(rows, DOCS)
     got = langid.identify(docs, langid.fit_on_table(docs)).collect()
     by = {r["doc_id"]: r for r in got}
