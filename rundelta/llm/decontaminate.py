@@ -12,8 +12,12 @@
    items' word triples finds places that hold as many of an item's triples as a copy must.
 3. *Checks.*  Around each candidate window the longest common subsequence of words with the item is
    computed (bit-parallel).  ``copied`` of the item's words in order are a copy; ``paraphrased`` are
-   enough if the item's answer is there as well: its ``answer`` text if the table has one, else its
-   last words.
+   enough if the item's answer is there as well: three quarters of the words of its ``answer`` text, in
+   order, if the table has one, else a third of the item's rarest words (a quarter of its words, six at
+   least), and three of them at least, so a cut copy is found by whichever end is left.
+
+All items share one space.  The catalogue of items is held whole by the driver and by each worker, as
+are ``rank`` numbers for each word of its vocabulary; documents meet it batch by batch.
 """
 
 from __future__ import annotations
@@ -27,15 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rundelta.llm.common import ready
+from rundelta.llm.common import lean, ready
 
 #: Halves of windows in words; a piece of an item is compared with the widest windows of which it fills more than one half.
 HALVES = (12, 6, 3)
 #: Items of more words are cut into equal pieces.
 PIECE_WORDS = 64
-ANSWER_WORDS = 4
-#: Items searched in one pass over the documents; larger benchmarks take several.
-ITEMS_A_PASS = 5_000
+#: Least number of rare words that stand for an answer.
+ANSWER_WORDS = 6
+#: Pieces of items that a chunk of windows is compared with at once, which bounds memory only.
+PIECES_AT_ONCE = 4096
 GRAM = 3
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 TERM_BLOCK = 256
@@ -93,7 +98,7 @@ def randomized_svd(passages: DataFrame, terms: dict[bytes, int], weights: np.nda
     width = min(rank + spare, len(terms))
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(terms), width)))[0]
     for _ in range(powers):
-        parts = passages.mapInArrow(_partial_products(terms, weights, q), "block long, sums binary").repartition(8, "block")
+        parts = passages.mapInArrow(lean(_partial_products(terms, weights, q)), "block long, sums binary").repartition(8, "block")
         y = np.zeros_like(q)
         for r in parts.mapInArrow(_summed, "block long, sums binary").collect():
             y[r["block"] * TERM_BLOCK : (r["block"] + 1) * TERM_BLOCK] += np.frombuffer(bytes(r["sums"])).reshape(-1, width)
@@ -167,6 +172,7 @@ class Benchmark:
     item_ids: list[int]
     item_words: list[list[int]]
     answers: list[list[int]]
+    needs: list[int]
     table: np.ndarray
     squares: np.ndarray
     scales: list[Scale]
@@ -213,11 +219,13 @@ class Benchmark:
             lengths = np.add.reduceat(self.squares[chunk], part - part[0])
             if len(part) > 1:
                 halves, lengths = halves[:-1] + halves[1:], lengths[:-1] + lengths[1:]
-            cosine = (halves @ scale.vectors) / np.sqrt(np.maximum(lengths, 1e-12))[:, None]
-            window, piece = np.nonzero(cosine >= floor)
+            norms = np.sqrt(np.maximum(lengths, 1e-12))[:, None]
             best: dict[tuple[int, int], float] = {}
-            for i, at, c in zip(scale.owners[piece].tolist(), part[window].tolist(), cosine[window, piece].tolist(), strict=True):
-                best[i, at] = max(c, best.get((i, at), c))
+            for p in range(0, len(scale.owners), PIECES_AT_ONCE):
+                cosine = (halves @ scale.vectors[:, p : p + PIECES_AT_ONCE]) / norms
+                window, piece = np.nonzero(cosine >= floor)
+                for i, at, c in zip(scale.owners[p + piece].tolist(), part[window].tolist(), cosine[window, piece].tolist(), strict=True):
+                    best[i, at] = max(c, best.get((i, at), c))
             yield from best.items()
 
     def _copies(self, ids: np.ndarray, copied: float):
@@ -241,12 +249,10 @@ class Benchmark:
                     yield i, a
 
     def _answerable(self, i: int, there: Counter) -> bool:
-        answer = self.answers[i]
-        return not answer or 4 * sum(1 for w in answer if w in there) >= 3 * len(answer)
+        return sum(1 for w in self.answers[i] if w in there) >= self.needs[i]
 
     def _answered(self, i: int, region: list[int]) -> bool:
-        answer = self.answers[i]
-        return not answer or 4 * lcs_length(answer, region) >= 3 * len(answer)
+        return lcs_length(self.answers[i], region) >= self.needs[i]
 
 
 def _document_counts(terms: set[bytes]):
@@ -264,20 +270,30 @@ def _document_counts(terms: set[bytes]):
     return run
 
 
+def _rarest(words: list[bytes], weight: dict[bytes, float]) -> list[bytes]:
+    """The rarest words of an item in its order: a quarter of it, at least ``ANSWER_WORDS`` (4 of items under twelve words)."""
+    first = sorted({w: n for n, w in reversed(list(enumerate(words)))}.values(), key=lambda n: (-weight[words[n]], n))
+    return [words[n] for n in sorted(first[: max(ANSWER_WORDS if len(words) >= 12 else 4, len(words) // 4)])]
+
+
 def prepare(docs: DataFrame, items: list[tuple], rank: int = 128) -> Benchmark:
-    """The latent space of some benchmark items: (item_id, text, answer or None)."""
+    """The latent space of the benchmark items: (item_id, text, answer or None)."""
     spark = docs.sparkSession
     kept = [(i, words_of(t), words_of(a)) for i, t, a in items]
-    kept = [(i, w, a or w[-ANSWER_WORDS:]) for i, w, a in kept if w]
+    kept = [(i, w, a) for i, w, a in kept if w]
     vocabulary = sorted({w for _, words, answer in kept for w in [*words, *answer]})
     terms = {w: n for n, w in enumerate(vocabulary)}
-    counted = docs.select(F.col("text").cast("string")).mapInArrow(_document_counts(set(vocabulary)), "term binary, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    counted = docs.select(F.col("text").cast("string")).mapInArrow(lean(_document_counts(set(vocabulary))), "term binary, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     df = {bytes(r["term"]): r["n"] for r in counted}
     total = df.pop(b"", 0)
     weights = np.array([np.log((total + 1) / (df.get(w, 0) + 1)) + 0.1 for w in vocabulary])
     other = float(np.log(total + 1) + 0.1)
     if not kept:
-        return Benchmark({}, [], [], [], np.zeros((1, 0), np.float32), np.zeros(1), [], [], [])
+        return Benchmark({}, [], [], [], [], np.zeros((1, 0), np.float32), np.zeros(1), [], [], [])
+    weight = dict(zip(vocabulary, weights.tolist(), strict=True))
+    needs = [-(-3 * len(a) // 4) if a else 0 for _, _, a in kept]
+    answers = [a or _rarest(w, weight) for _, w, a in kept]
+    needs = [n or max(-(-len(a) // 3), min(len(a), 3)) for n, a in zip(needs, answers, strict=True)]
     pieces = [(n, x) for n, (_, w, _) in enumerate(kept) for x in _pieces(w)]
     passages = spark.createDataFrame([(b" ".join(x).decode("utf-8", "replace"),) for _, x in pieces], "text string")
     basis = randomized_svd(passages.repartition(max(1, len(pieces) // 2000)), terms, weights, rank)
@@ -292,7 +308,7 @@ def prepare(docs: DataFrame, items: list[tuple], rank: int = 128) -> Benchmark:
             scales.append(Scale(half, latent, np.array([n for n, _ in some])))
     by_run = {n: {i: w for i, w in enumerate(words) if min(GRAM, len(w)) == n} for n in range(1, GRAM + 1)}
     grams = [Grams.of(some, n) for n, some in by_run.items() if some]
-    return Benchmark(terms, [i for i, _, _ in kept], words, [[terms[x] for x in a] for _, _, a in kept], table, squares, scales, grams, [list(Counter(w).items()) for w in words])
+    return Benchmark(terms, [i for i, _, _ in kept], words, [[terms[x] for x in a] for a in answers], needs, table, squares, scales, grams, [list(Counter(w).items()) for w in words])
 
 
 def _pieces(words: list) -> list[list]:
@@ -307,24 +323,26 @@ def _in_units_of_itself(table: np.ndarray, weights: np.ndarray, words: list[int]
     return v * np.sqrt(((n * weights[ids]) ** 2).sum()) / max(v @ v, 1e-12)
 
 
+_HITS = pa.list_(pa.struct([("item_id", pa.int64()), ("share", pa.float64()), ("cosine", pa.float64())]))
+
+
 def _judge(model: Benchmark, floor: float, copied: float, paraphrased: float):
     def run(batches):
         for batch in batches:
             out = []
-            for doc_id, key, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for t in batch.column(1).to_pylist():
                 found = model.check(words_of(t), floor, copied, paraphrased)
                 hits = sorted((model.item_ids[i], share, cos) for i, (share, cos) in found.items())
-                out.append({"doc_id": doc_id, "tk": key, "hits": [{"item_id": i, "share": s, "cosine": c} for i, s, c in hits]})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("doc_id", pa.int64()), ("tk", pa.int64()), ("hits", pa.list_(pa.struct([("item_id", pa.int64()), ("share", pa.float64()), ("cosine", pa.float64())])))]))
+                out.append([{"item_id": i, "share": s, "cosine": c} for i, s, c in hits])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, _HITS)], ["doc_id", "hits"])
 
     return run
 
 
-def _models(docs: DataFrame, benchmark: DataFrame, rank: int) -> list[Benchmark]:
+def _model(docs: DataFrame, benchmark: DataFrame, rank: int) -> Benchmark:
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string"), answer)
-    rows = sorted((tuple(r) for r in items.collect()), key=lambda r: (r[0], r[1]))
-    return [prepare(docs, rows[lo : lo + ITEMS_A_PASS], rank) for lo in range(0, max(1, len(rows)), ITEMS_A_PASS)]
+    return prepare(docs, sorted((tuple(r) for r in items.collect()), key=lambda r: (r[0], r[1])), rank)
 
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, floor: float = 0.3, copied: float = 0.75, paraphrased: float = 0.5, rank: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -332,17 +350,13 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, floor: float = 0.3,
 
     The benchmark is a catalogue and goes to the driver; documents do not.  Null and empty texts are
     clean; items with a null text or identifier or without words are not searched for; repeated rows
-    are judged alike; without items every row is clean; ties for the best item go to the smaller one.
+    are judged alike and all returned; without items every row is clean; ties for the best item go to
+    the smaller one; other columns are ignored.
     """
     ready(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("tk"), F.col(text_col).cast("string").alias("text"))
-    found = None
-    models = _models(rows, benchmark, rank)
-    for m in models:
-        one = rows.select("doc_id", "tk", "text").mapInArrow(_judge(m, floor, copied, paraphrased), "doc_id long, tk long, hits array<struct<item_id: long, share: double, cosine: double>>")
-        found = one if found is None else found.union(one)
-    if len(models) > 1:
-        found = found.groupBy("doc_id", "tk").agg(F.array_sort(F.flatten(F.collect_set("hits"))).alias("hits"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    run = _judge(_model(rows, benchmark, rank), floor, copied, paraphrased)
+    found = rows.mapInArrow(lean(run), "doc_id long, hits array<struct<item_id: long, share: double, cosine: double>>")
     best = F.array_sort("hits", lambda a, b: F.when(a["share"] > b["share"], -1).when(a["share"] < b["share"], 1).otherwise(F.when(a["item_id"] < b["item_id"], -1).otherwise(1)))
     return found.select("doc_id", (F.size("hits") > 0).alias("contaminated"), F.size("hits").cast("long").alias("n_items"), F.transform("hits", lambda h: h["item_id"]).alias("items"), F.get(best, F.lit(0)).alias("b")).select("doc_id", "contaminated", "n_items", "items", F.col("b.item_id").alias("best_item"), F.col("b.share").alias("best_share"))
 
@@ -350,12 +364,10 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, floor: float = 0.3,
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, floor: float = 0.3, copied: float = 0.75, paraphrased: float = 0.5, rank: int = 128) -> DataFrame:
     """The rows of ``docs``, all columns, in which no item of the benchmark is found."""
     ready(docs.sparkSession)
-    at = docs.columns.index("text")
-    for m in _models(docs, benchmark, rank):
+    at, model = docs.columns.index("text"), _model(docs, benchmark, rank)
 
-        def run(batches, m=m):
-            for batch in batches:
-                yield batch.filter(pa.array([not m.check(words_of(t), floor, copied, paraphrased) for t in batch.column(at).to_pylist()], pa.bool_()))
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([not model.check(words_of(t), floor, copied, paraphrased) for t in batch.column(at).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.mapInArrow(lean(run), docs.schema)

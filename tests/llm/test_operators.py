@@ -508,6 +508,72 @@ def test_longest_common_subsequence():
 def test_latent_space_holds_the_passages(spark):
     rng = random.Random(5)
     passages = [prose(rng, 30) for _ in range(40)]
+def exhaustive_hits(items, needs, text, copied=0.75, paraphrased=0.5):
+    """Items found by the same checks at every place of a text, with plain tables and no candidate search."""
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    words, found = decontaminate.words_of(text), set()
+    for i, (item, (answer, need)) in enumerate(zip(items, needs, strict=True)):
+        for at in range(0, max(1, len(words)), max(1, len(item) // 2)):
+            region = words[max(0, at - len(item)) : at + 2 * len(item)]
+            share = common(item, region) / len(item)
+            if share >= copied or share >= paraphrased and common(answer, region) >= need:
+                found.add(i)
+                break
+    return found
+
+
+def test_search_finds_what_an_exhaustive_search_finds(spark):
+    """Copies, cut copies and paraphrases (words dropped, swapped and put in): recall against brute force is at least 0.9."""
+    rng = random.Random(31)
+
+    def varied(n):
+        return [f"w{int(6_000 * rng.random() ** 3)}" for _ in range(n)]
+
+    items = [(i, " ".join(varied(rng.randint(14, 50))), None) for i in range(24)]
+    plain = [(i, " ".join(varied(120))) for i in range(30)]
+    made = []
+    for i, text, _ in items:
+        w = text.split()
+        dropped = [x for x in w if rng.random() > 0.2]
+        reworded = [f"z{rng.randrange(99)}" if rng.random() < 0.25 else x for x in w]
+        swapped = list(w)
+        for n in range(0, len(w) - 1, 4):
+            swapped[n], swapped[n + 1] = swapped[n + 1], swapped[n]
+        padded = [y for x in w for y in ([x, "and"] if rng.random() < 0.2 else [x])]
+        for copy in (w, w[: int(len(w) * 0.7)], w[int(len(w) * 0.35) :], dropped, reworded, swapped, padded):
+            made.append((1000 + len(made), " ".join([*varied(50), *copy, *varied(50)])))
+    rows = plain + made
+    model = decontaminate.prepare(documents(spark, rows), items)
+    terms = {n: w for w, n in model.terms.items()}
+    needs = [([terms[w] for w in a], n) for a, n in zip(model.answers, model.needs, strict=True)]
+    wanted = [decontaminate.words_of(t) for _, t, _ in items]
+    truth = {(d, i) for d, t in rows for i in exhaustive_hits(wanted, needs, t)}
+    got = {(r["doc_id"], i) for r in decontaminate.find_contaminated(documents(spark, rows), spark.createDataFrame([x[:2] for x in items], "item_id long, text string")).collect() for i in r["items"]}
+    assert len(truth) >= 120 and not any(d < 1000 for d, _ in truth)
+    assert len(truth & got) / len(truth) >= 0.9 and not any(d < 1000 for d, _ in got)
+    heads = {(1000 + 7 * i + k, i) for i in range(24) for k in (1, 2)}
+    assert len(heads & got) / len(heads) >= 0.8
+
+
+def test_repeated_rows_and_answers(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    half = "alpha beta gamma delta epsilon zeta x1 x2 x3 x4"
+    docs = documents(spark, [(1, item), (1, item), (1, item), (2, half + " forty two"), (3, half), (None, None), (None, None)])
+    bench = spark.createDataFrame([(5, item, "forty two")], "item_id long, text string, answer string")
+    got = rows_of(decontaminate.find_contaminated(docs, bench), "doc_id", "contaminated")
+    assert got == [(1, True)] * 3 + [(2, True), (3, False), (None, False), (None, False)]
+    assert decontaminate.find_contaminated(docs.limit(0), bench.limit(0)).count() == 0
+
+
     terms = {w: n for n, w in enumerate(sorted({w for p in passages for w in decontaminate.words_of(p)}))}
     weights = np.ones(len(terms))
     v = decontaminate.randomized_svd(spark.createDataFrame([(p,) for p in passages], "text string"), terms, weights, rank=8, powers=6)
