@@ -10,9 +10,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
-from rundelta.errors import Refusal
+from rundelta.errors import Refusal, require_none
 from rundelta.operators.triangle import any_of
 
 AVERAGES = ("volume", "simple", "regression", "median")
@@ -101,14 +101,38 @@ def select_links(cells: DataFrame, keys: list[str], step: int, rules: LinkRules
         links = links.drop("enough", "from_low", "from_high")
     else:
         links = links.withColumn("trimming_skipped", F.lit(False))
-    return links.withColumn("included", live)
+    links = links.withColumn("included", live)
+    if r.exhausted_exclusions == "raise":
+        require_none(exhausted(links, keys))
+    return links
 
 
-def factor_of(average: str) -> Column:
+def exhausted(links: DataFrame, keys: list[str]) -> DataFrame:
+    """Ages at which bounds or trims were not applied, as they would leave fewer links than ``preserve``.
+
+    ``exhausted_exclusions='raise'`` turns the first of these down, which runs a job when links are selected.
+    """
+    found = links.where("bounds_skipped or trimming_skipped").groupBy(*keys, "dev_lag").agg(F.bool_or("bounds_skipped").alias("bounds"), F.count_if("included").alias("n_left"))
+    return found.select(*keys, "dev_lag", F.when(F.col("bounds"), "bounds").otherwise("trims").alias("rule"), "n_left", F.lit("exclusions_exhausted").alias("reason"))
+
+
+def factor_of(average: str, window: WindowSpec | None = None) -> Column:
+    """The average as an aggregate, or over a window."""
     if average not in AVERAGES:
         raise Refusal("invalid_option", f"average {average!r}")
     p, f, r = F.col("previous"), F.col("following"), F.col("ratio")
-    return {"volume": F.try_divide(F.sum(f), F.sum(p)), "simple": F.avg(r), "regression": F.try_divide(F.sum(p * f), F.sum(p * p)), "median": F.median(r)}[average]
+    over = (lambda x: x) if window is None else (lambda x: x.over(window))
+    if average == "simple":
+        return over(F.avg(r))
+    if average == "median":
+        return over(F.median(r))
+    top, below = (f, p) if average == "volume" else (p * f, p * p)
+    return F.try_divide(over(F.sum(top)), over(F.sum(below)))
+
+
+def usable(factor: Column) -> Column:
+    """Whether a factor can develop anything."""
+    return factor.isNotNull() & (factor > 0)
 
 
 def link_factors(links: DataFrame, keys: list[str], average: str = "volume", unsupported: str = "unity") -> DataFrame:
@@ -120,7 +144,7 @@ def link_factors(links: DataFrame, keys: list[str], average: str = "volume", uns
     on = F.col("included")
     kept = links.withColumns({c: F.when(on, F.col(c)) for c in ("previous", "following", "ratio")})
     out = kept.groupBy(*keys, "dev_lag").agg(factor_of(average).alias("factor"), F.count_if(on).alias("n_selected"), F.bool_or("bounds_skipped").alias("bounds_skipped"), F.bool_or("trimming_skipped").alias("trimming_skipped"))
-    bad = F.col("factor").isNull() | (F.col("factor") <= 0)
+    bad = ~usable(F.col("factor"))
     fallback = F.lit(1.0) if unsupported == "unity" else F.lit(None).cast("double")
     return out.withColumns({"unity_fallback": bad, "factor": F.when(bad, fallback).otherwise(F.col("factor"))})
 
