@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rundelta.errors import Refusal
 from rundelta.functions.streams import cohort_stream, nelder_mead, odp_lpdf
 from rundelta.operators.simulate import key_schema, matrix
 
@@ -22,7 +25,8 @@ def _by_cohort(cells: DataFrame, keys: list[str], fit, extra: str, columns: list
             out = fit(key, pdf)
             out["error"] = None
         except Exception as e:  # a cohort's failure is a row, as in a retrospective over many
-            out = pd.DataFrame([{"error": f"{type(e).__name__}: {e}"}])
+            out = pd.DataFrame([[None] * len(names)], columns=names, dtype=object)
+            out["error"] = f"{type(e).__name__}: {e}"
         for k, v in zip(keys, key, strict=True):
             out[k] = v
         return out.reindex(columns=names)
@@ -30,63 +34,149 @@ def _by_cohort(cells: DataFrame, keys: list[str], fit, extra: str, columns: list
     return cells.groupBy(*keys).applyInPandas(run, schema)
 
 
-def irls(x: np.ndarray, y: np.ndarray, power: float, rounds: int = 200, tolerance: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
-    """Coefficients and means of a Tweedie model with a log link by weighted least squares with step halving."""
-    mu = np.maximum(y, 0.1 * np.abs(y).mean())
-    eta = np.log(mu)
-    beta = np.linalg.lstsq(x, eta, rcond=None)[0]
+#: A fitted mean below this share of the largest increment, on an increment of zero or less, is a fit in the limit only.
+BOUNDARY = 1e-10
+
 
-    def deviance(m):
-        yy = np.maximum(y, 0)
+def irls(x: np.ndarray, y: np.ndarray, power: float, link: str = "log", rounds: int = 200, tolerance: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients and means of a Tweedie model by weighted least squares with step halving.
+
+    Steps are halved until means are valid and, with a log link, until the quasi-likelihood does not
+    fall.  That is defined for negative amounts too (the score equations are those of the means), and at
+    power 1 it is concave, so its one maximum is found.
+    """
+    log, size = link == "log", float(np.abs(y).max())
+    y = y / size
+    mu = (np.where(y > 0, y, y[y > 0].mean() if (y > 0).any() else 1.0) + max(y.mean(), 1e-3)) / 2
+    eta, beta, last = np.log(mu) if log else mu, None, np.inf
+
+    def loss(m):
+        if power == 0:
+            return float(((y - m) ** 2).sum())
         if power == 1:
-            return 2 * np.sum(np.where(yy > 0, yy * np.log(np.where(yy > 0, yy, 1) / m), 0) - (y - m))
+            return float((m - y * np.log(m)).sum())
         if power == 2:
-            return 2 * np.sum(-np.log(np.maximum(yy, 1e-300) / m) + (y - m) / m)
-        if power == 0:
-            return np.sum((y - m) ** 2)
-        return 2 * np.sum(yy ** (2 - power) / ((1 - power) * (2 - power)) - y * m ** (1 - power) / (1 - power) + m ** (2 - power) / (2 - power))
+            return float((y / m + np.log(m)).sum())
+        return float((m ** (2 - power) / (2 - power) - y * m ** (1 - power) / (1 - power)).sum())
+
+    def good(m):
+        if not np.isfinite(m).all() or ((log or power > 0) and (m <= 0).any()):
+            return False
+        return not log or loss(m) <= last + 1e-9 * abs(last) + 1e-12
 
-    last = np.inf
     for _ in range(rounds):
-        w = mu ** (2 - power)
-        z = eta + (y - mu) / mu
+        w = mu ** (2 - power) if log else 1 / np.abs(mu) ** power
+        z = eta + (y - mu) / mu if log else y
         root = np.sqrt(w)
-        new = np.linalg.lstsq(x * root[:, None], z * root, rcond=None)[0]
+        new, _, rank, _ = np.linalg.lstsq(x * root[:, None], z * root, rcond=1e-13)
+        if rank < x.shape[1]:
+            raise Refusal("degenerate_fit", "the weighted design lost rank")
         for _ in range(50):
-            trial = np.exp(np.clip(x @ new, -700, 700))
-            d = deviance(trial)
-            if np.isfinite(d) and (not np.isfinite(last) or d <= last * (1 + 1e-9) + 1e-9):
+            trial = np.exp(np.clip(x @ new, -700, 700)) if log else x @ new
+            if good(trial) or beta is None:
                 break
             new = (new + beta) / 2
+        if not log and power > 0 and (trial <= 0).any():
+            raise Refusal("negative_fitted_mean", "the identity link gives a mean of zero or less", "link")
         moved = np.abs(trial - mu).max()
-        beta, mu, last = new, trial, d
-        eta = np.log(mu)
-        if moved <= tolerance * np.abs(y).max():
-            return beta, mu
-    raise ArithmeticError("did_not_converge")
-
-
-def tweedie_glm(cells: DataFrame, keys: list[str], power: float = 1.0) -> DataFrame:
-    """keys, origin_period, latest, ultimate, ibnr, phi: increments by origin and age factors.
+        beta, mu = new, trial
+        last = loss(mu) if log else last
+        eta = x @ beta
+        if moved <= tolerance:
+            if (log or power > 0) and ((mu < BOUNDARY) & (y <= 0)).any():
+                raise Refusal("degenerate_fit", "a mean falls to zero: the fit exists in the limit only")
+            return beta, mu * size
+    raise Refusal("did_not_converge", f"{rounds} steps")
+
+
+@dataclass(frozen=True)
+class Tweedie:
+    """What ``tweedie_glm`` fits.
+
+    ``power`` is 0 or at least 1; ``link`` log or identity; ``origin`` factor or none; ``calendar`` none or
+    trend (without origin factors only, as it is a sum of both kinds of factors); ``projection`` pattern
+    (latest times the fitted development) or increments (latest plus fitted increments; with origin
+    factors only).  ``negative`` says what a negative increment does at powers below 2: ``quasi`` keeps it
+    as data of the score equations, ``refuse`` turns the cohort down, as densities do not allow it.
+    """
 
-    At power 1 the estimates are those of the chain ladder.
+    power: float = 1.0
+    link: str = "log"
+    origin: str = "factor"
+    calendar: str = "none"
+    projection: str = "pattern"
+    negative: str = "quasi"
+
+    def __post_init__(self):
+        ok = (self.power == 0 or self.power >= 1) and self.link in ("log", "identity") and self.origin in ("factor", "none") and self.calendar in ("none", "trend") and self.projection in ("pattern", "increments") and self.negative in ("quasi", "refuse")
+        ok &= self.origin == "none" or self.calendar == "none"
+        ok &= self.origin == "factor" or self.projection == "pattern"
+        if not ok:
+            raise Refusal("invalid_option", str(self))
+
+    def design(self, i: np.ndarray, j: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        """Columns for cells (i, j): intercept or origins, ages but the first, trend."""
+        parts = [i[:, None] == rows[None, :]] if self.origin == "factor" else [np.ones((len(i), 1))]
+        parts.append(j[:, None] == columns[None, 1:])
+        if self.calendar == "trend":
+            parts.append((i + j)[:, None])
+        return np.hstack([p.astype(float) for p in parts])
+
+    def fit(self, cum: np.ndarray) -> tuple[np.ndarray, float]:
+        """Fitted increments of the whole rectangle and the dispersion."""
+        inc = np.diff(np.concatenate([np.zeros((len(cum), 1)), cum], axis=1), axis=1)
+        seen = ~np.isnan(inc)
+        if not (seen & (inc != 0)).any():
+            raise Refusal("not_identified", "every increment is zero")
+        if (seen & (inc < 0)).any() and (self.power >= 2 or self.power >= 1 and self.negative == "refuse"):
+            raise Refusal("negative_increment", f"power {self.power:g}")
+        if (seen & (inc == 0)).any() and self.power >= 2:
+            raise Refusal("zero_increment", f"power {self.power:g}")
+        # With a log link, what holds no losses at all is fitted by zero outside the regression.
+        losses = seen & (inc != 0)
+        log = self.link == "log"
+        rows = np.flatnonzero(losses.any(axis=1)) if log and self.origin == "factor" else np.arange(len(cum))
+        columns = np.flatnonzero(losses.any(axis=0)) if log else np.arange(cum.shape[1])
+        live = np.zeros(cum.shape, dtype=bool)
+        live[np.ix_(rows, columns)] = True
+        i, j = np.nonzero(seen & live)
+        x = self.design(i, j, rows, columns)
+        if np.linalg.matrix_rank(x) < x.shape[1]:
+            raise Refusal("not_identified", "the cells cannot tell the terms apart")
+        beta, mu = irls(x, inc[i, j], self.power, self.link)
+        a, b = np.nonzero(live)
+        eta = self.design(a, b, rows, columns) @ beta
+        fitted = np.zeros(cum.shape)
+        fitted[a, b] = (np.exp(eta) if log else eta) * float(np.abs(inc[i, j]).max())
+        if not log and self.power > 0 and (fitted <= 0).any():
+            raise Refusal("negative_fitted_mean", "the identity link gives a mean of zero or less", "link")
+        dof = len(i) - x.shape[1]
+        squares = float((((inc[i, j] - mu) ** 2) / np.abs(mu) ** self.power).sum())
+        return fitted, squares / dof if dof > 0 else np.nan
+
+
+def tweedie_glm(cells: DataFrame, keys: list[str], power: float = 1.0, **options) -> DataFrame:
+    """keys, origin_period, latest, ultimate, ibnr, phi, error: a Tweedie model of increments (see ``Tweedie``).
+
+    At power 1 with a log link the ultimates are those of the chain ladder.  A cohort that is turned
+    down is one row with its reason.
     """
+    model = Tweedie(power, **options)
 
     def fit(key, pdf):
         origins, _, cum = matrix(pdf)
-        w, d = cum.shape
-        inc = np.diff(np.concatenate([np.zeros((w, 1)), cum], axis=1), axis=1)
-        i, j = np.nonzero(~np.isnan(inc))
-        x = np.zeros((len(i), w + d - 1))
-        x[np.arange(len(i)), i] = 1
-        later = j > 0
-        x[np.flatnonzero(later), w + j[later] - 1] = 1
-        beta, mu = irls(x, inc[i, j], power)
-        level = np.exp(beta[:w, None] + np.concatenate([[0], beta[w:]])[None, :])
-        ibnr = np.where(np.isnan(cum), level, 0).sum(axis=1)
-        now = np.array([r[~np.isnan(r)][-1] for r in cum])
-        phi = float((((inc[i, j] - mu) ** 2) / mu**power).sum() / max(1, len(i) - x.shape[1]))
-        return pd.DataFrame({"origin_period": origins, "latest": now, "ultimate": now + ibnr, "ibnr": ibnr, "phi": phi})
+        fitted, phi = model.fit(cum)
+        last = np.array([np.flatnonzero(~np.isnan(r)).max() for r in cum])
+        now = cum[np.arange(len(cum)), last]
+        if model.projection == "increments":
+            ultimate = now + np.where(np.isnan(cum), fitted, 0).sum(axis=1)
+        else:
+            run = np.cumsum(fitted, axis=1)
+            at = run[np.arange(len(cum)), last]
+            ultimate = now * np.where(at != 0, run[:, -1] / np.where(at != 0, at, 1), 1.0)
+        if ((ultimate < 0) & (np.nanmin(cum, axis=1) >= 0)).any():
+            raise Refusal("negative_projection", "an ultimate below zero")
+        return pd.DataFrame({"origin_period": origins, "latest": now, "ultimate": ultimate, "ibnr": ultimate - now, "phi": phi})
 
     return _by_cohort(cells.select(*keys, "origin_period", "dev_lag", "value"), keys, fit, "origin_period date, latest double, ultimate double, ibnr double, phi double")
 
