@@ -6,12 +6,15 @@ the seed, the cohort and the block, so results do not depend on how rows are par
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rundelta.errors import Refusal
 from rundelta.functions.streams import BLOCK, cohort_stream, odp_draw
 from rundelta.operators.links import link_factors, select_links
 from rundelta.operators.mack import mack_factors
@@ -140,65 +143,181 @@ def odp_phi(residuals: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, "n", "p", (F.col("squares") / (F.col("n") - F.col("p"))).alias("phi"))
 
 
-def odp_fit(cum: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Volume factors, fitted increments of the observed part (NaN elsewhere), latest age of each origin."""
+#: A cell of this leverage or more is fitted exactly, whatever its amount.
+LEVERAGE_ONE = 1 - 1e-9
+
+
+@dataclass(frozen=True)
+class Bootstrap:
+    """How residuals are made and resampled, and how a refit is projected.
+
+    ``adjustment`` scales residuals: dof (root of cells over degrees of freedom), hat (one over the root of
+    one less the leverage; 0 at leverage one) or none.  ``pool`` is all (cells fitted exactly included) or
+    centred (without them, less their mean); these cells are found by leverage, never by a residual near
+    zero, as an observed increment of zero is data.  ``negative`` increments and fitted means are used by
+    their size (reflect) or turn the cohort down (refuse).  ``method`` is cl, bf, benktander or gcc;
+    ``prior_cv`` varies the expected loss ratio of the last three, one lognormal multiplier a draw.
+    """
+
+    adjustment: str = "dof"
+    pool: str = "all"
+    negative: str = "reflect"
+    process: str = "gamma"
+    method: str = "cl"
+    expected_loss_ratio: float | None = None
+    n_iters: int = 1
+    decay: float = 1.0
+    prior_cv: float = 0.0
+
+    def __post_init__(self):
+        ok = self.adjustment in ("dof", "hat", "none") and self.pool in ("all", "centred") and self.negative in ("reflect", "refuse")
+        ok &= self.process in ("gamma", "odp", "none") and self.method in ("cl", "bf", "benktander", "gcc") and self.prior_cv >= 0
+        ok &= self.method in ("cl", "gcc") or self.expected_loss_ratio is not None
+        ok &= self.method != "cl" or self.prior_cv == 0
+        if not ok:
+            raise Refusal("invalid_option", str(self))
+
+
+def odp_leverage(weights: np.ndarray) -> np.ndarray:
+    """Leverage of each cell of a model of origins and ages with these weights (0 or NaN: not in the model)."""
+    live = np.nan_to_num(weights) > 0
+    i, j = np.nonzero(live)
+    w, d = weights.shape
+    x = np.hstack([i[:, None] == np.arange(w), j[:, None] == np.arange(1, d)]).astype(float) * np.sqrt(weights[live])[:, None]
+    u, s, _ = np.linalg.svd(x, full_matrices=False)
+    out = np.full(weights.shape, np.nan)
+    out[live] = (u[:, s > 1e-10 * max(s.max(initial=0), 1e-300)] ** 2).sum(axis=1)
+    return out
+
+
+def odp_fit(cum: np.ndarray, options: Bootstrap = Bootstrap()) -> dict:
+    """Volume factors, fitted increments, dispersion and the residuals to resample of one triangle."""
     n, d = cum.shape
     seen = ~np.isnan(cum)
+    if d < 2:
+        raise Refusal("not_identified", "one age only")
     last = np.array([np.flatnonzero(r).max() for r in seen])
     f = np.ones(d - 1)
     for j in range(d - 1):
         both = seen[:, j] & seen[:, j + 1]
         if both.any() and cum[both, j].sum() != 0:
             f[j] = cum[both, j + 1].sum() / cum[both, j].sum()
-    fit = np.full((n, d), np.nan)
-    for i, k in enumerate(last):
-        fit[i, k] = cum[i, k]
-        for j in range(k, 0, -1):
-            fit[i, j - 1] = fit[i, j] / f[j - 1]
-    inc = np.diff(np.concatenate([np.zeros((n, 1)), fit], axis=1), axis=1)
-    return f, inc, last
+    to_end = np.append(np.cumprod(f[::-1])[::-1], 1.0)
+    fit = np.where(seen, (cum[np.arange(n), last] * to_end[last])[:, None] / to_end[None, :], np.nan)
+    m = np.diff(np.concatenate([np.zeros((n, 1)), fit], axis=1), axis=1)
+    inc = np.diff(np.concatenate([np.zeros((n, 1)), cum], axis=1), axis=1)
+    if options.negative == "refuse" and (inc[seen] < 0).any():
+        raise Refusal("negative_increment", "the cumulative falls")
+    if options.negative == "refuse" and (m[seen] < 0).any():
+        raise Refusal("negative_fitted_mean", "a factor below 1")
+    live = seen & (np.nan_to_num(m) != 0)
+    if (inc[seen & ~live] != 0).any():
+        raise Refusal("degenerate_fit", "an increment where the fitted mean is zero")
+    if not live.any():
+        raise Refusal("empty_residual_pool", "every fitted mean is zero")
+    n_cells, n_params = int(seen.sum()), n + d - 1
+    if n_cells <= n_params:
+        raise Refusal("not_identified", f"{n_cells} cells, {n_params} parameters")
+    r = np.full(m.shape, np.nan)
+    r[live] = (inc[live] - m[live]) / np.sqrt(np.abs(m[live]))
+    phi = float(np.nansum(r**2) / (n_cells - n_params))
+    exact = np.nan_to_num(odp_leverage(np.where(live, np.abs(m), 0.0))) >= LEVERAGE_ONE
+    if options.adjustment == "dof":
+        r = r * np.sqrt(n_cells / (n_cells - n_params))
+    elif options.adjustment == "hat":
+        h = odp_leverage(np.where(live, np.abs(m), 0.0))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = np.where(exact, 0.0, r / np.sqrt(1 - h))
+    values = r[live & ~exact] if options.pool == "centred" else r[live]
+    if not len(values):
+        raise Refusal("empty_residual_pool", "every cell is fitted exactly")
+    if options.pool == "centred":
+        values = values - values.mean()
+    return {"factors": f, "fitted": m, "last": last, "seen": seen, "phi": phi, "pool": values, "n_cells": n_cells, "n_params": n_params}
+
+
+def odp_scale(cells: DataFrame, keys: list[str], **options) -> DataFrame:
+    """keys, n_cells, n_params, phi, n_pool, pool_mean, pool_sd, error of every cohort; a refused one has its reason."""
+    choice = Bootstrap(**options)
+
+    def one(key, pdf):
+        row = dict(zip(keys, key, strict=True)) | dict.fromkeys(["n_cells", "n_params", "phi", "n_pool", "pool_mean", "pool_sd", "error"])
+        try:
+            fit = odp_fit(matrix(pdf)[2], choice)
+            row |= {"n_cells": fit["n_cells"], "n_params": fit["n_params"], "phi": fit["phi"], "n_pool": len(fit["pool"]), "pool_mean": float(fit["pool"].mean()), "pool_sd": float(fit["pool"].std())}
+        except Refusal as e:
+            row["error"] = e.reason
+        return pd.DataFrame([row], dtype=object)
+
+    rows = cells.select(*keys, "origin_period", "dev_lag", "value")
+    return rows.groupBy(*keys).applyInPandas(one, key_schema(cells, keys) + "n_cells bigint, n_params bigint, phi double, n_pool bigint, pool_mean double, pool_sd double, error string")
+
+
+def _reserves(options: Bootstrap, latest_: np.ndarray, beta: np.ndarray, last: np.ndarray, premium: np.ndarray | None, months: np.ndarray, multiplier) -> np.ndarray:
+    """Expected future payments (draw, origin, age) from simulated latest amounts and shares developed."""
+    b = beta[:, last]
+    if options.method == "cl":
+        ultimate = latest_ / b
+    else:
+        if options.method == "gcc":
+            near = options.decay ** (np.abs(months[:, None] - months[None, :]) / 12)
+            expected = (latest_ @ near) / ((premium * b) @ near) * premium
+        else:
+            expected = np.broadcast_to(premium * options.expected_loss_ratio, b.shape)
+        q, n = 1 - b, options.n_iters if options.method != "bf" else 1
+        ultimate = latest_ * (1 - q**n) / b + q**n * expected * multiplier
+    spread = np.where(b != 1, (ultimate - latest_) / np.where(b != 1, 1 - b, 1), 0.0)
+    steps = np.diff(beta, axis=1, prepend=0.0)
+    ahead = np.arange(beta.shape[1])[None, :] > last[:, None]
+    return np.where(ahead[None], spread[:, :, None] * steps[:, None, :], 0.0)
 
 
-def odp_bootstrap(cells: DataFrame, keys: list[str], n_draws: int = 1000, seed: int = 1, process: str = "gamma", centred: bool = False) -> DataFrame:
-    """keys, origin_period, draw, value: bootstrapped reserves.
+def odp_bootstrap(cells: DataFrame, keys: list[str], n_draws: int = 1000, seed: int = 1, process: str = "gamma", premium: DataFrame | None = None, **options) -> DataFrame:
+    """keys, origin_period, draw, value: bootstrapped reserves (options: ``Bootstrap``).
 
-    Residuals (scaled for degrees of freedom, zero corners left out) are resampled onto fitted
-    increments; each pseudo triangle is refitted and its future increments get process noise.
+    Residuals are resampled onto fitted increments; each pseudo triangle is refitted, its reserve by the
+    method is split over the future cells in the pattern's proportions, and each gets process noise.
+    Refused cohorts have no draws; ``odp_scale`` has their reasons.
     """
+    choice = Bootstrap(process=process, **options)
+    rows = cells.select(*keys, "origin_period", "dev_lag", "value")
+    if choice.method != "cl":
+        if premium is None:
+            raise Refusal("invalid_option", f"{choice.method} needs a premium")
+        rows = rows.join(premium.select(*keys, "origin_period", "premium"), [*keys, "origin_period"])
+    columns = [*keys, "origin_period", "draw", "value"]
 
     def draw(key, pdf):
         rng = cohort_stream(seed, "odp", key[:-1], int(key[-1]))
         n = min(BLOCK, n_draws - int(key[-1]) * BLOCK)
         origins, _, cum = matrix(pdf)
+        try:
+            fit = odp_fit(cum, choice)
+        except Refusal:
+            return pd.DataFrame(columns=columns, dtype=object)
+        m, seen, last = fit["fitted"], fit["seen"], fit["last"]
         w, d = cum.shape
-        f, m, last = odp_fit(cum)
-        seen = ~np.isnan(m)
-        inc = np.diff(np.concatenate([np.zeros((w, 1)), cum], axis=1), axis=1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            r = (inc - m) / np.sqrt(np.abs(m))
-        cells_, p = int(seen.sum()), w + d - 1
-        phi = np.nansum(np.where(seen, r, 0) ** 2) / max(1, cells_ - p)
-        pool = r[seen & np.isfinite(r)]
-        pool = pool[np.abs(pool) > 1e-9] * np.sqrt(cells_ / max(1, cells_ - p))
-        if centred and len(pool):
-            pool = pool - pool.mean()
-        values = np.zeros((n, w))
-        if len(pool):
-            star = np.zeros((n, w, d))
-            star[:, seen] = m[seen] + rng.choice(pool, (n, cells_)) * np.sqrt(np.abs(m[seen]))
-            run = np.cumsum(star, axis=2)
-            new = np.ones((n, d - 1))
-            for j in range(d - 1):
-                both = seen[:, j] & seen[:, j + 1]
-                down = run[:, both, j].sum(axis=1)
-                new[:, j] = np.where(down != 0, run[:, both, j + 1].sum(axis=1) / np.where(down != 0, down, 1), 1)
-            for i, k in enumerate(last):
-                c = run[:, i, k]
-                for j in range(k, d - 1):
-                    step = c * (new[:, j] - 1)
-                    c = c * new[:, j]
-                    values[:, i] += np.sign(step) * noise(rng, np.abs(step), phi * np.abs(step), "gamma") if process == "gamma" else odp_draw(rng, step, phi)
-        first = int(key[-1]) * BLOCK
+        star = np.zeros((n, w, d))
+        star[:, seen] = m[seen] + rng.choice(fit["pool"], (n, fit["n_cells"])) * np.sqrt(np.abs(m[seen]))
+        run = np.cumsum(star, axis=2)
+        new = np.ones((n, d - 1))
+        for j in range(d - 1):
+            both = seen[:, j] & seen[:, j + 1]
+            down = run[:, both, j].sum(axis=1)
+            top = run[:, both, j + 1].sum(axis=1)
+            # A link without positive volume takes the factor 1.
+            new[:, j] = np.where((down > 0) & (top > 0), top / np.where(down > 0, down, 1), 1)
+        beta = 1 / np.append(np.cumprod(new[:, ::-1], axis=1)[:, ::-1], np.ones((n, 1)), axis=1)
+        s2 = np.log1p(choice.prior_cv**2)
+        multiplier = np.exp(np.sqrt(s2) * rng.normal(size=(n, 1)) - s2 / 2) if choice.prior_cv else 1.0
+        amounts = pdf.groupby("origin_period")["premium"].first().loc[origins].to_numpy(dtype=float) if choice.method != "cl" else None
+        months = np.array([o.year * 12 + o.month for o in origins])
+        means = _reserves(choice, run[:, np.arange(w), last], beta, last, amounts, months, multiplier)
+        if choice.process == "gamma":
+            means = np.sign(means) * noise(rng, np.abs(means), fit["phi"] * np.abs(means), "gamma")
+        elif choice.process == "odp":
+            means = odp_draw(rng, means, fit["phi"])
+        values, first = means.sum(axis=2), int(key[-1]) * BLOCK
         return pd.concat([pd.DataFrame({**dict(zip(keys, key[:-1], strict=True)), "origin_period": o, "draw": np.arange(first, first + n), "value": values[:, i]}) for i, o in enumerate(origins)])
 
-    return _blocks(cells.select(*keys, "origin_period", "dev_lag", "value"), keys, n_draws).applyInPandas(draw, key_schema(cells, keys) + "origin_period date, draw bigint, value double")
+    return _blocks(rows, keys, n_draws).applyInPandas(draw, key_schema(cells, keys) + "origin_period date, draw bigint, value double")
