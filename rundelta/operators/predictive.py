@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rundelta.functions.ranks import medians, ranked, with_ntile
+from rundelta.functions.storage import kept
+
 
 def summary(draws: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """Mean, standard deviation (n - 1), coefficient of variation and quartiles."""
@@ -118,24 +121,56 @@ def leaderboard(scores: DataFrame, cell: list[str], density: str = "elpd", dista
     return names.join(parts[0], "model", "left").join(parts[1], "model", "left").orderBy("model")
 
 
-def stacking_weights(panel: DataFrame, cell: list[str], score: str = "elpd", floor: float = -700.0, rounds: int = 2000) -> dict[str, float]:
-    """Weights of the mixture with the highest total log score, by expectation maximisation.
+def stacking_weights(panel: DataFrame, cell: list[str], score: str = "elpd", floor: float = -700.0, rounds: int = 100, tolerance: float = 1e-10) -> dict[str, float]:
+    """Weights of the mixture with the highest mean log score, by Newton's method on the simplex.
 
-    Cells with equal relative densities are counted together in Spark; the driver sees a row per model
-    and cell of a backtest panel.
+    A step needs the gradient and the curvature, which are sums over cells: two aggregates a step, with a
+    number for each pair of models; no cell reaches the driver.  At the optimum the gradient is 1 where a
+    weight is positive and at most 1 elsewhere, which is what ends the search.
     """
     best = F.max(score).over(Window.partitionBy(*cell))
     rel = panel.withColumn("rel", F.greatest(F.col(score) - best, F.lit(floor)))
     models = sorted(r[0] for r in panel.select("model").distinct().collect())
-    wide = rel.groupBy(*cell).pivot("model", models).agg(F.first("rel")).select(*[F.col(f"`{m}`") for m in models])
-    p = np.exp(np.array(wide.collect(), dtype=float).reshape(-1, len(models)))
-    w = np.full(len(models), 1 / max(1, len(models)))
+    k = len(models)
+    if k < 2:
+        return dict.fromkeys(models, 1.0)
+    wide = rel.groupBy(*cell).pivot("model", models).agg(F.first("rel"))
+    wide = kept(wide.select(*[F.exp(F.col(f"`{m}`")).alias(f"p{i}") for i, m in enumerate(models)]), "stacking")
+
+    def mixed(w):
+        return sum((F.col(f"p{i}") * float(w[i]) for i in range(k)), F.lit(0.0))
+
+    w, free = np.full(k, 1 / k), np.ones(k, dtype=bool)
     for _ in range(rounds):
-        share = p * w
-        new = (share / share.sum(axis=1, keepdims=True)).mean(axis=0)
-        if np.abs(new - w).max() < 1e-12:
+        share = [F.col(f"p{i}") / mixed(w) for i in range(k)]
+        pairs = [(i, j) for i in range(k) for j in range(i, k)]
+        r = wide.agg(*[F.avg(x) for x in share], *[F.avg(share[i] * share[j]) for i, j in pairs]).first()
+        if r[0] is None:
+            return dict(zip(models, w.tolist(), strict=True))
+        g, m = np.array(r[:k]), np.zeros((k, k))
+        for (i, j), x in zip(pairs, r[k:], strict=True):
+            m[i, j] = m[j, i] = x
+        outside = np.where(free, -np.inf, g)
+        if outside.max() > 1 + tolerance and np.abs(g[free] - 1).max() < 1e-6:
+            free[outside.argmax()] = True
+        elif np.abs(g[free] - 1).max() < tolerance:
+            break
+        at = np.flatnonzero(free)
+        system = np.ones((len(at) + 1, len(at) + 1))
+        system[:-1, :-1], system[-1, -1] = m[np.ix_(at, at)] + 1e-12 * np.eye(len(at)), 0
+        d = np.zeros(k)
+        d[at] = np.linalg.lstsq(system, np.append(g[at], 0), rcond=None)[0][:-1]
+        down = np.flatnonzero(d < 0)
+        limit = min(1.0, float((-w[down] / d[down]).min())) if len(down) else 1.0
+        steps = [limit * 0.5**n for n in range(8)]
+        gains = wide.agg(*[F.avg(F.ln(mixed(np.maximum(w + a * d, 0))) - F.ln(mixed(w))) for a in steps]).first()
+        a = steps[int(np.argmax([-np.inf if x is None or not np.isfinite(x) else x for x in gains]))]
+        new = np.maximum(w + a * d, 0)
+        new[new < 1e-14] = 0
+        free = new > 0
+        moved, w = np.abs(new / new.sum() - w).max(), new / new.sum()
+        if moved < 1e-15:
             break
-        w = new
     return dict(zip(models, w.tolist(), strict=True))
 
 
@@ -152,15 +187,48 @@ def pseudo_bma_weights(panel: DataFrame, score: str = "elpd") -> DataFrame:
 def residual_strata(rows: DataFrame, n_strata: int, predicted: str = "predicted", actual: str = "actual", size: str = "size", floor: float = 0.01) -> DataFrame:
     """Residuals over the larger of prediction, ``floor`` of size and 1, with their size stratum (larger bins first)."""
     scale = F.greatest(F.abs(predicted), floor * F.col(size), F.lit(1.0))
-    return rows.withColumns({"residual": (F.col(actual) - F.col(predicted)) / scale, "stratum": F.ntile(n_strata).over(Window.orderBy(size, actual))})
+    return with_ntile(rows.withColumn("residual", (F.col(actual) - F.col(predicted)) / scale), [size, actual], n_strata, "stratum")
 
 
 def calibration_pools(residuals: DataFrame, keys: list[str], least: int = 40) -> DataFrame:
     """Residuals centred on their pool's median; pools below ``least`` fall back to all residuals."""
-    w, everything = Window.partitionBy(*keys), Window.partitionBy()
-    n = F.count("residual").over(w)
-    centre = F.when(n >= least, F.median("residual").over(w)).otherwise(F.median("residual").over(everything))
-    return residuals.withColumns({"pool_n": n, "pooled": n >= least, "centred": F.col("residual") - centre})
+    pools = medians(residuals, keys, "residual", "own").withColumnsRenamed({k: f"pool_{k}" for k in keys} | {"n": "pool_n"})
+    everyone = medians(residuals, [], "residual", "everyone").select("everyone")
+    same = [F.col(k).eqNullSafe(F.col(f"pool_{k}")) for k in keys]
+    out = residuals.join(F.broadcast(pools), same, "left").drop(*[f"pool_{k}" for k in keys]).crossJoin(F.broadcast(everyone))
+    pooled = F.coalesce("pool_n", F.lit(0)) >= least
+    return out.withColumns({"pooled": pooled, "centred": F.col("residual") - F.when(pooled, F.col("own")).otherwise(F.col("everyone"))}).drop("own", "everyone")
+
+
+def calibrated_draws(points: DataFrame, residuals: DataFrame, keys: list[str], n_draws: int, seed: int = 1, pool: str = "stratum", point: str = "predicted", size: str = "size", floor: float = 0.01) -> DataFrame:
+    """``points`` with draw and value: the point plus its scale times a resampled centred residual of its pool.
+
+    ``residuals`` has the pool and ``centred``.  A pool's rows are numbered; a draw's number is a hash of the
+    seed, the point's keys and the draw, so draws are the same on any partitioning and no Python runs.
+    """
+    placed = ranked(residuals.select(pool, "centred"), [pool, "centred"], "_rank")
+    sizes = placed.groupBy(pool).agg(F.min("_rank").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    numbered = placed.join(F.broadcast(sizes), pool).select(F.col(pool).alias("_pool"), (F.col("_rank") - F.col("_first")).alias("_at"), "centred")
+    scale = F.greatest(F.abs(point), floor * F.col(size), F.lit(1.0))
+    drawn = points.join(F.broadcast(sizes), pool).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
+    drawn = drawn.withColumn("_pick", F.pmod(F.xxhash64(F.lit(seed), *keys, "draw"), F.col("_n")))
+    out = drawn.join(numbered, (F.col(pool) == F.col("_pool")) & (F.col("_pick") == F.col("_at")))
+    return out.withColumn("value", F.col(point) + scale * F.col("centred")).select(*points.columns, "draw", "value")
+
+
+def apply_weights(draws: DataFrame, weights: DataFrame, keys: list[str], n_draws: int) -> DataFrame:
+    """keys, draw, model, value: a mixture's draws, each model giving its share of them.
+
+    ``draws`` has model, keys, draw (from 0, at least ``n_draws`` of each) and value.  Shares are whole
+    numbers by largest remainders, ties to the first model by name; a model gives its first draws.
+    """
+    exact = F.col("weight") / F.sum("weight").over(Window.partitionBy()) * n_draws
+    shares = weights.where("weight > 0").withColumns({"exact": exact}).withColumn("low", F.floor("exact").cast("int"))
+    left = F.lit(n_draws) - F.sum("low").over(Window.partitionBy())
+    turn = F.row_number().over(Window.orderBy((F.col("exact") - F.col("low")).desc(), "model"))
+    shares = shares.withColumn("n", F.col("low") + (turn <= left).cast("int")).withColumn("from", F.sum("n").over(Window.orderBy("model")) - F.col("n"))
+    met = draws.join(F.broadcast(shares.select("model", "n", "from")), "model").where("draw < n")
+    return met.select(*keys, (F.col("draw") + F.col("from")).alias("draw"), "model", "value")
 
 
 def quantile_type8(column: str, p: float) -> Column:

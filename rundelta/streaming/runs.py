@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from rundelta.functions.storage import shared_folder
 from rundelta.streaming.snapshot import run_available
 
 
 def folder_of(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, or a temporary one where that is not set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
-    return f"{base.rstrip('/')}/rundelta-stream-{uuid.uuid4().hex}"
+    """A new folder for a stream's files and state."""
+    return shared_folder(spark, "stream")
 
 
 def stream_of(spark: SparkSession, observations: DataFrame, folder: str) -> DataFrame:
     """Write observations as files of a stream's source and fold them."""
     observations.repartition(4, "origin_period").write.parquet(f"{folder}/in")
-    return run_available(spark, f"{folder}/in", observations.schema, f"{folder}/state", f"snapshot_{uuid.uuid4().hex}")
+    return run_available(spark, f"{folder}/in", observations.schema, f"{folder}/state")

@@ -20,12 +20,26 @@ def latest_restatements(observations: DataFrame, lateness: str = "3650 days") ->
     return rows.groupBy(*CELL).agg(F.max("eval_date").alias("eval_date"), F.max_by("value", "eval_date").alias("value"))
 
 
-def run_available(spark: SparkSession, folder: str, schema, checkpoint: str, name: str) -> DataFrame:
-    """Read all files of a folder as a stream, fold them into the snapshot and return it."""
+def run_available(spark: SparkSession, folder: str, schema, checkpoint: str) -> DataFrame:
+    """Read all files of a folder as a stream, fold them into the snapshot and return it.
+
+    A batch writes the cells that it changed, under its number, so a batch that is run again replaces
+    its own rows; the snapshot is each cell's row of the last batch that changed it.
+    """
+    out = f"{checkpoint}/changed"
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(folder)
-    query = latest_restatements(stream).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    changed = latest_restatements(stream)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{out}/{number:09d}")
+
+    query = changed.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{checkpoint}/log").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    if not query.lastProgress:
+        return spark.createDataFrame([], changed.schema)
+    rows = spark.read.schema(changed.schema.add("batch", "long")).option("recursiveFileLookup", "true").parquet(out)
+    last = F.max_by(F.struct("eval_date", "value"), "batch")
+    return rows.groupBy(*CELL).agg(last.alias("row")).select(*CELL, "row.eval_date", "row.value")
 
 
 def event_windows(events: DataFrame, length: str = "1 day", lateness: str = "2 days") -> DataFrame:
