@@ -13,7 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from rundelta.errors import Refusal
 
@@ -51,6 +51,11 @@ def implied_dev_lag(origin: Column, eval_date: Column) -> Column:
     return (month_number(eval_date) - month_number(origin) + 1).cast("bigint")
 
 
+def grouped(*keys: str) -> WindowSpec:
+    """A window partition by keys that is sorted by their hash first: one number decides most comparisons, not strings."""
+    return Window.partitionBy(F.xxhash64(*keys), *keys)
+
+
 def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
@@ -144,7 +149,7 @@ class Triangle:
     def to_cumulative(self) -> Triangle:
         if self.meta.measure == "cumulative":
             return self
-        w = Window.partitionBy(*self.series, "origin_period").orderBy("dev_lag").rangeBetween(Window.unboundedPreceding, 0)
+        w = grouped(*self.series, "origin_period").orderBy("dev_lag").rangeBetween(Window.unboundedPreceding, 0)
         return self.with_df(self.df.withColumn("value", F.sum("value").over(w)), measure="cumulative")
 
     def to_incremental(self) -> Triangle:
@@ -152,7 +157,7 @@ class Triangle:
         if self.meta.measure == "incremental":
             return self
         step = self.meta.step
-        w = Window.partitionBy(*self.series, "origin_period").orderBy("dev_lag").rangeBetween(-step, -step)
+        w = grouped(*self.series, "origin_period").orderBy("dev_lag").rangeBetween(-step, -step)
         first = self.df.agg(F.min("dev_lag").alias("first_dev"))
         df = self.df.withColumn("before", F.max("value").over(w)).crossJoin(F.broadcast(first))
         df = df.withColumn("value", F.when(F.col("dev_lag") == F.col("first_dev"), F.col("value")).otherwise(F.col("value") - F.col("before")))
@@ -232,7 +237,7 @@ class Triangle:
 
 
 def _first_ranked(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
+    w = grouped(*keys).orderBy(*order)
     return df.withColumn("__rank", F.rank().over(w)).where("__rank = 1").drop("__rank")
 
 
@@ -246,6 +251,32 @@ def run_off_violations(df: DataFrame, keys: list[str], step: int) -> DataFrame:
     return per.withColumn("expected", expected).where("n <> k or k <> expected").select(*keys, "origin_period", "n", "k", "expected")
 
 
+def grid_findings(cells: DataFrame, keys: list[str], step: int) -> DataFrame:
+    """keys, reason, n: what keeps a cohort's cells from being one run-off grid.
+
+    ``not_finite`` values, ``unreadable_label`` origins (not the first of a month), ``grain_mismatch`` gaps
+    between origins that are no whole number of steps (one more if the smallest is not one step),
+    ``not_run_off`` origins (see ``run_off_violations``) and, as ``invalid_table``, evaluation dates of open
+    origins beside their latest one.
+    """
+    months = month_number(F.col("origin_period"))
+    values = cells.groupBy(*keys).agg(F.count_if(F.col("value").isNull() | F.isnan("value") | (F.abs("value") == float("inf"))).alias("not_finite"), F.max("dev_lag").alias("oldest"))
+    per = cells.groupBy(*keys, "origin_period").agg(F.max("dev_lag").alias("latest_dev"), F.max_by("eval_date", "dev_lag").alias("latest_date"))
+    before = F.lag(months).over(Window.partitionBy(*keys).orderBy("origin_period"))
+    per = per.join(values, keys).withColumn("gap", months - before)
+    open_ = F.col("latest_dev") < F.col("oldest")
+    found = per.groupBy(*keys).agg(
+        F.max("not_finite").alias("not_finite"),
+        F.count_if(F.dayofmonth("origin_period") != 1).alias("unreadable_label"),
+        (F.count_if(F.col("gap") % step != 0) + (F.coalesce(F.min("gap"), F.lit(step)) != step).cast("int")).alias("grain_mismatch"),
+        F.greatest(F.lit(0), F.count_distinct(F.when(open_, F.col("latest_date"))) - 1).alias("invalid_table"),
+    )
+    steps = run_off_violations(cells, keys, step).groupBy(*keys).agg(F.count(F.lit(1)).alias("not_run_off"))
+    names = ["not_finite", "unreadable_label", "grain_mismatch", "not_run_off", "invalid_table"]
+    found = found.join(steps, keys, "left").select(*keys, *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in names])
+    return found.unpivot(keys, names, "reason", "n").where("n > 0")
+
+
 def read_triangle_csv(spark: SparkSession, path: str, schema: str, **options) -> Triangle:
     """Strict CSV ingest: a fixed schema, and any row that does not fit it is an error."""
     return Triangle.from_long(spark.read.csv(path, schema=schema, header=True, mode="FAILFAST", dateFormat="yyyy-MM-dd", enforceSchema=False), **options)
