@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from rundelta.operators import backtest as bt
 from rundelta.operators import fits, methods, predictive, simulate
 from rundelta.operators import mack as mk
-from rundelta.operators.links import LinkRules, link_factors, select_links
+from rundelta.operators.links import LinkRules, exhausted, link_factors, select_links
 from rundelta.operators.triangle import Triangle, run_off_violations
+from rundelta.operators.triangle import grid_findings as triangle_grid_findings
+from rundelta.operators.tuning import choice, tune, uniform
 from rundelta.plans.oracle import CL_OUT, MACK_OUT, mack_ctes, q, rules_sql
 from rundelta.sources import marts
 
@@ -156,6 +158,24 @@ def run_off_check(spark, d):
     return c.select("lob").distinct().join(found, "lob", "left").select("lob", F.coalesce("v", F.lit(0)).cast("int").alias("violations"))
 
 
+_GRID_SPOILT = "gs AS (SELECT lob, CASE WHEN year(origin_period) = 1997 THEN origin_period + INTERVAL 14 DAY ELSE origin_period END::DATE AS origin_period, dev_lag, eval_date, CASE WHEN dev_lag = 12 AND year(origin_period) = 1996 THEN 'nan'::DOUBLE ELSE value END AS value FROM cells WHERE NOT (year(origin_period) = 1998 AND dev_lag = 24))"
+
+
+@query(
+    q(
+        """SELECT lob, 'not_finite' AS reason, count(*) AS n FROM gs WHERE isnan(value) GROUP BY 1
+UNION ALL SELECT lob, 'unreadable_label', count(DISTINCT origin_period) FROM gs WHERE day(origin_period) <> 1 GROUP BY 1
+UNION ALL SELECT lob, 'not_run_off', count(*) FROM (SELECT lob, origin_period, count(*) AS n, max(dev_lag) // 12 AS k FROM gs GROUP BY 1, 2) WHERE n <> k GROUP BY 1""",
+        _GRID_SPOILT,
+    )
+)
+def grid_findings(spark, d):
+    c, y = marts.cells(spark, d), F.year("origin_period")
+    bad = c.where(~((y == 1998) & (F.col("dev_lag") == 24))).withColumn("value", F.when((y == 1996) & (F.col("dev_lag") == 12), float("nan")).otherwise(F.col("value")))
+    bad = bad.withColumn("origin_period", F.when(F.year("origin_period") == 1997, F.date_add("origin_period", 14)).otherwise(F.col("origin_period")))
+    return triangle_grid_findings(bad, LOB, STEP)
+
+
 @query(q("SELECT lob, origin_period, round(premium, 2) AS premium FROM prem"))
 def premium_by_origin(spark, d):
     return rounded(marts.premiums(spark, d), premium=2)
@@ -240,6 +260,12 @@ def link_reasons_zero(spark, d):
     return reasons(spark, d, LinkRules(zero_cells="missing"), c.withColumn("value", F.when(zero, 0.0).otherwise(F.col("value"))))
 
 
+@query(q("SELECT lob, dev_lag, 'trims' AS rule, count(*) AS n_left, 'exclusions_exhausted' AS reason FROM links GROUP BY lob, dev_lag HAVING count(*) - 3 < 2"))
+def links_exhausted(spark, d):
+    """Ages that ``exhausted_exclusions='raise'`` turns down: two links have to stay after three are trimmed."""
+    return exhausted(select_links(marts.cells(spark, d), LOB, STEP, LinkRules(drop_high=2, drop_low=1, preserve=2)), LOB)
+
+
 def factors(average):
     def run(spark, d):
         out = link_factors(select_links(marts.cells(spark, d), LOB, STEP), LOB, average)
@@ -348,7 +374,7 @@ def mack_sigma(spark, d):
 def _mack(average):
     def run(spark, d):
         out = mk.mack(marts.cells(spark, d), LOB, STEP, average, "mack").drop("ibnr")
-        return rounded(out, latest=2, ultimate=2, process_se=1, parameter_se=1, mack_se=1)
+        return rounded(out, latest=2, ultimate=2, process_se=3, parameter_se=3, mack_se=3)
 
     return run
 
@@ -360,7 +386,7 @@ for _name, _average in (("mack_se", "volume"), ("mack_simple", "simple"), ("mack
 @query(
     q(
         """SELECT a.lob, round(sum(a.latest), 2) AS latest, round(sum(a.ultimate), 2) AS ultimate,
-  round(sqrt(sum(a.ultimate * a.ultimate * (a.process + a.parameter) + 2 * a.ultimate * a.later * coalesce(s.shared, 0))), 1) AS mack_se FROM (
+  round(sqrt(sum(a.ultimate * a.ultimate * (a.process + a.parameter) + 2 * a.ultimate * a.later * coalesce(s.shared, 0))), 3) AS mack_se FROM (
   SELECT *, coalesce(sum(ultimate) OVER (PARTITION BY lob ORDER BY origin_period DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS later FROM mo) a
   LEFT JOIN (SELECT lob, dev_lag, sum(v / (f * f) / s) OVER (PARTITION BY lob ORDER BY dev_lag DESC) AS shared FROM mg) s ON a.lob = s.lob AND a.latest_dev = s.dev_lag GROUP BY a.lob""",
         *mack_ctes("volume"),
@@ -368,7 +394,43 @@ for _name, _average in (("mack_se", "volume"), ("mack_simple", "simple"), ("mack
 )
 def mack_total(spark, d):
     out = mk.mack_totals(marts.cells(spark, d), LOB, STEP, sigma_rule="mack").drop("ibnr")
-    return rounded(out, latest=2, ultimate=2, mack_se=1)
+    return rounded(out, latest=2, ultimate=2, mack_se=3)
+
+
+_TAIL = 1.05
+_TAIL_CTES = [
+    *mack_ctes("volume"),
+    "tl AS (SELECT lob, regr_slope(ln(f - 1), dev_lag / 12.0) FILTER (f > 1) AS fs, regr_intercept(ln(f - 1), dev_lag / 12.0) FILTER (f > 1) AS fb, regr_slope(ln(v) / 2, dev_lag / 12.0) FILTER (v > 0) AS ss, regr_intercept(ln(v) / 2, dev_lag / 12.0) FILTER (v > 0) AS sb, regr_slope(ln(v / s) / 2, dev_lag / 12.0) FILTER (v > 0) AS es, regr_intercept(ln(v / s) / 2, dev_lag / 12.0) FILTER (v > 0) AS eb FROM mg GROUP BY lob)",
+    f"tp AS (SELECT *, (ln({_TAIL} - 1) - fb) / fs AS p FROM tl)",
+    "tv AS (SELECT lob, p, exp(2 * (sb + ss * p)) AS ts, exp(2 * (eb + es * p)) AS te FROM tp)",
+    f"tm AS (SELECT o.lob, o.origin_period, o.latest, o.ultimate * {_TAIL} AS ultimate, o.process + v.ts / ({_TAIL} * {_TAIL}) / o.ultimate AS process, o.parameter + v.te / ({_TAIL} * {_TAIL}) AS parameter FROM mo o JOIN tv v ON o.lob = v.lob)",
+]
+
+
+@query(q(f"SELECT lob, {_TAIL} AS tail_factor, round(p, 6) AS position, round(ts, 4) AS tail_sigma2, round(te, 12) AS tail_se2, CAST(NULL AS VARCHAR) AS reason FROM tv", *_TAIL_CTES))
+def mack_tail_variance(spark, d):
+    c = marts.cells(spark, d)
+    out = mk.tail_variance(mk.mack_factors(c, LOB, STEP, sigma_rule="mack"), LOB, STEP, methods.constant_tail(c, LOB, _TAIL))
+    return rounded(out, position=6, tail_sigma2=4, tail_se2=12)
+
+
+@query(q("SELECT lob, origin_period, round(latest, 2) AS latest, round(ultimate, 2) AS ultimate, round(ultimate * sqrt(process), 3) AS process_se, round(ultimate * sqrt(parameter), 3) AS parameter_se, round(ultimate * sqrt(process + parameter), 3) AS mack_se FROM tm", *_TAIL_CTES))
+def mack_tail(spark, d):
+    c = marts.cells(spark, d)
+    out = mk.mack(c, LOB, STEP, sigma_rule="mack", tail=methods.constant_tail(c, LOB, _TAIL))
+    return rounded(out.drop("ibnr", "latest_dev"), latest=2, ultimate=2, process_se=3, parameter_se=3, mack_se=3)
+
+
+@query(q("SELECT lob, round(sum(ultimate), 2) AS ultimate, round(sqrt(sum(ultimate * ultimate * (process + parameter) + 2 * ultimate * later * parameter)), 3) AS mack_se FROM (SELECT *, coalesce(sum(ultimate) OVER (PARTITION BY lob ORDER BY origin_period DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS later FROM tm) GROUP BY lob", *_TAIL_CTES))
+def mack_tail_total(spark, d):
+    c = marts.cells(spark, d)
+    out = mk.mack_totals(c, LOB, STEP, sigma_rule="mack", tail=methods.constant_tail(c, LOB, _TAIL))
+    return rounded(out.select("lob", "ultimate", "mack_se"), ultimate=2, mack_se=3)
+
+
+@query(q("SELECT l.lob, l.origin_period, l.latest_dev + 12 AS dev_lag, round(l.latest, 2) AS latest, round(l.latest * f, 2) AS mean, round(sqrt(v * l.latest), 3) AS process_sd, round(l.latest * sqrt(v / s), 3) AS parameter_sd FROM lat l JOIN mg ON l.lob = mg.lob AND l.latest_dev = mg.dev_lag", *mack_ctes("volume")))
+def mack_next_cells(spark, d):
+    return rounded(mk.next_cells(marts.cells(spark, d), LOB, STEP, sigma_rule="mack"), latest=2, mean=2, process_sd=3, parameter_sd=3)
 
 
 _CDR = [
@@ -379,16 +441,16 @@ _CDR = [
 ]
 
 
-@query(q("SELECT lob, origin_period, round(latest, 2) AS latest, round(ultimate, 2) AS ultimate, round(ultimate * sqrt(own), 1) AS cdr_se FROM cr", *_CDR))
+@query(q("SELECT lob, origin_period, round(latest, 2) AS latest, round(ultimate, 2) AS ultimate, round(ultimate * sqrt(own), 3) AS cdr_se FROM cr", *_CDR))
 def one_year_cdr(spark, d):
     out, _ = mk.one_year_cdr(marts.cells(spark, d), LOB, STEP)
-    return rounded(out.drop("ibnr"), latest=2, ultimate=2, cdr_se=1)
+    return rounded(out.drop("ibnr"), latest=2, ultimate=2, cdr_se=3)
 
 
-@query(q("SELECT lob, round(sqrt(sum(ultimate * ultimate * own + 2 * ultimate * later * tied)), 1) AS cdr_se FROM cr GROUP BY lob", *_CDR))
+@query(q("SELECT lob, round(sqrt(sum(ultimate * ultimate * own + 2 * ultimate * later * tied)), 3) AS cdr_se FROM cr GROUP BY lob", *_CDR))
 def one_year_cdr_total(spark, d):
     _, out = mk.one_year_cdr(marts.cells(spark, d), LOB, STEP)
-    return rounded(out.drop("ibnr"), cdr_se=1)
+    return rounded(out.drop("ibnr"), cdr_se=3)
 
 
 _ODP = [
@@ -522,6 +584,15 @@ def evaluate_conventional(spark, d):
     return rounded(out, rmse=2, bias=2)
 
 
+_SPACE = {"method": choice("cl", "bf", "gcc"), "history_periods": choice(3, 4, 1_000_000), "drop_high": choice(0, 1), "expected_loss_ratio": uniform(0.4, 0.9), "decay": uniform(0.5, 1.0)}
+
+
+@query()
+def tuning_trials(spark, d):
+    """The five best of twenty settings drawn at random."""
+    return tune(marts.cells(spark, d), marts.premiums(spark, d), _SPACE, 20, 7, _DAYS, LOB, STEP, keep_top=5)
+
+
 # --- predictive scores --------------------------------------------------------------------------
 
 _DRAWS = "dr AS (SELECT c_mktsegment AS lob, l_orderkey * 10 + l_linenumber AS draw, CAST(l_extendedprice AS DOUBLE) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity >= 45)"
@@ -635,6 +706,33 @@ def calibration_pools(spark, d):
     return rounded(out, centred=6).withColumn("centred", F.col("centred") + 0.0)
 
 
+@query(q("SELECT lob, 400 AS n, round(predicted, 2) AS predicted, true AS inside FROM pr", *_PRED))
+def calibrated_draws(spark, d):
+    """Draws around each prediction; every draw is the point and a residual of its pool."""
+    p = predictions(spark, d).withColumn("size", F.col("prev_value"))
+    r = predictive.residual_strata(p, 4)
+    pools = predictive.calibration_pools(r, ["stratum"], least=6)
+    draws = predictive.calibrated_draws(r.select("lob", "origin_period", "predicted", "size", "stratum"), pools, ["lob", "origin_period"], 400)
+    scale = F.greatest(F.abs("predicted"), 0.01 * F.col("size"), F.lit(1.0))
+    far = draws.crossJoin(F.broadcast(pools.agg(F.max(F.abs("centred")).alias("most")))).withColumn("ok", F.abs(F.col("value") - F.col("predicted")) <= scale * F.col("most") + 1e-6)
+    return rounded(far.groupBy("lob", "origin_period", "predicted").agg(F.count(F.lit(1)).cast("int").alias("n"), F.bool_and("ok").alias("inside")).drop("origin_period"), predicted=2)
+
+
+_MIX_WEIGHTS = {"a": 0.5, "b": 0.3, "c": 0.2}
+
+
+@query(q("SELECT lob, model, CAST(count(*) AS BIGINT) AS n, round(sum(value), 2) AS total FROM (SELECT lob, 'a' AS model, i, v AS value FROM md WHERE i < 5 UNION ALL SELECT lob, 'b', i, v * 2 FROM md WHERE i < 3 UNION ALL SELECT lob, 'c', i, v * 3 FROM md WHERE i < 2) GROUP BY 1, 2", _DRAWS, "md AS (SELECT lob, row_number() OVER (PARTITION BY lob ORDER BY draw) - 1 AS i, value AS v FROM dr)"))
+def stacked_mixture(spark, d):
+    """Ten draws of a mixture: five, three and two of its models."""
+    from pyspark.sql.window import Window
+
+    draws = pseudo_draws(spark, d).withColumn("draw", F.row_number().over(Window.partitionBy("lob").orderBy("draw")) - 1)
+    parts = [draws.select("lob", "draw", F.lit(m).alias("model"), (F.col("value") * k).alias("value")) for m, k in (("a", 1), ("b", 2), ("c", 3))]
+    weights = spark.createDataFrame(list(_MIX_WEIGHTS.items()), "model string, weight double")
+    out = predictive.apply_weights(parts[0].unionByName(parts[1]).unionByName(parts[2]), weights, LOB, 10)
+    return rounded(out.groupBy("lob", "model").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")), total=2)
+
+
 @query(q("SELECT lob, origin_period, dev_lag, round(-0.5 * pow((ln(value) - 17) / 1.5, 2) - ln(1.5) - 0.5 * ln(2 * pi()) - ln(value), 6) AS lognormal, round(-0.5 * pow((value / premium - 0.5) / 0.2, 2) - ln(0.2) - 0.5 * ln(2 * pi()) - ln(premium), 6) AS ratio_normal FROM cells JOIN prem USING (lob, origin_period)"))
 def density_amount_scale(spark, d):
     c = marts.cells(spark, d).join(marts.premiums(spark, d), ["lob", "origin_period"])
@@ -686,15 +784,95 @@ def cdr_simulate(spark, d):
     return simulate.simulated_msep(draws, LOB).join(simulate.cdr_risk_measures(draws, LOB), "lob")
 
 
+_POOL = [
+    *_ODP,
+    "or0 AS (SELECT lob, (x - m) / sqrt(abs(m)) AS r, count(*) OVER (PARTITION BY lob) AS n, (SELECT count(DISTINCT origin_period) FROM ob b WHERE b.lob = ob.lob) + (SELECT count(DISTINCT dev_lag) FROM ob b WHERE b.lob = ob.lob) - 1 AS p FROM ob)",
+]
+
+
+@query(q("SELECT lob, max(n) AS n_cells, max(p) AS n_params, round(sum(r * r) / (max(n) - max(p)), 2) AS phi, count(*) AS n_pool, round(avg(r) * sqrt(max(n) / (max(n) - max(p))), 4) AS pool_mean, round(stddev_pop(r) * sqrt(max(n) / (max(n) - max(p))), 4) AS pool_sd, CAST(NULL AS VARCHAR) AS error FROM or0 GROUP BY lob", *_POOL))
+def odp_pool(spark, d):
+    return rounded(simulate.odp_scale(marts.cells(spark, d), LOB), phi=2, pool_mean=4, pool_sd=4)
+
+
+@query()
+def odp_pool_hat(spark, d):
+    return simulate.odp_scale(marts.cells(spark, d), LOB, adjustment="hat", pool="centred")
+
+
+@query()
+def odp_bootstrap_bf(spark, d):
+    return simulate.odp_bootstrap(marts.cells(spark, d), LOB, n_draws=1000, premium=marts.premiums(spark, d), method="bf", expected_loss_ratio=0.6, prior_cv=0.1)
+
+
+@query()
+def odp_bootstrap_cape_cod(spark, d):
+    return simulate.odp_bootstrap(marts.cells(spark, d), LOB, n_draws=1000, premium=marts.premiums(spark, d), method="gcc", decay=0.75, adjustment="hat", pool="centred")
+
+
 @query()
 def odp_bootstrap(spark, d):
     return simulate.odp_bootstrap(marts.cells(spark, d), LOB, n_draws=1000)
 
 
-@query(q("SELECT lob, origin_period, round(ultimate / 100) * 100 AS ultimate FROM cl"))
+def glm_out(df: DataFrame) -> DataFrame:
+    return rounded(df.select("lob", "origin_period", "latest", "ultimate", "ibnr", "error"), latest=2, ultimate=2, ibnr=2)
+
+
+@query(q("SELECT lob, origin_period, round(latest, 2) AS latest, round(ultimate, 2) AS ultimate, round(ibnr, 2) AS ibnr, CAST(NULL AS VARCHAR) AS error FROM cl"))
 def tweedie_glm(spark, d):
     """At power 1 the fitted ultimates are those of the chain ladder."""
-    return fits.tweedie_glm(marts.cells(spark, d), LOB, 1.0).select("lob", "origin_period", (F.round(F.col("ultimate") / 100) * 100).alias("ultimate"))
+    return glm_out(fits.tweedie_glm(marts.cells(spark, d), LOB, 1.0))
+
+
+_FALL = "CASE WHEN origin_period = DATE '1996-01-01' AND dev_lag = 36 THEN 0.95 * lag(value) OVER (PARTITION BY lob, origin_period ORDER BY dev_lag) ELSE value END"
+_FALLING = [
+    f"nc AS (SELECT lob, origin_period, dev_lag, {_FALL} AS value FROM cells)",
+    "nl AS (SELECT a.lob, a.dev_lag, sum(b.value) / sum(a.value) AS f FROM nc a JOIN nc b ON a.lob = b.lob AND a.origin_period = b.origin_period AND b.dev_lag = a.dev_lag + 12 GROUP BY 1, 2)",
+    "np AS (SELECT lob, dev_lag, exp(sum(ln(f)) OVER (PARTITION BY lob ORDER BY dev_lag DESC)) AS cdf FROM nl)",
+    "nt AS (SELECT lob, origin_period, max(dev_lag) AS latest_dev, arg_max(value, dev_lag) AS latest FROM nc GROUP BY 1, 2)",
+    "nu AS (SELECT t.*, t.latest * coalesce(p.cdf, 1) AS ultimate FROM nt t LEFT JOIN np p ON p.lob = t.lob AND p.dev_lag = t.latest_dev)",
+]
+
+
+def falling(spark, d):
+    """The triangle with one cumulative that falls."""
+    from pyspark.sql.window import Window
+
+    before = F.lag("value").over(Window.partitionBy("lob", "origin_period").orderBy("dev_lag"))
+    there = (F.col("origin_period") == F.lit("1996-01-01").cast("date")) & (F.col("dev_lag") == 36)
+    return marts.cells(spark, d).withColumn("value", F.when(there, 0.95 * before).otherwise(F.col("value")))
+
+
+@query(q("SELECT lob, origin_period, round(latest, 2) AS latest, round(ultimate, 2) AS ultimate, round(ultimate - latest, 2) AS ibnr, CAST(NULL AS VARCHAR) AS error FROM nu", *_FALLING))
+def tweedie_negative(spark, d):
+    """A negative increment is data of the score equations, so the chain ladder is met here too."""
+    return glm_out(fits.tweedie_glm(falling(spark, d), LOB, 1.0))
+
+
+@query(q("SELECT DISTINCT lob, CAST(NULL AS DATE) AS origin_period, CAST(NULL AS DOUBLE) AS ultimate, 'Refusal: negative_increment: power 2' AS error FROM nu", *_FALLING))
+def tweedie_refusal(spark, d):
+    """Gamma increments cannot be negative: a row per cohort says so."""
+    return fits.tweedie_glm(falling(spark, d), LOB, 2.0).select("lob", "origin_period", "ultimate", "error")
+
+
+@query(
+    q(
+        """SELECT lob, origin_period, round(latest, 2) AS latest, round(latest * (SELECT sum(m) FROM im i WHERE i.lob = t.lob) / (SELECT sum(m) FROM im i WHERE i.lob = t.lob AND i.dev_lag <= t.latest_dev), 2) AS ultimate FROM lat t""",
+        "ic AS (SELECT lob, origin_period, dev_lag, value - coalesce(lag(value) OVER (PARTITION BY lob, origin_period ORDER BY dev_lag), 0) AS x FROM cells)",
+        "im AS (SELECT lob, dev_lag, avg(x) AS m FROM ic GROUP BY 1, 2)",
+    )
+)
+def tweedie_shared_pattern(spark, d):
+    """Normal increments without origin terms and an identity link: every age is fitted by its mean."""
+    out = fits.tweedie_glm(marts.cells(spark, d), LOB, 0.0, link="identity", origin="none")
+    return rounded(out.select("lob", "origin_period", "latest", "ultimate"), latest=2, ultimate=2)
+
+
+@query()
+def tweedie_trend(spark, d):
+    """A calendar trend in place of origin factors."""
+    return fits.tweedie_glm(marts.cells(spark, d), LOB, 1.0, origin="none", calendar="trend")
 
 
 @query()

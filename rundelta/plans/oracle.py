@@ -54,7 +54,7 @@ def mack_ctes(average: str) -> list[str]:
     ]
 
 
-MACK_OUT = "SELECT lob, origin_period, latest_dev, round(latest, 2) AS latest, round(ultimate, 2) AS ultimate, round(ultimate * sqrt(process), 1) AS process_se, round(ultimate * sqrt(parameter), 1) AS parameter_se, round(ultimate * sqrt(process + parameter), 1) AS mack_se FROM mo"
+MACK_OUT = "SELECT lob, origin_period, latest_dev, round(latest, 2) AS latest, round(ultimate, 2) AS ultimate, round(ultimate * sqrt(process), 3) AS process_se, round(ultimate * sqrt(parameter), 3) AS parameter_se, round(ultimate * sqrt(process + parameter), 3) AS mack_se FROM mo"
 
 
 def rules_sql(reason: str) -> str:

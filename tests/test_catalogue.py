@@ -26,7 +26,7 @@ def plain(frame):
 
 
 def close(a, b):
-    return a == b or isinstance(a, float) and isinstance(b, float) and math.isclose(a, b, rel_tol=1e-6, abs_tol=0.11)
+    return a == b or isinstance(a, float) and isinstance(b, float) and math.isclose(a, b, rel_tol=1e-6, abs_tol=1e-6)
 
 
 @pytest.fixture(scope="module")

@@ -1,9 +1,12 @@
 import math
 
+import numpy as np
+
 import pytest
 from fixtures_triangles import RAA, RAA_SE, RAA_ULTIMATE, SMALL, frame
 from pyspark.sql import functions as F
 
+from rundelta.errors import Refusal
 from rundelta.operators import fits, methods, simulate
 from rundelta.operators import mack as mk
 from rundelta.operators.links import LinkRules, link_factors, select_links
@@ -125,3 +128,139 @@ def test_systems_of_one_line_are_volume_factors(raa):
 def test_clark(raa, premium):
     out = fits.clark(raa, premium, K, method="ldf").orderBy("origin_period").collect()
     assert all(r["error"] is None and r["ultimate"] >= r["latest"] for r in out)
+
+
+MW2014 = (
+    "13109 20355 21337 22043 22401 22658 22997 23158 23492 23664 23699 23904 23960 23992 23994 24001 24002",
+    "14457 22038 22627 23114 23238 23312 23440 23490 23964 23976 24048 24111 24252 24538 24540 24550",
+    "16075 22672 23753 24052 24206 24757 24786 24807 24823 24888 24986 25401 25681 25705 25732",
+    "15682 23464 24465 25052 25529 25708 25752 25770 25835 26075 26082 26146 26150 26167",
+    "16551 23706 24627 25573 26046 26115 26283 26481 26701 26718 26724 26728 26735",
+    "15439 23796 24866 25317 26139 26154 26175 26205 26764 26818 26836 26959",
+    "14629 21645 22826 23599 24992 25434 25476 25549 25604 25709 25723",
+    "17585 26288 27623 27939 28335 28638 28715 28759 29525 30302",
+    "17419 25941 27066 27761 28043 28477 28721 28878 28948",
+    "16665 25370 26909 27611 27729 27861 29830 29844",
+    "15471 23745 25117 26378 26971 27396 27480",
+    "15103 23393 26809 27691 28061 29183",
+    "14540 22642 23571 24127 24210",
+    "14590 22336 23440 24029",
+    "13967 21515 22603",
+    "12930 20111",
+    "12539",
+)
+
+
+def test_published_one_year_results(spark):
+    """Merz and Wuethrich (2014): published total and the second origin, whose one year is its whole run-off."""
+    cells = frame(spark, {1990 + n: tuple(map(int, r.split())) for n, r in enumerate(MW2014)})
+    per_origin, total = mk.one_year_cdr(cells, K, 12)
+    t, run_off = total.first(), mk.mack_totals(cells, K, 12, sigma_rule="mack").first()
+    assert t["ibnr"] == pytest.approx(24134.870088, abs=1e-5)
+    assert t["cdr_se"] == pytest.approx(1842.8507073, abs=1e-5)
+    assert run_off["mack_se"] == pytest.approx(3233.6807352, abs=1e-5)
+    rows = per_origin.orderBy("origin_period").collect()
+    assert rows[1]["cdr_se"] == pytest.approx(0.4083149, abs=1e-6) and rows[0]["cdr_se"] == 0
+    assert rows[4]["cdr_se"] == pytest.approx(156.4022713, abs=1e-6) and rows[16]["cdr_se"] == pytest.approx(733.2222786, abs=1e-6)
+
+
+def test_sigma_rules_at_the_ends_and_in_gaps(spark):
+    two = frame(spark, {2020: (100, 150), 2021: (110,)})
+    assert mk.mack_factors(two, K, 12, sigma_rule="mack").first()["sigma2"] == 0.0
+    three = frame(spark, {2019: (90, 130, 140), 2020: (100, 150), 2021: (110,)})
+    first, last = mk.mack_factors(three, K, 12, sigma_rule="mack").orderBy("dev_lag").collect()
+    assert last["sigma2"] == first["sigma2"] > 0 and last["sigma_extrapolated"]
+    gap = frame(spark, {2017: (0, 80, 90, 95, 97), 2018: (0, 85, 93, 99), 2019: (0, 130, 140), 2020: (100, 150), 2021: (110,)})
+    rows = {r["dev_lag"]: r for r in mk.mack_factors(gap, K, 12, sigma_rule="mack").collect()}
+    assert rows[12]["reason"] == "variance_not_estimable" and rows[12]["sigma2"] is None and rows[24]["reason"] is None
+    filled = {r["dev_lag"]: r for r in mk.mack_factors(gap, K, 12).collect()}
+    assert filled[12]["sigma2"] > 0 and filled[12]["reason"] is None
+
+
+def test_tail_variance(spark, raa):
+    f = mk.mack_factors(raa, K, 12, sigma_rule="mack")
+    tail = lambda **c: methods.constant_tail(raa, K, c.pop("f")).withColumns({k: F.lit(v) for k, v in c.items()})
+    r = mk.tail_variance(f, K, 12, tail(f=1.05)).first()
+    assert r["position"] > 1 and r["tail_sigma2"] > 0 and r["tail_se2"] > 0 and r["reason"] is None
+    one = mk.tail_variance(f, K, 12, tail(f=1.0)).first()
+    assert (one["tail_sigma2"], one["tail_se2"], one["reason"]) == (0.0, 0.0, None)
+    assert mk.tail_variance(f, K, 12, tail(f=0.9)).first()["reason"] == "variance_not_estimable"
+    assert mk.tail_variance(f, K, 12, tail(f=1e9)).first()["reason"] == "variance_not_estimable"
+    given = mk.tail_variance(f, K, 12, tail(f=0.9, tail_sigma=3.0, tail_std_err=0.1)).first()
+    assert given["tail_sigma2"] == pytest.approx(9.0) and given["reason"] is None
+    plain, tailed = mk.mack_totals(raa, K, 12).first(), mk.mack_totals(raa, K, 12, tail=tail(f=1.0)).first()
+    assert tailed["mack_se"] == pytest.approx(plain["mack_se"], rel=1e-12)
+
+
+def test_exhausted_rules_raise(raa):
+    with pytest.raises(Refusal) as e:
+        select_links(raa, K, 12, LinkRules(drop_high=2, drop_low=1, exhausted_exclusions="raise"))
+    assert e.value.reason == "exclusions_exhausted"
+    assert select_links(raa, K, 12, LinkRules(drop_above=100.0, exhausted_exclusions="raise")).count() == 45
+
+
+def test_one_shuffle_serves_all_of_mack(raa):
+    plan = mk.mack_totals(raa, K, 12)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3
+
+
+def test_tweedie_options(raa):
+    cl = ultimates(methods.chain_ladder(raa, K, 12))
+    assert ultimates(fits.tweedie_glm(raa, K, 1.0, projection="increments")) == pytest.approx(cl, rel=1e-6)
+    assert fits.tweedie_glm(raa, K, 1.0, negative="refuse").first()["error"] == "Refusal: negative_increment: power 1"
+    trend = fits.tweedie_glm(raa, K, 1.0, origin="none", calendar="trend")
+    assert trend.where("error is null").count() == 10
+    normal = fits.tweedie_glm(raa, K, 0.0, link="identity")
+    assert normal.where("error is null").count() == 10
+    for bad in ({"power": 0.5}, {"calendar": "trend"}, {"origin": "none", "projection": "increments"}, {"link": "probit"}):
+        with pytest.raises(Refusal):
+            fits.tweedie_glm(raa, K, **bad)
+
+
+def test_weighted_residuals_vanish(raa):
+    """The score equations at power 1: fitted and observed increments agree by origin and by age."""
+    cum = simulate.matrix(raa.toPandas())[2]
+    fitted, _ = fits.Tweedie(1.0).fit(cum)
+    inc = np.diff(np.concatenate([np.zeros((10, 1)), cum], axis=1), axis=1)
+    off = np.where(np.isnan(inc), 0, inc - fitted)
+    assert np.abs(off.sum(axis=0)).max() < 1e-5 and np.abs(off.sum(axis=1)).max() < 1e-5
+
+
+def test_leverage_and_pools(raa):
+    cum = simulate.matrix(raa.toPandas())[2]
+    fit = simulate.odp_fit(cum)
+    m, seen = fit["fitted"], fit["seen"]
+    i, j = np.nonzero(seen)
+    x = np.hstack([i[:, None] == np.arange(10), j[:, None] == np.arange(1, 10)]).astype(float)
+    w = np.abs(m[seen])
+    direct = np.diag(x @ np.linalg.inv(x.T @ (x * w[:, None])) @ (x.T * w))
+    h = simulate.odp_leverage(np.where(seen, np.abs(m), 0))
+    assert h[seen] == pytest.approx(direct) and h[seen].sum() == pytest.approx(19)
+    corners = {(0, 9), (9, 0)}
+    assert {(a, b) for a, b in np.argwhere(np.nan_to_num(h) > simulate.LEVERAGE_ONE)} == corners
+    assert len(fit["pool"]) == 55 and len(simulate.odp_fit(cum, simulate.Bootstrap(pool="centred"))["pool"]) == 53
+    hat = simulate.odp_fit(cum, simulate.Bootstrap(adjustment="hat", pool="centred"))["pool"]
+    assert hat.mean() == pytest.approx(0, abs=1e-9)
+    with pytest.raises(Refusal):
+        simulate.odp_fit(cum, simulate.Bootstrap(negative="refuse"))
+    zero = np.array([[100.0, 150, 170, 175], [90, 140, 140, np.nan], [80, 110, np.nan, np.nan], [70, np.nan, np.nan, np.nan]])
+    assert len(simulate.odp_fit(zero, simulate.Bootstrap(pool="centred"))["pool"]) == 8
+
+
+def test_bootstrap_methods_centre_on_theirs(raa, premium):
+    for method, options, point in (
+        ("bf", {"expected_loss_ratio": 0.6}, methods.bornhuetter_ferguson(raa, premium, K, 12, 0.6)),
+        ("benktander", {"expected_loss_ratio": 0.6, "n_iters": 2}, methods.benktander(raa, premium, K, 12, 0.6, n_iters=2)),
+        ("gcc", {"decay": 0.75}, methods.cape_cod(raa, premium, K, 12, decay=0.75)),
+    ):
+        draws = simulate.odp_bootstrap(raa, K, n_draws=2000, seed=5, premium=premium, method=method, **options)
+        mean = draws.groupBy("draw").agg(F.sum("value").alias("v")).agg(F.avg("v")).first()[0]
+        assert mean == pytest.approx(point.agg(F.sum("ibnr")).first()[0], rel=0.08)
+    narrow = simulate.odp_bootstrap(raa, K, n_draws=2000, seed=5, premium=premium, method="bf", expected_loss_ratio=0.6, process="none")
+    wide = simulate.odp_bootstrap(raa, K, n_draws=2000, seed=5, premium=premium, method="bf", expected_loss_ratio=0.6, process="none", prior_cv=0.5)
+    sd = [d.groupBy("draw").agg(F.sum("value").alias("v")).agg(F.stddev("v")).first()[0] for d in (narrow, wide)]
+    assert sd[1] > 1.5 * sd[0]
+    assert simulate.odp_bootstrap(raa, K, n_draws=100, negative="refuse").count() == 0
+    assert simulate.odp_scale(raa, K, negative="refuse").first()["error"] == "negative_increment"
+    with pytest.raises(Refusal):
+        simulate.odp_bootstrap(raa, K, prior_cv=0.1)
