@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -41,6 +43,14 @@ def portfolio(spark: SparkSession, companies: int = COMPANIES):
     )
 
 
+def quarterly(spark: SparkSession, n: int = 40):
+    """One cohort of n origins by n ages, a quarter apart."""
+    cells = spark.range(n * n).select((F.col("id") % n).alias("d"), F.expr(f"id div {n}").alias("w")).where(f"w + d < {n}")
+    start = F.add_months(F.lit("2010-01-01").cast("date"), (F.col("w") * 3).cast("int"))
+    grown = (1 - F.exp(-0.08 * (F.col("d") + 1))) * (50_000 + F.pmod(F.xxhash64("w"), F.lit(20_000)))
+    return cells.select(F.lit("one").alias("lob"), start.alias("origin_period"), ((F.col("d") + 1) * 3).alias("dev_lag"), F.last_day(F.add_months(start, (F.col("d") * 3 + 2).cast("int"))).alias("eval_date"), grown.alias("value"))
+
+
 def timed(df) -> float:
     start = time.time()
     df.write.format("noop").mode("overwrite").save()
@@ -56,24 +66,27 @@ def main() -> None:
     for name in QUERIES:
         timed(run[name](spark, folder))
         found[name] = timed(run[name](spark, folder))
+    files = tempfile.mkdtemp(prefix="bench-")
+    portfolio(spark).withColumnRenamed("value", "amount").write.mode("overwrite").parquet(files)
     t = portfolio(spark).cache()
     n = t.count()
     triangle = Triangle(t, TriangleMeta())
     keys = ["company", "lob", "field"]
     cells = t.select(*keys, "origin_period", "dev_lag", "eval_date", "value")
     scaling = {
-        "construct": lambda: Triangle.from_long(t.withColumnRenamed("value", "amount"), value="amount").df,
+        "construct": lambda: Triangle.from_long(spark.read.parquet(files), value="amount").df,
         "to_incremental": lambda: triangle.to_incremental().df,
         "as_of_slice": lambda: triangle.as_of("2005-12-31").df,
         "latest_diagonal": lambda: triangle.latest_diagonal().df,
         "aggregate_by_lob": lambda: t.groupBy("lob", "field", "origin_period", "dev_lag").agg(F.sum("value")),
         "chain_ladder_all_cohorts": lambda: methods.chain_ladder(cells, keys, 12),
         "batch_mack_all_cohorts": lambda: mack.mack_totals(cells, keys, 12),
-        "odp_bootstrap_10k_draws": lambda: simulate.odp_bootstrap(cells.where("company = 'company 0' and field = 'field 0' and lob = 'line 0'"), keys, 10_000),
+        "odp_bootstrap_40x40_10k_draws": lambda: simulate.odp_bootstrap(quarterly(spark), ["lob"], 10_000),
     }
     for name, df in scaling.items():
         timed(df())
         found[f"{name}@{n}" if "draws" not in name else name] = timed(df())
+    shutil.rmtree(files, ignore_errors=True)
     print(json.dumps({"metric": "reserving_headline_total", "value": round(sum(found.values()), 3), "unit": "sec", "queries": found, "sf": Path(folder).name.removeprefix("sf")}))
 
 
