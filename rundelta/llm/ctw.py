@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rundelta.llm.common import file_system, materialize, partitions_for, ready, shared_dir
+from rundelta.llm.common import file_system, lean, materialize, partitions_for, ready, shared_dir
 
 DEPTH = 5
 #: Nodes above the depth at which strings are dealt that the driver may finish.
@@ -232,10 +232,14 @@ def chunks_of(texts: pa.Array):
 
 
 class _WordHashes(dict):
+    """Hashes of words met before: at most 150,000 words of at most 64 bytes (some 30 MB)."""
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 250_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) >= 150_000:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -345,12 +349,12 @@ def score_texts(docs: DataFrame, folds: int = 5, held: int = 1, depth: int = DEP
     """
     spark = ready(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    counted = rows.mapInArrow(_counter(folds, held, depth), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(lean(_counter(folds, held, depth), _WORDS), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     counted = materialize(counted, "ctw-counts")
     parts = max(partitions_for(rows), 8)
     for top in (min(3, depth), min(2, depth)):
         dealt = counted.where("kind = 0").select("key", "n").repartition(parts, F.shiftrightunsigned("key", 8 * (depth + 1 - top)))
-        sums = dealt.mapInArrow(_upper_sums(depth, top), "node long, n0 double, n1 double, below double").groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("below").alias("below"))
+        sums = dealt.mapInArrow(lean(_upper_sums(depth, top)), "node long, n0 double, n1 double, below double").groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("below").alias("below"))
         sums = materialize(sums, "ctw-upper")
         if sums.count() <= UPPER_NODES:
             break
@@ -361,7 +365,7 @@ def score_texts(docs: DataFrame, folds: int = 5, held: int = 1, depth: int = DEP
     for d in range(top - 1, -1, -1):
         upper[d] = level
         level = _sum_by(_parents(level[0]), level[1], level[2], Level(*level).log_pw if len(level[0]) else level[3])
-    strings, string_folder = _written(dealt.mapInArrow(_string_scores(depth, top, upper), "key long, value double"), "ctw-strings")
+    strings, string_folder = _written(dealt.mapInArrow(lean(_string_scores(depth, top, upper)), "key long, value double"), "ctw-strings")
     words = counted.where("kind = 1")
     often, often_folder = _written(words.where("n > 1").select("key", F.col("n").cast("double").alias("value")), "ctw-words")
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
@@ -372,7 +376,7 @@ def score_texts(docs: DataFrame, folds: int = 5, held: int = 1, depth: int = DEP
     loaded = max(strings.count(), often.count()) <= table_rows
     schema = "doc_id long, text_key long, held_out boolean, n_tokens long, n_bytes long, known long, base double, score double, left array<struct<key: long, n: long>>, strings array<struct<key: long, n: long>>"
     run = _scorer(folds, held, depth, string_folder if loaded else None, often_folder, norm, train_docs)
-    scored = materialize(rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(run, schema), "ctw-scored")
+    scored = materialize(rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(lean(run, _WORDS), schema), "ctw-scored")
     # Words not settled: their count is in the table of words (1 in training rows and words of the table are settled there).
     once = words.select("key", "n") if not loaded else words.where("n = 1").select("key", "n")
     left = scored.select("doc_id", "text_key", F.explode("left").alias("w")).select("doc_id", "text_key", F.col("w.key").alias("key"), F.col("w.n").alias("times")).distinct()

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rundelta.llm.common import materialize, ready
+from rundelta.llm.common import discard, lean, materialize, ready
 
 WORDS, ROWS, BANDS = 5, 6, 40
 BATCH = 24
@@ -42,10 +42,14 @@ _PLACE = _rng.integers(0, 1 << 62, WORDS, dtype=np.uint64) * np.uint64(2) + np.u
 
 
 class _Hashes(dict):
+    """Hashes of words met before: at most 150,000 words of at most 64 bytes (some 30 MB)."""
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) >= 150_000:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -238,16 +242,19 @@ def _exact(percent: int):
 
 
 def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, text) of the wanted nodes, each from the row of its smallest identifier."""
+    """(node, text) of the wanted nodes, once each, from a row of its smallest identifier.
+
+    Rows that repeat a node's identifier and text are many at most where identifiers repeat or are null.
+    """
     need = materialize(wanted.distinct().join(nodes.select("node", F.col("label.ord").alias("ord"), "tk"), "node"), "neardup-need")
-    return join_small(docs, need, ["ord", "tk"], 72).select("node", "text")
+    return join_small(docs, need, ["ord", "tk"], 72).groupBy("node").agg(F.first("text").alias("text"))
 
 
 def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose full sets reach the threshold."""
     texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes, docs)
     named = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "a_text"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "b_text"}), "b")
-    return materialize(named.select("a", "b", "a_text", "b_text").mapInArrow(_exact(percent), "a binary, b binary").distinct(), "neardup-links")
+    return materialize(named.select("a", "b", "a_text", "b_text").mapInArrow(lean(_exact(percent), _HASHES), "a binary, b binary").distinct(), "neardup-links")
 
 
 def verify_blocks(blocks: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -255,24 +262,34 @@ def verify_blocks(blocks: DataFrame, nodes: DataFrame, docs: DataFrame, percent:
     key = ["bucket", "left", "right"]
     members = blocks.select(*key, F.posexplode("nodes").alias("pos", "node"))
     texts = members.join(_texts(members.select("node"), nodes, docs), "node").groupBy(*key).agg(F.collect_list(F.struct("pos", "text")).alias("texts"))
-    found = blocks.join(texts, key).select(*key, "nodes", "i", "j", "texts").mapInArrow(_exact_blocks(percent), "a binary, b binary")
+    found = blocks.join(texts, key).select(*key, "nodes", "i", "j", "texts").mapInArrow(lean(_exact_blocks(percent), _HASHES), "a binary, b binary")
     return materialize(found.distinct(), "neardup-links")
 
 
 def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, comp for every node with a link: the smallest label that it reaches.
 
-    Labels spread along links until none changes; every round is written to shared storage.
+    Every node points to the smallest label known to it.  In a round it takes the least of the label
+    that its pointer points to, and of those of its neighbours; the node pointed to before takes it as
+    well.  So trees of pointers halve in height and hook onto each other, and rounds grow with the
+    logarithm of a chain's length.  A round is written to shared storage, the one before is deleted.
     """
     both = materialize(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "neardup-edges")
     labels = materialize(both.select(F.col("a").alias("node")).distinct().join(nodes.select("node", F.col("label").alias("comp")), "node"), "neardup-labels")
     while True:
-        told = both.join(labels, both.a == labels.node).groupBy("b").agg(F.min("comp").alias("told"))
-        new = labels.join(told, labels.node == told.b, "left").select("node", F.coalesce(F.least("comp", "told"), "comp").alias("comp"), (F.col("told") < F.col("comp")).alias("moved"))
+        above = labels.select(F.col("node").alias("up"), F.col("comp").alias("over"))
+        jumped = materialize(labels.join(above, labels.comp.node == above.up).select("node", "comp", "over"), "neardup-jumped")
+        told = both.join(jumped.select(F.col("node").alias("a"), "over"), "a").groupBy("b").agg(F.min("over").alias("told"))
+        heard = jumped.join(told, jumped.node == told.b).select("node", "comp", F.least("over", "told").alias("least"))
+        hooks = heard.where("least < comp").select(F.explode(F.array("node", "comp.node")).alias("hook"), "least").groupBy("hook").agg(F.min("least").alias("least"))
+        new = labels.join(hooks, labels.node == hooks.hook, "left").select("node", F.least("comp", "least").alias("comp"), F.coalesce(F.col("least") < F.col("comp"), F.lit(False)).alias("moved"))
         new = materialize(new, "neardup-labels")
-        if not new.where("moved").limit(1).count():
-            return new.select("node", "comp")
-        labels = new.select("node", "comp")
+        moved = new.where("moved").limit(1).count()
+        discard(labels, jumped)
+        labels = new
+        if not moved:
+            discard(both)
+            return labels.select("node", "comp")
 
 
 def _tile_groups(rows: DataFrame) -> DataFrame:
@@ -327,11 +344,11 @@ def _judged(docs: DataFrame, percent: int, miss: float, id_col: str, text_col: s
     ready(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.withColumns({"ord": F.coalesce("doc_id", F.lit(LAST)), "tk": F.xxhash64("text")})
-    rows = materialize(docs.mapInArrow(_signatures, "doc_id long, ord long, tk long, n_shingles long, node binary, sig binary"), "neardup-rows")
+    rows = materialize(docs.mapInArrow(lean(_signatures, _HASHES), "doc_id long, ord long, tk long, n_shingles long, node binary, sig binary"), "neardup-rows")
     full = rows.where("node is not null").groupBy("node").agg(F.min(F.struct("ord", "tk")).alias("first"), F.first("sig").alias("sig"))
     # The node itself is in its label: identifiers may repeat or be null in unlike texts.
     nodes = materialize(full.select("node", F.struct("first.ord", "first.tk", "node").alias("label"), F.col("first.tk").alias("tk"), "sig"), "neardup-nodes")
-    bands = nodes.select("node", "sig").mapInArrow(_bands, "node binary, buckets array<long>").select("node", F.posexplode("buckets").alias("band", "bucket"))
+    bands = nodes.select("node", "sig").mapInArrow(lean(_bands), "node binary, buckets array<long>").select("node", F.posexplode("buckets").alias("band", "bucket"))
     shared = bands.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     shared = materialize(shared, "neardup-buckets")
     met = materialize(join_small(bands, shared, "bucket", 96), "neardup-members")
@@ -341,7 +358,7 @@ def _judged(docs: DataFrame, percent: int, miss: float, id_col: str, text_col: s
     placed = met.select("bucket", "band", "node").join(nodes.select("node", "label", "sig"), "node").join(comps, "node", "left").select("bucket", "band", "node", F.coalesce("comp", "label").alias("comp"), "sig")
     open_buckets = placed.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("n")).where("c0 < c1 and n > 2").select("bucket")
     rest = placed.join(open_buckets, "bucket", "left_semi")
-    blocks = materialize(_tile_groups(rest).mapInArrow(_tiles_alive(percent, miss), "bucket long, left int, right int, nodes array<binary>, i array<int>, j array<int>"), "neardup-blocks")
+    blocks = materialize(_tile_groups(rest).mapInArrow(lean(_tiles_alive(percent, miss)), "bucket long, left int, right int, nodes array<binary>, i array<int>, j array<int>"), "neardup-blocks")
     if blocks.count():
         links = links.union(verify_blocks(blocks, nodes, docs, percent))
         comps = components(links, nodes)
@@ -353,4 +370,4 @@ def _alive(pairs: DataFrame, nodes: DataFrame, percent: int, miss: float) -> Dat
     """Pairs that the batches of MinHash values do not rule out."""
     sigs = nodes.select("node", "sig")
     named = pairs.join(sigs.withColumnsRenamed({"node": "a", "sig": "a_sig"}), "a").join(sigs.withColumnsRenamed({"node": "b", "sig": "b_sig"}), "b")
-    return materialize(named.select("a", "b", "a_sig", "b_sig").mapInArrow(_pairs_alive(percent, miss), "a binary, b binary"), "neardup-pairs")
+    return materialize(named.select("a", "b", "a_sig", "b_sig").mapInArrow(lean(_pairs_alive(percent, miss)), "a binary, b binary"), "neardup-pairs")

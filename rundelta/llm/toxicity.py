@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rundelta.llm.common import bucket_of, ready
+from rundelta.llm.common import bucket_of, lean, ready
 
 #: Identity terms by group: fixed values, in English, German, French and Spanish.
 IDENTITY_GROUPS = (
@@ -148,8 +148,8 @@ def _bags(batches):
 def fit_on_tables(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, max_rows: int = 10_000, **settings) -> ToxicityModel:
     """Fit on labelled documents outside the held-out fold ``crc32(doc_id as text) mod folds = held``.
 
-    At most ``max_rows`` labelled rows are used, those of smallest identifier hash; only their word sets
-    reach the driver.  Rows with a null identifier, label or a label but 0 and 1 are not learned from.
+    At most ``max_rows`` labelled identifiers are used, those of smallest hash, and at most twice as many
+    documents of them, should identifiers repeat; only their word sets reach the driver.  Rows with a null identifier, label or a label but 0 and 1 are not learned from.
     """
     spark = ready(docs.sparkSession)
     usable = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("label")).where("label in (0, 1) and label_id is not null")
@@ -159,7 +159,7 @@ def fit_on_tables(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int
         return fit([], np.zeros(0), **settings)
     chosen = F.broadcast(spark.createDataFrame([tuple(r) for r in picked], "label_id long, label int"))
     sample = docs.select(F.col("doc_id").cast("long").alias("label_id"), F.col("text").cast("string").alias("text")).join(chosen, "label_id").select("label", "text")
-    found = sample.mapInArrow(_bags, "label int, bag binary").orderBy(F.crc32("bag"), "bag").limit(2 * max_rows).toArrow()
+    found = sample.mapInArrow(lean(_bags), "label int, bag binary").orderBy(F.crc32("bag"), "bag").limit(2 * max_rows).toArrow()
     return fit(PackedBags(found["bag"]), found["label"].to_numpy(), **settings)
 
 
@@ -178,7 +178,7 @@ def score(docs: DataFrame, model: ToxicityModel, folds: int = 4, held: int = 2,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held_out), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
@@ -190,4 +190,4 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) ->
         for batch in batches:
             yield batch.filter(pa.array(model.scores(batch.column(at).to_pylist()) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -238,6 +238,20 @@ def test_posterior_bound_drops_only_hopeless_pairs():
     b = a.copy()
     b[1, ::2] = 1
     assert neardup.plausible(a, b, 0.85, 1e-8).tolist() == [True, False]
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(neardup, "materialize", lambda df, tag, f=neardup.materialize: (rounds.append(tag), f(df, tag))[1])
+    order = list(range(200))
+    random.Random(5).shuffle(order)
+    name = lambda n: n.to_bytes(16, "big")
+    label = lambda n: (order[n], 0, name(n))
+    nodes = spark.createDataFrame([(name(n), label(n)) for n in range(200)], "node binary, label struct<ord: long, tk: long, node: binary>")
+    links = spark.createDataFrame([(name(n), name(n + 1)) for n in range(199) if n != 99], "a binary, b binary")
+    got = {int.from_bytes(r["node"], "big"): r["comp"]["ord"] for r in neardup.components(links, nodes).collect()}
+    assert got == {n: min(order[:100] if n < 100 else order[100:]) for n in range(200)}
+    assert rounds.count("neardup-jumped") <= 10
+
+
 
 
 # --- repeated substrings --------------------------------------------------------------------------
