@@ -139,14 +139,19 @@ def link_factors(links: DataFrame, keys: list[str], average: str = "volume", uns
     """keys, dev_lag, factor, n_selected and flags: one aggregate over the included links.
 
     An age without a usable factor (none left, or not positive) takes 1 and ``unity_fallback`` with
-    ``unsupported='unity'``, else its factor is null.
+    ``unsupported='unity'``; its factor is null with ``null``; ``raise`` turns it down, which runs a job.
     """
+    if unsupported not in ("unity", "null", "raise"):
+        raise Refusal("invalid_option", f"unsupported {unsupported!r}")
     on = F.col("included")
     kept = links.withColumns({c: F.when(on, F.col(c)) for c in ("previous", "following", "ratio")})
     out = kept.groupBy(*keys, "dev_lag").agg(factor_of(average).alias("factor"), F.count_if(on).alias("n_selected"), F.bool_or("bounds_skipped").alias("bounds_skipped"), F.bool_or("trimming_skipped").alias("trimming_skipped"))
     bad = ~usable(F.col("factor"))
     fallback = F.lit(1.0) if unsupported == "unity" else F.lit(None).cast("double")
-    return out.withColumns({"unity_fallback": bad, "factor": F.when(bad, fallback).otherwise(F.col("factor"))})
+    out = out.withColumns({"unity_fallback": bad, "factor": F.when(bad, fallback).otherwise(F.col("factor"))})
+    if unsupported == "raise":
+        require_none(factor_refusals(out, keys))
+    return out
 
 
 def factor_refusals(factors: DataFrame, keys: list[str]) -> DataFrame:

@@ -231,9 +231,12 @@ def apply_weights(draws: DataFrame, weights: DataFrame, keys: list[str], n_draws
     return met.select(*keys, (F.col("draw") + F.col("from")).alias("draw"), "model", "value")
 
 
-def quantile_type8(column: str, p: float) -> Column:
-    """Median-unbiased quantile of a group: position (n + 1/3) p + 1/3 in the sorted values."""
-    return F.expr(
-        f"transform(array(array_sort(collect_list({column}))), s -> transform(array(greatest(1D, least(cast(size(s) as double), (size(s) + 1/3D) * {p} + 1/3D))), "
-        "h -> element_at(s, cast(floor(h) as int)) + (h - floor(h)) * (element_at(s, cast(least(ceil(h), cast(size(s) as double)) as int)) - element_at(s, cast(floor(h) as int))))[0])[0]"
-    )
+def quantile_type8(df: DataFrame, keys: list[str], column: str, p: float) -> DataFrame:
+    """keys, n, quantile: the median-unbiased quantile, at place (n + 1/3) p + 1/3 of a group's sorted values."""
+    placed = ranked(df.where(F.col(column).isNotNull()).select(*keys, column), [*keys, column], "_rank")
+    sizes = placed.groupBy(*keys).agg(F.min("_rank").alias("_first"), F.count(F.lit(1)).alias("n"))
+    place = F.greatest(F.lit(1.0), F.least(F.col("n").cast("double"), (F.col("n") + 1 / 3) * p + 1 / 3))
+    rows = placed.join(F.broadcast(sizes.withColumn("_at", place)), keys).withColumn("_i", F.col("_rank") - F.col("_first") + 1)
+    low, part = F.floor("_at"), F.col("_at") - F.floor("_at")
+    near = rows.where((F.col("_i") == low) | (F.col("_i") == low + 1))
+    return near.groupBy(*keys, "n").agg(F.sum(F.when(F.col("_i") == low, (1 - part) * F.col(column)).otherwise(part * F.col(column))).alias("quantile"))

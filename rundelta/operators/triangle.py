@@ -96,6 +96,32 @@ class Triangle:
                 raise Refusal("missing_value", f"null segments: {bad.asDict()}")
         return out
 
+    @classmethod
+    def from_columns(cls, spark: SparkSession, columns, **options) -> Triangle:
+        """From what is in memory: a dict of columns, an Arrow table or a pandas frame, as ``from_long`` takes it."""
+        import pyarrow as pa
+
+        return cls.from_long(spark.createDataFrame(pa.table(columns) if isinstance(columns, dict) else columns), **options)
+
+    @classmethod
+    def from_wide(cls, wide: DataFrame, segments: list[str] = (), origin: str = "origin_period", field: str = "paid_loss", **meta) -> Triangle:
+        """From a row per origin and a column per age (named by months); null cells are unobserved."""
+        ages = [c for c in wide.columns if c not in (*segments, origin)]
+        if not ages or not all(a.isdigit() for a in ages):
+            raise Refusal("invalid_age", f"columns {[a for a in ages if not a.isdigit()]}")
+        long = wide.withColumns({a: F.col(a).cast("double") for a in ages}).unpivot([*segments, origin], ages, "dev_lag", "value")
+        long = long.withColumns({"dev_lag": F.col("dev_lag").cast("bigint"), "field": F.lit(field)})
+        ends = F.last_day(F.add_months(F.col(origin), (F.col("dev_lag") - 1).cast("int")))
+        return cls.from_long(long.withColumn("eval_date", ends), origin=origin, **meta)
+
+    @classmethod
+    def from_arrow(cls, spark: SparkSession, table) -> Triangle:
+        """From what ``to_arrow`` made."""
+        if peek_kind(table) != "triangle":
+            raise Refusal("invalid_table", "not a triangle")
+        note = {k.decode(): v.decode() for k, v in table.schema.metadata.items()}
+        return cls(spark.createDataFrame(table.replace_schema_metadata(None)), TriangleMeta(*(note[k] for k in ("origin_grain", "dev_grain", "measure", "units"))))
+
     def with_df(self, df: DataFrame, **changes) -> Triangle:
         return Triangle(df, replace(self.meta, **changes))
 
@@ -117,6 +143,18 @@ class Triangle:
     def distinct(self, column: str) -> DataFrame:
         return self.df.select(column).distinct()
 
+    def summary(self) -> DataFrame:
+        """A row per field: cells, cohorts, first and last origin, age and evaluation date, one aggregate."""
+        cohort = F.count_distinct(F.struct(*self.segments)) if self.segments else F.lit(1)
+        ends = [f(c).alias(f"{n}_{c}") for c in ("origin_period", "dev_lag", "eval_date") for f, n in ((F.min, "first"), (F.max, "last"))]
+        return self.df.groupBy("field").agg(F.count(F.lit(1)).alias("n_cells"), cohort.cast("bigint").alias("n_cohorts"), F.count_distinct("origin_period").alias("n_origins"), F.count_distinct("dev_lag").alias("n_ages"), *ends)
+
+    def to_arrow(self):
+        """The whole table in memory, its meta data beside it; for triangles that a client can hold."""
+        m = self.meta
+        note = {"kind": "triangle", "origin_grain": m.origin_grain, "dev_grain": m.dev_grain, "measure": m.measure, "units": m.units}
+        return self.df.toArrow().replace_schema_metadata(note)
+
     def fields(self) -> list[str]:
         return sorted(r[0] for r in self.distinct("field").collect())
 
@@ -241,6 +279,22 @@ def _first_ranked(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("__rank", F.rank().over(w)).where("__rank = 1").drop("__rank")
 
 
+def peek_kind(table) -> str | None:
+    """What an Arrow table says it holds."""
+    return ((table.schema.metadata or {}).get(b"kind") or b"").decode() or None
+
+
+def inferred_step(df: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, step: the smallest distance between ages of a cohort, or its only age.
+
+    Ages are few, so their set is an aggregate's buffer.
+    """
+    ages = F.array_sort(F.collect_set("dev_lag"))
+    out = df.groupBy(*keys).agg(ages.alias("ages"))
+    gaps = F.zip_with(F.slice("ages", 2, F.size("ages")), F.slice("ages", 1, F.greatest(F.lit(1), F.size("ages") - 1)), lambda b, a: b - a)
+    return out.select(*keys, F.when(F.size("ages") > 1, F.array_min(gaps)).otherwise(F.col("ages")[0]).alias("step"))
+
+
 def run_off_violations(df: DataFrame, keys: list[str], step: int) -> DataFrame:
     """Origins that break the staircase: not observed from the first age on without a gap, or off the cohort's diagonal."""
     d = (F.col("dev_lag") / step).cast("bigint")

@@ -7,17 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rundelta.functions import scalars
 from rundelta.operators import backtest as bt
-from rundelta.operators import fits, methods, predictive, simulate
+from rundelta.operators import fits, methods, posterior, predictive, simulate
 from rundelta.operators import mack as mk
 from rundelta.operators.links import LinkRules, exhausted, link_factors, select_links
 from rundelta.operators.triangle import Triangle, run_off_violations
 from rundelta.operators.triangle import grid_findings as triangle_grid_findings
+from rundelta.operators.triangle import inferred_step as triangle_inferred_step
 from rundelta.operators.tuning import choice, tune, uniform
 from rundelta.plans.oracle import CL_OUT, MACK_OUT, mack_ctes, q, rules_sql
 from rundelta.sources import marts
 
 LOB, STEP = ["lob"], 12
+CELL_KEYS = ["lob", "origin_period", "dev_lag"]
 CATALOGUE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 
@@ -107,6 +110,31 @@ def to_wide(spark, d):
     return rounded(wide, **{"12": 4, "24": 4, "36": 4})
 
 
+@query(q('SELECT lob, origin_period, dev_lag, eval_date, round(value, 4) AS value FROM cells WHERE dev_lag <= 36'))
+def from_wide(spark, d):
+    """A column per age and back."""
+    c = marts.cells(spark, d)
+    wide = c.groupBy("lob", "origin_period").pivot("dev_lag", [12, 24, 36]).agg(F.sum("value"))
+    return rounded(Triangle.from_wide(wide, segments=LOB).df.select("lob", "origin_period", "dev_lag", "eval_date", "value"), value=4)
+
+
+@query(q("SELECT 'paid_loss' AS field, count(*) AS n_cells, count(DISTINCT lob) AS n_cohorts, count(DISTINCT origin_period) AS n_origins, count(DISTINCT dev_lag) AS n_ages, min(origin_period) AS first_origin_period, max(origin_period) AS last_origin_period, min(dev_lag) AS first_dev_lag, max(dev_lag) AS last_dev_lag, min(eval_date) AS first_eval_date, max(eval_date) AS last_eval_date FROM cells"))
+def triangle_summary(spark, d):
+    return as_triangle(marts.cells(spark, d)).summary()
+
+
+@query(q("SELECT lob, min(gap) AS step FROM (SELECT lob, dev_lag - lag(dev_lag) OVER (PARTITION BY lob ORDER BY dev_lag) AS gap FROM (SELECT DISTINCT lob, dev_lag FROM cells)) GROUP BY lob"))
+def inferred_step(spark, d):
+    return triangle_inferred_step(marts.cells(spark, d), LOB)
+
+
+@query(q("SELECT lob, origin_period, dev_lag, round(greatest(value - 5000000, 0), 4) AS clamped, round(greatest(value / 1e6 - 5, 0) + ln(1 + exp(-abs(value / 1e6 - 5))), 6) AS soft, last_day(origin_period + to_months(CAST(dev_lag - 1 AS INTEGER))) AS ends, round(pow(dev_lag - 6, 1.5) / (pow(dev_lag - 6, 1.5) + pow(24, 1.5)), 6) AS loglogistic, round(1 - exp(-pow((dev_lag - 6) / 24.0, 1.5)), 6) AS weibull FROM cells"))
+def scalar_functions(spark, d):
+    v, age = F.col("value"), F.col("dev_lag") - 6
+    out = marts.cells(spark, d).select(*CELL_KEYS, F.greatest(v - 5000000, F.lit(0.0)).alias("clamped"), scalars.softplus(v / 1e6 - 5).alias("soft"), scalars.month_end(F.col("origin_period"), F.col("dev_lag")).alias("ends"), scalars.growth_share(age, 1.5, 24, "loglogistic").alias("loglogistic"), scalars.growth_share(age, 1.5, 24, "weibull").alias("weibull"))
+    return rounded(out, clamped=4, soft=6, loglogistic=6, weibull=6)
+
+
 @query(q("SELECT lob, origin_period, dev_lag, 'claim_count' AS field, round(CAST(qty AS DOUBLE), 4) AS value FROM inc"))
 def select_fields(spark, d):
     t = marts.increments(spark, d, fields=("paid_loss", "claim_count")).select_fields("claim_count")
@@ -629,9 +657,9 @@ def pseudo_pits(spark, d):
     return pseudo_draws(spark, d).select("lob", "draw", ((F.col("draw") * 7919 % 100003).cast("double") / 100003).alias("pit"))
 
 
-@query(q("SELECT lob, n, round(d, 6) AS d, round(1.36 / sqrt(n), 6) AS critical_5pct, d > 1.36 / sqrt(n) AS reject_5pct FROM (SELECT lob, max(n) AS n, max(greatest(i / n - pit, pit - (i - 1) / n)) AS d FROM (SELECT lob, pit, CAST(row_number() OVER (PARTITION BY lob ORDER BY pit) AS DOUBLE) AS i, count(*) OVER (PARTITION BY lob) AS n FROM pi) GROUP BY 1)", _DRAWS, _PITS))
+@query(q("SELECT lob, n, round(d, 6) AS d, round(greatest(0, least(1, list_sum(list_transform(range(1, 101), lambda k: 2 * (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * k * k * n * d * d))))), 6) AS p_value, round(1.36 / sqrt(n), 6) AS critical_5pct, d > 1.36 / sqrt(n) AS reject_5pct FROM (SELECT lob, max(n) AS n, max(greatest(i / n - pit, pit - (i - 1) / n)) AS d FROM (SELECT lob, pit, CAST(row_number() OVER (PARTITION BY lob ORDER BY pit) AS DOUBLE) AS i, count(*) OVER (PARTITION BY lob) AS n FROM pi) GROUP BY 1)", _DRAWS, _PITS))
 def ks_uniformity(spark, d):
-    return rounded(predictive.ks_uniformity(pseudo_pits(spark, d), LOB).drop("p_value"), d=6, critical_5pct=6)
+    return rounded(predictive.ks_uniformity(pseudo_pits(spark, d), LOB), d=6, p_value=6, critical_5pct=6)
 
 
 @query(q("SELECT lob, i, round(pit, 6) AS observed_p, round(CAST(i AS DOUBLE) / (n + 1), 6) AS expected_p FROM (SELECT lob, pit, CAST(row_number() OVER (PARTITION BY lob ORDER BY pit) AS BIGINT) AS i, count(*) OVER (PARTITION BY lob) AS n FROM pi)", _DRAWS, _PITS))
@@ -656,6 +684,16 @@ def logmeanexp(spark, d):
     return rounded(predictive.log_mean_exp(draws, LOB, "lv"), log_mean_exp=6)
 
 
+@query(q("SELECT lob, round(pow(sum(value), 2) / sum(value * value), 4) AS ess FROM dr GROUP BY lob", _DRAWS))
+def kish_ess(spark, d):
+    return rounded(predictive.kish_ess(pseudo_draws(spark, d), LOB, "value"), ess=4)
+
+
+@query(q("SELECT lob, n, round((1 - (h - floor(h))) * v[CAST(floor(h) AS INTEGER)] + (h - floor(h)) * v[CAST(least(floor(h) + 1, n) AS INTEGER)], 4) AS quantile FROM (SELECT lob, count(*) AS n, list_sort(list(value)) AS v, greatest(1.0, least(CAST(count(*) AS DOUBLE), (count(*) + 1.0 / 3) * 0.3 + 1.0 / 3)) AS h FROM dr GROUP BY lob)", _DRAWS))
+def quantile_type8(spark, d):
+    return rounded(predictive.quantile_type8(pseudo_draws(spark, d), LOB, "value", 0.3), quantile=4)
+
+
 _SCORES = """sc0 AS (
   SELECT 'a' AS model, lob, origin_period, dev_lag, -abs(ratio - 1.2) AS elpd, abs(ratio - 1.2) AS crps FROM links
   UNION ALL SELECT 'b', lob, origin_period, dev_lag, CASE WHEN dev_lag >= 24 THEN -abs(ratio - 1.1) END, abs(ratio - 1.1) FROM links
@@ -909,6 +947,18 @@ def ml_boosting(spark, d):
     return fits.ml_development(marts.cells(spark, d), LOB, STEP, "boosting")
 
 
+def _posterior(model):
+    def run(spark, d):
+        out = posterior.posterior(marts.cells(spark, d), marts.premiums(spark, d), LOB, model, n_draws=200, warm=200)
+        return predictive.summary(out.where("error is null").groupBy("lob", "draw").agg(F.sum("value").alias("value")), LOB)
+
+    return run
+
+
+for _name in posterior.MODELS:
+    query(name=f"{_name}_ultimates")(_posterior(_name))
+
+
 @query()
 def growth_posterior(spark, d):
     return fits.metropolis(marts.cells(spark, d), marts.premiums(spark, d), LOB)
