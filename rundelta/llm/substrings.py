@@ -8,13 +8,15 @@ smallest (leftmost).  Equal windows have equal anchors at equal offsets, so
 2. around every other anchor the bytes of its windows are cut out (a *context*), and equal contexts
    collapse to their first occurrence by a partial aggregate;
 3. contexts that share an anchor hash but differ are sorted in both directions: the bytes from the
-   anchor on, and the bytes before it backwards.  Sorting is deep-shallow: multikey quicksort on
-   eight-byte symbols to ``SHALLOW`` bytes, then a blind trie orders each group that is still tied; it
+   anchor on, and the bytes before it backwards.  Sorting is deep-shallow: multikey quicksort (three-way
+   partitions on eight-byte symbols, all segments of a level at once) to ``SHALLOW`` bytes, then a blind trie orders each group that is still tied; it
    gives the order and the longest common prefixes.  A window at offset ``o`` equals another if they
    lie in one run of both orders, with common prefixes of at least ``LENGTH - o`` and ``o`` bytes; the
    first of each class stays;
-4. an anchor hash with more than ``GROUP`` different contexts is not gathered: its windows are matched
-   one by one through a partial aggregate on their bytes.
+4. an anchor hash with more than ``GROUP`` different contexts is parted first: the range of offsets is
+   halved, contexts are cut to each half, equal ones collapse, and those that differ in the bytes which
+   all windows of the half hold go to different groups.  Halving goes on where a group is still large;
+   at a single offset these bytes are the window itself, so every group ends up small enough to sort.
 
 Every occurrence but the first marks ``LENGTH`` bytes for removal.
 """
@@ -28,13 +30,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rundelta.llm.common import materialize, partitions_for, ready
+from rundelta.llm.common import lean, materialize, partitions_for, ready
 from rundelta.llm.ctw import _written, load_table
 from rundelta.llm.neardup import join_small
 
 LENGTH, GRAM, SHALLOW, GROUP = 100, 24, 16, 2048
-#: Repeated anchor hashes that workers load at once; more are taken in turns.
+#: Repeated anchor hashes that workers load as a table; more are joined.
 LOADED = 12_000_000
+#: Windows whose anchors are found at once; positions among them are packed in 28 bits.
+AT_ONCE = 1 << 27
+#: Rows of small groups that are sorted together.
+TOGETHER = 20_000
+#: Parts of the rows of one fingerprint.
+SALTS = 16
 FIRST = -(1 << 63)
 
 
@@ -58,6 +66,8 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 
     Places count from the text's start; an offset is the anchor's place less the window's.
     """
+    if sum(map(len, texts)) > AT_ONCE + LENGTH:
+        return _anchors_of_parts(texts)
     none = tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),)
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
@@ -83,6 +93,16 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return number, place - begins[number], place - ends, place - starts, h[place]
 
 
+def _anchors_of_parts(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Anchors of very long texts, from parts that overlap by a window less a byte; a run across a cut is two."""
+    found = []
+    for n, t in enumerate(texts):
+        for lo in range(0, max(1, len(t) - LENGTH + 1), AT_ONCE):
+            _, place, a, b, h = anchors([t[lo : lo + AT_ONCE + LENGTH - 1]])
+            found.append((np.full(len(place), n), place + lo, a, b, h))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def _in_chunks(batch, text_at: int, most: int = 1_500_000):
     """Row numbers and texts as bytes, some megabytes at a time."""
     rows, texts, size = [], [], 0
@@ -108,24 +128,40 @@ def _places(batches):
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(tag.view(np.int64))], ["h", "place"])
 
 
-def _contexts(folder: str):
-    schema = pa.schema([("ord", pa.int64()), ("tk", pa.int64()), ("h", pa.int64()), ("pos", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("ctx", pa.binary())])
+_FOUND = pa.schema([("ord", pa.int64()), ("tk", pa.int64()), ("h", pa.int64()), ("pos", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])
+
+
+def _contexts(folder: str | None):
+    """Anchors with their contexts: those in the table of a folder, or else all, without contexts."""
+    schema = _FOUND.append(pa.field("ctx", pa.binary())) if folder else _FOUND
 
     def run(batches):
-        known = load_table(folder, 0.0)
+        known = load_table(folder, 0.0) if folder else None
         for batch in batches:
             ords, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for rows, texts in _in_chunks(batch, 2):
                 number, place, lo, hi, h = anchors(texts)
-                hit = known.get(h) > 0
-                number, place, lo, hi, h = number[hit], place[hit], lo[hit], hi[hit], h[hit]
+                if folder:
+                    hit = known.get(h) > 0
+                    number, place, lo, hi, h = number[hit], place[hit], lo[hit], hi[hit], h[hit]
                 row = np.array(rows)[number]
-                cut = [texts[n][p - b : p - a + LENGTH] for n, p, a, b in zip(number.tolist(), place.tolist(), lo.tolist(), hi.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(ords[row]), pa.array(keys[row]), pa.array(h.view(np.int64)), pa.array(place.astype(np.int32)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(cut, pa.binary())], schema=schema)
+                out = [pa.array(ords[row]), pa.array(keys[row]), pa.array(h.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (place, lo, hi))]
+                if folder:
+                    cut = [texts[n][p - b : p - a + LENGTH] for n, p, a, b in zip(number.tolist(), place.tolist(), lo.tolist(), hi.tolist(), strict=True)]
+                    out.append(pa.array(cut, pa.binary()))
+                yield pa.RecordBatch.from_arrays(out, schema=schema)
 
     return run
 
 
+def _cut(batches):
+    """Contexts of the anchors listed beside each text."""
+    for batch in batches:
+        for ord_, tk, text, listed in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            raw = (text or "").encode("utf-8", "surrogatepass")
+            yield pa.RecordBatch.from_pylist([{"ord": ord_, "tk": tk, **x, "ctx": raw[x["pos"] - x["hi"] : x["pos"] - x["lo"] + LENGTH]} for x in listed], schema=_FOUND.append(pa.field("ctx", pa.binary())))
+
+
 class _BlindTrie:
     """A Patricia tree over strings of one length that all share their first bytes.
 
@@ -188,6 +224,41 @@ class _BlindTrie:
         return order, common
 
 
+def multikey_quicksort(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of rows by their symbols, and in it whether a row differs from the one before.
+
+    Every segment of more than one row is parted in three by its pivot (the median of its first, middle and
+    last symbol): smaller, equal, larger; rows of the equal part go on to the next symbol.  All segments
+    are parted in one round of array operations.
+    """
+    n, words = symbols.shape
+    order, depth = np.arange(n), np.zeros(n, dtype=np.int64)
+    begins = np.zeros(n, dtype=bool)
+    begins[:1] = True
+    while True:
+        starts = np.flatnonzero(begins)
+        sizes = np.diff(np.append(starts, n))
+        live = (sizes > 1) & (depth[starts] < words)
+        if not live.any():
+            return order, begins
+        starts, sizes = starts[live], sizes[live]
+        first = np.cumsum(sizes) - sizes
+        seg = np.repeat(np.arange(len(sizes)), sizes)
+        at = np.arange(len(seg)) - first[seg] + starts[seg]
+        own = symbols[order[at], depth[at]]
+        three = np.sort(np.stack([own[first], own[first + sizes // 2], own[first + sizes - 1]]), axis=0)
+        pivot = three[1][seg]
+        smaller, larger = own < pivot, own > pivot
+        equal = ~smaller & ~larger
+        before = [np.cumsum(x) - x for x in (smaller, equal, larger)]
+        within = [b - b[first][seg] for b in before]
+        n_small, n_equal = np.add.reduceat(smaller.astype(np.int64), first), np.add.reduceat(equal.astype(np.int64), first)
+        place = np.where(smaller, within[0], np.where(equal, n_small[seg] + within[1], (n_small + n_equal)[seg] + within[2])) + starts[seg]
+        order[place], depth[place] = order[at], depth[at] + equal
+        cuts = np.concatenate([starts + n_small, starts + n_small + n_equal])
+        begins[cuts[cuts < np.tile(starts + sizes, 2)]] = True
+
+
 def deep_shallow(strings: list[bytes], shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """Order of strings of one length, and the common prefix of each with the one before it in that order."""
     n = len(strings)
@@ -196,12 +267,8 @@ def deep_shallow(strings: list[bytes], shallow: int = SHALLOW) -> tuple[np.ndarr
     size = len(strings[0])
     words = max(1, min(shallow, size) // 8)
     head = np.frombuffer(b"".join(s[: 8 * words].ljust(8 * words, b"\0") for s in strings), dtype=">u8").reshape(n, words).astype(np.uint64)
-    order, group = np.arange(n), np.zeros(n, dtype=np.int64)
-    for w in range(words):  # multikey quicksort: a symbol at a time inside groups that are tied so far
-        by = np.lexsort((head[order, w], group))
-        order, group = order[by], group[by]
-        differs = (head[order[1:], w] != head[order[:-1], w]) | (group[1:] != group[:-1])
-        group = np.concatenate([[0], np.cumsum(differs)])
+    order, begins = multikey_quicksort(head)
+    group = np.cumsum(begins)
     common = np.zeros(n, dtype=np.int64)
     if n > 1:
         x = head[order[1:]] ^ head[order[:-1]]
@@ -261,33 +328,52 @@ _KEPT = pa.schema([("ord", pa.int64()), ("tk", pa.int64()), ("pos", pa.int32()),
 
 
 def _sorted_groups(batches):
-    """Contexts of whole groups to the offsets at which they are first, as runs."""
-    rows: list[dict] = [r for batch in batches for r in batch.to_pylist()]
-    if not rows:
-        return
-    rows.sort(key=lambda r: (r["h"], r["ord"], r["tk"], r["pos"]))
-    lo = 0
-    while lo < len(rows):
-        hi = min(len(rows), lo + 20_000)
-        while hi < len(rows) and rows[hi]["h"] == rows[hi - 1]["h"]:
-            hi += 1
-        part = rows[lo:hi]
+    """Contexts, in order of their groups, to the offsets at which they are first, as runs."""
+
+    def done(part):
+        part.sort(key=lambda r: (r["g"], r["ord"], r["tk"], r["pos"]))
         flags = first_windows([r["ctx"] for r in part], np.array([r["lo"] for r in part]), np.array([r["hi"] for r in part]), np.arange(len(part)))
         out = [{"ord": r["ord"], "tk": r["tk"], "pos": r["pos"], "first": a, "last": b} for r, f in zip(part, flags, strict=True) for a, b in _runs(f)]
-        yield pa.RecordBatch.from_pylist(out, schema=_KEPT)
-        lo = hi
-
+        return pa.RecordBatch.from_pylist(out, schema=_KEPT)
 
-def _windows(batches):
+    part: list[dict] = []
     for batch in batches:
-        r = batch.to_pydict()
-        out = {"ord": [], "tk": [], "pos": [], "o": [], "w1": [], "w2": []}
-        for ord_, tk, pos, lo, hi, ctx in zip(*(r[c] for c in ("ord", "tk", "pos", "lo", "hi", "ctx")), strict=True):
-            for o in range(lo, hi + 1):
-                d = hashlib.md5(ctx[hi - o : hi - o + LENGTH]).digest()
-                for k, v in zip(out, (ord_, tk, pos, o, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)), strict=True):
-                    out[k].append(v)
-        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("ord", pa.int64()), ("tk", pa.int64()), ("pos", pa.int32()), ("o", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64())]))
+        for r in batch.to_pylist():
+            if len(part) >= TOGETHER and r["g"] != part[-1]["g"]:
+                yield done(part)
+                part = []
+            part.append(r)
+    if part:
+        yield done(part)
+
+
+def _halved(large: DataFrame) -> DataFrame:
+    """Contexts cut to each half of their group's offsets ``a`` to ``b``; ``g`` tells what all windows of a half hold."""
+    middle = F.expr("(a + b) div 2").cast("int")
+    halves = F.explode(F.array(F.struct(F.col("a").alias("a"), middle.alias("b")), F.struct((middle + 1).alias("a"), F.col("b").alias("b"))))
+    rows = large.select("ord", "tk", "pos", "h", "ctx", "lo", "hi", halves.alias("part")).withColumns({"low": F.greatest("lo", "part.a"), "high": F.least("hi", "part.b")}).where("low <= high")
+    # A context begins ``hi`` bytes before its anchor; a cut one ``high`` bytes before it.
+    cut = F.expr(f"substring(ctx, hi - high + 1, high - low + {LENGTH})")
+    core = F.expr(f"substring(ctx, hi - part.a + 1, part.a + {LENGTH} - part.b)")
+    rows = rows.select("ord", "tk", "pos", "h", F.col("part.a").alias("a"), F.col("part.b").alias("b"), cut.alias("ctx"), F.col("low").alias("lo"), F.col("high").alias("hi"), F.xxhash64("h", "part.a", "part.b", core).alias("g"))
+    first = F.min(F.struct("ord", "tk", "pos")).alias("at")
+    return rows.groupBy("g", "h", "a", "b", "lo", "hi", "ctx").agg(first).select("g", "h", "a", "b", "lo", "hi", "ctx", "at.*")
+
+
+def _first_runs(distinct: DataFrame, parts: int) -> DataFrame:
+    """(ord, tk, pos, first, last): the runs of offsets at which a distinct context is the first of its kind."""
+    found, level = None, distinct.withColumns({"g": F.col("h"), "a": F.lit(0), "b": F.lit(LENGTH - GRAM)})
+    while True:
+        level = materialize(level, "substr-level")
+        sizes = materialize(level.groupBy("g").agg(F.count(F.lit(1)).alias("m")), "substr-sizes")
+        lone = level.drop("ctx").join(sizes.where("m = 1"), "g", "left_semi").select("ord", "tk", "pos", F.col("lo").alias("first"), F.col("hi").alias("last"))
+        few = level.join(sizes.where(F.col("m").between(2, GROUP)), "g", "left_semi").select("g", "ord", "tk", "pos", "lo", "hi", "ctx")
+        few = few.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(lean(_sorted_groups), "ord long, tk long, pos int, first int, last int")
+        found = lone.union(few) if found is None else found.union(lone).union(few)
+        large = sizes.where(F.col("m") > GROUP)
+        if not large.limit(1).count():
+            return found
+        level = _halved(level.join(large, "g", "left_semi"))
 
 
 def _finish(batches):
@@ -341,27 +427,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Whole copies of an earlier text.
     skinny = long_rows.select("ord", "tk", F.md5("text").alias("fp"))
     firsts = skinny.groupBy("fp").agg(F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord")).where("first_ord < last_ord")
-    copies = materialize(skinny.join(firsts, "fp").where("ord > first_ord").select("ord", "tk").distinct(), "substr-copies").withColumn("copy", F.lit(True))
+    # The rows of one fingerprint may be many: they are parted, and its first row goes to every part.
+    firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    skinny = skinny.withColumn("salt", F.pmod(F.xxhash64("ord", "tk"), F.lit(SALTS)).cast("int"))
+    copies = materialize(skinny.join(firsts, ["fp", "salt"]).where("ord > first_ord").select("ord", "tk").distinct(), "substr-copies").withColumn("copy", F.lit(True))
     originals = join_small(long_rows, copies, ["ord", "tk"], 48, "left_anti")
-    hashes = originals.select("ord", "tk", "text").mapInArrow(_places, "h long, place long").groupBy("h").agg(F.min("place").alias("p0"), F.max("place").alias("p1")).where("p0 <> p1")
+    texts = originals.select("ord", "tk", "text")
+    hashes = texts.mapInArrow(lean(_places), "h long, place long").groupBy("h").agg(F.min("place").alias("p0"), F.max("place").alias("p1")).where("p0 <> p1")
     repeated, folder = _written(hashes.select(F.col("h").alias("key"), F.lit(1.0).alias("value")), "substr-hashes")
-    turns = max(1, -(-repeated.count() // LOADED))
-    schema = "ord long, tk long, h long, pos int, lo int, hi int, ctx binary"
-    found = None
-    for turn in range(turns):
-        part = folder if turns == 1 else _written(repeated.where(F.pmod(F.xxhash64("key"), F.lit(turns)) == turn), "substr-turn")[1]
-        one = originals.select("ord", "tk", "text").mapInArrow(_contexts(part), schema)
-        found = one if found is None else found.union(one)
+    schema = "ord long, tk long, h long, pos int, lo int, hi int"
+    if repeated.count() <= LOADED:
+        found = texts.mapInArrow(lean(_contexts(folder)), schema + ", ctx binary")
+    else:
+        # Beyond what a worker can hold, anchors go to the hashes, and contexts are cut from the texts of those that met.
+        met = texts.mapInArrow(lean(_contexts(None)), schema).join(repeated.select(F.col("key").alias("h")), "h")
+        listed = met.groupBy("ord", "tk").agg(F.collect_list(F.struct("h", "pos", "lo", "hi")).alias("listed"))
+        once = texts.groupBy("ord", "tk").agg(F.first("text").alias("text"))
+        found = once.join(listed, ["ord", "tk"]).select("ord", "tk", "text", "listed").mapInArrow(lean(_cut), schema + ", ctx binary")
     found = materialize(found, "substr-contexts")
     first = F.min(F.struct("ord", "tk", "pos")).alias("at")
-    distinct = materialize(found.groupBy("h", "lo", "hi", "ctx").agg(first).select("h", "lo", "hi", "ctx", "at.*"), "substr-distinct")
-    sizes = materialize(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("m")), "substr-sizes")
-    lone = distinct.drop("ctx").join(sizes.where("m = 1"), "h", "left_semi").select("ord", "tk", "pos", F.col("lo").alias("first"), F.col("hi").alias("last"))
-    few = distinct.join(sizes.where(F.col("m").between(2, GROUP)).select("h"), "h", "left_semi")
-    few = few.repartition(partitions_for(rows), "h").mapInArrow(_sorted_groups, "ord long, tk long, pos int, first int, last int")
-    many = distinct.join(sizes.where(F.col("m") > GROUP).select("h"), "h", "left_semi").mapInArrow(_windows, "ord long, tk long, pos int, o int, w1 long, w2 long")
-    many = many.groupBy("w1", "w2", "o").agg(first).select("at.*", F.col("o").alias("first"), F.col("o").alias("last"))
-    kept = lone.union(few).union(many).groupBy("ord", "tk", "pos").agg(F.collect_list(F.struct("first", "last")).alias("kept"))
+    distinct = found.groupBy("h", "lo", "hi", "ctx").agg(first).select("h", "lo", "hi", "ctx", "at.*")
+    kept = _first_runs(distinct, partitions_for(rows)).groupBy("ord", "tk", "pos").agg(F.collect_list(F.struct("first", "last")).alias("kept"))
     # A first occurrence whose windows are all repeats of other contexts has an empty list: it is told from later ones by that alone.
     spans = found.select("ord", "tk", "pos", "lo", "hi").join(kept, ["ord", "tk", "pos"], "left")
     spans = spans.groupBy("ord", "tk").agg(F.collect_list(F.struct("pos", "lo", "hi", "kept")).alias("found"))
@@ -369,4 +455,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     out = rows.join(spans, ["ord", "tk"], "left")
     out = join_small(out, copies, ["ord", "tk"], 48, "left")
     types = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, stop: long>>"
-    return out.select("doc_id", "text", "copy", "found").mapInArrow(_finish, types)
+    return out.select("doc_id", "text", "copy", "found").mapInArrow(lean(_finish), types)

@@ -275,14 +275,20 @@ def test_repeats_match_brute_force(spark, texts):
     assert got == sorted(expected, key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
-def test_large_groups_take_the_other_way(spark, monkeypatch):
-    monkeypatch.setattr(substrings, "GROUP", 3)
+def test_large_groups_are_parted(spark, monkeypatch):
     rng = random.Random(2)
     shared = prose(rng, 40)
     rows = [(k, prose(rng, 8) + " " + shared + " " + prose(rng, 8)) for k in range(12)]
-    few = rows_of(substrings.remove_repeats(documents(spark, rows)), "doc_id", "n_removed", "kept_sha256")
-    monkeypatch.setattr(substrings, "GROUP", 256)
-    assert few == rows_of(substrings.remove_repeats(documents(spark, rows)), "doc_id", "n_removed", "kept_sha256")
+    for k in range(12):  # the shared passage with one word changed here and there
+        w = shared.split()
+        w[rng.randrange(len(w))] = "changed"
+        rows.append((100 + k, prose(rng, 4) + " " + " ".join(w) + " " + prose(rng, 4)))
+    columns = ["doc_id", "n_removed", "n_spans", "kept_sha256"]
+    whole = rows_of(substrings.remove_repeats(documents(spark, rows)), *columns)
+    monkeypatch.setattr(substrings, "GROUP", 3)
+    assert whole == rows_of(substrings.remove_repeats(documents(spark, rows)), *columns)
+    monkeypatch.setattr(substrings, "LOADED", 0)
+    assert whole == rows_of(substrings.remove_repeats(documents(spark, rows)), *columns)
     assert substrings.remove_repeats(documents(spark, []).limit(0)).count() == 0
 
 
@@ -297,6 +303,28 @@ def test_deep_shallow_sorts_with_common_prefixes():
         k = next((x for x in range(40) if out[n][x] != out[n - 1][x]), 40)
         assert common[n] == k
 
+def test_anchors_of_very_long_texts(monkeypatch):
+    texts = [prose(random.Random(n), 400).encode() for n in range(3)] + [b"short", b""]
+
+    def windows(found):
+        return {(n, p - o, p) for n, p, a, b in zip(*(x.tolist() for x in found[:4]), strict=True) for o in range(a, b + 1)}
+
+    whole = windows(substrings.anchors(texts))
+    assert len(whole) == sum(max(0, len(t) - 99) for t in texts)
+    monkeypatch.setattr(substrings, "AT_ONCE", 500)
+    assert windows(substrings.anchors(texts)) == whole
+
+
+def test_multikey_quicksort():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 2, 500):
+        rows = rng.integers(0, 4, (n, 3)).astype(np.uint64)
+        order, begins = substrings.multikey_quicksort(rows)
+        out = [tuple(r) for r in rows[order].tolist()]
+        assert out == sorted(out) and sorted(order.tolist()) == list(range(n))
+        assert begins.tolist() == [k == 0 or out[k] != out[k - 1] for k in range(n)]
+
+
 
 # --- scoring --------------------------------------------------------------------------------------
 
