@@ -5,7 +5,10 @@ dimension: the sorted lists.  For a query, lists are read from the end that adds
 some ranks at a time; each row met for the first time is scored by random access.  The score that a
 row not yet met can still reach is the query times the values at the depth reached (the threshold).
 Reading stops once that is below the k-th best score so far, or below that of the blocks which the
-task searched before.  So results are exact, ties included.
+task searched before.  So results are exact, ties included.  Where the ranks read have already met most
+rows of a block, the rest is scored at once instead of being looked for in the lists.
+
+A task keeps the k best of every query over all its blocks and returns them once, at its end.
 """
 
 from __future__ import annotations
@@ -18,20 +21,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rundelta.llm.common import materialize, ready
+from rundelta.llm.common import lean, materialize, ready
 
 BLOCK_ROWS = 16_384
-QUERY_ROWS = 512
+QUERY_ROWS = 4_096
+#: Results that a task holds before it returns them early, which costs rows only.
+HELD = 4_000_000
 
 
 def quantize(values: list, scale: float = 64.0) -> np.ndarray | None:
-    """``floor(scale * x)`` of each component as integers; None for null vectors and null or non-finite components."""
+    """``floor(scale * x)`` of each component as integers; None for null vectors and null or non-finite components.
+
+    Components beyond 64-bit integers are an error, as their products could not be returned.
+    """
     if values is None or any(v is None for v in values):
         return None
     x = np.floor(np.asarray(values, dtype=np.float64) * scale)
     if not np.isfinite(x).all():
         return None
-    return np.clip(x, -(2.0**62), 2.0**62).astype(np.int64)
+    if (np.abs(x) >= 2.0**62).any():
+        raise OverflowError(f"a component beyond 2^62 after scaling by {scale:g}")
+    return x.astype(np.int64)
 
 
 class Block:
@@ -73,9 +83,12 @@ class Block:
             met[self.lists[up, depth:to]] = True
             met[self.lists[down, n - to : n - depth]] = True
             new = np.flatnonzero(met & ~seen)
+            if 2 * (seen.sum() + len(new)) > n:
+                # Most rows are met: the others are scored with them, and nothing is left to look for.
+                new, to = np.flatnonzero(~seen), n
             seen[new] = True
             found.append(new)
-            scores.append(rows[new] @ q)
+            scores.append((rows @ q)[new] if 4 * len(new) > n and rows.dtype != object else rows[new] @ q)
             threshold = q[up] @ self.values[up, to - 1] + q[down] @ self.values[down, n - to]
             so_far = np.concatenate(scores)
             bound = floor
@@ -90,8 +103,7 @@ class Block:
             other = self.ids[at] != skip
             at, s = at[other], s[other]
         best = np.lexsort((self.ids[at], -s))[:k] if s.dtype != object else np.array(sorted(range(len(at)), key=lambda i: (-s[i], self.ids[at[i]]))[:k], dtype=np.int64)
-        clipped = np.array([max(-(2**63), min(2**63 - 1, int(x))) for x in s[best]], dtype=np.int64)
-        return self.ids[at[best]], clipped, len(so_far)
+        return self.ids[at[best]], np.array([int(x) for x in s[best]], dtype=np.int64), len(so_far)
 
 
 def _pack(rows_each: int, scale: float):
@@ -105,7 +117,9 @@ def _pack(rows_each: int, scale: float):
             m = np.zeros((len(rows), width), dtype="<i8")
             for i, r in enumerate(rows):
                 m[i, : len(r)] = r
-            return pa.RecordBatch.from_pylist([{"block": part * 100_000 + seq, "width": width, "ids": np.array(ids, "<i8").tobytes(), "rows": m.tobytes()}])
+            kind = next(t for t in ("<i2", "<i4", "<i8") if np.iinfo(t).min <= m.min(initial=0) and m.max(initial=0) <= np.iinfo(t).max)
+            m = m.astype(kind)
+            return pa.RecordBatch.from_pylist([{"block": part * 100_000 + seq, "width": width, "kind": kind, "ids": np.array(ids, "<i8").tobytes(), "rows": m.tobytes()}])
 
         for batch in batches:
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -122,30 +136,38 @@ def _pack(rows_each: int, scale: float):
     return run
 
 
-def _unpack(ids: bytes, rows: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(ids: bytes, rows: bytes, width: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
     i = np.frombuffer(ids, "<i8")
-    return i, np.frombuffer(rows, "<i8").reshape(len(i), width)
+    return i, np.frombuffer(rows, kind).reshape(len(i), width).astype(np.int64)
 
 
 def _search(k: int):
     def run(batches):
-        floors: dict[int, list] = {}
-        last, block = None, None
+        best: dict[int, tuple] = {}
+        held, last, block = 0, None, None
+
+        def results():
+            for q_ids, tops in best.values():
+                rows = [(int(q), i, -s) for q, top in zip(q_ids, tops, strict=True) for s, i in top]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 3, ["query_id", "vec_id", "score"])
+
         for batch in batches:
             for r in batch.to_pylist():
                 if r["block"] != last:
-                    block, last = Block(*_unpack(r["ids"], r["rows"], r["width"])), r["block"]
-                q_ids, q_rows = _unpack(r["q_ids"], r["q_rows"], r["q_width"])
-                tops = floors.setdefault(r["q_block"], [[] for _ in q_ids])
-                out: tuple[list, list, list] = ([], [], [])
+                    block, last = Block(*_unpack(r["ids"], r["rows"], r["width"], r["kind"])), r["block"]
+                q_ids, q_rows = _unpack(r["q_ids"], r["q_rows"], r["q_width"], r["q_kind"])
+                if r["q_block"] not in best:
+                    if held and held + k * len(q_ids) > HELD:
+                        yield from results()
+                        best, held = {}, 0
+                    best[r["q_block"]] = (q_ids, [[] for _ in q_ids])
+                    held += k * len(q_ids)
+                tops = best[r["q_block"]][1]
                 for n, (i, q) in enumerate(zip(q_ids, q_rows, strict=True)):
-                    best = tops[n]
-                    ids, scores, _ = block.top(q, k, best[k - 1] if len(best) >= k else None, int(i))
-                    tops[n] = sorted(best + scores.tolist(), reverse=True)[:k]
-                    out[0].append(np.full(len(ids), i))
-                    out[1].append(ids)
-                    out[2].append(scores)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], ["query_id", "vec_id", "score"])
+                    floor = -tops[n][k - 1][0] if len(tops[n]) >= k else None
+                    ids, scores, _ = block.top(q, k, floor, int(i))
+                    tops[n] = sorted([*tops[n], *zip((-scores).tolist(), ids.tolist(), strict=True)])[:k]
+        yield from results()
 
     return run
 
@@ -154,7 +176,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64
     """query_id, rank (from 1), vec_id, score: each query's k best rows by inner product, itself left out.
 
     Components count as ``floor(scale * x)``.  Both tables are packed into blocks on shared storage;
-    query blocks meet every corpus block once, in lanes, so tasks hold one block of each.
+    query blocks meet every corpus block once, in lanes; a task holds one block of each, and the results
+    of the queries it has met.
 
     Vectors that are null or hold null or non-finite components take no part, as query or candidate,
     nor do null identifiers; shorter vectors count as padded with zeros; repeated rows are candidates
@@ -162,14 +185,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64
     """
     spark = ready(vectors.sparkSession)
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("i"), F.col(vector_col).cast("array<double>").alias("v"))
-    schema = "block long, width long, ids binary, rows binary"
+    schema = "block long, width long, kind string, ids binary, rows binary"
     parts = max(1, math.ceil(vectors.count() / BLOCK_ROWS))
-    corpus = materialize(pick(vectors).repartition(parts, "i").mapInArrow(_pack(BLOCK_ROWS, scale), schema), "topk-corpus")
-    asked = materialize(pick(queries).repartition(max(1, math.ceil(parts / 8)), "i").mapInArrow(_pack(QUERY_ROWS, scale), schema), "topk-queries")
-    lanes = max(1, min(corpus.count(), 4 * spark.sparkContext.defaultParallelism))
+    corpus = materialize(pick(vectors).repartition(parts, "i").mapInArrow(lean(_pack(BLOCK_ROWS, scale)), schema), "topk-corpus")
+    asked = materialize(pick(queries).repartition(max(1, math.ceil(parts / 64)), "i").mapInArrow(lean(_pack(QUERY_ROWS, scale)), schema), "topk-queries")
+    lanes = max(1, min(parts, 4 * spark.sparkContext.defaultParallelism))
     corpus = corpus.withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lanes)))
-    asked = asked.select(F.col("block").alias("q_block"), F.col("width").alias("q_width"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"))
-    pairs = corpus.join(asked, corpus.lane == asked.lane.cast("long")).drop("lane")
-    found = pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in asked.columns], F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"))
+    # A merge join streams its left side and holds (or spills) the rows of the right one that match: all
+    # query blocks come one after the other for each block of the corpus.
+    pairs = corpus.join(asked.withColumn("lane", F.col("lane").cast("long")).hint("merge"), "lane").drop("lane")
+    found = pairs.mapInArrow(lean(_search(k)), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
