@@ -333,7 +333,9 @@ def _string_scores(depth: int, top: int, upper: dict[int, tuple]):
 def _written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     folder = shared_dir(df.sparkSession, tag)
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder), folder
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    out.written_to = folder
+    return out, folder
 
 
 def score_texts(docs: DataFrame, folds: int = 5, held: int = 1, depth: int = DEPTH, table_rows: int = TABLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rundelta.llm.common import lean, materialize, partitions_for, ready
+from rundelta.llm.common import discard, lean, materialize, partitions_for, ready
 from rundelta.llm.ctw import _written, load_table
 from rundelta.llm.neardup import join_small
 
@@ -360,19 +360,23 @@ def _halved(large: DataFrame) -> DataFrame:
     return rows.groupBy("g", "h", "a", "b", "lo", "hi", "ctx").agg(first).select("g", "h", "a", "b", "lo", "hi", "ctx", "at.*")
 
 
-def _first_runs(distinct: DataFrame, parts: int) -> DataFrame:
-    """(ord, tk, pos, first, last): the runs of offsets at which a distinct context is the first of its kind."""
-    found, level = None, distinct.withColumns({"g": F.col("h"), "a": F.lit(0), "b": F.lit(LENGTH - GRAM)})
+def _first_runs(distinct: DataFrame, parts: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(ord, tk, pos, first, last): the runs of offsets at which a distinct context is the first of its kind.
+
+    Beside them the written tables that they are read from.
+    """
+    written, found, level = [], None, distinct.withColumns({"g": F.col("h"), "a": F.lit(0), "b": F.lit(LENGTH - GRAM)})
     while True:
         level = materialize(level, "substr-level")
         sizes = materialize(level.groupBy("g").agg(F.count(F.lit(1)).alias("m")), "substr-sizes")
+        written += [level, sizes]
         lone = level.drop("ctx").join(sizes.where("m = 1"), "g", "left_semi").select("ord", "tk", "pos", F.col("lo").alias("first"), F.col("hi").alias("last"))
         few = level.join(sizes.where(F.col("m").between(2, GROUP)), "g", "left_semi").select("g", "ord", "tk", "pos", "lo", "hi", "ctx")
         few = few.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(lean(_sorted_groups), "ord long, tk long, pos int, first int, last int")
         found = lone.union(few) if found is None else found.union(lone).union(few)
         large = sizes.where(F.col("m") > GROUP)
         if not large.limit(1).count():
-            return found
+            return found, written
         level = _halved(level.join(large, "g", "left_semi"))
 
 
@@ -447,11 +451,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = materialize(found, "substr-contexts")
     first = F.min(F.struct("ord", "tk", "pos")).alias("at")
     distinct = found.groupBy("h", "lo", "hi", "ctx").agg(first).select("h", "lo", "hi", "ctx", "at.*")
-    kept = _first_runs(distinct, partitions_for(rows)).groupBy("ord", "tk", "pos").agg(F.collect_list(F.struct("first", "last")).alias("kept"))
+    runs, written = _first_runs(distinct, partitions_for(rows))
+    kept = runs.groupBy("ord", "tk", "pos").agg(F.collect_list(F.struct("first", "last")).alias("kept"))
     # A first occurrence whose windows are all repeats of other contexts has an empty list: it is told from later ones by that alone.
     spans = found.select("ord", "tk", "pos", "lo", "hi").join(kept, ["ord", "tk", "pos"], "left")
     spans = spans.groupBy("ord", "tk").agg(F.collect_list(F.struct("pos", "lo", "hi", "kept")).alias("found"))
     spans = materialize(spans, "substr-spans")
+    discard(repeated, found, *written)
     out = rows.join(spans, ["ord", "tk"], "left")
     out = join_small(out, copies, ["ord", "tk"], 48, "left")
     types = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, stop: long>>"
