@@ -12,7 +12,7 @@ from pathlib import Path
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of bytes other than the ASCII white space 09-0D and 20; ``bytes.split()`` cuts at just these.
@@ -29,7 +29,7 @@ def ready(spark: SparkSession) -> SparkSession:
     root = str(Path(rundelta.__file__).resolve().parent.parent)
     if root not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         cloudpickle.register_pickle_by_value(rundelta)
-    for key, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 16 * 1024 * 1024)):
+    for key, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 4 * 1024 * 1024)):
         if int(spark.conf.get(f"spark.sql.execution.arrow.{key}").removesuffix("b")) > most:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
     return spark
@@ -147,6 +147,17 @@ def partitions_for(df: DataFrame) -> int:
     return max(least, min(100_000, math.ceil(sum(s for s in sizes if s < PLAUSIBLE_BYTES) / each)))
 
 
+def quoted(columns: list[str]) -> list[Column]:
+    """Columns by their plain names, dots and all."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def filtered(docs: DataFrame, run) -> DataFrame:
+    """Rows of all columns that ``run`` leaves of their Arrow batches, whatever the columns are called."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(lean(run), plain.schema).toDF(*docs.columns)
+
+
 def bucket_of(column: str, n: int, salt: int = 0):
     """``crc32(text of the column) mod n``: the fold rule of the contracts."""
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(n))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rundelta.llm.common import lean, ready
+from rundelta.llm.common import filtered, lean, ready
 
 #: Halves of windows in words; a piece of an item is compared with the widest windows of which it fills more than one half.
 HALVES = (12, 6, 3)
@@ -370,4 +370,4 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, floor: float = 0.
         for batch in batches:
             yield batch.filter(pa.array([not model.check(words_of(t), floor, copied, paraphrased) for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(lean(run), docs.schema)
+    return filtered(docs, run)

@@ -25,11 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rundelta.llm.common import discard, lean, materialize, ready
+from rundelta.llm.common import discard, lean, materialize, quoted, ready
 
 WORDS, ROWS, BANDS = 5, 6, 40
 BATCH = 24
 TILE = 128
+#: Members of a star that meet one copy of its centre.
+STAR = 512
 #: A side of a join is broadcast if its rows are known to take no more than this; else both sides are shuffled.
 BROADCAST_BYTES = 24 * 1024 * 1024
 #: Stands for a null identifier: after all others.
@@ -219,28 +221,34 @@ def _exact_blocks(percent: int):
                     if i in sets and j in sets and find(i) != find(j) and is_link(sets[i], sets[j], percent):
                         root[find(i)] = find(j)
                         out.append({"a": min(row["nodes"][i], row["nodes"][j]), "b": max(row["nodes"][i], row["nodes"][j])})
-                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("a", pa.binary()), ("b", pa.binary())]))
+                yield pa.RecordBatch.from_pylist(out, schema=_LINKS)
 
     return run
 
 
-def _exact(percent: int):
-    def run(batches):
-        last: dict[str, tuple] = {}
-
-        def of(side, node, text):
-            if last.get(side, (None,))[0] != node:
-                last[side] = (node, shingle_set(text))
-            return last[side][1]
+def _exact_stars(percent: int):
+    """Rows in order of stars, each star's centre first: the members that are linked with it."""
 
+    def run(batches):
+        star, held = None, None
         for batch in batches:
-            r = batch.to_pydict()
-            ok = [is_link(of("a", a, x), of("b", b, y), percent) for a, b, x, y in zip(r["a"], r["b"], r["a_text"], r["b_text"], strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+            found = []
+            for centre, salt, node, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                s = shingle_set(text)
+                if (centre, salt) != star:
+                    if node != centre:
+                        raise ValueError("a star without its centre's text")
+                    star, held = (centre, salt), s
+                elif is_link(held, s, percent):
+                    found.append({"a": min(centre, node), "b": max(centre, node)})
+            yield pa.RecordBatch.from_pylist(found, schema=_LINKS)
 
     return run
 
 
+_LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+
 def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, text) of the wanted nodes, once each, from a row of its smallest identifier.
 
@@ -251,10 +259,18 @@ def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose full sets reach the threshold."""
-    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes, docs)
-    named = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "a_text"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "b_text"}), "b")
-    return materialize(named.select("a", "b", "a_text", "b_text").mapInArrow(lean(_exact(percent), _HASHES), "a binary, b binary").distinct(), "neardup-links")
+    """The links (a, b) among pairs (centre, node) whose full sets reach the threshold.
+
+    The members of a star meet its centre's text in parts of about ``STAR`` members, so a text travels
+    once for each part that it is the centre of and once for each pair that it is a member of.
+    """
+    sizes = pairs.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("parts"))
+    members = pairs.join(sizes, "centre").select("centre", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node")
+    centres = sizes.select("centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("centre").alias("node"))
+    rows = members.union(centres)
+    named = rows.join(_texts(rows.select("node"), nodes, docs), "node").select("centre", "part", "node", "text")
+    dealt = named.repartition("centre", "part").sortWithinPartitions("centre", "part", (F.col("node") != F.col("centre")), "node")
+    return materialize(dealt.mapInArrow(lean(_exact_stars(percent), _HASHES), "a binary, b binary").distinct(), "neardup-links")
 
 
 def verify_blocks(blocks: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -330,7 +346,7 @@ def keep_one_of_each(docs: DataFrame, percent: int = 85, miss: float = 1e-8, id_
     alike = judged.groupBy("ord", "tk", "comp").agg(F.count(F.lit(1)).alias("n"))
     first = (F.col("ord") == F.col("comp.ord")) & (F.col("tk") == F.col("comp.tk"))
     gone = materialize(alike.select("ord", "tk", "n", first.cast("int").alias("stay")).where("n > stay").select("ord", "tk", "stay"), "neardup-gone")
-    whole = docs.select(F.struct(*docs.columns).alias("whole"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord"), F.xxhash64(F.col(text_col).cast("string")).alias("tk"))
+    whole = docs.select(F.struct(*quoted(docs.columns)).alias("whole"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord"), F.xxhash64(F.col(text_col).cast("string")).alias("tk"))
     out = join_small(whole, gone.select("ord", "tk"), ["ord", "tk"], 24, "left_anti").select("whole.*")
     repeated = gone.where("stay = 1")
     if repeated.limit(1).count():
@@ -352,7 +368,9 @@ def _judged(docs: DataFrame, percent: int, miss: float, id_col: str, text_col: s
     shared = bands.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     shared = materialize(shared, "neardup-buckets")
     met = materialize(join_small(bands, shared, "bucket", 96), "neardup-members")
-    stars = met.select(F.explode(F.array("low", "high")).alias("centre"), "node").where("centre != node").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
+    stars = met.select(F.explode(F.array("low", "high")).alias("centre"), "node").where("centre != node")
+    # A pair of two centres is looked at once.
+    stars = stars.groupBy(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).agg(F.min("centre").alias("centre"))
     links = verify(_alive(stars, nodes, percent, miss), nodes, docs, percent)
     comps = components(links, nodes)
     placed = met.select("bucket", "band", "node").join(nodes.select("node", "label", "sig"), "node").join(comps, "node", "left").select("bucket", "band", "node", F.coalesce("comp", "label").alias("comp"), "sig")
@@ -367,7 +385,9 @@ def _judged(docs: DataFrame, percent: int, miss: float, id_col: str, text_col: s
 
 
 def _alive(pairs: DataFrame, nodes: DataFrame, percent: int, miss: float) -> DataFrame:
-    """Pairs that the batches of MinHash values do not rule out."""
+    """(centre, node) of the pairs (a, b, centre) that the batches of MinHash values do not rule out."""
     sigs = nodes.select("node", "sig")
     named = pairs.join(sigs.withColumnsRenamed({"node": "a", "sig": "a_sig"}), "a").join(sigs.withColumnsRenamed({"node": "b", "sig": "b_sig"}), "b")
-    return materialize(named.select("a", "b", "a_sig", "b_sig").mapInArrow(lean(_pairs_alive(percent, miss)), "a binary, b binary"), "neardup-pairs")
+    other = F.when(F.col("centre") == F.col("a"), F.col("b")).otherwise(F.col("a"))
+    kept = named.select("centre", other.alias("node"), "a_sig", "b_sig").mapInArrow(lean(_pairs_alive(percent, miss)), "centre binary, node binary")
+    return materialize(kept, "neardup-pairs")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rundelta.llm.common import bucket_of, lean, ready
+from rundelta.llm.common import bucket_of, filtered, lean, ready
 
 #: Identity terms by group: fixed values, in English, German, French and Spanish.
 IDENTITY_GROUPS = (
@@ -190,4 +190,4 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) ->
         for batch in batches:
             yield batch.filter(pa.array(model.scores(batch.column(at).to_pylist()) < threshold))
 
-    return docs.mapInArrow(lean(run), docs.schema)
+    return filtered(docs, run)
