@@ -4,15 +4,16 @@
    size and the excess is shared out again by weight.  The fixed point is a water level: with sources
    in order of cap over weight, a source is capped while its cap is at most its weight times the level
    left for it and all after it.
-2. *Draw.*  A row's place in its source is a 63-bit hash of it, so a source is in random order without
+2. *Draw.*  A row's place in its source is a 60-bit hash of it, so a source is in random order without
    a sort.  A source gives whole passes (``floor(target / size)``) and the rows up to a cut in that
    order.  The cut is found digit by digit: sizes are summed by the next 12 bits of the hash within the
    digit that holds the cut, until few enough rows are left to order them.  No step gathers a source.
 3. *Splitting tree.*  The drawn part of a source is a whole number of blocks (runs of hash order, about
-   equally many rows each).  From the root, each node parts its block quotas between two children of
+   equally many rows each; the block in which the cut falls is two).  From the root, each node parts its block quotas between two children of
    equal room by a multivariate hypergeometric draw: one conditional hypergeometric draw a source, by
    inversion, with the rest going to the other child.  So quotas are kept exactly at every node.  Leaves
-   are output shards; a source's blocks, in random order, are dealt to the shards by their quotas.
+   are output shards; a source's blocks, in random order, are dealt to the shards by their quotas.  A row
+   is taken as often as its block was dealt.
 4. Rows of a shard are put in random order locally (``shuffled``).
 
 All randomness is a hash of the rows, the sources and ``seed``: reruns agree, on any partitioning.
@@ -26,20 +27,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rundelta.llm.common import WORD_PATTERN, materialize, partitions_for, ready
+from rundelta.llm.common import WORD_PATTERN, materialize, partitions_for, quoted, ready
 
 #: Rows that may be left in the cut's digit for the last, ordered step.
 FEW = 4096
-#: Bits of the hash read in one step.
-STEP = 12
+#: Bits of the hash, and of it read in one step.
+PLACE, STEP = 60, 12
 
 
 def _size(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
-def _place(seed: int, *columns: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 1)
+def _place(seed: int, key: Column, text: Column) -> Column:
+    """The first 15 hexadecimal digits of an MD5 digest as a number."""
+    whole = F.concat_ws("|", F.lit(str(seed)), F.coalesce(key, F.lit("~")), F.coalesce(F.concat(F.lit("t"), text), F.lit("~")))
+    return F.conv(F.substring(F.md5(whole.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def _targets(rows: DataFrame, weights: tuple[int, ...], cap: int, n_shards: int) -> DataFrame:
@@ -73,7 +76,7 @@ def _same_source(a: str, b: str) -> Column:
 def _cuts(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """mix_source, cut: rows whose place is at most ``cut`` are taken once more; sources that need none are absent."""
     open_at = sources.where("need > 0").select("mix_source", "need", F.lit(0.0).alias("before"), F.lit(0).cast("long").alias("digit"))
-    shift = 63
+    shift = PLACE
     while True:
         held = rows.alias("r").join(open_at.alias("o"), _same_source("r", "o") & (F.shiftright(F.col("r.place"), shift) == F.col("o.digit")))
         shift -= STEP
@@ -158,22 +161,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, n_s
     n_shards = n_shards or shard_count(docs)
     new = {"size", "source_size", "target", "copies", "taken", "shards", "mix_source", "place", "block"}
     kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    base = docs.withColumns({"size": _size(F.col(text_col)), "mix_source": F.col(source_col).cast("string"), "place": _place(seed, F.col(id_col).cast("string"), F.col(text_col))})
+    base = docs.withColumns({"size": _size(F.col(text_col)), "mix_source": F.col(source_col).cast("string"), "place": _place(seed, F.col(id_col).cast("string"), F.col(text_col).cast("string"))})
     rows = materialize(base.select("mix_source", "size", "place"), "mix-rows")
     sources = materialize(_targets(rows, weights, cap, n_shards), "mix-sources")
     cuts = _cuts(rows, sources)
     found = sources.alias("s").join(cuts.alias("c"), _same_source("s", "c"), "left").select("s.*", F.coalesce("c.cut", F.lit(-1)).alias("cut"))
     sources = materialize(found, "mix-sources")
-    block = F.expr("shiftright(r.place, 63 - s.bits)")
     extra = (F.col("r.place") <= F.col("s.cut")).cast("int")
+    block = F.expr(f"shiftright(r.place, {PLACE} - s.bits) * 2") + extra
     blocks = rows.alias("r").join(sources.alias("s"), _same_source("r", "s")).groupBy("s.mix_source", "s.nth", block.alias("block")).agg(F.max(F.col("s.passes") + extra).alias("copies"))
     blocks = materialize(blocks, "mix-blocks")
     shards = materialize(_shards(blocks, n_shards, seed), "mix-shards")
-    out = base.select(*kept, "size", "mix_source", "place").alias("r").join(sources.alias("s"), _same_source("r", "s"))
-    out = out.select("r.*", "s.source_size", "s.target", (F.col("s.passes") + extra).alias("copies"), block.alias("block")).alias("r")
+    out = base.select(*quoted(kept), "size", "mix_source", "place").alias("r").join(sources.alias("s"), _same_source("r", "s"))
+    out = out.select("r.*", "s.source_size", "s.target", block.alias("block")).alias("r")
     out = out.join(shards.alias("h"), _same_source("r", "h") & (F.col("r.block") == F.col("h.block")), "left")
-    placed = F.slice(F.coalesce("h.shards", F.array().cast("array<int>")), F.lit(1), F.col("copies"))
-    return out.select(*[F.col(f"r.`{c}`") for c in kept], "r.size", "r.source_size", "r.target", "r.copies", (F.col("r.copies") * F.col("r.size")).alias("taken"), placed.alias("shards"))
+    placed = F.coalesce("h.shards", F.array().cast("array<int>"))
+    return out.select(*[F.col("r.`" + c.replace("`", "``") + "`") for c in kept], "r.size", "r.source_size", "r.target", F.size(placed).alias("copies"), (F.size(placed) * F.col("r.size")).alias("taken"), placed.alias("shards"))
 
 
 def shuffled(mixed: DataFrame, columns: list[str], n_shards: int, seed: int = 17) -> DataFrame:
