@@ -33,7 +33,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rundelta.llm import mixing
 
     mixed = mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "shards")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,5 +103,72 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_TOP_K = """WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum(list_transform(list_zip(q.x, v.x), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
+
+_ARCHIVES = """WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS last FROM p)
+SELECT page_id, n AS payload_bytes, sha1(body) AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to FROM m"""
+
+_COMPONENTS = r"""WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingle FROM w WHERE words IS NOT NULL),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, root) AS (SELECT DISTINCT a, a FROM edges UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.doc_id),
+least AS (SELECT doc_id, min(root) AS root FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(l.root, d.doc_id) AS component_id, d.doc_id = coalesce(l.root, d.doc_id) AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least l ON l.doc_id = d.doc_id"""
+
+_REPEATS = """WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+part AS (SELECT doc_id, o, substr(h, 2 * o + 1, 1198) AS h, len(h) // 2 AS n FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2, 500)) AS o FROM t)),
+b AS (SELECT doc_id, o + i AS p, n, substr(h, 2 * i + 1, 200) AS k FROM (SELECT *, unnest(range(0, least(500, n - o))) AS i FROM part)),
+f AS (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) > 1 AS again FROM b WHERE p + 100 <= n),
+g AS (SELECT doc_id, p FROM f WHERE again),
+c AS (
+  SELECT b.doc_id, b.p, substr(b.k, 1, 2) AS x,
+    coalesce(max(g.p) OVER (PARTITION BY b.doc_id ORDER BY b.p ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), -1) >= 0 AS gone
+  FROM b LEFT JOIN g ON g.doc_id = b.doc_id AND g.p = b.p),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS begins FROM c),
+r AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, string_agg(x, '' ORDER BY p) FILTER (NOT gone) AS kept
+  FROM e GROUP BY doc_id)
+SELECT t.doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM t LEFT JOIN r ON r.doc_id = t.doc_id"""
+
+_MIX = r"""WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(concat_ws('|', '17', coalesce(CAST(doc_id AS VARCHAR), '~'), coalesce('t' || text, '~'))), 1, 15) AS BIGINT) AS place FROM documents),
+s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth FROM d GROUP BY source),
+s1 AS (SELECT *, CAST([5, 2, 1][1 + nth % 3] AS DOUBLE) AS weight, 3.0 * CAST(source_size AS DOUBLE) AS most, CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM s0),
+s2 AS (
+  SELECT *, row_number() OVER o AS turn, (total - coalesce(sum(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+    / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s1 WINDOW o AS (ORDER BY most / weight, nth)),
+s3 AS (SELECT *, most <= weight * level AS capped FROM s2),
+s4 AS (SELECT *, CASE WHEN capped THEN most ELSE weight * (SELECT arg_min(level, turn) FROM s3 WHERE NOT capped) END AS target FROM s3),
+s5 AS (SELECT *, CASE WHEN source_size > 0 THEN least(3, CAST(floor(target / source_size) AS INTEGER)) ELSE 1 END AS passes FROM s4),
+s6 AS (SELECT *, CASE WHEN source_size > 0 THEN target - passes * CAST(source_size AS DOUBLE) ELSE 0.0 END AS need FROM s5),
+r AS (
+  SELECT d.*, source_size, target, passes, need, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY place, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM d JOIN s6 ON d.source IS NOT DISTINCT FROM s6.source),
+c AS (SELECT source, max(place) AS cut FROM r WHERE need > 0 AND start + size / 2 <= need GROUP BY source)
+SELECT doc_id, size, source_size, target, size * (passes + CAST(place <= coalesce(cut, -1) AS INTEGER)) AS taken, passes + CAST(place <= coalesce(cut, -1) AS INTEGER) AS copies
+FROM r LEFT JOIN c ON r.source IS NOT DISTINCT FROM c.source"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the operators that SQL can state; DuckDB runs it on the small data folders."""
+    return {"op1_top_k": _TOP_K, "op3_warc_archives": _ARCHIVES, "op4_near_duplicates": _COMPONENTS, "op8_repeated_substrings": _REPEATS, "op10_mix_sources": _MIX}
