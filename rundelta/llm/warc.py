@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rundelta.llm.common import file_system, materialize, ready, shared_dir, write_bytes
+from rundelta.llm.common import file_system, lean, materialize, ready, shared_dir, write_bytes
 
 SKIPPABLE = 0x184D2A5D
 FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
@@ -28,16 +28,29 @@ MANDATORY = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A dictionary of ``DICTIONARY_BYTES`` is trained on the first ``DICTIONARY_SAMPLES`` payloads of a file.
 DICTIONARY_BYTES, DICTIONARY_SAMPLES, SAMPLE_BYTES = 32 * 1024, 200, 16 * 1024
-ARCHIVE_BYTES = 256 * 1024 * 1024
+#: Bytes of compressed records in a file; a worker holds no more of them.
+ARCHIVE_BYTES = 64 * 1024 * 1024
+#: The one header of a record that may be there several times.
+REPEATABLE = "warc-concurrent-to"
 
 
 class ArchiveError(ValueError):
     """An archive or record that breaks the format."""
 
 
+class Headers(dict):
+    """Header values by name, in any case of letters."""
+
+    def __getitem__(self, name: str) -> str:
+        return super().__getitem__(name.lower())
+
+    def get(self, name: str, default=None):
+        return super().get(name.lower(), default)
+
+
 @dataclass(frozen=True)
 class Record:
-    headers: dict[str, str]
+    headers: Headers
     block: bytes
 
     @property
@@ -45,7 +58,7 @@ class Record:
         return self.headers["WARC-Type"]
 
     @property
-    def http(self) -> tuple[dict[str, str], bytes]:
+    def http(self) -> tuple[Headers, bytes]:
         """HTTP headers and payload of the block."""
         head, found, payload = self.block.partition(b"\r\n\r\n")
         if not found:
@@ -53,16 +66,17 @@ class Record:
         return _fields(head.split(b"\r\n")[1:], "HTTP"), payload
 
 
-def _fields(lines: list[bytes], where: str) -> dict[str, str]:
-    out: dict[str, str] = {}
+def _fields(lines: list[bytes], where: str) -> Headers:
+    """Repeated fields of HTTP, and those that WARC lets repeat, are one list."""
+    out = Headers()
     for line in lines:
         name, found, value = line.partition(b":")
         if not found or not name.strip():
             raise ArchiveError(f"{where}: not a header line: {line[:60]!r}")
-        key = name.decode("latin-1").strip()
-        if key in out:
+        key, text = name.decode("latin-1").strip().lower(), value.decode("utf-8", "replace").strip()
+        if key in out and where == "WARC" and key != REPEATABLE:
             raise ArchiveError(f"{where}: {key} occurs twice")
-        out[key] = value.decode("utf-8").strip()
+        out[key] = f"{out[key]}, {text}" if key in out else text
     return out
 
 
@@ -109,12 +123,28 @@ def make_dictionary(samples: list[bytes]) -> bytes:
         return (b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: " + b"".join(samples))[:DICTIONARY_BYTES]
 
 
+class ArchiveWriter:
+    """Records, compressed as they come; ``chunks()`` are the file's bytes."""
+
+    def __init__(self, dictionary: bytes):
+        packed = zstandard.ZstdCompressor(level=3).compress(dictionary)
+        self.compressor = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=True)
+        self.head, self.frames, self.size = struct.pack("<II", SKIPPABLE, len(packed)) + packed, [], 0
+
+    def add(self, record: bytes) -> None:
+        self.frames.append(self.compressor.compress(record))
+        self.size += len(self.frames[-1])
+
+    def chunks(self) -> Iterator[bytes]:
+        yield self.head
+        yield from self.frames
+
+
 def archive_chunks(dictionary: bytes, records: list[bytes]) -> Iterator[bytes]:
-    packed = zstandard.ZstdCompressor(level=3).compress(dictionary)
-    yield struct.pack("<II", SKIPPABLE, len(packed)) + packed
-    compressor = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=True)
+    writer = ArchiveWriter(dictionary)
     for r in records:
-        yield compressor.compress(r)
+        writer.add(r)
+    return writer.chunks()
 
 
 class ArchiveReader:
@@ -165,25 +195,23 @@ def _writer(folder: str):
 
         part, seq = TaskContext.get().partitionId(), 0
 
-        def close(dictionary, records):
+        def close(archive):
             path = f"{folder}/part-{part:06d}-{seq:04d}-{uuid.uuid4().hex[:12]}.warc.zst"
-            return pa.RecordBatch.from_pylist([{"path": path, "n_records": len(records), "n_bytes": write_bytes(path, archive_chunks(dictionary, records))}])
+            return pa.RecordBatch.from_pylist([{"path": path, "n_records": len(archive.frames), "n_bytes": write_bytes(path, archive.chunks())}])
 
-        records, size, dictionary = [], 0, None
+        archive = None
         for batch in batches:
             rows = batch.to_pydict()
             payloads = [x.encode("utf-8", "surrogatepass") for x in rows["payload"]]
-            if dictionary is None:
-                dictionary = make_dictionary(payloads)
             for page_id, uri, payload, digest, target in zip(rows["page_id"], rows["url"], payloads, rows["digest"], rows["target"], strict=True):
+                archive = archive or ArchiveWriter(make_dictionary(payloads))
                 again = target is not None and target != page_id
-                records.append(encode_record("revisit" if again else "response", f"urn:page:{page_id}", uri, payload, digest, f"urn:page:{target}" if again else None))
-                size += len(records[-1])
-                if size >= ARCHIVE_BYTES:
-                    yield close(dictionary, records)
-                    records, size, seq, dictionary = [], 0, seq + 1, make_dictionary(payloads)
-        if records:
-            yield close(dictionary, records)
+                archive.add(encode_record("revisit" if again else "response", f"urn:page:{page_id}", uri, payload, digest, f"urn:page:{target}" if again else None))
+                if archive.size >= ARCHIVE_BYTES:
+                    yield close(archive)
+                    archive, seq = None, seq + 1
+        if archive:
+            yield close(archive)
 
     return write
 
@@ -194,7 +222,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     Of pages with equal payloads (same SHA-1 and length) of at least ``revisit_bytes`` bytes, that with
     the largest identifier is a response and the others revisit it.  The largest identifier is a
     partial aggregate and comes back by a left join on the digest, whose hot keys adaptive execution
-    splits; only digests that occur twice are joined.
+    splits; only digests that occur twice are joined, and smaller payloads, which may all be one, are
+    spread by a hash of their own.
 
     Null html is an empty payload; null urls are written as ``urn:none``; rows with a null identifier
     revisit the group's largest one and are responses where the group has none; of repeated rows that
@@ -206,8 +235,11 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("payload"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload")})
     groups = rows.where(F.col("size") >= revisit_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("target"), F.count(F.lit(1)).alias("n"))
-    rows = rows.join(groups.where("n > 1").drop("n"), ["digest", "size"], "left").select("page_id", "url", "payload", "digest", "target")
-    return materialize(rows.mapInArrow(_writer(folder), MANIFEST), "warc-manifest")
+    groups = groups.where("n > 1").select(F.concat_ws(":", "digest", "size").alias("same"), "target")
+    own = F.concat(F.lit("~"), F.xxhash64("page_id", "url").cast("string"))
+    rows = rows.withColumn("same", F.when(F.col("size") >= revisit_bytes, F.concat_ws(":", "digest", "size")).otherwise(own))
+    rows = rows.join(groups, "same", "left").select("page_id", "url", "payload", "digest", "target")
+    return materialize(rows.mapInArrow(lean(_writer(folder)), MANIFEST), "warc-manifest")
 
 
 def _page(record_id: str) -> int | None:
@@ -244,4 +276,4 @@ def read_archives(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """Read every record back, validated: page_id, payload_bytes, payload_digest, record_type, refers_to, url."""
     files = [(r["path"], r["n_records"]) for r in manifest.select("path", "n_records").collect()]
     listed = spark.createDataFrame(files, "path string, n_records long").repartition(max(1, len(files)))
-    return listed.mapInArrow(_reader, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
+    return listed.mapInArrow(lean(_reader), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")

@@ -192,6 +192,17 @@ def test_bad_archives_are_refused():
                 warc.decode_record(bad)
 
 
+def test_headers_of_other_writers():
+    record = warc.encode_record("response", "urn:page:1", "u", b"abc", hashlib.sha1(b"abc").hexdigest())
+    other = record.replace(b"WARC-Type", b"warc-TYPE").replace(b"Content-Length: 75", b"CONTENT-LENGTH: 75").replace(b"WARC-Date", b"WARC-Concurrent-To: <a>\r\nWARC-Concurrent-To: <b>\r\nWARC-Date")
+    read = warc.decode_record(other)
+    assert read.kind == "response" and read.headers["warc-concurrent-to"] == "<a>, <b>"
+    with pytest.raises(warc.ArchiveError):
+        warc.decode_record(record.replace(b"WARC-Date", b"warc-type: response\r\nWARC-Date"))
+    again = warc.Record(warc.Headers(), b"HTTP/1.1 200 OK\r\nSet-Cookie: a\r\nset-cookie: b\r\n\r\nbody").http
+    assert again[0]["Set-Cookie"] == "a, b" and again[1] == b"body"
+
+
 # --- near duplicates ------------------------------------------------------------------------------
 
 
@@ -227,17 +238,6 @@ def test_components_match_brute_force(spark, texts, percent):
     assert got == brute_components(rows, percent)
 
 
-def test_no_documents_no_components(spark):
-    assert neardup.near_duplicates(documents(spark, []).limit(0)).count() == 0
-
-
-def test_posterior_bound_drops_only_hopeless_pairs():
-    assert neardup.least_matches(0.85, 1e-8, 24) < 24 * 0.6
-    assert neardup.least_matches(0.85, 1e-8, 240) > 240 * 0.65
-    a = np.zeros((2, 240), np.uint16)
-    b = a.copy()
-    b[1, ::2] = 1
-    assert neardup.plausible(a, b, 0.85, 1e-8).tolist() == [True, False]
 def test_long_chains_take_few_rounds(spark, monkeypatch):
     rounds = []
     monkeypatch.setattr(neardup, "materialize", lambda df, tag, f=neardup.materialize: (rounds.append(tag), f(df, tag))[1])
@@ -252,6 +252,17 @@ def test_long_chains_take_few_rounds(spark, monkeypatch):
     assert rounds.count("neardup-jumped") <= 10
 
 
+def test_no_documents_no_components(spark):
+    assert neardup.near_duplicates(documents(spark, []).limit(0)).count() == 0
+
+
+def test_posterior_bound_drops_only_hopeless_pairs():
+    assert neardup.least_matches(0.85, 1e-8, 24) < 24 * 0.6
+    assert neardup.least_matches(0.85, 1e-8, 240) > 240 * 0.65
+    a = np.zeros((2, 240), np.uint16)
+    b = a.copy()
+    b[1, ::2] = 1
+    assert neardup.plausible(a, b, 0.85, 1e-8).tolist() == [True, False]
 
 
 # --- repeated substrings --------------------------------------------------------------------------
@@ -292,17 +303,6 @@ def test_large_groups_are_parted(spark, monkeypatch):
     assert substrings.remove_repeats(documents(spark, []).limit(0)).count() == 0
 
 
-def test_deep_shallow_sorts_with_common_prefixes():
-    rng = random.Random(1)
-    strings = [bytes(rng.choice(b"ab") for _ in range(40)) for _ in range(300)]
-    strings += strings[:20] + [b"a" * 40, b"a" * 39 + b"b"]
-    order, common = substrings.deep_shallow(strings)
-    out = [strings[i] for i in order]
-    assert out == sorted(strings)
-    for n in range(1, len(out)):
-        k = next((x for x in range(40) if out[n][x] != out[n - 1][x]), 40)
-        assert common[n] == k
-
 def test_anchors_of_very_long_texts(monkeypatch):
     texts = [prose(random.Random(n), 400).encode() for n in range(3)] + [b"short", b""]
 
@@ -325,6 +325,17 @@ def test_multikey_quicksort():
         assert begins.tolist() == [k == 0 or out[k] != out[k - 1] for k in range(n)]
 
 
+def test_deep_shallow_sorts_with_common_prefixes():
+    rng = random.Random(1)
+    strings = [bytes(rng.choice(b"ab") for _ in range(40)) for _ in range(300)]
+    strings += strings[:20] + [b"a" * 40, b"a" * 39 + b"b"]
+    order, common = substrings.deep_shallow(strings)
+    out = [strings[i] for i in order]
+    assert out == sorted(strings)
+    for n in range(1, len(out)):
+        k = next((x for x in range(40) if out[n][x] != out[n - 1][x]), 40)
+        assert common[n] == k
+
 
 # --- scoring --------------------------------------------------------------------------------------
 
@@ -452,7 +463,9 @@ def test_toxicity_learns_insults_not_groups(spark):
     free = toxicity.fit_on_tables(docs, marked, fairness=0.0)
     named, plain = "we met muslims today", "we met today"
     change = lambda m: abs(float(np.diff(m.logits([named, plain]))[0]))
-    assert change(model) <= change(free)
+    assert change(model) < 0.5 * change(free)
+    neutral = [prose(rng, 30) + end for end in (" muslims live here", " we met christians today", " the women work", "") for _ in range(25)]
+    assert not (model.scores(neutral) >= 0.3).any()
     assert toxicity.keep_clean(docs, model).columns == docs.columns
     assert toxicity.score(docs.limit(0), model).count() == 0
     assert 0 < toxicity.fit_on_tables(docs, marked.limit(0)).scores([None])[0] < 1
@@ -536,20 +549,6 @@ def test_copies_and_paraphrases_of_items_of_every_length_are_found(spark, shorte
             assert i in found
 
 
-def test_longest_common_subsequence():
-    rng = random.Random(3)
-    for _ in range(50):
-        a, b = ([rng.randrange(5) for _ in range(rng.randint(0, 12))] for _ in range(2))
-        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i, x in enumerate(a):
-            for j, y in enumerate(b):
-                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
-        assert decontaminate.lcs_length(a, b) == best[-1][-1]
-
-
-def test_latent_space_holds_the_passages(spark):
-    rng = random.Random(5)
-    passages = [prose(rng, 30) for _ in range(40)]
 def exhaustive_hits(items, needs, text, copied=0.75, paraphrased=0.5):
     """Items found by the same checks at every place of a text, with plain tables and no candidate search."""
 
@@ -616,6 +615,20 @@ def test_repeated_rows_and_answers(spark):
     assert decontaminate.find_contaminated(docs.limit(0), bench.limit(0)).count() == 0
 
 
+def test_longest_common_subsequence():
+    rng = random.Random(3)
+    for _ in range(50):
+        a, b = ([rng.randrange(5) for _ in range(rng.randint(0, 12))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        assert decontaminate.lcs_length(a, b) == best[-1][-1]
+
+
+def test_latent_space_holds_the_passages(spark):
+    rng = random.Random(5)
+    passages = [prose(rng, 30) for _ in range(40)]
     terms = {w: n for n, w in enumerate(sorted({w for p in passages for w in decontaminate.words_of(p)}))}
     weights = np.ones(len(terms))
     v = decontaminate.randomized_svd(spark.createDataFrame([(p,) for p in passages], "text string"), terms, weights, rank=8, powers=6)

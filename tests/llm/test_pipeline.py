@@ -2,6 +2,7 @@
 
 import __spark_entry__
 import corpus_pipeline
+from pyspark.sql import functions as F
 from rundelta.llm import decontaminate, neardup
 from rundelta.llm.common import materialize
 
@@ -40,6 +41,25 @@ def test_one_row_of_each_group_stays_without_unique_identifiers(spark):
     assert {(1, b), (2, c), (3, d), (4, e)} <= set(got)
 
 
+def test_stages_take_nulls_clashing_columns_and_nothing(spark):
+    """Rows with nulls and columns that are called as the operators' own come through every stage."""
+    words = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, words, "a", None, 1, "x", 2.0), (2, None, None, "en", None, None, None), (None, "some text here", "b", None, 3, "y", 1.0), (None, None, None, None, None, None, None), (3, "", "a", "fr", 0, "z", 0.0), (3, "", "a", "fr", 0, "z", 0.0), (4, words + " end", "b", None, 5, "x", 2.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, size long, `a.b` string, place double").withColumns({"node": F.lit("n"), "comp": F.lit(1), "shards": F.lit(2), "whole": F.lit("w"), "taken": F.lit(0)})
+    for empty in (False, True):
+        for name, stage in corpus_pipeline.STAGES:
+            given = docs.limit(0) if empty else docs
+            out = materialize(stage(spark, given, FOLDER), "test")
+            if name == "token shards":
+                assert out.count() == given.count()
+            else:
+                assert out.columns == docs.columns
+                kept = {r["doc_id"] for r in out.select("doc_id").collect()}
+                assert kept == set() if empty else {2, 3, None} <= kept or name == "mixing"
+                if name == "near duplicates" and not empty:
+                    assert out.count() == 6 and 4 not in kept
+
+
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
     assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
