@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rundelta.llm import decontaminate, mixing, neardup, sstable, toxicity
-from rundelta.llm.common import materialize
+from rundelta.llm.common import materialize, quoted
 
 #: Five-word shingles at a similarity of 0.8 or more.
 SIMILARITY_PERCENT = 80
@@ -36,7 +36,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, dealt to shards and shuffled there."""
-    packed = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("whole"))
+    packed = docs.select("doc_id", "source", "text", F.struct(*quoted(docs.columns)).alias("whole"))
     shards = mixing.shard_count(docs)
     mixed = mixing.mix(packed, n_shards=shards, keep=["whole"])
     return mixing.shuffled(mixed, ["whole"], shards).select("whole.*")
@@ -56,7 +56,8 @@ STAGES = [
     ("token shards", write_tokens),
 ]
 
-#: No stage but the mix can be stated in SQL.
+#: Scores of a fitted classifier, latent cosines and token identifiers are not SQL, so the whole is not.
+#: Near duplicates and the mix by themselves have SQL beside their queries.
 ORACLE_SQL = None
 
 
