@@ -98,3 +98,35 @@ def test_refusals_as_rows(spark):
     with pytest.raises(Refusal) as e:
         require_none(spark.createDataFrame([("no_link_ratio", 12)], "reason string, dev_lag int"))
     assert e.value.kind == "model"
+
+
+def test_front_doors_agree(spark):
+    from rundelta.operators.triangle import inferred_step, peek_kind
+
+    t = Triangle(frame(spark, SMALL))
+    columns = {c: [r[c] for r in t.df.collect()] for c in t.df.columns}
+    again = Triangle.from_columns(spark, columns)
+    assert sorted(map(tuple, again.df.select(t.df.columns).collect())) == sorted(map(tuple, t.df.collect()))
+    wide = t.df.groupBy("lob", "origin_period").pivot("dev_lag", [12, 24, 36]).agg(F.sum("value"))
+    assert sorted(map(tuple, Triangle.from_wide(wide, segments=["lob"]).df.select(t.df.columns).collect())) == sorted(map(tuple, t.df.collect()))
+    table = t.to_incremental().to_arrow()
+    assert peek_kind(table) == "triangle" and peek_kind(table.replace_schema_metadata(None)) is None
+    back = Triangle.from_arrow(spark, table)
+    assert back.meta.measure == "incremental" and back.df.count() == 6
+    with pytest.raises(Refusal):
+        Triangle.from_arrow(spark, table.replace_schema_metadata(None))
+    with pytest.raises(Refusal):
+        Triangle.from_wide(wide.withColumnRenamed("12", "first"), segments=["lob"])
+    assert inferred_step(t.df, ["lob"]).first()["step"] == 12
+    s = t.summary().first()
+    assert (s["n_cells"], s["n_cohorts"], s["n_origins"], s["n_ages"], s["last_dev_lag"]) == (6, 1, 3, 3, 36)
+
+
+def test_unsupported_factors(spark):
+    from rundelta.operators.links import link_factors, select_links
+
+    links = select_links(frame(spark, {2020: (0, 10, 20), 2021: (0, 12), 2022: (5,)}), ["lob"], 12)
+    assert link_factors(links, ["lob"], unsupported="null").where("dev_lag = 12").first()["factor"] is None
+    with pytest.raises(Refusal) as e:
+        link_factors(links, ["lob"], unsupported="raise")
+    assert e.value.reason == "no_link_ratio"
