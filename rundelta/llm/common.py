@@ -23,6 +23,7 @@ def ready(spark: SparkSession) -> SparkSession:
     """Make this package usable on executors and keep Arrow batches small enough for very long texts.
 
     Where the executors' ``PYTHONPATH`` does not hold the repository, functions are pickled with their code.
+    Frames run after the operator has returned them, so the session's batch limits stay lowered.
     """
     import rundelta
 
