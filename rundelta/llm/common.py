@@ -78,6 +78,14 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def give_back() -> None:
+    """Return what the allocators of this process keep to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def lean(run, *caches):
     """A task function after which the worker, which later tasks use again, holds no more than before it.
 
@@ -90,10 +98,7 @@ def lean(run, *caches):
         finally:
             for cache in caches:
                 cache.clear()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            give_back()
 
     return task
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rundelta.llm.common import bucket_of, lean, ready
+from rundelta.llm.common import bucket_of, give_back, lean, ready
 
 BUCKETS = 1 << 16
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
@@ -185,7 +185,10 @@ def fit_on_table(docs: DataFrame, folds: int = 5, held: int = 0, max_rows: int =
             taken[r["lang"]] += 1
             texts.append(r["text"])
             langs.append(r["lang"])
-    return fit(texts, langs, **settings)
+    model = fit(texts, langs, **settings)
+    del found, texts, langs
+    give_back()
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageModel, folds: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

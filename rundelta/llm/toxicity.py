@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rundelta.llm.common import bucket_of, filtered, lean, ready
+from rundelta.llm.common import bucket_of, filtered, give_back, lean, ready
 
 #: Identity terms by group: fixed values, in English, German, French and Spanish.
 IDENTITY_GROUPS = (
@@ -160,7 +160,10 @@ def fit_on_tables(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int
     chosen = F.broadcast(spark.createDataFrame([tuple(r) for r in picked], "label_id long, label int"))
     sample = docs.select(F.col("doc_id").cast("long").alias("label_id"), F.col("text").cast("string").alias("text")).join(chosen, "label_id").select("label", "text")
     found = sample.mapInArrow(lean(_bags), "label int, bag binary").orderBy(F.crc32("bag"), "bag").limit(2 * max_rows).toArrow()
-    return fit(PackedBags(found["bag"]), found["label"].to_numpy(), **settings)
+    model = fit(PackedBags(found["bag"]), found["label"].to_numpy(), **settings)
+    del found
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel, folds: int = 4, held: int = 2, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
