@@ -88,6 +88,16 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and proof in a Merkle manifest by language, and the root that its data gives after tampering."""
+    from rundelta.llm import merkle
+
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.withColumn("tampered text", merkle.tampered_text(docs["doc_id"], docs["text"]))
+    found = merkle.audit(docs, ["doc_id", "source", "lang", "n_chars", "text"], group="lang", tampered="tampered text")
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_shards": op2_token_shards,
@@ -100,6 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_language_model": op7_language_model,
         "op8_repeated_substrings": op8_repeated_substrings,
         "op5_decontamination": op5_decontamination,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
@@ -169,6 +180,60 @@ SELECT doc_id, size, source_size, target, size * (passes + CAST(place <= coalesc
 FROM r LEFT JOIN c ON r.source IS NOT DISTINCT FROM c.source"""
 
 
+_FAN, _LEVELS, _TOP_LEVELS = 8, 7, 4
+
+
+def _level(tree: str, key: str, k: int) -> str:
+    """CTEs of a level's runs and of the level above, which has the same node where one is left."""
+    return f"""
+{tree}r{k} AS (SELECT {key}, pos // {_FAN} AS run, any_value(n) AS n, list(d ORDER BY pos) AS ds FROM {tree}{k} GROUP BY {key}, pos // {_FAN}),
+{tree}{k + 1} AS (SELECT {key}, run AS pos, (n + {_FAN - 1}) // {_FAN} AS n, CASE WHEN n > 1 THEN sha256(array_to_string(ds, '')) ELSE ds[1] END AS d FROM {tree}r{k})"""
+
+
+def _climb(tree: str, key: str, prior: str, k: int) -> str:
+    """A CTE that takes each document's fold and proof one level up."""
+    before, after = f"array_to_string(ds[1:p // {_FAN**k} % {_FAN}], '')", f"array_to_string(ds[p // {_FAN**k} % {_FAN} + 2:], '')"
+    return f"""
+{tree}c{k} AS (
+  SELECT c.* REPLACE (CASE WHEN r.n > 1 THEN sha256({before} || fold || {after}) ELSE fold END AS fold, CASE WHEN r.n > 1 THEN proof || {before} || {after} ELSE proof END AS proof)
+  FROM {prior} c JOIN {tree}r{k} r ON r.{key} = c.{key} AND r.run = c.p // {_FAN ** (k + 1)})"""
+
+
+def _merkle() -> str:
+    def field(x: str) -> str:
+        return f"coalesce(octet_length(encode(CAST({x} AS VARCHAR))) || ':' || {x}, '-')"
+
+    head = " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    bits = "list_reduce(range(8), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)), xor(acc, b))"
+    crc = f"xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda acc, b: {bits}, CAST(4294967295 AS BIGINT)), 4294967295)"
+    parts = [f"""WITH h AS (
+  SELECT doc_id, coalesce('1' || lang, '0') AS g, sha256({head} || {field("text")}) AS d,
+    CASE WHEN {crc} % 3 = 0 THEN sha256({head} || {field(lower)}) ELSE sha256({head} || {field("text")}) END AS fold FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, d) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM h),
+t0 AS (SELECT g, pos, n, d FROM l)"""]
+    parts += [_level("t", "g", k) for k in range(_LEVELS)]
+    parts.append(f"""
+u0 AS (SELECT 1 AS one, g, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n, d FROM t{_LEVELS})""")
+    parts += [_level("u", "one", k) for k in range(_TOP_LEVELS)]
+    parts.append("""
+c AS (SELECT doc_id, g, d, pos AS p, fold, '' AS proof FROM l)""")
+    parts += [_climb("t", "g", f"tc{k - 1}" if k else "c", k) for k in range(_LEVELS)]
+    parts.append(f"""
+m AS (SELECT c.* REPLACE (u0.pos AS p), 1 AS one, u0.d AS subroot FROM tc{_LEVELS - 1} c JOIN u0 ON u0.g = c.g)""")
+    parts += [_climb("u", "one", f"uc{k - 1}" if k else "m", k) for k in range(_TOP_LEVELS)]
+    return ",".join(parts) + f"""
+SELECT doc_id, c.d AS leaf, subroot, w.d AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = w.d AS verified
+FROM uc{_TOP_LEVELS - 1} c JOIN u{_TOP_LEVELS} w ON w.one = c.one"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the operators that SQL can state; DuckDB runs it on the small data folders."""
-    return {"op1_top_k": _TOP_K, "op3_warc_archives": _ARCHIVES, "op4_near_duplicates": _COMPONENTS, "op8_repeated_substrings": _REPEATS, "op10_mix_sources": _MIX}
+    return {
+        "op1_top_k": _TOP_K,
+        "op3_warc_archives": _ARCHIVES,
+        "op4_near_duplicates": _COMPONENTS,
+        "op8_repeated_substrings": _REPEATS,
+        "op10_mix_sources": _MIX,
+        "op13_merkle_manifest": _merkle(),
+    }
