@@ -88,6 +88,15 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by the tokenization automaton and decoded again."""
+    import public_tokenizers
+
+    from rundelta.llm import bpe
+
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf and proof in a Merkle manifest by language, and the root that its data gives after tampering."""
     from rundelta.llm import merkle
@@ -110,6 +119,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_language_model": op7_language_model,
         "op8_repeated_substrings": op8_repeated_substrings,
         "op5_decontamination": op5_decontamination,
+        "op12_bpe_automaton": op12_bpe_automaton,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
 
