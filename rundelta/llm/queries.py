@@ -88,6 +88,13 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2,000 best phrases of two or three words in all documents."""
+    from rundelta.llm import collocations
+
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def op12_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by the tokenization automaton and decoded again."""
     import public_tokenizers
@@ -119,6 +126,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_language_model": op7_language_model,
         "op8_repeated_substrings": op8_repeated_substrings,
         "op5_decontamination": op5_decontamination,
+        "op11_collocations": op11_collocations,
         "op12_bpe_automaton": op12_bpe_automaton,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
@@ -190,6 +198,25 @@ SELECT doc_id, size, source_size, target, size * (passes + CAST(place <= coalesc
 FROM r LEFT JOIN c ON r.source IS NOT DISTINCT FROM c.source"""
 
 
+_PHRASES = r"""WITH p AS (
+  SELECT doc_id, coalesce(lang, 'und') AS lang, row_number() OVER () AS piece, words FROM (
+    SELECT doc_id, lang, regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS words FROM documents)),
+w AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM p),
+g AS (SELECT lang, unnest([1, 2, 3]) AS m, i, words FROM w),
+c AS (SELECT lang, m, words[i:i + m - 1] AS ws, count(*) AS f FROM g WHERE i + m - 1 <= len(words) GROUP BY 1, 2, 3),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM c WHERE m = 1 GROUP BY lang),
+cand AS (SELECT * FROM c WHERE m > 1 AND f >= 10),
+cut AS (SELECT *, unnest(range(1, m)) AS k FROM cand),
+s AS (
+  SELECT x.lang, x.ws, x.m, x.f AS a, k, y.f AS l, z.f AS r, CAST((CAST(x.f AS HUGEINT) * x.f * 1000000) // (CAST(y.f AS HUGEINT) * z.f) AS BIGINT) AS score
+  FROM cut x JOIN c y ON y.lang = x.lang AND y.ws = x.ws[1:k] JOIN c z ON z.lang = x.lang AND z.ws = x.ws[k + 1:x.m]),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) = 1),
+inside AS (SELECT lang, unnest([ws[1:2], ws[2:3]]) AS ws, f FROM cand WHERE m = 3),
+most AS (SELECT lang, ws, max(f) AS f FROM inside GROUP BY lang, ws),
+kept AS (SELECT b.*, array_to_string(b.ws, ' ') AS phrase FROM best b LEFT JOIN most t ON t.lang = b.lang AND t.ws = b.ws WHERE t.f IS NULL OR 100 * t.f < 50 * b.a),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS INTEGER) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000"""
+
 _FAN, _LEVELS, _TOP_LEVELS = 8, 7, 4
 
 
@@ -245,5 +272,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_near_duplicates": _COMPONENTS,
         "op8_repeated_substrings": _REPEATS,
         "op10_mix_sources": _MIX,
+        "op11_collocations": _PHRASES,
         "op13_merkle_manifest": _merkle(),
     }
