@@ -27,7 +27,7 @@ from rundelta.llm.neardup import join_small
 
 FAN = 8
 #: Levels that one dealing of a block builds.
-STEP = 5
+STEP = 3
 HEX = 64
 PATH_LEVEL = 127
 
