@@ -7,9 +7,9 @@ arcs ``a`` lead from then on to a copy of their target without its arc ``b``.  A
 state, so the table of arcs is a bit for each (state, class of labels): states are rows, shared until a gadget
 changes one of them; labels that leave the same states are one class, a column, shared in the same way.
 
-A word is encoded left to right: from the state in which the word's first i bytes end, the trie of labels lists
-the tokens that come next, the table says which of them are arcs, and as every byte string has one accepted
-sequence, each position is reached once.  Time is linear in the word.  Decoding emits the labels of the arcs.
+A word is encoded left to right: from the state in which its first i bytes end, the trie of labels lists the
+tokens that may come next and the table says which of them are arcs; every byte string has one accepted sequence,
+so each position is reached once at most and time is linear in the word.  Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -129,30 +129,82 @@ class Automaton:
         self.labels, self.special = labels, special
         self.row, self.column, self.bits = row.tolist(), column.tolist(), bits
         self.rows = [memoryview(r) for r in bits]
-        self.step: dict[int, int] = {}
+        self.sizes = [len(x) for x in labels]
+        #: The trie: children by byte and the token that ends, a node each.
+        self.children: list[dict[int, int]] = [{}]
         self.token = [-1]
+        #: The start state has an arc for every token, so a word that is a label is one token.
+        self.whole: dict[bytes, array] = {}
         for i, label in enumerate(labels):
             if self.row[i] < 0:
                 continue
             node = 0
             for b in label:
-                key = node << 8 | b
-                node = self.step.get(key, -1)
+                below = self.children[node]
+                node = below.get(b, -1)
                 if node < 0:
-                    node = self.step[key] = len(self.token)
+                    node = below[b] = len(self.token)
+                    self.children.append({})
                     self.token.append(-1)
             self.token[node] = i
+            self.whole[label] = array("I", [i])
 
     def encode(self, word: bytes) -> array:
-        """Identifiers of the tokens that the merges make of a word."""
+        """Identifiers of the tokens that the merges make of a word.
+
+        Each position of a word is the end of one accepted sequence at most, so a walk that tries longer tokens
+        first and turns back where no arc leads on meets it once.
+        """
+        found = self.whole.get(word)
+        if found is not None:
+            return found
+        n = len(word)
+        if n > self.LONG:
+            return self._encode_long(word)
+        path, stack, at, state = [], [self._next(word, 0)], 0, 0
+        column, rows, row, sizes = self.column, self.rows, self.row, self.sizes
+        while at < n:
+            some, arcs = stack[-1], rows[state]
+            while some:
+                t = some.pop()
+                c = column[t]
+                if arcs[c >> 3] >> (c & 7) & 1:
+                    path.append(t)
+                    at += sizes[t]
+                    state = row[t]
+                    stack.append(self._next(word, at))
+                    break
+            else:
+                stack.pop()
+                at -= sizes[path.pop()]
+                state = row[path[-1]] if path else 0
+        return array("I", path)
+
+    #: Words beyond this are encoded by a table of their positions, not by a walk.
+    LONG = 1000
+
+    def _next(self, word: bytes, at: int) -> list[int]:
+        """Tokens that the word goes on with, shorter ones first."""
+        out, node, children, token = [], 0, self.children, self.token
+        for b in word[at:]:
+            node = children[node].get(b)
+            if node is None:
+                break
+            t = token[node]
+            if t >= 0:
+                out.append(t)
+        return out
+
+    def _encode_long(self, word: bytes) -> array:
+        """The last token of each prefix's sequence, from left to right, then back from the end."""
         n = len(word)
         states, last = array("i", [-1]) * (n + 1), array("i", [-1]) * (n + 1)
         states[0] = 0
-        step, token, row, column, rows = self.step, self.token, self.row, self.column, self.rows
+        children, token, row, column, rows = self.children, self.token, self.row, self.column, self.rows
         for i in range(n):
             arcs, node = rows[states[i]], 0
             for j in range(i, n):
-                node = step.get(node << 8 | word[j])
+                node = children[node].get(word[j])
                 if node is None:
                     break
                 t = token[node]
@@ -163,7 +215,7 @@ class Automaton:
         out, at = array("I"), n
         while at:
             out.append(last[at])
-            at -= len(self.labels[last[at]])
+            at -= self.sizes[last[at]]
         out.reverse()
         return out
 

@@ -55,6 +55,7 @@ def test_automaton_is_the_merges_in_turn(tmp_path, seed):
     for n in range(9):
         for word in map("".join, itertools.product(sorted(set(tokens[:3]) & set("abc")), repeat=n)) if n < 8 else ("".join(rng.choice("abc") for _ in range(60)) for _ in range(50)):
             assert [*automaton.encode(word.encode())] == [vocab[t] for t in merged(word, merges)]
+            assert word == "" or automaton._encode_long(word.encode()) == automaton.encode(word.encode())
             assert automaton.decode(automaton.encode(word.encode())) == word.encode()
 
 
