@@ -75,17 +75,10 @@ def select_links(cells: DataFrame, keys: list[str], step: int, rules: LinkRules
         order = [F.col("origin_period").desc()] if r.zero_cells == "missing" else [live.desc(), F.col("origin_period").desc()]
         links = links.withColumn("turn", F.row_number().over(age.orderBy(*order)))
         links = mark(links, F.col("turn") > r.history_periods, "history_window").drop("turn")
-    skipped = F.lit(False)
-    for condition, reason in (
-        (any_of((F.col("origin_period") == F.lit(o).cast("date")) & (F.col("dev_lag") == a) for o, a in r.exclude), "explicit_exclusion"),
-        (F.col("eval_date").cast("string").isin(*r.exclude_valuations) if r.exclude_valuations else F.lit(False), "valuation_exclusion"),
-    ):
-        # An exclusion that would leave an age without links is not applied there.
-        links = links.withColumn("spent", F.count_if(live & ~condition).over(age) == 0)
-        skipped = skipped | F.col(f"spent_{reason}")
-        links = links.withColumnRenamed("spent", f"spent_{reason}")
-        links = mark(links, condition & ~F.col(f"spent_{reason}"), reason)
-    links = links.withColumn("exclusions_skipped", skipped).drop("spent_explicit_exclusion", "spent_valuation_exclusion")
+    # Named exclusions hold whatever they leave; an emptied age goes to the fallback of the factors.
+    links = mark(links, any_of((F.col("origin_period") == F.lit(o).cast("date")) & (F.col("dev_lag") == a) for o, a in r.exclude), "explicit_exclusion")
+    if r.exclude_valuations:
+        links = mark(links, F.col("eval_date").cast("string").isin(*r.exclude_valuations), "valuation_exclusion")
     high = F.lit(False) if r.drop_above is None else F.col("ratio") > r.drop_above
     low = F.lit(False) if r.drop_below is None else F.col("ratio") < r.drop_below
     out_of_bounds = high | low
@@ -96,7 +89,8 @@ def select_links(cells: DataFrame, keys: list[str], step: int, rules: LinkRules
         tie = ["ratio", "previous", "origin_period"] if r.ties == "volume" else ["ratio", "origin_period"]
         links = links.withColumn("enough", F.count_if(live).over(age) - r.drop_high - r.drop_low >= r.preserve)
         links = links.withColumns({"from_low": F.row_number().over(age.orderBy(live.desc(), *tie)), "from_high": F.row_number().over(age.orderBy(live.desc(), *[F.col(t).desc() for t in tie]))})
-        links = links.withColumn("trimming_skipped", ~F.col("enough"))
+        # An age without any live link is no exhausted rule.
+        links = links.withColumn("trimming_skipped", ~F.col("enough") & (F.count_if(live).over(age) > 0))
         links = mark(mark(links, F.col("enough") & (F.col("from_low") <= r.drop_low), "drop_low"), F.col("enough") & (F.col("from_high") <= r.drop_high), "drop_high")
         links = links.drop("enough", "from_low", "from_high")
     else:

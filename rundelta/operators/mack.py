@@ -32,18 +32,21 @@ def mack_factors(cells: DataFrame, keys: list[str], step: int, average: str = "v
     through the logs of all sigmas if they are positive and at least two, else the mack rule).  An
     earlier age with one link is filled by ``log_linear`` from all ages of positive sigma, two at
     least, or by ``mack`` from the two ages just before it; where these have no sigma of their own,
-    ``sigma2`` is null and ``reason`` is ``variance_not_estimable``.
+    ``sigma2`` is null and ``reason`` is ``variance_not_estimable``.  An age whose links are all left out
+    takes the factor 1 without a sigma and the reason ``no_link_ratio``, so errors that pass it are null.
     """
     if average not in ALPHAS or sigma_rule not in ("mack", "log_linear"):
         raise Refusal("invalid_option", f"{average}, {sigma_rule}")
     a = ALPHAS[average]
-    links = select_links(_dealt(cells, keys), keys, step, rules).where("included").drop("included")
+    links = select_links(_dealt(cells, keys), keys, step, rules)
+    links = links.withColumns({c: F.when(F.col("included"), F.col(c)) for c in ("previous", "following", "ratio")})
     links = links.withColumn("factor", factor_of(average, Window.partitionBy(*keys, "dev_lag")))
     links = links.withColumn("factor", F.when(usable(F.col("factor")), F.col("factor")).otherwise(F.lit(1.0)))
     weight = F.pow("previous", F.lit(a))
     found = links.groupBy(*keys, "dev_lag").agg(
         F.first("factor").alias("factor"),
-        F.sum(weight).alias("weight"),
+        F.coalesce(F.sum(weight), F.lit(0.0)).alias("weight"),
+        F.count_if("included").alias("n_included"),
         F.count_if(F.col("previous") > 0).alias("n"),
         F.sum(F.when(F.col("previous") > 0, weight * F.pow(F.col("ratio") - F.col("factor"), F.lit(2)))).alias("squares"),
     )
@@ -66,8 +69,8 @@ def mack_factors(cells: DataFrame, keys: list[str], step: int, average: str = "v
         extrapolated = F.when(F.col("gaps"), F.when(F.col("positive") >= 2, line)).otherwise(F.when((F.col("positive") >= 2) & (F.col("positive") == F.col("known")), line).otherwise(mack))
     else:
         extrapolated = mack
-    sigma2 = F.coalesce("estimated", extrapolated)
-    reason = F.when(sigma2.isNull(), "variance_not_estimable")
+    sigma2 = F.when(F.col("n_included") > 0, F.coalesce("estimated", extrapolated))
+    reason = F.when(F.col("n_included") == 0, "no_link_ratio").when(sigma2.isNull(), "variance_not_estimable")
     return found.select(*keys, "dev_lag", "factor", "weight", "n", sigma2.alias("sigma2"), F.col("estimated").isNull().alias("sigma_extrapolated"), reason.alias("reason"))
 
 
@@ -110,7 +113,9 @@ def _ages(factors: DataFrame, keys: list[str]) -> DataFrame:
 
 def _projected(origins: DataFrame, alpha: int) -> DataFrame:
     """Origins (with their cohort's ``ages``) with ultimate, process and parameter shares of its square."""
-    start = F.struct(F.col("latest").alias("amount"), F.lit(0.0).alias("process"), F.lit(0.0).alias("parameter"))
+    # A sum that starts from a plain literal may not become null: an age without sigma would add nothing.
+    zero = F.when(F.col("latest").isNotNull(), F.lit(0.0))
+    start = F.struct(F.col("latest").alias("amount"), zero.alias("process"), zero.alias("parameter"))
 
     def step(a: Column, x: Column) -> Column:
         ratio = x["sigma2"] / (x["factor"] * x["factor"])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rundelta.errors import Refusal
-from rundelta.operators.backtest import Candidate, candidates_frame, replay, score_replay
+from rundelta.operators.backtest import Candidate, candidates_frame, replay_intervals, score_replay
 
 #: A setting's distribution: a function of a random generator.
 Draw = Callable[[np.random.Generator], object]
@@ -48,17 +48,18 @@ def trials(space: Mapping[str, Draw], n_trials: int, seed: int) -> list[dict]:
     return [{k: draw(rng) for k, draw in space.items()} for _ in range(n_trials)]
 
 
-def tune(cells: DataFrame, premium: DataFrame, space: Mapping[str, Draw], n_trials: int, seed: int, days: list[str], keys: list[str], step: int, metric: str = "ave", keep_top: int | None = None) -> DataFrame:
+def tune(cells: DataFrame, premium: DataFrame, space: Mapping[str, Draw], n_trials: int, seed: int, days: list[str], keys: list[str], step: int, horizon: int, metric: str = "ave", keep_top: int | None = None) -> DataFrame:
     """trial, method, history, high, low, elr, decay, score, n_scored, place: best first by mean error over replays.
 
-    ``space`` draws fields of ``Candidate``.  A trial without a score has none and comes last; ties go to
+    ``space`` draws fields of ``Candidate``.  A trial is scored by all its diagonals or not at all and then comes last; ties go to
     the earlier trial.  ``keep_top`` limits the report.
     """
     drawn = trials(space, n_trials, seed)
     made = [Candidate(f"{n:06d}", **{"method": "cl"} | d) for n, d in enumerate(drawn)]
     frame = candidates_frame(cells.sparkSession, made)
-    scored = score_replay(replay(cells, premium, frame, days, keys, step), metric).where("status = 'scored'")
-    means = scored.groupBy("candidate").agg(F.avg("rmse").alias("score"), F.count(F.lit(1)).alias("n_scored"))
+    scored = score_replay(replay_intervals(cells, premium, frame, days, keys, step, horizon), metric).where("status = 'scored'")
+    means = scored.groupBy("candidate").agg(F.avg("rmse").alias("mean"), F.count(F.lit(1)).alias("n_scored"))
+    means = means.select("candidate", F.when(F.col("n_scored") == len(days) - 1, F.col("mean")).alias("score"), "n_scored")
     out = frame.join(means, "candidate", "left")
     # A row per trial: this order is over the report, not over data.
     rows = out.orderBy(F.col("score").asc_nulls_last(), "candidate").limit(keep_top or n_trials)

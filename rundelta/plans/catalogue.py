@@ -262,15 +262,26 @@ def link_reasons_bounds(spark, d):
 @query(
     q(
         rules_sql(
-            """SELECT *, CASE WHEN x AND left1 > 0 THEN 'explicit_exclusion' WHEN v AND left2 > 0 THEN 'valuation_exclusion' END AS reason FROM (
-  SELECT *, count(*) FILTER (NOT v AND NOT (x AND left1 > 0)) OVER (PARTITION BY lob, dev_lag) AS left2 FROM (
-    SELECT *, count(*) FILTER (NOT x) OVER (PARTITION BY lob, dev_lag) AS left1 FROM (
-      SELECT *, origin_period = DATE '1996-01-01' AND dev_lag = 12 AS x, eval_date = DATE '1999-12-31' AS v FROM links)))"""
+            """SELECT *, CASE WHEN (origin_period = DATE '1996-01-01' AND dev_lag = 12) OR (origin_period = DATE '1995-01-01' AND dev_lag = 72) THEN 'explicit_exclusion' WHEN eval_date = DATE '1999-12-31' THEN 'valuation_exclusion' END AS reason FROM links"""
         )
     )
 )
 def link_reasons_exclude(spark, d):
-    return reasons(spark, d, LinkRules(exclude=(("1996-01-01", 12),), exclude_valuations=("1999-12-31",)))
+    """Named exclusions, one of which leaves the last age without a link."""
+    return reasons(spark, d, _EXCLUDE)
+
+
+_EXCLUDE = LinkRules(exclude=(("1996-01-01", 12), ("1995-01-01", 72)), exclude_valuations=("1999-12-31",))
+
+
+@query(
+    q(
+        "SELECT lob, dev_lag, round(coalesce(sum(following) FILTER (kept) / sum(previous) FILTER (kept), 1.0), 6) AS factor, count(*) FILTER (kept) AS n_selected, count(*) FILTER (kept) = 0 AS unity_fallback FROM (SELECT *, NOT ((origin_period = DATE '1996-01-01' AND dev_lag = 12) OR (origin_period = DATE '1995-01-01' AND dev_lag = 72) OR eval_date = DATE '1999-12-31') AS kept FROM links) GROUP BY 1, 2"
+    )
+)
+def factors_of_emptied_ages(spark, d):
+    out = link_factors(select_links(marts.cells(spark, d), LOB, STEP, _EXCLUDE), LOB)
+    return rounded(out.select("lob", "dev_lag", "factor", "n_selected", "unity_fallback"), factor=6)
 
 
 _ZERO = "CASE WHEN origin_period = DATE '1997-01-01' AND dev_lag = 12 THEN 0.0 ELSE {0} END"
@@ -556,59 +567,89 @@ def shrink_toward(spark, d):
 
 
 _DAYS = ["1998-12-31", "1999-12-31", "2000-12-31", "2001-12-31"]
-_GRID = [bt.Candidate("cl_all", "cl"), bt.Candidate("cl_h3", "cl", 3), bt.Candidate("cl_hi1", "cl", drop_high=1), bt.Candidate("bf06", "bf", expected_loss_ratio=0.6), bt.Candidate("gcc075", "gcc", decay=0.75)]
+_HORIZON = 48
+_GRID = [
+    bt.Candidate("cl_all", "cl"),
+    bt.Candidate("cl_h3", "cl", 3),
+    bt.Candidate("cl_hi1", "cl", drop_high=1, exhausted="keep"),
+    bt.Candidate("cl_strict", "cl", drop_high=1, drop_low=1),
+    bt.Candidate("bf06", "bf", expected_loss_ratio=0.6),
+    bt.Candidate("gcc075", "gcc", decay=0.75),
+]
 
 
 def _fit_ctes(cells: str, snap: str) -> list[str]:
-    rows = ", ".join(f"('{c.name}', '{c.method}', {c.history_periods}, {c.drop_high}, {c.drop_low}, {c.expected_loss_ratio:f}, {c.decay:f})" for c in _GRID)
+    rows = ", ".join(f"('{c.name}', '{c.method}', {c.history_periods}, {c.drop_high}, {c.drop_low}, {c.expected_loss_ratio:f}, {c.decay:f}, '{c.exhausted}')" for c in _GRID)
     return [
-        f"grid(candidate, method, history, high, low, elr, decay) AS (VALUES {rows})",
-        f"sl AS (SELECT g.candidate, g.history, g.high, g.low, a.{snap}, a.lob, a.origin_period, a.dev_lag, a.value AS previous, b.value AS following, b.value / a.value AS ratio FROM {cells} a JOIN {cells} b ON a.{snap} = b.{snap} AND a.lob = b.lob AND a.origin_period = b.origin_period AND b.dev_lag = a.dev_lag + 12 CROSS JOIN grid g)",
+        f"grid(candidate, method, history, high, low, elr, decay, exhausted) AS (VALUES {rows})",
+        f"hc AS (SELECT * FROM {cells} WHERE dev_lag <= {_HORIZON})",
+        f"sl AS (SELECT g.candidate, g.history, g.high, g.low, a.{snap}, a.lob, a.origin_period, a.dev_lag, a.value AS previous, b.value AS following, b.value / a.value AS ratio FROM hc a JOIN hc b ON a.{snap} = b.{snap} AND a.lob = b.lob AND a.origin_period = b.origin_period AND b.dev_lag = a.dev_lag + 12 CROSS JOIN grid g WHERE a.value > 0)",
         f"sh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY candidate, {snap}, lob, dev_lag ORDER BY origin_period DESC) AS turn FROM sl) WHERE turn <= history)",
-        f"sk AS (SELECT *, count(*) OVER p AS n, row_number() OVER (PARTITION BY candidate, {snap}, lob, dev_lag ORDER BY ratio, previous, origin_period) AS lo, row_number() OVER (PARTITION BY candidate, {snap}, lob, dev_lag ORDER BY ratio DESC, previous DESC, origin_period DESC) AS hi FROM sh WINDOW p AS (PARTITION BY candidate, {snap}, lob, dev_lag))",
-        f"sf AS (SELECT candidate, {snap}, lob, dev_lag, sum(following) / sum(previous) AS f FROM sk WHERE n - high - low < 1 OR (lo > low AND hi > high) GROUP BY 1, 2, 3, 4)",
+        f"sk AS (SELECT *, count(*) OVER p AS n, row_number() OVER (PARTITION BY candidate, {snap}, lob, dev_lag ORDER BY ratio, origin_period) AS lo, row_number() OVER (PARTITION BY candidate, {snap}, lob, dev_lag ORDER BY ratio DESC, origin_period DESC) AS hi FROM sh WINDOW p AS (PARTITION BY candidate, {snap}, lob, dev_lag))",
+        f"sf AS (SELECT candidate, {snap}, lob, dev_lag, sum(following) FILTER (n - high - low < 1 OR (lo > low AND hi > high)) / sum(previous) FILTER (n - high - low < 1 OR (lo > low AND hi > high)) AS f, bool_or(n - high - low < 1 AND high + low > 0) AS spent FROM sk GROUP BY 1, 2, 3, 4)",
+        f"sa AS (SELECT {snap}, lob, origin_period, max(dev_lag) AS latest_dev, arg_max(value, dev_lag) AS latest FROM hc GROUP BY 1, 2, 3)",
+        f"need AS (SELECT g.candidate, g.exhausted, s.{snap}, s.lob, unnest([{', '.join(str(x) for x in range(12, _HORIZON, 12))}]) AS dev_lag FROM grid g CROSS JOIN (SELECT DISTINCT {snap}, lob FROM sa) s)",
+        f"why AS (SELECT n.candidate, n.{snap}, n.lob, CASE WHEN bool_or(coalesce(spent, false) AND exhausted = 'raise') THEN 'exclusions_exhausted' WHEN bool_or(f IS NULL OR f <= 0) THEN 'no_link_ratio' END AS reason FROM need n LEFT JOIN sf USING (candidate, {snap}, lob, dev_lag) GROUP BY 1, 2, 3)",
         f"sp AS (SELECT *, exp(sum(ln(f)) OVER (PARTITION BY candidate, {snap}, lob ORDER BY dev_lag DESC)) AS cdf FROM sf)",
-        f"sa AS (SELECT {snap}, lob, origin_period, max(dev_lag) AS latest_dev, arg_max(value, dev_lag) AS latest FROM {cells} GROUP BY 1, 2, 3)",
-        f"sb AS (SELECT g.candidate, g.method, g.elr, g.decay, a.*, coalesce(p.cdf, 1.0) AS cdf, 1 / coalesce(p.cdf, 1.0) AS beta, coalesce(p.f, 1.0) AS nf, r.premium, year(a.origin_period) * 12 AS m FROM sa a CROSS JOIN grid g LEFT JOIN sp p ON p.candidate = g.candidate AND p.{snap} = a.{snap} AND p.lob = a.lob AND p.dev_lag = a.latest_dev LEFT JOIN prem r ON r.lob = a.lob AND r.origin_period = a.origin_period)",
+        f"sb AS (SELECT g.candidate, g.method, g.elr, g.decay, a.*, coalesce(p.cdf, 1.0) AS cdf, 1 / coalesce(p.cdf, 1.0) AS beta, coalesce(p.f, 1.0) AS nf, r.premium, year(a.origin_period) * 12 AS m, w.reason FROM sa a CROSS JOIN grid g JOIN why w ON w.candidate = g.candidate AND w.{snap} = a.{snap} AND w.lob = a.lob LEFT JOIN sp p ON p.candidate = g.candidate AND p.{snap} = a.{snap} AND p.lob = a.lob AND p.dev_lag = a.latest_dev LEFT JOIN prem r ON r.lob = a.lob AND r.origin_period = a.origin_period)",
         f"sr AS (SELECT a.candidate, a.{snap}, a.lob, a.m, sum(pow(a.decay, abs(a.m - b.m) / 12.0) * b.latest) / sum(pow(a.decay, abs(a.m - b.m) / 12.0) * b.premium * b.beta) AS er FROM sb a JOIN sb b ON a.candidate = b.candidate AND a.{snap} = b.{snap} AND a.lob = b.lob WHERE a.method = 'gcc' GROUP BY 1, 2, 3, 4)",
         f"se AS (SELECT b.*, CASE WHEN method = 'bf' THEN elr ELSE er END * premium AS ex FROM sb b LEFT JOIN sr ON b.candidate = sr.candidate AND b.{snap} = sr.{snap} AND b.lob = sr.lob AND b.m = sr.m)",
         "sx AS (SELECT *, CASE WHEN method = 'cl' THEN latest * cdf ELSE latest + (1 - beta) * ex END AS ultimate, CASE WHEN method = 'cl' THEN latest * nf ELSE latest + (beta * nf - beta) * ex END AS next_value FROM se)",
     ]
 
 
-_SNAP = "sc AS (SELECT d.snapshot, c.* FROM cells c JOIN (" + " UNION ALL ".join(f"SELECT DATE '{x}' AS snapshot" for x in _DAYS) + ") d ON c.eval_date <= d.snapshot)"
-_REPLAY = [
-    _SNAP,
-    *_fit_ctes("sc", "snapshot"),
-    """rp AS (SELECT n.candidate, n.snapshot, n.lob, n.origin_period, a.latest_dev AS dev_lag, n.next_value - n.latest AS expected, a.latest - n.latest AS actual, l.ultimate - n.ultimate AS cdr
-  FROM sx n JOIN sa a ON a.snapshot = make_date(year(n.snapshot) + 1, 12, 31) AND a.lob = n.lob AND a.origin_period = n.origin_period AND a.latest_dev = n.latest_dev + 12
-  JOIN sx l ON l.candidate = n.candidate AND l.snapshot = a.snapshot AND l.lob = n.lob AND l.origin_period = n.origin_period)""",
-]
+def _snaps(days: list[str]) -> str:
+    return "sc AS (SELECT d.snapshot, c.* FROM cells c JOIN (" + " UNION ALL ".join(f"SELECT DATE '{x}' AS snapshot" for x in days) + ") d ON c.eval_date <= d.snapshot)"
 
 
-def _replayed(spark, d):
-    return bt.replay(marts.cells(spark, d), marts.premiums(spark, d), bt.candidates_frame(spark, _GRID), _DAYS, LOB, STEP)
+def _replay_ctes(days: list[str]) -> list[str]:
+    return [
+        _snaps(days),
+        *_fit_ctes("sc", "snapshot"),
+        f"""ri AS (SELECT n.candidate, n.snapshot, n.lob, n.origin_period, least(n.latest_dev + 12, {_HORIZON}) AS dev_lag, n.next_value - n.latest AS expected, l.latest - n.latest AS actual, l.ultimate - n.ultimate AS cdr,
+    CASE WHEN n.reason IS NOT NULL THEN 'fit_before: ' || n.reason WHEN l.reason IS NOT NULL THEN 'fit_after: ' || l.reason END AS failed
+  FROM sx n JOIN sx l ON l.candidate = n.candidate AND l.snapshot = make_date(year(n.snapshot) + 1, 12, 31) AND l.lob = n.lob AND l.origin_period = n.origin_period)""",
+        "rp AS (SELECT * FROM ri WHERE failed IS NULL)",
+    ]
+
+
+_REPLAY = _replay_ctes(_DAYS)
+_LONGER = ["1997-12-31", *_DAYS]
+
+
+def _intervals(spark, d, days=None):
+    return bt.replay_intervals(marts.cells(spark, d), marts.premiums(spark, d), bt.candidates_frame(spark, _GRID), days or _DAYS, LOB, STEP, _HORIZON)
 
 
 @query(q("SELECT candidate, snapshot, lob, origin_period, dev_lag, round(expected, 2) AS expected, round(actual, 4) AS actual, round(actual - expected, 2) AS ave, round(cdr, 2) AS cdr FROM rp", *_REPLAY))
 def replay_ave_cdr(spark, d):
-    return rounded(_replayed(spark, d).drop("remaining_revision"), expected=2, actual=4, ave=2, cdr=2)
+    found = bt.replay(marts.cells(spark, d), marts.premiums(spark, d), bt.candidates_frame(spark, _GRID), _DAYS, LOB, STEP, _HORIZON)
+    return rounded(found.drop("remaining_revision"), expected=2, actual=4, ave=2, cdr=2)
+
+
+@query(q("SELECT candidate, snapshot, lob, any_value(failed) AS reason, count(*) AS n_origins FROM ri WHERE failed IS NOT NULL GROUP BY 1, 2, 3", *_replay_ctes(_LONGER)))
+def replay_failures(spark, d):
+    """Intervals without an outcome: too few dates for every age, or trims that leave no link."""
+    return bt.replay_failures(_intervals(spark, d, _LONGER), LOB)
+
+
+_SCORES = "SELECT candidate, snapshot, count(*) AS n, CASE WHEN count(failed) = 0 THEN sqrt(sum(abs(actual) * pow(actual - expected, 2)) / sum(abs(actual))) END AS rmse, CASE WHEN count(failed) > 0 THEN 'failed' ELSE 'scored' END AS status FROM ri GROUP BY 1, 2"
 
 
-@query(q("SELECT candidate, snapshot, count(*) AS n, round(sqrt(sum(abs(actual) * pow(actual - expected, 2)) / sum(abs(actual))), 2) AS rmse, 'scored' AS status FROM rp GROUP BY 1, 2", *_REPLAY))
+@query(q(f"SELECT * REPLACE (round(rmse, 2) AS rmse) FROM ({_SCORES})", *_REPLAY))
 def score_replay(spark, d):
-    return rounded(bt.score_replay(_replayed(spark, d)), rmse=2)
+    return rounded(bt.score_replay(_intervals(spark, d)), rmse=2)
 
 
-@query(q("SELECT candidate, count(*) AS n_scored, round(avg(rmse), 2) AS mean_rmse, count(*) = 3 AS eligible, row_number() OVER (ORDER BY count(*) = 3 DESC, avg(rmse), candidate) AS place FROM (SELECT candidate, snapshot, sqrt(sum(abs(actual) * pow(actual - expected, 2)) / sum(abs(actual))) AS rmse FROM rp GROUP BY 1, 2) GROUP BY 1", *_REPLAY))
+@query(q(f"SELECT candidate, count(rmse) AS n_scored, round(avg(rmse), 2) AS mean_rmse, count(rmse) = 3 AS eligible, row_number() OVER (ORDER BY count(rmse) = 3 DESC, avg(rmse) NULLS LAST, candidate) AS place FROM ({_SCORES}) GROUP BY 1", *_REPLAY))
 def select_conventional(spark, d):
-    out = bt.select_conventional(bt.score_replay(_replayed(spark, d)), len(_DAYS) - 1)
+    out = bt.select_conventional(bt.score_replay(_intervals(spark, d)), len(_DAYS) - 1)
     return rounded(out.withColumn("place", F.col("place").cast("bigint")), mean_rmse=2)
 
 
-@query(q("SELECT x.candidate, count(*) AS n, round(sqrt(avg(pow(x.ultimate - c.value, 2))), 2) AS rmse, round(avg(x.ultimate - c.value), 2) AS bias FROM sx x JOIN cells c ON c.lob = x.lob AND c.origin_period = x.origin_period AND c.dev_lag = 48 WHERE x.snapshot = DATE '1999-12-31' GROUP BY 1", _SNAP, *_fit_ctes("sc", "snapshot")))
+@query(q(f"SELECT x.candidate, count(*) FILTER (reason IS NULL) AS n, round(sqrt(avg(pow(x.ultimate - c.value, 2)) FILTER (reason IS NULL)), 2) AS rmse, round(avg(x.ultimate - c.value) FILTER (reason IS NULL), 2) AS bias, count(reason) AS n_failed FROM sx x JOIN cells c ON c.lob = x.lob AND c.origin_period = x.origin_period AND c.dev_lag = {_HORIZON} WHERE x.snapshot = DATE '1999-12-31' GROUP BY 1", _snaps(_DAYS), *_fit_ctes("sc", "snapshot")))
 def evaluate_conventional(spark, d):
-    out = bt.evaluate_conventional(marts.cells(spark, d), marts.premiums(spark, d), bt.candidates_frame(spark, _GRID), "1999-12-31", 48, LOB, STEP)
+    out = bt.evaluate_conventional(marts.cells(spark, d), marts.premiums(spark, d), bt.candidates_frame(spark, _GRID), "1999-12-31", _HORIZON, LOB, STEP)
     return rounded(out, rmse=2, bias=2)
 
 
@@ -618,7 +659,7 @@ _SPACE = {"method": choice("cl", "bf", "gcc"), "history_periods": choice(3, 4, 1
 @query()
 def tuning_trials(spark, d):
     """The five best of twenty settings drawn at random."""
-    return tune(marts.cells(spark, d), marts.premiums(spark, d), _SPACE, 20, 7, _DAYS, LOB, STEP, keep_top=5)
+    return tune(marts.cells(spark, d), marts.premiums(spark, d), _SPACE, 20, 7, _DAYS, LOB, STEP, _HORIZON, keep_top=5)
 
 
 # --- predictive scores --------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from rundelta.errors import Refusal
 from rundelta.operators import fits, methods, simulate
 from rundelta.operators import mack as mk
-from rundelta.operators.links import LinkRules, link_factors, select_links
+from rundelta.operators.links import LinkRules, exhausted, link_factors, select_links
 
 K = ["lob"]
 
@@ -55,12 +55,27 @@ def test_rules_give_reasons(raa):
     links = select_links(raa, K, 12, LinkRules(history_periods=5, exclude=(("1986-01-01", 12),), drop_high=1))
     reasons = {r["reason"]: r["n"] for r in links.where("dev_lag = 12").groupBy("reason").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert reasons == {None: 3, "history_window": 4, "explicit_exclusion": 1, "drop_high": 1}
-    spent = select_links(raa, K, 12, LinkRules(exclude=(("1981-01-01", 108),))).where("dev_lag = 108").first()
-    assert spent["included"] and spent["exclusions_skipped"]
+    emptied = LinkRules(exclude=(("1981-01-01", 108),), drop_high=1)
+    spent = select_links(raa, K, 12, emptied).where("dev_lag = 108")
+    assert [(r["included"], r["reason"], r["trimming_skipped"]) for r in spent.collect()] == [(False, "explicit_exclusion", False)]
+    assert exhausted(spent, K).count() == 0
+    factor = link_factors(select_links(raa, K, 12, emptied), K).where("dev_lag = 108").first()
+    assert factor["unity_fallback"] and factor["factor"] == 1.0 and factor["n_selected"] == 0
+    by_date = select_links(raa, K, 12, LinkRules(exclude_valuations=("1990-12-31",))).where("dev_lag = 108").first()
+    assert by_date["reason"] == "valuation_exclusion"
     kept = select_links(raa, K, 12, LinkRules(drop_high=1, drop_low=1, preserve=1)).where("dev_lag = 96").collect()
     assert all(r["trimming_skipped"] and r["included"] for r in kept)
 
 
+def test_an_emptied_age_is_reported_and_spreads_no_error(raa):
+    rules = LinkRules(exclude=(("1981-01-01", 108),))
+    rows = {r["dev_lag"]: r for r in mk.mack_factors(raa, K, 12, rules=rules).collect()}
+    assert rows[108]["reason"] == "no_link_ratio" and rows[108]["sigma2"] is None and rows[108]["factor"] == 1.0 and rows[108]["n"] == 0
+    assert rows[12]["reason"] is None
+    origins = {r["latest_dev"]: r for r in mk.mack(raa, K, 12, rules=rules).collect()}
+    assert origins[120]["mack_se"] == 0.0 and origins[108]["mack_se"] is None and origins[12]["mack_se"] is None
+
+
 def test_zero_cells_and_fallback(spark):
     df = frame(spark, {2020: (0, 10, 20), 2021: (0, 12), 2022: (5,)})
     links = select_links(df, K, 12)
