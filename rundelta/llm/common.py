@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import math
 import os
 import tempfile
@@ -86,6 +87,13 @@ def give_back() -> None:
         trim(0)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let the driver drop what earlier plans hold: Python's references first, then the JVM's objects behind them."""
+    gc.collect()
+    give_back()
+    spark._jvm.java.lang.System.gc()
+
+
 def lean(run, *caches):
     """A task function after which the worker, which later tasks use again, holds no more than before it.
 
@@ -150,7 +158,7 @@ def partitions_for(df: DataFrame) -> int:
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     each = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(100_000, math.ceil(sum(s for s in sizes if s < PLAUSIBLE_BYTES) / each)))
+    return max(least, math.ceil(sum(s for s in sizes if s < PLAUSIBLE_BYTES) / each))
 
 
 def quoted(columns: list[str]) -> list[Column]:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rundelta.llm.common import discard, lean, materialize, quoted, ready
+from rundelta.llm.common import discard, lean, materialize, quoted, ready, settle
 
 WORDS, ROWS, BANDS = 5, 6, 40
 BATCH = 24
@@ -290,6 +290,7 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     well.  So trees of pointers halve in height and hook onto each other, and rounds grow with the
     logarithm of a chain's length.  A round is written to shared storage, the one before is deleted.
     """
+    settle(nodes.sparkSession)
     both = materialize(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "neardup-edges")
     labels = materialize(both.select(F.col("a").alias("node")).distinct().join(nodes.select("node", F.col("label").alias("comp")), "node"), "neardup-labels")
     while True:
@@ -357,7 +358,7 @@ def keep_one_of_each(docs: DataFrame, percent: int = 85, miss: float = 1e-8, id_
 
 def _judged(docs: DataFrame, percent: int, miss: float, id_col: str, text_col: str) -> DataFrame:
     """doc_id, ord, tk, n_shingles, node of every row, and comp, the first (ord, tk, node) of its component."""
-    ready(docs.sparkSession)
+    settle(ready(docs.sparkSession))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.withColumns({"ord": F.coalesce("doc_id", F.lit(LAST)), "tk": F.xxhash64("text")})
     rows = materialize(docs.mapInArrow(lean(_signatures, _HASHES), "doc_id long, ord long, tk long, n_shingles long, node binary, sig binary"), "neardup-rows")

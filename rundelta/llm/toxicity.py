@@ -9,6 +9,7 @@ of a group by itself can carry no weight of its own.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rundelta.llm.common import bucket_of, filtered, give_back, lean, ready
+from rundelta.llm.common import bucket_of, discard, filtered, lean, materialize, ready
 
 #: Identity terms by group: fixed values, in English, German, French and Spanish.
 IDENTITY_GROUPS = (
@@ -84,8 +85,8 @@ class PackedBags:
             yield set(bag.as_py().split())
 
 
-def fit(bags: Iterable[set[bytes]], labels: np.ndarray, min_count: int = 4, max_words: int = 100_000, epochs: int = 15, rate: float = 0.3, sparse: float = 1e-4, fairness: float = 1.0, seed: int = 5) -> ToxicityModel:
-    """Fit on word sets, which are gone through twice.  Features in fewer than ``min_count`` of them are left out, as are all but the ``max_words`` most common.
+def fit(bags: Iterable[set[bytes]], labels: np.ndarray, min_count: int = 4, epochs: int = 15, rate: float = 0.3, sparse: float = 1e-4, fairness: float = 1.0, seed: int = 5) -> ToxicityModel:
+    """Fit on word sets, which are gone through twice.  Features in fewer than ``min_count`` of them are left out.
 
     Without any label, or with one kind of label only, the score is the smoothed share of label 1.
     """
@@ -96,7 +97,7 @@ def fit(bags: Iterable[set[bytes]], labels: np.ndarray, min_count: int = 4, max_
     for bag in bags:
         for w in features_of(bag):
             counts[w] = counts.get(w, 0) + 1
-    kept = sorted((w for w, n in counts.items() if n >= min_count), key=lambda w: (-counts[w], w))[:max_words]
+    kept = sorted((w for w, n in counts.items() if n >= min_count), key=lambda w: (-counts[w], w))
     if not kept or labels.min() == labels.max():
         return ToxicityModel({}, start)
     number, swap = {w: i for i, w in enumerate(kept)}, identity_terms()
@@ -145,25 +146,43 @@ def _bags(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bags, pa.binary())], ["label", "bag"])
 
 
-def fit_on_tables(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, max_rows: int = 10_000, **settings) -> ToxicityModel:
+def _fit_task(max_bytes: int, settings: dict):
+    """Rows (label, bag) in order, as many as ``max_bytes`` hold, to one row: the pickled model."""
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            if size < max_bytes:
+                held.append(batch)
+                size += batch.nbytes
+        table = pa.Table.from_batches(held, pa.schema([("label", pa.int32()), ("bag", pa.binary())]))
+        model = fit(PackedBags(table["bag"]), table["label"].to_numpy(), **settings)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model.weights, model.intercept))])], ["model"])
+
+    return lean(run)
+
+
+def fit_on_tables(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, max_rows: int = 10_000, max_bytes: int = 128 * 1024 * 1024, **settings) -> ToxicityModel:
     """Fit on labelled documents outside the held-out fold ``crc32(doc_id as text) mod folds = held``.
 
     At most ``max_rows`` labelled identifiers are used, those of smallest hash, and at most twice as many
-    documents of them, should identifiers repeat; only their word sets reach the driver.  Rows with a null identifier, label or a label but 0 and 1 are not learned from.
+    documents of them, should identifiers repeat, as far as ``max_bytes`` of word sets go (in order of a hash).
+    The sample is fitted in one task; the driver gets the weights only.  Rows with a null identifier, label or a
+    label but 0 and 1 are not learned from.
     """
     spark = ready(docs.sparkSession)
     usable = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("label")).where("label in (0, 1) and label_id is not null")
     usable = usable.where(bucket_of("label_id", folds) != held).groupBy("label_id").agg(F.max("label").alias("label"))
-    picked = usable.orderBy(F.xxhash64(F.lit(1), "label_id"), "label_id").limit(max_rows).collect()
-    if not picked:
+    picked = materialize(usable.orderBy(F.xxhash64(F.lit(1), "label_id"), "label_id").limit(max_rows), "toxicity-labels")
+    # Twelve bytes a row, max_rows of them: a bounded table.
+    sample = docs.select(F.col("doc_id").cast("long").alias("label_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "label_id").select("label", "text")
+    bags = materialize(sample.mapInArrow(lean(_bags), "label int, bag binary"), "toxicity-bags")
+    ordered = bags.orderBy(F.crc32("bag"), "bag").limit(2 * max_rows)
+    found = ordered.mapInArrow(_fit_task(max_bytes, settings), "model binary").collect()
+    discard(picked, bags)
+    if not found:
         return fit([], np.zeros(0), **settings)
-    chosen = F.broadcast(spark.createDataFrame([tuple(r) for r in picked], "label_id long, label int"))
-    sample = docs.select(F.col("doc_id").cast("long").alias("label_id"), F.col("text").cast("string").alias("text")).join(chosen, "label_id").select("label", "text")
-    found = sample.mapInArrow(lean(_bags), "label int, bag binary").orderBy(F.crc32("bag"), "bag").limit(2 * max_rows).toArrow()
-    model = fit(PackedBags(found["bag"]), found["label"].to_numpy(), **settings)
-    del found
-    give_back()
-    return model
+    return ToxicityModel(*pickle.loads(found[0]["model"]))
 
 
 def score(docs: DataFrame, model: ToxicityModel, folds: int = 4, held: int = 2, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
