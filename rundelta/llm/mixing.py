@@ -33,6 +33,8 @@ from rundelta.llm.common import WORD_PATTERN, materialize, partitions_for, quote
 FEW = 4096
 #: Bits of the hash, and of it read in one step.
 PLACE, STEP = 60, 12
+#: Levels of the tree between dealings of its nodes; shares of a source's block copies, each ordered by itself.
+SPREAD, SHARES = 7, 1024
 
 
 def _size(text: Column) -> Column:
@@ -63,8 +65,8 @@ def _targets(rows: DataFrame, weights: tuple[int, ...], cap: int, n_shards: int)
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(1)).cast("int")
     found = found.withColumn("passes", F.least(passes, F.lit(cap)))
     need = F.when(F.col("source_size") > 0, F.col("target") - F.col("passes") * F.col("source_size")).otherwise(F.lit(0.0))
-    # A few hundred blocks a shard in all, 4096 a source at most; a block is never below one row on average.
-    blocks = F.least(F.col("n_rows").cast("double"), F.ceil(F.col("n_rows") * F.lit(32.0 * n_shards) / F.col("all_rows")), F.lit(4096.0))
+    # 32 blocks a shard in all, so a block is about as many rows in every source, and one row on average at least.
+    blocks = F.least(F.col("n_rows").cast("double"), F.ceil(F.col("n_rows") * F.lit(32.0 * n_shards) / F.col("all_rows")))
     bits = F.greatest(F.lit(0), F.floor(F.log2(blocks))).cast("int")
     return found.withColumns({"need": need, "bits": bits}).select("mix_source", "source_size", "n_rows", "target", "passes", "need", "bits", "nth")
 
@@ -120,6 +122,9 @@ def _shards(blocks: DataFrame, n_shards: int, seed: int) -> DataFrame:
     quotas = blocks.groupBy("mix_source", "nth").agg(F.sum("copies").alias("quota"))
     nodes = quotas.agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "quota"))), lambda x: x["quota"]).alias("quotas")).withColumn("node", F.lit(0).cast("long"))
     for depth in range(int(math.log2(n_shards))):
+        if depth and depth % SPREAD == 0:
+            # So many nodes are work for all tasks.
+            nodes = nodes.repartition(1 << min(depth, 2 * SPREAD), "node")
         u = f"(cast(pmod(xxhash64({seed}, {depth}, node, i), 9007199254740992L) as double) / 9007199254740992D)"
         left = (
             "aggregate(if(size(quotas) > 0, sequence(0, size(quotas) - 1), array()), "
@@ -134,8 +139,12 @@ def _shards(blocks: DataFrame, n_shards: int, seed: int) -> DataFrame:
     upto = F.sum("quota").over(Window.partitionBy("nth").orderBy("shard"))
     dealt = dealt.withColumn("upto", upto).select("nth", "shard", F.explode(F.sequence(F.col("upto") - F.col("quota"), F.col("upto") - 1)).alias("turn"))
     copies = blocks.where("copies > 0").select("mix_source", "nth", "block", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
-    turn = F.row_number().over(Window.partitionBy("nth").orderBy(F.xxhash64(F.lit(seed + 1), "nth", "block", "copy"), "block", "copy")) - 1
-    placed = copies.withColumn("turn", turn.cast("long")).join(dealt, ["nth", "turn"])
+    # A copy's turn in its source's random order: those of earlier shares, then its row in its own share.
+    copies = copies.withColumn("h", F.xxhash64(F.lit(seed + 1), "nth", "block", "copy")).withColumn("share", F.pmod("h", F.lit(SHARES)))
+    before = F.sum("n").over(Window.partitionBy("nth").orderBy("share").rowsBetween(Window.unboundedPreceding, -1))
+    counted = copies.groupBy("nth", "share").agg(F.count(F.lit(1)).alias("n")).select("nth", "share", F.coalesce(before, F.lit(0)).alias("before"))
+    mine = F.row_number().over(Window.partitionBy("nth", "share").orderBy("h", "block", "copy")) - 1
+    placed = copies.withColumn("mine", mine).join(counted, ["nth", "share"]).withColumn("turn", (F.col("before") + F.col("mine")).cast("long")).join(dealt, ["nth", "turn"])
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("copy", "shard"))), lambda x: x["shard"])
     return placed.groupBy("mix_source", "block").agg(ordered.alias("shards"))
 

@@ -696,6 +696,20 @@ def test_quotas_are_kept_and_hypergeometric(spark):
     assert sum(by_shard.values()) == sum(sizes) and max(by_shard.values()) - min(by_shard.values()) <= 3
 
 
+def test_many_shards_are_all_filled_alike(spark):
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("only").alias("source"))
+    shards = 8192
+    rows = mixing.mix(docs, n_shards=shards).select(F.explode("shards").alias("s")).groupBy("s").count().collect()
+    # 32,768 places for blocks, of which those that hold a row are dealt evenly: within a block of each other.
+    blocks = docs.withColumns({"size": F.lit(3).cast("long"), "mix_source": F.col("source"), "place": mixing._place(17, F.col("doc_id").cast("string"), F.col("text"))})
+    sources = mixing._targets(blocks.select("mix_source", "size", "place"), (5, 2, 1), 3, shards).first()
+    held = blocks.groupBy(F.expr(f"shiftright(place, {mixing.PLACE} - {sources['bits']})").alias("block")).count()
+    n_blocks, most = held.count(), held.agg(F.max("count")).first()[0]
+    assert sources["bits"] == 15 and n_blocks > 2 * shards
+    assert len(rows) == shards and sum(r["count"] for r in rows) == 60_000
+    assert max(r["count"] for r in rows) <= -(-n_blocks // shards) * most
+
+
 def test_mixing_runs_no_python(spark):
     docs = documents(spark, [(1, "a b"), (2, "c")])
     plan = mixing.mix(docs, n_shards=4)._jdf.queryExecution().toString()
