@@ -5,8 +5,9 @@ dimension: the sorted lists.  For a query, lists are read from the end that adds
 some ranks at a time; each row met for the first time is scored by random access.  The score that a
 row not yet met can still reach is the query times the values at the depth reached (the threshold).
 Reading stops once that is below the k-th best score so far, or below that of the blocks which the
-task searched before.  So results are exact, ties included.  Where the ranks read have already met most
-rows of a block, the rest is scored at once instead of being looked for in the lists.
+task searched before.  So results are exact, ties included.  Rows are scored when they are met: where one
+step meets a quarter of a block, by a product with the whole block, of which later steps read too.  In many even
+dimensions every row is met long before the threshold falls; the lists are then read on for the threshold alone.
 
 A task keeps the k best of every query over all its blocks and returns them once, at its end.
 """
@@ -58,14 +59,15 @@ class Block:
         self.lists = np.argsort(-rows, axis=0, kind="stable").T.copy() if rows.size else np.zeros((rows.shape[1], 0), np.int64)
         self.values = np.take_along_axis(self.rows.T, self.lists, axis=1)
 
-    def top(self, query: np.ndarray, k: int, floor: int | None = None, skip: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
-        """Identifiers and scores of the k best rows (ties to smaller identifiers) and how many rows were scored.
+    def top(self, query: np.ndarray, k: int, floor: int | None = None, skip: int | None = None) -> tuple[np.ndarray, np.ndarray, int, int]:
+        """Identifiers and scores of the k best rows (ties to smaller identifiers), rows scored and ranks read.
 
-        Rows that cannot reach ``floor`` may be missing; ``skip`` is an identifier that takes no part.
+        Rows that cannot reach ``floor`` may be missing; ``skip`` is an identifier that takes no part.  The
+        threshold ended the search if fewer ranks were read than there are rows.
         """
         n = len(self.ids)
         if n == 0:
-            return self.ids, np.zeros(0, np.int64), 0
+            return self.ids, np.zeros(0, np.int64), 0, 0
         d = min(len(query), self.rows.shape[1])
         wide = int(np.abs(query).max(initial=0)) * self.largest * max(1, d) >= 2**52
         q = np.zeros(self.rows.shape[1], dtype=object if wide or self.rows.dtype == object else np.float64)
@@ -74,36 +76,37 @@ class Block:
         up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
         if not len(up) and not len(down):
             up = np.arange(min(1, len(q)))
-        seen = np.zeros(n, dtype=bool)
-        found, scores = [], []
-        depth, step = 0, max(16, n // 64)
+        seen, n_seen = np.zeros(n, dtype=bool), 0
+        found, scores, product, bound = [], [], None, floor
+        depth, first = 0, max(16, n // 64)
+        step = first
         while depth < n:
             to = min(n, depth + step)
-            met = np.zeros(n, dtype=bool)
-            met[self.lists[up, depth:to]] = True
-            met[self.lists[down, n - to : n - depth]] = True
-            new = np.flatnonzero(met & ~seen)
-            if 2 * (seen.sum() + len(new)) > n:
-                # Most rows are met: the others are scored with them, and nothing is left to look for.
-                new, to = np.flatnonzero(~seen), n
-            seen[new] = True
-            found.append(new)
-            scores.append((rows @ q)[new] if 4 * len(new) > n and rows.dtype != object else rows[new] @ q)
+            if n_seen < n:
+                met = np.zeros(n, dtype=bool)
+                met[self.lists[up, depth:to]] = True
+                met[self.lists[down, n - to : n - depth]] = True
+                new = np.flatnonzero(met & ~seen)
+                seen[new] = True
+                n_seen += len(new)
+                if product is None and 4 * len(new) > n and rows.dtype != object:
+                    product = rows @ q
+                found.append(new)
+                scores.append(rows[new] @ q if product is None else product[new])
+                if n_seen > k:
+                    so_far = np.concatenate(scores)
+                    kth = np.partition(so_far, n_seen - k - 1)[n_seen - k - 1]  # one more: ``skip`` may be among them
+                    bound = kth if floor is None else max(kth, floor)
             threshold = q[up] @ self.values[up, to - 1] + q[down] @ self.values[down, n - to]
-            so_far = np.concatenate(scores)
-            bound = floor
-            if len(so_far) > k:
-                kth = np.partition(so_far, len(so_far) - k - 1)[len(so_far) - k - 1]  # one more: ``skip`` may be among them
-                bound = kth if floor is None else max(kth, floor)
-            if (bound is not None and threshold < bound) or len(so_far) == n:
+            depth, step = to, step * 2 if n_seen < n else first
+            if bound is not None and threshold < bound:
                 break
-            depth, step = to, step * 2
         at, s = np.concatenate(found), np.concatenate(scores)
         if skip is not None:
             other = self.ids[at] != skip
             at, s = at[other], s[other]
         best = np.lexsort((self.ids[at], -s))[:k] if s.dtype != object else np.array(sorted(range(len(at)), key=lambda i: (-s[i], self.ids[at[i]]))[:k], dtype=np.int64)
-        return self.ids[at[best]], np.array([int(x) for x in s[best]], dtype=np.int64), len(so_far)
+        return self.ids[at[best]], np.array([int(x) for x in s[best]], dtype=np.int64), n_seen, depth
 
 
 def _pack(rows_each: int, scale: float):
@@ -165,7 +168,7 @@ def _search(k: int):
                 tops = best[r["q_block"]][1]
                 for n, (i, q) in enumerate(zip(q_ids, q_rows, strict=True)):
                     floor = -tops[n][k - 1][0] if len(tops[n]) >= k else None
-                    ids, scores, _ = block.top(q, k, floor, int(i))
+                    ids, scores, _, _ = block.top(q, k, floor, int(i))
                     tops[n] = sorted([*tops[n], *zip((-scores).tolist(), ids.tolist(), strict=True)])[:k]
         yield from results()
 
@@ -179,8 +182,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64
     query blocks meet every corpus block once, in lanes; a task holds one block of each, and the results
     of the queries it has met.
 
-    Vectors that are null or hold null or non-finite components take no part, as query or candidate,
-    nor do null identifiers; shorter vectors count as padded with zeros; repeated rows are candidates
+    A component beyond 2^62 after scaling raises: its products could not be returned as 64-bit integers.
+    Vectors that are null or hold null or non-finite components take no part, as query or candidate, nor do null identifiers; shorter vectors count as padded with zeros; repeated rows are candidates
     each; fewer than k rows give all of them; an empty table gives an empty result.
     """
     spark = ready(vectors.sparkSession)

@@ -66,12 +66,36 @@ def test_top_k_stops_early_and_takes_wide_integers():
     rows = rng.integers(-3, 4, (4000, 3))
     rows[:30] += 500
     block = topk.Block(np.arange(4000), rows)
-    ids, scores, scored = block.top(np.array([1, 1, 1]), 5)
-    assert scored < 1000 and list(scores) == sorted((rows @ [1, 1, 1]).tolist(), reverse=True)[:5]
+    ids, scores, scored, depth = block.top(np.array([1, 1, 1]), 5)
+    assert scored < 1000 and depth < 4000 and list(scores) == sorted((rows @ [1, 1, 1]).tolist(), reverse=True)[:5]
     wide = topk.Block(np.arange(3), np.array([[2**40], [2**41], [-(2**40)]]))
     assert wide.top(np.array([2**20]), 1)[1].tolist() == [2**61]
 
 
+@pytest.mark.parametrize("k", [1, 20])
+def test_the_threshold_ends_searches_in_many_dimensions(k):
+    rng = np.random.default_rng(3)
+    rows = np.floor(64 * rng.normal(0, 0.125, (3000, 64))).astype(np.int64)
+    block = topk.Block(np.arange(3000), rows)
+    for q in rows[:20]:
+        ids, scores, scored, depth = block.top(q, k)
+        # Read to the end, the lists would have 3000 ranks.
+        assert k <= scored <= 3000 and depth < 2700
+        assert list(zip(-scores, ids, strict=True)) == sorted(zip(-(rows @ q), range(3000), strict=True))[:k]
+    with_floor = block.top(rows[0], k, floor=10**9)
+    assert with_floor[3] <= 3000 // 64 + 1
+    assert block.top(rows[0], 3000)[3] == 3000
+
+
+def test_top_k_of_mixed_lengths_and_ties_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 7)
+    data = [(i, [1.0, 0.5][: 1 + i % 2]) for i in range(60)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    q = {i: np.floor(64 * np.array((v + [0.0])[:2])) for i, v in data}
+    expected = {(i, n + 1, j) for i in (0, 20, 40) for n, (_, j) in enumerate(sorted((-int(q[i] @ q[j]), j) for j in q if j != i)[:9])}
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in topk.top_k(df, df.where("vec_id % 20 = 0"), k=9).collect()} == expected
+
+
 def test_top_k_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<double>")
     assert topk.top_k(df, df).count() == 0
