@@ -24,6 +24,8 @@ from pyspark.sql.window import Window
 from rundelta.llm.common import bucket_of, give_back, lean, ready
 
 BUCKETS = 1 << 16
+#: Bytes of a longer text that are scored at once.
+SLICE = 1 << 20
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 
 
@@ -61,7 +63,22 @@ class LanguageModel:
     temperature: float
     reject: float
 
+    def _sums(self, text: str) -> tuple[np.ndarray, int]:
+        """Summed scores and number of one text's n-grams, a slice of their first bytes at a time."""
+        data, _ = _joined([text])
+        total, count = np.zeros(len(self.classes)), 0
+        for lo in range(0, len(data), SLICE):
+            for grams in ngram_buckets(data[lo : lo + SLICE + 3]):
+                mine = grams[:SLICE]
+                known = np.bincount(mine[mine != BUCKETS], minlength=BUCKETS)
+                total += known @ self.scores[:BUCKETS]
+                count += int(known.sum())
+        return total, count
+
     def logits(self, texts: list[str]) -> np.ndarray:
+        if len(texts) == 1 and len(texts[0]) > SLICE:
+            total, count = self._sums(texts[0])
+            return (total / max(count, 1) + self.bias)[None, :]
         data, begins = _joined(texts)
         total, count = np.zeros((len(texts), len(self.classes))), np.zeros(len(texts))
         for grams in ngram_buckets(data):
@@ -85,7 +102,7 @@ class LanguageModel:
         lo = 0
         while lo < len(asked):
             hi, size = lo, 0
-            while hi < len(asked) and (hi == lo or size + len(texts[asked[hi]]) < 1_000_000):
+            while hi < len(asked) and (hi == lo or size + len(texts[asked[hi]]) < SLICE):
                 size += len(texts[asked[hi]])
                 hi += 1
             part = asked[lo:hi]

@@ -38,7 +38,7 @@ LENGTH, GRAM, SHALLOW, GROUP = 100, 24, 16, 2048
 #: Repeated anchor hashes that workers load as a table; more are joined.
 LOADED = 12_000_000
 #: Windows whose anchors are found at once; positions among them are packed in 28 bits.
-AT_ONCE = 1 << 27
+AT_ONCE = 1 << 22
 #: Rows of small groups that are sorted together.
 TOGETHER = 20_000
 #: Parts of the rows of one fingerprint.

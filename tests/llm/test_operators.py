@@ -495,6 +495,69 @@ def test_toxicity_learns_insults_not_groups(spark):
     assert 0 < toxicity.fit_on_tables(docs, marked.limit(0)).scores([None])[0] < 1
 
 
+def _peak(code: str) -> float:
+    """The most memory, in MB, that a process of its own needs for some code, beyond its imports."""
+    import subprocess
+    import sys
+
+    head = "import resource\nfrom rundelta.llm import langid, substrings\nimport numpy as np\n"
+    tail = "\nprint(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024)\n"
+    return float(subprocess.run([sys.executable, "-c", head + code + tail], capture_output=True, text=True, check=True, timeout=300).stdout.split()[-1])
+
+
+def test_very_long_texts_are_scored_by_slices(monkeypatch):
+    rng = random.Random(8)
+    model = langid.fit([prose(rng, 20) for _ in range(40)] + ["der die das und nicht " * 5] * 40, ["en"] * 40 + ["de"] * 40)
+    text = prose(rng, 3000) + " é中 der "
+    whole = model.logits([text])
+    for size in (1, 7, 1000, 4096):
+        monkeypatch.setattr(langid, "SLICE", size)
+        assert np.allclose(model.logits([text]), whole, atol=1e-6)
+
+
+def test_one_text_of_fifty_megabytes_stays_small():
+    language = "m = langid.LanguageModel([str(i) for i in range(12)], np.zeros((langid.BUCKETS + 1, 12), np.float32), np.zeros(12), 1.0, 0.0)\nm.predict(['words here and there ' * 2_500_000])"
+    repeats = "t = np.random.default_rng(1).integers(97, 123, 50_000_000, dtype=np.uint8).tobytes()\nprint(len(substrings.anchors([t])[0]))"
+    assert _peak(language) < 1000
+    assert _peak(repeats) < 1000
+
+
+def test_toxicity_scores_are_the_sum_of_their_weights():
+    rng = random.Random(12)
+    texts = [prose(rng, 12) + rng.choice(["", " you idiot women", " muslims here"]) for _ in range(80)]
+    labels = np.array(["idiot" in t for t in texts], dtype=np.int32)
+    model = toxicity.fit([toxicity.words_of(t) for t in texts], labels)
+    assert len(model.weights) > 3
+    for t in [*texts[:20], "", "IDIOT, idiot! " * 3, "unknown"]:
+        words = {w for w in "".join(c if c.isalnum() else " " for c in t.lower()).encode().split()}
+        features = set(words)
+        for n in (4, 5, 6):
+            features |= {bytes([n]) + w[:n] for w in words if len(w) > n}
+        z = model.intercept
+        for f in sorted(features):
+            z += model.weights.get(f, 0.0)
+        assert model.logits([t])[0] == pytest.approx(z, abs=1e-9)
+        assert model.scores([t])[0] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+
+
+def test_language_scores_are_those_of_a_dictionary_of_ngrams():
+    rng = random.Random(13)
+    model = langid.fit([prose(rng, 20) for _ in range(40)] + ["der die das und nicht " * 5] * 40, ["en"] * 40 + ["de"] * 40)
+    for t in ("the of and", "DER  die\tdas", "a", "é 中文 xyz", "w" * 50):
+        data = b" " + bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in t.encode()) + b" "
+        counts = {}
+        for n in (2, 3, 4):
+            for i in range(len(data) - n + 1):
+                gram = data[i : i + n]
+                if b" " not in gram[1:-1]:
+                    value = int.from_bytes(gram, "big") & 0xFFFFFFFF
+                    h = ((value * 2654435761 + (n * 0x9E3779B1)) & 0xFFFFFFFF) * 0x85EBCA6B & 0xFFFFFFFF
+                    counts[h >> 16] = counts.get(h >> 16, 0) + 1
+        total = sum(counts.values())
+        expected = sum(n * model.scores[b].astype(float) for b, n in counts.items()) / max(total, 1) + model.bias
+        assert np.allclose(model.logits([t])[0], expected, atol=1e-5)
+
+
 def test_languages(spark):
     rng = random.Random(7)
     kinds = {"en": "the of and thing ation ing er".split(), "fr": "le la de éau oux ère que".split(), "de": "der die und ung keit schen ü".split()}
