@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rundelta.functions import scalars
 from rundelta.operators import backtest as bt
-from rundelta.operators import fits, methods, posterior, predictive, simulate
+from rundelta.operators import fits, glm, methods, posterior, predictive, simulate
 from rundelta.operators import mack as mk
 from rundelta.operators.links import LinkRules, exhausted, link_factors, select_links
 from rundelta.operators.triangle import Triangle, run_off_violations
@@ -951,7 +951,25 @@ def tweedie_shared_pattern(spark, d):
 @query()
 def tweedie_trend(spark, d):
     """A calendar trend in place of origin factors."""
-    return fits.tweedie_glm(marts.cells(spark, d), LOB, 1.0, origin="none", calendar="trend")
+    return glm.tweedie(marts.cells(spark, d), LOB, _TREND)
+
+
+_TREND = fits.Tweedie(1.0, origin="none", calendar="trend")
+
+
+@query(
+    q(
+        "SELECT lob, 'age ' || dev_lag AS term, round(sum(x), 0) AS fitted FROM ix GROUP BY 1, 2 UNION ALL SELECT lob, 'trend', round(sum(x * t), 0) FROM ix GROUP BY 1",
+        "ix AS (SELECT lob, dev_lag, value - coalesce(lag(value) OVER (PARTITION BY lob, origin_period ORDER BY dev_lag), 0) AS x, year(origin_period) - min(year(origin_period)) OVER (PARTITION BY lob) + dev_lag / 12 - 1 AS t FROM cells)",
+    )
+)
+def tweedie_trend_margins(spark, d):
+    """The score equations at power 1: fitted increments have the sums of the observed ones by age, and by the trend."""
+    rows, found = glm.fit_tweedie(marts.cells(spark, d), LOB, _TREND)
+    seen = glm.fitted_rectangle(rows, found, LOB, _TREND).join(rows.select("lob", "origin_period", "dev_lag", (F.col("i") + F.col("j")).alias("t")), CELL_KEYS)
+    ages = seen.groupBy("lob", F.concat(F.lit("age "), F.col("dev_lag").cast("string")).alias("term")).agg(F.sum("fitted").alias("fitted"))
+    trend = seen.groupBy("lob").agg(F.sum(F.col("fitted") * F.col("t")).alias("fitted")).select("lob", F.lit("trend").alias("term"), "fitted")
+    return rounded(ages.union(trend), fitted=0)
 
 
 @query()
