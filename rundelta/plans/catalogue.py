@@ -11,6 +11,7 @@ from rundelta.functions import scalars
 from rundelta.operators import backtest as bt
 from rundelta.operators import fits, glm, methods, posterior, predictive, simulate
 from rundelta.operators import mack as mk
+from rundelta.operators import sur as sur_lines
 from rundelta.operators.links import LinkRules, exhausted, link_factors, select_links
 from rundelta.operators.triangle import Triangle, run_off_violations
 from rundelta.operators.triangle import grid_findings as triangle_grid_findings
@@ -986,6 +987,36 @@ def sur(spark, d):
     return fits.multivariate_chain_ladder(_company(spark, d)[0], ["company"], "lob", full=False)
 
 
+_TWO = ["BUILDING", "MACHINERY"]
+
+
+@query(
+    q(
+        "SELECT 'all' AS company, CASE WHEN l = 1 THEN 'BUILDING' ELSE 'MACHINERY' END AS lob, origin_period, round(latest, 2) AS latest, round(ultimate, 2) AS ultimate FROM up",
+        """w AS (SELECT a.origin_period, a.dev_lag, a.previous AS x1, b.previous AS x2, a.following AS y1, b.following AS y2 FROM links a JOIN links b USING (origin_period, dev_lag) WHERE a.lob = 'BUILDING' AND b.lob = 'MACHINERY')""",
+        "v AS (SELECT dev_lag, count(*) AS n, sum(y1) / sum(x1) AS f1, sum(y2) / sum(x2) AS f2 FROM w GROUP BY 1)",
+        "u AS (SELECT w.*, n, f1, f2, (y1 - f1 * x1) / sqrt(x1) AS r1, (y2 - f2 * x2) / sqrt(x2) AS r2 FROM w JOIN v USING (dev_lag))",
+        "c AS (SELECT dev_lag, any_value(n) AS n, any_value(f1) AS f1, any_value(f2) AS f2, sum(r1 * r1) / (count(*) - 1) AS s11, sum(r1 * r2) / (count(*) - 1) AS s12, sum(r2 * r2) / (count(*) - 1) AS s22, sum(x1) AS m11, sum(sqrt(x1 * x2)) AS m12, sum(x2) AS m22, sum(y1) AS t11, sum(sqrt(x1) * y2 / sqrt(x2)) AS t12, sum(sqrt(x2) * y1 / sqrt(x1)) AS t21, sum(y2) AS t22 FROM u GROUP BY dev_lag)",
+        "i AS (SELECT *, s22 / (s11 * s22 - s12 * s12) AS i11, -s12 / (s11 * s22 - s12 * s12) AS i12, s11 / (s11 * s22 - s12 * s12) AS i22 FROM c)",
+        "g AS (SELECT *, i11 * m11 AS a11, i12 * m12 AS a12, i22 * m22 AS a22, i11 * t11 + i12 * t12 AS v1, i12 * t21 + i22 * t22 AS v2 FROM i)",
+        "b AS (SELECT dev_lag, CASE WHEN n >= 4 THEN (v1 * a22 - a12 * v2) / (a11 * a22 - a12 * a12) ELSE f1 END AS b1, CASE WHEN n >= 4 THEN (a11 * v2 - a12 * v1) / (a11 * a22 - a12 * a12) ELSE f2 END AS b2 FROM g)",
+        "up AS (SELECT l.origin_period, CASE WHEN l.lob = 'BUILDING' THEN 1 ELSE 2 END AS l, any_value(l.latest) AS latest, any_value(l.latest) * exp(coalesce(sum(ln(CASE WHEN l.lob = 'BUILDING' THEN b1 ELSE b2 END)), 0)) AS ultimate FROM lat l LEFT JOIN b ON b.dev_lag >= l.latest_dev WHERE l.lob IN ('BUILDING', 'MACHINERY') GROUP BY 1, 2)",
+    )
+)
+def sur_two_lines(spark, d):
+    """Two lines by one round of feasible generalised least squares, thin ages line by line."""
+    cells = _company(spark, d)[0].where(F.col("lob").isin(_TWO))
+    return rounded(sur_lines.points(cells, ["company"], "lob", STEP, rounds=1).drop("ibnr"), latest=2, ultimate=2)
+
+
+@query()
+def sur_draws(spark, d):
+    """The mean and the spread of each line's ultimate over a thousand correlated draws."""
+    cells = _company(spark, d)[0].where(F.col("lob").isin(_TWO))
+    drawn = sur_lines.draws(cells, ["company"], "lob", STEP)
+    return drawn.groupBy("company", "lob", "origin_period").agg(F.avg("ultimate").alias("mean"), F.stddev_samp("ultimate").alias("sd"))
+
+
 @query()
 def mcl(spark, d):
     return fits.multivariate_chain_ladder(_company(spark, d)[0], ["company"], "lob", full=True)
