@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rundelta.functions import scalars
 from rundelta.operators import backtest as bt
-from rundelta.operators import fits, glm, methods, posterior, predictive, simulate
+from rundelta.operators import calibration, fits, glm, methods, posterior, predictive, simulate
 from rundelta.operators import mack as mk
 from rundelta.operators import sur as sur_lines
 from rundelta.operators.links import LinkRules, exhausted, link_factors, select_links
@@ -798,6 +798,60 @@ def calibrated_draws(spark, d):
     return rounded(far.groupBy("lob", "origin_period", "predicted").agg(F.count(F.lit(1)).cast("int").alias("n"), F.bool_and("ok").alias("inside")).drop("origin_period"), predicted=2)
 
 
+_CUTS, _FINAL = ["1997-12-31", "1998-12-31", "1999-12-31", "2000-12-31"], "2001-12-31"
+_UNIT = ["lob", "origin_period"]
+
+
+def rolling(spark, d):
+    """Chain ladder forecasts of the last diagonal, made on earlier ones; a unit is an origin of a segment, its size the premium."""
+    cells = marts.cells(spark, d)
+    at = bt.snapshots(cells, LOB, _CUTS)
+    key = ["snapshot", "lob"]
+    factors = link_factors(select_links(at, key, STEP), key).select(*key, "dev_lag", "factor")
+    now = methods.latest(at, key).join(marts.premiums(spark, d).withColumnRenamed("premium", "size"), _UNIT)
+    horizon = F.year(F.lit(_FINAL).cast("date")) - F.year("snapshot")
+    ages = factors.groupBy(*key).agg(F.collect_list(F.struct("dev_lag", "factor")).alias("ages"))
+    ahead = F.aggregate(F.filter("ages", lambda a: (a["dev_lag"] >= F.col("latest_dev")) & (a["dev_lag"] < F.col("latest_dev") + STEP * F.col("horizon"))), F.lit(1.0), lambda p, a: p * a["factor"])
+    made = now.join(ages, key).withColumn("horizon", horizon).withColumn("predicted", F.col("latest") * ahead)
+    return calibration.rolling_residuals(made.select(*_UNIT, F.col("snapshot").alias("cutoff"), F.lit(_FINAL).cast("date").alias("target"), "horizon", "predicted", "size"), cells, _UNIT)
+
+
+_ROLL = [
+    "rs AS (SELECT d.snapshot, c.* FROM cells c JOIN (" + " UNION ALL ".join(f"SELECT DATE '{x}' AS snapshot" for x in _CUTS) + ") d ON c.eval_date <= d.snapshot)",
+    "rf AS (SELECT a.snapshot, a.lob, a.dev_lag, sum(b.value) / sum(a.value) AS f FROM rs a JOIN rs b ON a.snapshot = b.snapshot AND a.lob = b.lob AND a.origin_period = b.origin_period AND b.dev_lag = a.dev_lag + 12 GROUP BY 1, 2, 3)",
+    "rl AS (SELECT snapshot, lob, origin_period, max(dev_lag) AS latest_dev, arg_max(value, dev_lag) AS latest, 2001 - year(snapshot) AS horizon FROM rs GROUP BY 1, 2, 3)",
+    "rw AS (SELECT l.*, l.latest * exp(coalesce((SELECT sum(ln(f)) FROM rf WHERE rf.snapshot = l.snapshot AND rf.lob = l.lob AND rf.dev_lag >= l.latest_dev AND rf.dev_lag < l.latest_dev + 12 * l.horizon), 0)) AS predicted FROM rl l)",
+    "rr AS (SELECT w.lob, w.origin_period, w.snapshot AS cutoff, CAST(w.horizon AS INTEGER) AS horizon, predicted, t.latest AS actual, p.premium AS size, greatest(abs(predicted), 0.01 * p.premium, 1.0) AS scale FROM rw w JOIN lat t USING (lob, origin_period) JOIN prem p USING (lob, origin_period))",
+    "rz AS (SELECT r.*, (actual - predicted) / scale AS z, s.stratum FROM rr r JOIN (SELECT lob, origin_period, ntile(2) OVER (ORDER BY size, lob, origin_period) AS stratum FROM (SELECT lob, origin_period, min(size) AS size FROM rr GROUP BY 1, 2)) s USING (lob, origin_period))",
+]
+
+
+@query(q("SELECT lob, origin_period, cutoff, horizon, round(predicted, 2) AS predicted, round(actual, 2) AS actual, round(z, 6) + 0.0 AS residual, stratum FROM rz", *_ROLL))
+def rolling_residuals(spark, d):
+    """Standardised errors of forecasts made at earlier dates, with the stratum of their unit's size."""
+    out = calibration.with_strata(rolling(spark, d), _UNIT, 2, least=10)
+    out = rounded(out.select(*_UNIT, "cutoff", "horizon", "predicted", "actual", "residual", F.col("stratum").cast("bigint").alias("stratum")), predicted=2, actual=2, residual=6)
+    return out.withColumn("residual", F.col("residual") + 0.0)
+
+
+def _type8(p: str) -> str:
+    at = f"greatest(1.0, least(m, (m + 1 / 3) * {p} + 1 / 3))"
+    return f"s[CAST(floor({at}) AS INTEGER)] + ({at} - floor({at})) * (coalesce(s[CAST(floor({at}) AS INTEGER) + 1], 0) - s[CAST(floor({at}) AS INTEGER)])"
+
+
+@query(
+    q(
+        f"SELECT horizon, CAST(nominal AS DOUBLE) AS nominal, avg(CAST(z + med >= lo AND z + med <= hi AS INTEGER)) AS empirical, count(*) AS n FROM (SELECT *, {_type8('((1 - nominal) / 2)')} AS lo, {_type8('(1 - (1 - nominal) / 2)')} AS hi, {_type8('0.5')} AS med FROM rq) GROUP BY 1, 2",
+        *_ROLL,
+        "ro AS (SELECT a.lob, a.origin_period, a.cutoff, list_sort(list(b.z)) AS s, CAST(count(*) AS DOUBLE) AS m FROM rz a JOIN rz b ON a.stratum = b.stratum AND (a.lob <> b.lob OR a.origin_period <> b.origin_period) GROUP BY 1, 2, 3)",
+        "rq AS (SELECT z.horizon, z.z, o.s, o.m, v.nominal FROM rz z JOIN ro o USING (lob, origin_period, cutoff) CROSS JOIN (VALUES (CAST(0.8 AS DOUBLE)), (CAST(0.95 AS DOUBLE))) v(nominal))",
+    )
+)
+def leave_one_out_coverage(spark, d):
+    """How often intervals made from the other units hold what came, by horizon and level."""
+    return calibration.leave_one_out_coverage(calibration.with_strata(rolling(spark, d), _UNIT, 2, least=10), _UNIT)
+
+
 _MIX_WEIGHTS = {"a": 0.5, "b": 0.3, "c": 0.2}
 
 
