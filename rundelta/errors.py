@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 #: Fixed reason codes.
-INPUT_REASONS = ("invalid_option", "invalid_table", "missing_value", "not_finite", "unreadable_label", "invalid_age", "grain_mismatch", "duplicate", "negative_cumulative", "origin_gap", "not_run_off", "not_in_triangle", "origin_not_covered")
-MODEL_REASONS = ("no_link_ratio", "exclusions_exhausted", "variance_not_estimable", "negative_increment", "zero_increment", "negative_fitted_mean", "not_identified", "degenerate_fit", "did_not_converge", "tail_not_decaying", "empty_residual_pool", "result_not_finite", "not_supported", "negative_projection")
+INPUT_REASONS = ("invalid_option", "invalid_table", "missing_value", "not_finite", "unreadable_label", "invalid_age", "grain_mismatch", "duplicate", "negative_cumulative", "origin_gap", "not_run_off", "not_in_triangle", "origin_not_covered", "off_grain", "keys_collapse", "missing_line", "missing_draws", "misaligned")
+MODEL_REASONS = ("no_link_ratio", "exclusions_exhausted", "variance_not_estimable", "negative_increment", "zero_increment", "negative_fitted_mean", "not_identified", "degenerate_fit", "did_not_converge", "tail_not_decaying", "empty_residual_pool", "result_not_finite", "not_supported", "negative_projection", "premium_missing")
 
 
 class Refusal(ValueError):

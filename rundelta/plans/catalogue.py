@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rundelta.functions import scalars
 from rundelta.operators import backtest as bt
-from rundelta.operators import calibration, fits, glm, methods, posterior, predictive, simulate
+from rundelta.operators import calibration, fits, glm, holdout, methods, multiline, posterior, predictive, simulate
 from rundelta.operators import mack as mk
 from rundelta.operators import sur as sur_lines
 from rundelta.operators.links import LinkRules, exhausted, link_factors, select_links
@@ -852,6 +852,38 @@ def leave_one_out_coverage(spark, d):
     return calibration.leave_one_out_coverage(calibration.with_strata(rolling(spark, d), _UNIT, 2, least=10), _UNIT)
 
 
+@query(
+    q(
+        """SELECT f.lob, f.origin_period, f.dev_lag, CASE WHEN excluded IS NULL OR excluded = 'no_predecessor' THEN o.w END AS w, CASE WHEN excluded IS NULL OR excluded = 'no_predecessor' THEN CAST(f.dev_lag / 12 AS INTEGER) END AS d,
+  CASE WHEN excluded IS NULL OR excluded = 'no_predecessor' THEN round(prev_value, 2) END AS prev_value, CASE excluded WHEN 'new_origin' THEN 'unknown_origin' WHEN 'dev_beyond_trained' THEN 'dev_beyond_trained' END AS reason
+  FROM ho f LEFT JOIN (SELECT lob, origin_period, CAST(dense_rank() OVER (PARTITION BY lob ORDER BY origin_period) AS INTEGER) AS w FROM (SELECT DISTINCT lob, origin_period FROM tr0)) o ON o.lob = f.lob AND o.origin_period = f.origin_period""",
+        *_HOLD,
+    )
+)
+def holdout_index(spark, d):
+    """The next diagonal in the index space of what was known: places, predecessors, and reasons of cells without a place."""
+    cells = marts.cells(spark, d)
+    index = holdout.training_index(bt.known_at(cells, LOB, _DAY), LOB, STEP)
+    out = holdout.index_into(bt.next_diagonal(cells, LOB, STEP, _DAY), index, LOB, STEP)
+    return rounded(out.drop("value"), prev_value=2)
+
+
+@query(
+    q(
+        "SELECT label, count(v) AS n, round(avg(v), 2) AS mean, round(stddev_samp(v), 2) AS sd, round(min(v), 2) AS least, round(max(v), 2) AS most FROM lt GROUP BY label",
+        "ld AS (SELECT lob, origin_period, i AS draw, latest * (1 + 0.01 * ((i * (CASE WHEN lob = 'BUILDING' THEN 3 ELSE 5 END)) % 11)) AS v FROM lat, range(1, 21) r(i) WHERE lob IN ('BUILDING', 'MACHINERY'))",
+        "lt AS (SELECT lob || '/' || origin_period AS label, draw, v FROM ld UNION ALL SELECT lob || '/total', draw, sum(v) FROM ld GROUP BY lob, draw UNION ALL SELECT 'total', draw, sum(v) FROM ld GROUP BY draw)",
+    )
+)
+def multi_line_totals(spark, d):
+    """Targets, line totals and the grand total of twenty draws, summed within each draw."""
+    rows = methods.latest(_company(spark, d)[0].where(F.col("lob").isin(_TWO)), ["company", "lob"]).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(20))))
+    turn = (F.col("draw") * F.when(F.col("lob") == "BUILDING", 3).otherwise(5)) % 11
+    draws = rows.select("company", "lob", "origin_period", "draw", (F.col("latest") * (1 + 0.01 * turn)).alias("value"))
+    out = multiline.target_summary(multiline.with_totals(draws, ["company"], "lob"), ["company"]).drop("company")
+    return rounded(out, mean=2, sd=2, least=2, most=2)
+
+
 _MIX_WEIGHTS = {"a": 0.5, "b": 0.3, "c": 0.2}
 
 
