@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rundelta.functions import scalars
 from rundelta.operators import backtest as bt
-from rundelta.operators import calibration, fits, glm, holdout, methods, multiline, posterior, predictive, simulate
+from rundelta.operators import calibration, fits, glm, holdout, methods, multiline, posterior, predictive, retro, simulate
 from rundelta.operators import mack as mk
 from rundelta.operators import sur as sur_lines
 from rundelta.operators.links import LinkRules, exhausted, link_factors, select_links
@@ -654,6 +654,20 @@ def evaluate_conventional(spark, d):
     return rounded(out, rmse=2, bias=2)
 
 
+@query(
+    q(
+        """SELECT lob, snapshot, CAST(stage AS INTEGER) AS stage, round(latest, 2) AS latest, CASE WHEN reason IS NULL THEN round(estimate, 2) END AS estimate, reason, reason IS NULL AS passed FROM rt QUALIFY row_number() OVER (PARTITION BY lob, snapshot ORDER BY CASE WHEN reason IS NULL THEN stage ELSE 9 - stage END) = 1""",
+        *_replay_ctes(_LONGER)[:-2],
+        "rt AS (SELECT CASE candidate WHEN 'cl_strict' THEN 1 ELSE 2 END AS stage, snapshot, lob, sum(latest) AS latest, sum(ultimate) AS estimate, any_value(reason) AS reason FROM sx WHERE candidate IN ('cl_strict', 'cl_all') GROUP BY 1, 2, 3)",
+    )
+)
+def retrospective(spark, d):
+    """Every segment on every date by a strict candidate, those that fail by a plain one; what neither fits says why."""
+    premium = marts.premiums(spark, d)
+    stages = [retro.candidate_stage(premium, c, STEP, _HORIZON) for name in ("cl_strict", "cl_all") for c in _GRID if c.name == name]
+    return rounded(retro.run_retro(marts.cells(spark, d), LOB, _LONGER, stages).drop("se"), latest=2, estimate=2)
+
+
 _SPACE = {"method": choice("cl", "bf", "gcc"), "history_periods": choice(3, 4, 1_000_000), "drop_high": choice(0, 1), "expected_loss_ratio": uniform(0.4, 0.9), "decay": uniform(0.5, 1.0)}
 
 
