@@ -29,7 +29,7 @@ def test_a_stage_reads_only_what_failed_and_a_study_goes_on(spark, cells, tmp_pa
     premium = cells.select("lob", "origin_period").distinct().withColumn("premium", F.lit(1.0))
     first, second = [], []
     stages = [counted(retro.mack_stage(12), first), counted(retro.candidate_stage(premium, Candidate("cl", "cl"), 12, 60), second)]
-    gates = retro.Gates(max_cv=0.3)
+    gates = retro.Gates(max_cv=0.13)
     folder = str(tmp_path / "study")
     out = {(r["lob"], str(r["snapshot"])): r for r in retro.run_retro(cells, K, DAYS, stages, gates, folder).collect()}
     everything = [("auto", "1986-12-31"), ("auto", "1990-12-31"), ("thin", "1986-12-31"), ("thin", "1990-12-31")]
