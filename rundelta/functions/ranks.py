@@ -39,7 +39,8 @@ def medians(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     rows = ranked(df.where(F.col(value).isNotNull()).select(*keys, value), [*keys, value], "_rank")
     sizes = rows.groupBy(*keys).agg(F.min("_rank").alias("_first"), F.count(F.lit(1)).alias("n"))
     same = [F.col(f"r.`{k}`").eqNullSafe(F.col(f"s.`{k}`")) for k in keys]
-    met = rows.alias("r").join(F.broadcast(sizes).alias("s"), same) if keys else rows.alias("r").crossJoin(F.broadcast(sizes).alias("s"))
+    # A row a group: as many as there are groups, so no hint.
+    met = rows.alias("r").join(sizes.alias("s"), same) if keys else rows.alias("r").crossJoin(F.broadcast(sizes).alias("s"))
     at = F.col("r._rank") - F.col("s._first")
     middle = met.where((at == F.floor((F.col("s.n") - 1) / 2)) | (at == F.floor(F.col("s.n") / 2)))
     return middle.groupBy(*[F.col(f"s.`{k}`").alias(k) for k in keys]).agg(F.avg(F.col(f"r.`{value}`")).alias(name), F.first("s.n").alias("n"))

@@ -24,7 +24,16 @@ def shared_folder(spark: SparkSession, tag: str) -> str:
 
 
 def kept(df: DataFrame, tag: str) -> DataFrame:
-    """The frame, written once and read back."""
+    """The frame, written once and read back; ``discard`` deletes its files."""
     path, schema = shared_folder(df.sparkSession, tag), df.schema
     df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    out = df.sparkSession.read.schema(schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of frames that ``kept`` returned; no frame may read them later."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

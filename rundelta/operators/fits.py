@@ -24,7 +24,7 @@ def _by_cohort(cells: DataFrame, keys: list[str], fit, extra: str, columns: list
         try:
             out = fit(key, pdf)
             out["error"] = None
-        except Exception as e:  # a cohort's failure is a row, as in a retrospective over many
+        except (Refusal, ArithmeticError, np.linalg.LinAlgError) as e:  # a cohort's failure is a row; a fault of the code is not
             out = pd.DataFrame([[None] * len(names)], columns=names, dtype=object)
             out["error"] = f"{type(e).__name__}: {e}"
         for k, v in zip(keys, key, strict=True):

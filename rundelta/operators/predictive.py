@@ -195,7 +195,7 @@ def calibration_pools(residuals: DataFrame, keys: list[str], least: int = 40) ->
     pools = medians(residuals, keys, "residual", "own").withColumnsRenamed({k: f"pool_{k}" for k in keys} | {"n": "pool_n"})
     everyone = medians(residuals, [], "residual", "everyone").select("everyone")
     same = [F.col(k).eqNullSafe(F.col(f"pool_{k}")) for k in keys]
-    out = residuals.join(F.broadcast(pools), same, "left").drop(*[f"pool_{k}" for k in keys]).crossJoin(F.broadcast(everyone))
+    out = residuals.join(pools, same, "left").drop(*[f"pool_{k}" for k in keys]).crossJoin(F.broadcast(everyone))
     pooled = F.coalesce("pool_n", F.lit(0)) >= least
     return out.withColumns({"pooled": pooled, "centred": F.col("residual") - F.when(pooled, F.col("own")).otherwise(F.col("everyone"))}).drop("own", "everyone")
 
@@ -208,9 +208,9 @@ def calibrated_draws(points: DataFrame, residuals: DataFrame, keys: list[str], n
     """
     placed = ranked(residuals.select(pool, "centred"), [pool, "centred"], "_rank")
     sizes = placed.groupBy(pool).agg(F.min("_rank").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    numbered = placed.join(F.broadcast(sizes), pool).select(F.col(pool).alias("_pool"), (F.col("_rank") - F.col("_first")).alias("_at"), "centred")
+    numbered = placed.join(sizes, pool).select(F.col(pool).alias("_pool"), (F.col("_rank") - F.col("_first")).alias("_at"), "centred")
     scale = F.greatest(F.abs(point), floor * F.col(size), F.lit(1.0))
-    drawn = points.join(F.broadcast(sizes), pool).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
+    drawn = points.join(sizes, pool).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
     drawn = drawn.withColumn("_pick", F.pmod(F.xxhash64(F.lit(seed), *keys, "draw"), F.col("_n")))
     out = drawn.join(numbered, (F.col(pool) == F.col("_pool")) & (F.col("_pick") == F.col("_at")))
     return out.withColumn("value", F.col(point) + scale * F.col("centred")).select(*points.columns, "draw", "value")
@@ -236,7 +236,7 @@ def quantile_type8(df: DataFrame, keys: list[str], column: str, p: float) -> Dat
     placed = ranked(df.where(F.col(column).isNotNull()).select(*keys, column), [*keys, column], "_rank")
     sizes = placed.groupBy(*keys).agg(F.min("_rank").alias("_first"), F.count(F.lit(1)).alias("n"))
     place = F.greatest(F.lit(1.0), F.least(F.col("n").cast("double"), (F.col("n") + 1 / 3) * p + 1 / 3))
-    rows = placed.join(F.broadcast(sizes.withColumn("_at", place)), keys).withColumn("_i", F.col("_rank") - F.col("_first") + 1)
+    rows = placed.join(sizes.withColumn("_at", place), keys).withColumn("_i", F.col("_rank") - F.col("_first") + 1)
     low, part = F.floor("_at"), F.col("_at") - F.floor("_at")
     near = rows.where((F.col("_i") == low) | (F.col("_i") == low + 1))
     return near.groupBy(*keys, "n").agg(F.sum(F.when(F.col("_i") == low, (1 - part) * F.col(column)).otherwise(part * F.col(column))).alias("quantile"))

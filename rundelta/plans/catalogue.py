@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rundelta.functions import scalars
 from rundelta.operators import backtest as bt
-from rundelta.operators import calibration, fits, glm, holdout, methods, multiline, posterior, predictive, retro, simulate
+from rundelta.operators import calibration, development, fits, glm, holdout, methods, multiline, posterior, predictive, retro, simulate
 from rundelta.operators import mack as mk
 from rundelta.operators import sur as sur_lines
 from rundelta.operators.links import LinkRules, exhausted, link_factors, select_links
@@ -898,6 +898,46 @@ def multi_line_totals(spark, d):
     return rounded(out, mean=2, sd=2, least=2, most=2)
 
 
+_ATTACHED = development.Tail(constant=1.05, attach_lag=60, rows=3)
+_DEV = [
+    "dx AS (SELECT (-2 + sqrt(4 + 16.0 / 3 * ln(1.05))) / (8.0 / 3) AS x)",
+    """de AS (SELECT lob, dev_lag, factor, 'data' AS source FROM fac WHERE dev_lag < 60
+  UNION ALL SELECT lob, CAST(60 + 12 * i AS BIGINT), CASE WHEN i < 2 THEN 1 + x * pow(0.5, i) ELSE 1.05 / ((1 + x) * (1 + x / 2)) END, 'tail' FROM (SELECT DISTINCT lob FROM fac), dx, range(0, 3) r(i))""",
+    "dc AS (SELECT *, exp(sum(ln(factor)) OVER (PARTITION BY lob ORDER BY dev_lag DESC)) AS cdf FROM de)",
+]
+
+
+def _developed(spark, d, tail):
+    return development.development(link_factors(select_links(marts.cells(spark, d), LOB, STEP), LOB), LOB, STEP, tail)
+
+
+@query(q("SELECT lob, dev_lag, round(factor, 6) AS factor, source, round(cdf, 6) AS cdf, CAST(NULL AS VARCHAR) AS reason FROM dc", *_DEV))
+def development_attached(spark, d):
+    """A constant tail in place of the links from age 60 on, as three ages."""
+    return rounded(_developed(spark, d, _ATTACHED), factor=6, cdf=6)
+
+
+@query(q(f"SELECT {CL_OUT.format(u='ultimate')} FROM (SELECT l.lob, l.origin_period, l.latest_dev, l.latest, l.latest * c.cdf AS ultimate FROM lat l JOIN dc c ON c.lob = l.lob AND c.dev_lag = l.latest_dev)", *_DEV))
+def chain_ladder_attached_tail(spark, d):
+    """Chain ladder along it: the oldest origins meet the tail at their own ages."""
+    return cl_out(development.projected(marts.cells(spark, d), _developed(spark, d, _ATTACHED), LOB))
+
+
+@query(
+    q(
+        "SELECT lob, dev_lag, round(factor, 6) AS factor, source, round(exp(sum(ln(factor)) OVER (PARTITION BY lob ORDER BY dev_lag DESC)), 6) AS cdf, reason FROM dr",
+        "df AS (SELECT lob, regr_slope(ln(factor - 1), dev_lag / 12) AS b, regr_intercept(ln(factor - 1), dev_lag / 12) AS a FROM fac WHERE factor > 1.00001 GROUP BY lob)",
+        "dl AS (SELECT f.lob, max(f.dev_lag) // 12 AS n, any_value(a) AS a, any_value(b) AS b FROM fac f LEFT JOIN df ON df.lob = f.lob GROUP BY f.lob)",
+        "dt AS (SELECT lob, t, n, 1 + exp(a + b * t) AS f FROM (SELECT *, unnest(range(n + 1, n + 101)) AS t FROM dl WHERE b < 0))",
+        """dr AS (SELECT f.lob, f.dev_lag, f.factor, 'data' AS source, CASE WHEN l.b IS NULL THEN 'not_identified' WHEN l.b >= 0 THEN 'tail_not_decaying' END AS reason FROM fac f JOIN dl l ON l.lob = f.lob
+  UNION ALL SELECT lob, CAST(12 * least(t, n + 3) AS BIGINT), exp(sum(ln(f))), 'tail', NULL FROM dt GROUP BY lob, least(t, n + 3))""",
+    )
+)
+def development_curve(spark, d):
+    """An exponential tail as three ages past the data, the last of which takes the rest."""
+    return rounded(_developed(spark, d, development.Tail(curve="exponential", rows=3)), factor=6, cdf=6)
+
+
 _MIX_WEIGHTS = {"a": 0.5, "b": 0.3, "c": 0.2}
 
 
