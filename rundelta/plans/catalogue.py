@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rundelta.functions import scalars
 from rundelta.operators import backtest as bt
-from rundelta.operators import calibration, development, fits, glm, holdout, methods, multiline, posterior, predictive, retro, simulate
+from rundelta.operators import calibration, development, features, fits, glm, holdout, methods, multiline, posterior, predictive, retro, simulate
 from rundelta.operators import mack as mk
 from rundelta.operators import sur as sur_lines
 from rundelta.operators.links import LinkRules, exhausted, link_factors, select_links
@@ -938,6 +938,24 @@ def development_curve(spark, d):
     return rounded(_developed(spark, d, development.Tail(curve="exponential", rows=3)), factor=6, cdf=6)
 
 
+@query(
+    q(
+        """SELECT lob, cutoff, dev_lag, n_links, round(factor, 6) AS factor, CAST(sum(n_links) OVER p AS BIGINT) AS links_through, round(sum(previous) OVER p, 2) AS volume_through,
+  round(factor - lag(factor) OVER (PARTITION BY lob, dev_lag ORDER BY cutoff), 6) + 0.0 AS factor_change, round(exp(sum(ln(coalesce(factor, 1))) OVER (PARTITION BY lob, cutoff ORDER BY dev_lag DESC)), 6) AS cdf FROM lf
+  WINDOW p AS (PARTITION BY lob, cutoff ORDER BY dev_lag)""",
+        "lg AS (SELECT c.lob, c.cutoff, a.dev_lag FROM (SELECT DISTINCT lob, eval_date AS cutoff FROM rest) c JOIN (SELECT DISTINCT lob, dev_lag FROM links) a ON a.lob = c.lob)",
+        "ra AS (SELECT cutoff, lob, origin_period, dev_lag, arg_max(value, eval_date) AS value FROM rest JOIN (SELECT DISTINCT eval_date AS cutoff FROM rest) ON eval_date <= cutoff GROUP BY 1, 2, 3, 4)",
+        "lk AS (SELECT a.cutoff, a.lob, a.dev_lag, count(*) AS n, sum(a.value) AS previous, sum(b.value) AS following FROM ra a JOIN ra b ON a.cutoff = b.cutoff AND a.lob = b.lob AND a.origin_period = b.origin_period AND b.dev_lag = a.dev_lag + 12 GROUP BY 1, 2, 3)",
+        "lf AS (SELECT g.*, coalesce(n, 0) AS n_links, coalesce(previous, 0) AS previous, following / previous AS factor FROM lg g LEFT JOIN lk ON lk.lob = g.lob AND lk.cutoff = g.cutoff AND lk.dev_lag = g.dev_lag)",
+    )
+)
+def cutoff_features(spark, d):
+    """Link factors and totals as every date knew them, restatements included, without a copy of the cells for each date."""
+    cells = marts.restated(spark, d).df.select("lob", "origin_period", "dev_lag", "eval_date", "value")
+    out = rounded(features.cutoff_features(cells, LOB, STEP), factor=6, volume_through=2, factor_change=6, cdf=6)
+    return out.withColumn("factor_change", F.col("factor_change") + 0.0)
+
+
 _MIX_WEIGHTS = {"a": 0.5, "b": 0.3, "c": 0.2}
 
 
