@@ -202,26 +202,40 @@ _BLOCKS = pa.schema([("bucket", pa.int64()), ("left", pa.int32()), ("right", pa.
 
 
 def _exact_blocks(percent: int):
-    """The links of a block that join its members; pairs already joined in it need no look."""
+    """Rows in order of blocks, each block's pairs first, then its texts one by one: the links that join its members.
+
+    A task holds the shingle sets of one block, not its texts; pairs already joined in it need no look.
+    """
+
+    def links(block, sets):
+        nodes, left, right = block
+        root = list(range(len(nodes)))
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        out = []
+        for i, j in zip(left, right, strict=True):
+            if i in sets and j in sets and find(i) != find(j) and is_link(sets[i], sets[j], percent):
+                root[find(i)] = find(j)
+                out.append({"a": min(nodes[i], nodes[j]), "b": max(nodes[i], nodes[j])})
+        return pa.RecordBatch.from_pylist(out, schema=_LINKS)
 
     def run(batches):
+        block, sets = None, {}
         for batch in batches:
-            for row in batch.to_pylist():
-                sets = {t["pos"]: shingle_set(t["text"]) for t in row["texts"]}
-                root = list(range(len(row["nodes"])))
-
-                def find(x, root=root):
-                    while root[x] != x:
-                        root[x] = root[root[x]]
-                        x = root[x]
-                    return x
-
-                out = []
-                for i, j in zip(row["i"], row["j"], strict=True):
-                    if i in sets and j in sets and find(i) != find(j) and is_link(sets[i], sets[j], percent):
-                        root[find(i)] = find(j)
-                        out.append({"a": min(row["nodes"][i], row["nodes"][j]), "b": max(row["nodes"][i], row["nodes"][j])})
-                yield pa.RecordBatch.from_pylist(out, schema=_LINKS)
+            for pos, text, nodes, i, j in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+                if pos < 0:
+                    if block is not None:
+                        yield links(block, sets)
+                    block, sets = (nodes, i, j), {}
+                else:
+                    sets[pos] = shingle_set(text)
+        if block is not None:
+            yield links(block, sets)
 
     return run
 
@@ -274,11 +288,13 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) ->
 
 
 def verify_blocks(blocks: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Links in blocks of at most two tiles of nodes: a block's texts meet in one task, pairs are never rows."""
+    """Links in blocks of at most two tiles of nodes: a block's texts pass through one task, pairs are never rows."""
     key = ["bucket", "left", "right"]
     members = blocks.select(*key, F.posexplode("nodes").alias("pos", "node"))
-    texts = members.join(_texts(members.select("node"), nodes, docs), "node").groupBy(*key).agg(F.collect_list(F.struct("pos", "text")).alias("texts"))
-    found = blocks.join(texts, key).select(*key, "nodes", "i", "j", "texts").mapInArrow(lean(_exact_blocks(percent), _HASHES), "a binary, b binary")
+    texts = members.join(_texts(members.select("node"), nodes, docs), "node").select(*key, "pos", "text")
+    heads = blocks.select(*key, F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("text"), "nodes", "i", "j")
+    rows = heads.unionByName(texts, allowMissingColumns=True).repartition(*key).sortWithinPartitions(*key, "pos")
+    found = rows.select("pos", "text", "nodes", "i", "j").mapInArrow(lean(_exact_blocks(percent), _HASHES), "a binary, b binary")
     return materialize(found.distinct(), "neardup-links")
 
 
