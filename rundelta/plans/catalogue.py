@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rundelta.functions import scalars
+from rundelta.functions.storage import shared_folder
 from rundelta.operators import backtest as bt
 from rundelta.operators import calibration, development, features, fits, glm, holdout, methods, multiline, posterior, predictive, retro, simulate
 from rundelta.operators import mack as mk
@@ -18,7 +19,7 @@ from rundelta.operators.triangle import grid_findings as triangle_grid_findings
 from rundelta.operators.triangle import inferred_step as triangle_inferred_step
 from rundelta.operators.tuning import choice, tune, uniform
 from rundelta.plans.oracle import CL_OUT, MACK_OUT, mack_ctes, q, rules_sql
-from rundelta.sources import marts
+from rundelta.sources import artifacts, marts
 
 LOB, STEP = ["lob"], 12
 CELL_KEYS = ["lob", "origin_period", "dev_lag"]
@@ -956,6 +957,20 @@ def cutoff_features(spark, d):
     return out.withColumn("factor_change", F.col("factor_change") + 0.0)
 
 
+@query(
+    q(
+        "SELECT lob, origin_period, CAST(count(*) AS INTEGER) AS n, round(avg(v), 2) AS mean, round(min(v), 2) AS least, round(max(v), 2) AS most, round(quantile_cont(v, 0.05), 2) AS q05, round(quantile_cont(v, 0.5), 2) AS q50, round(quantile_cont(v, 0.95), 2) AS q95 FROM ad GROUP BY 1, 2",
+        "ad AS (SELECT lob, origin_period, latest * (1 + 0.01 * ((i * 7) % 31)) AS v FROM lat, range(1, 31) r(i))",
+    )
+)
+def artifact_digest(spark, d):
+    """Draws of every origin, kept as a typed artifact, read back by their footer's kind and summed up row by row."""
+    draws = methods.latest(marts.cells(spark, d), LOB).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(30))))
+    packed = artifacts.pack_draws(draws.select(*_UNIT, "draw", (F.col("latest") * (1 + 0.01 * ((F.col("draw") * 7) % 31))).alias("value")), _UNIT)
+    kept, keys = artifacts.load(spark, artifacts.save(packed, shared_folder(spark, "artifact"), "draws", _UNIT), "draws")
+    return rounded(artifacts.digest(kept, keys), mean=2, least=2, most=2, q05=2, q50=2, q95=2)
+
+
 _MIX_WEIGHTS = {"a": 0.5, "b": 0.3, "c": 0.2}
 
 
