@@ -869,7 +869,7 @@ def leave_one_out_coverage(spark, d):
 
 @query(
     q(
-        """SELECT f.lob, f.origin_period, f.dev_lag, CASE WHEN excluded IS NULL OR excluded = 'no_predecessor' THEN o.w END AS w, CASE WHEN excluded IS NULL OR excluded = 'no_predecessor' THEN CAST(f.dev_lag / 12 AS INTEGER) END AS d,
+        """SELECT f.lob, f.origin_period, f.dev_lag, CASE WHEN excluded IS NULL OR excluded = 'no_predecessor' THEN o.w ELSE 0 END AS w, CASE WHEN excluded IS NULL OR excluded = 'no_predecessor' THEN CAST(f.dev_lag / 12 AS INTEGER) ELSE 0 END AS d,
   CASE WHEN excluded IS NULL OR excluded = 'no_predecessor' THEN round(prev_value, 2) END AS prev_value, CASE excluded WHEN 'new_origin' THEN 'unknown_origin' WHEN 'dev_beyond_trained' THEN 'dev_beyond_trained' END AS reason
   FROM ho f LEFT JOIN (SELECT lob, origin_period, CAST(dense_rank() OVER (PARTITION BY lob ORDER BY origin_period) AS INTEGER) AS w FROM (SELECT DISTINCT lob, origin_period FROM tr0)) o ON o.lob = f.lob AND o.origin_period = f.origin_period""",
         *_HOLD,
@@ -880,7 +880,7 @@ def holdout_index(spark, d):
     cells = marts.cells(spark, d)
     index = holdout.training_index(bt.known_at(cells, LOB, _DAY), LOB, STEP)
     out = holdout.index_into(bt.next_diagonal(cells, LOB, STEP, _DAY), index, LOB, STEP)
-    return rounded(out.drop("value"), prev_value=2)
+    return rounded(out.drop("value"), prev_value=2).fillna(0, ["w", "d"])
 
 
 @query(
