@@ -809,7 +809,9 @@ def calibrated_draws(spark, d):
     pools = predictive.calibration_pools(r, ["stratum"], least=6)
     draws = predictive.calibrated_draws(r.select("lob", "origin_period", "predicted", "size", "stratum"), pools, ["lob", "origin_period"], 400)
     scale = F.greatest(F.abs("predicted"), 0.01 * F.col("size"), F.lit(1.0))
-    far = draws.crossJoin(F.broadcast(pools.agg(F.max(F.abs("centred")).alias("most")))).withColumn("ok", F.abs(F.col("value") - F.col("predicted")) <= scale * F.col("most") + 1e-6)
+    # A sum is rounded in proportion to its size, so the tolerance grows with it.
+    rounding = 1e-6 + 1e-12 * (F.abs("predicted") + F.abs("value"))
+    far = draws.crossJoin(F.broadcast(pools.agg(F.max(F.abs("centred")).alias("most")))).withColumn("ok", F.abs(F.col("value") - F.col("predicted")) <= scale * F.col("most") + rounding)
     return rounded(far.groupBy("lob", "origin_period", "predicted").agg(F.count(F.lit(1)).cast("int").alias("n"), F.bool_and("ok").alias("inside")).drop("origin_period"), predicted=2)
 
 
