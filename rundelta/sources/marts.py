@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rundelta.functions.storage import kept
 from rundelta.operators.triangle import MONTHS, Triangle
 
 
@@ -12,28 +13,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per line item shipped in its order's year or later: segment, dates, exact decimal amounts."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", "l_discount", "l_quantity", "l_tax", "l_returnflag", "l_shipdate")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("lob"))
+_TRUNC = {"Y": "year", "Q": "quarter", "M": "month"}
+
+
+def payments(spark: SparkSession, sf_dir: str, grain: str = "Y", origin_grain: str | None = None) -> DataFrame:
+    """A row per line item shipped in its order's year or later: segment, periods, exact decimal amounts.
+
+    Orders meet their customers first and a line is cut to its key, its period and its amounts before it is joined,
+    so lines are moved once, and narrow.
+    """
+    shipped, ordered = F.col("l_shipdate").cast("date"), F.col("o_orderdate").cast("date")
+    end = F.last_day(F.add_months(F.trunc(shipped, _TRUNC[grain]), MONTHS[grain] - 1))
     paid = F.col("l_extendedprice").cast("decimal(12,2)") * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)"))
-    joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(customers, F.col("o_custkey") == F.col("c_custkey"))
-    return joined.select("lob", F.col("o_orderdate").cast("date").alias("ordered"), F.col("l_shipdate").cast("date").alias("shipped"), paid.alias("paid_loss"), F.col("l_quantity").cast("decimal(12,2)").alias("claim_count"), F.col("l_returnflag").alias("flag")).where("year(shipped) >= year(ordered)")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", end.alias("eval_date"), paid.alias("paid_loss"), F.col("l_quantity").cast("decimal(12,2)").alias("claim_count"), (F.col("l_returnflag") != "R").alias("stays"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.trunc(ordered, _TRUNC[origin_grain or grain]).alias("origin_period"))
+    customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("lob"))
+    written = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "lob", "origin_period")
+    joined = lines.join(written, F.col("l_orderkey") == F.col("o_orderkey"))
+    return joined.select("lob", "origin_period", "eval_date", "paid_loss", "claim_count", "stays").where("year(eval_date) >= year(origin_period)")
 
 
-def increments(spark: SparkSession, sf_dir: str, grain: str = "Y", origin_grain: str | None = None, fields: tuple[str, ...] = ("paid_loss",)) -> Triangle:
-    """Incremental triangle by market segment; amounts are summed as decimals and cast once.
+def sums(spark: SparkSession, sf_dir: str, grain: str, origin_grain: str | None, fields: tuple[str, ...], *more: str) -> DataFrame:
+    """Decimal sums by segment, origin, age and date (and ``more``), kept: line items are read and joined once a query.
 
-    Periods of ages are counted on the calendar, so the first cell of an origin is at its own length.
+    There are as many rows as segments and pairs of periods, however many line items.  Periods of ages are counted
+    on the calendar, so the first cell of an origin is at its own length.
     """
-    step, trunc = MONTHS[grain], {"Y": "year", "Q": "quarter", "M": "month"}[origin_grain or grain]
-    rows = payments(spark, sf_dir)
-    start = F.trunc("ordered", trunc)
-    end = F.last_day(F.add_months(F.trunc("shipped", {"Y": "year", "Q": "quarter", "M": "month"}[grain]), step - 1))
+    end, start = F.col("eval_date"), F.col("origin_period")
     months = (F.year(end) - F.year(start)) * 12 + F.month(end) - F.month(start) + 1
-    sums = rows.withColumns({"origin_period": start, "eval_date": end, "dev_lag": months.cast("bigint")}).where("dev_lag > 0").groupBy("lob", "origin_period", "dev_lag", "eval_date").agg(*[F.sum(f).alias(f) for f in fields])
-    return Triangle.from_long(sums, fields=list(fields), strict=False, origin_grain=origin_grain or grain, dev_grain=grain, measure="incremental")
+    rows = payments(spark, sf_dir, grain, origin_grain).withColumn("dev_lag", months.cast("bigint")).where("dev_lag > 0")
+    return kept(rows.groupBy("lob", "origin_period", "dev_lag", "eval_date", *more).agg(*[F.sum(f).alias(f) for f in fields]), "increments")
+
+
+def _incremental(rows: DataFrame, fields: tuple[str, ...], grain: str, origin_grain: str | None = None) -> Triangle:
+    return Triangle.from_long(rows, fields=list(fields), strict=False, origin_grain=origin_grain or grain, dev_grain=grain, measure="incremental")
+
+
+def increments(spark: SparkSession, sf_dir: str, grain: str = "Y", origin_grain: str | None = None, fields: tuple[str, ...] = ("paid_loss",)) -> Triangle:
+    """Incremental triangle by market segment; amounts are summed as decimals and cast once."""
+    return _incremental(sums(spark, sf_dir, grain, origin_grain, fields), fields, grain, origin_grain)
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,19 +60,19 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def premiums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lob, origin_period, premium: order totals by segment and year."""
+    """lob, origin_period, premium: order totals by segment and year, kept as ``sums`` are."""
     orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     joined = orders.join(customers, orders.o_custkey == customers.c_custkey)
-    return joined.groupBy(F.col("c_mktsegment").alias("lob"), F.trunc(F.col("o_orderdate").cast("date"), "year").alias("origin_period")).agg(F.sum(F.col("o_totalprice").cast("decimal(14,2)")).cast("double").alias("premium"))
+    totals = joined.groupBy(F.col("c_mktsegment").alias("lob"), F.trunc(F.col("o_orderdate").cast("date"), "year").alias("origin_period")).agg(F.sum(F.col("o_totalprice").cast("decimal(14,2)")).cast("double").alias("premium"))
+    return kept(totals, "premiums")
 
 
 def restated(spark: SparkSession, sf_dir: str) -> Triangle:
     """Cells with a second observation a year later: returned line items are taken out of it."""
-    first = increments(spark, sf_dir)
-    kept = payments(spark, sf_dir).where("flag <> 'R'")
-    again = kept.groupBy("lob", F.trunc("ordered", "year").alias("origin_period"), ((F.year("shipped") - F.year("ordered") + 1) * 12).cast("bigint").alias("dev_lag"), F.make_date(F.year("shipped") + 1, F.lit(12), F.lit(31)).alias("eval_date")).agg(F.sum("paid_loss").cast("double").alias("value"))
-    both = first.df.unionByName(again.withColumn("field", F.lit("paid_loss")))
-    return Triangle(both, first.meta)
+    rows, key = sums(spark, sf_dir, "Y", None, ("paid_loss",), "stays"), ["lob", "origin_period", "dev_lag", "eval_date"]
+    first = _incremental(rows.groupBy(*key).agg(F.sum("paid_loss").alias("paid_loss")), ("paid_loss",), "Y")
+    again = rows.where("stays").select("lob", "origin_period", "dev_lag", F.add_months("eval_date", 12).alias("eval_date"), F.col("paid_loss").cast("double").alias("value"))
+    return Triangle(first.df.unionByName(again.withColumn("field", F.lit("paid_loss"))), first.meta)
 
 
 def load_mart(df: DataFrame, lines: list[str] | None = None, companies: list[str] | None = None, fields: tuple[str, ...] = ("paid_loss", "incurred_loss", "bulk_loss", "case_reserve", "earned_premium", "earned_premium_direct"), version: str | None = None) -> Triangle:
