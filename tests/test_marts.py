@@ -27,6 +27,6 @@ def vanishing(spark, tmp_path, monkeypatch):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["calibration_pools", "ml_boosting", "artifact_digest", "ml_forest", "sur_draws", "sur_two_lines"])
+@pytest.mark.parametrize("name", ["calibration_pools", "ml_boosting", "artifact_digest", "ml_forest", "sur_draws", "sur_two_lines", "retrospective", "cutoff_features"])
 def test_line_items_are_read_once(spark, vanishing, name):
     assert catalogue.queries()[name](spark, vanishing).count() > 0
