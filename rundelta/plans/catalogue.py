@@ -981,7 +981,8 @@ def stacked_mixture(spark, d):
     """Ten draws of a mixture: five, three and two of its models."""
     from pyspark.sql.window import Window
 
-    draws = pseudo_draws(spark, d).withColumn("draw", F.row_number().over(Window.partitionBy("lob").orderBy("draw")) - 1)
+    # As in the SQL, draws without a number come last; those of the same number, which it leaves open, go by value.
+    draws = pseudo_draws(spark, d).withColumn("draw", F.row_number().over(Window.partitionBy("lob").orderBy(F.col("draw").asc_nulls_last(), F.col("value").asc_nulls_last())) - 1)
     parts = [draws.select("lob", "draw", F.lit(m).alias("model"), (F.col("value") * k).alias("value")) for m, k in (("a", 1), ("b", 2), ("c", 3))]
     weights = spark.createDataFrame(list(_MIX_WEIGHTS.items()), "model string, weight double")
     out = predictive.apply_weights(parts[0].unionByName(parts[1]).unionByName(parts[2]), weights, LOB, 10)
