@@ -8,7 +8,8 @@
    the benchmark's words and compared by cosine with every item; words outside the benchmark count in
    a window's length, so unrelated text scores low.  Long items are compared in pieces, each leading to
    the check of the whole item, and short ones with windows of their size.  The space holds only a share of an item's length,
-   less in larger benchmarks, so cosines are given in units of that share.  Beside it, an index of the
+   less in larger benchmarks, so cosines are given in units of that share.  Most windows are settled by
+   a bound: the sum of the most that each of their words adds to any piece.  Beside it, an index of the
    items' word triples finds places that hold as many of an item's triples as a copy must.
 3. *Checks.*  Around each candidate window the longest common subsequence of words with the item is
    computed (bit-parallel).  ``copied`` of the item's words in order are a copy; ``paraphrased`` are
@@ -41,6 +42,8 @@ PIECE_WORDS = 64
 ANSWER_WORDS = 6
 #: Pieces of items that a chunk of windows is compared with at once, which bounds memory only.
 PIECES_AT_ONCE = 4096
+#: What cosines may lose to single precision when they are compared with their bound.
+ROUNDING = 1e-3
 GRAM = 3
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 TERM_BLOCK = 256
@@ -110,9 +113,10 @@ def randomized_svd(passages: DataFrame, terms: dict[bytes, int], weights: np.nda
 
 def _gram_keys(ids: np.ndarray, n: int) -> np.ndarray:
     """A hash of every ``n`` consecutive words."""
-    keys = np.zeros(max(0, len(ids) - n + 1), dtype=np.uint64)
-    for j in range(n):
-        keys += (ids[j : len(ids) - n + 1 + j].astype(np.uint64) + np.uint64(1)) * _PLACE[j]
+    many, words = max(0, len(ids) - n + 1), (ids + 1).astype(np.uint64)
+    keys = words[:many] * _PLACE[0]
+    for j in range(1, n):
+        keys += words[j : many + j] * _PLACE[j]
     return keys * _PLACE[0]
 
 
@@ -157,11 +161,24 @@ class Grams:
 
 @dataclass(frozen=True)
 class Scale:
-    """Pieces of items (columns of ``vectors``) that are compared with windows of two halves; ``owners`` are their items."""
+    """Pieces of items (columns of ``vectors``) that are compared with windows of two halves; ``owners`` are their items.
+
+    ``most`` is, for each row of the table, its largest product with a piece, 0 at least.
+    """
 
     half: int
     vectors: np.ndarray
     owners: np.ndarray
+    most: np.ndarray
+
+    @staticmethod
+    def of(half: int, vectors: np.ndarray, owners: np.ndarray, table: np.ndarray) -> Scale:
+        most = np.zeros(len(table))
+        for lo in range(0, len(table), PIECES_AT_ONCE):
+            for p in range(0, len(owners), PIECES_AT_ONCE):
+                top = (table[lo : lo + PIECES_AT_ONCE] @ vectors[:, p : p + PIECES_AT_ONCE]).max(axis=1)
+                most[lo : lo + PIECES_AT_ONCE] = np.maximum(most[lo : lo + PIECES_AT_ONCE], top)
+        return Scale(half, vectors, owners, most)
 
 
 @dataclass(frozen=True)
@@ -178,6 +195,8 @@ class Benchmark:
     scales: list[Scale]
     grams: list[Grams]
     item_counts: list[list[tuple[int, int]]]
+    item_sets: list[frozenset[int]]
+    item_sizes: np.ndarray
 
     def check(self, words: list[bytes], floor: float, copied: float, paraphrased: float) -> dict[int, tuple[float, float]]:
         """Items found in a text: item to (share of its words in order, cosine)."""
@@ -185,9 +204,20 @@ class Benchmark:
             return {}
         ids = np.fromiter(map(self.terms.get, words, repeat(-1)), dtype=np.int64, count=len(words))
         found: dict[int, tuple[float, float]] = {}
+        place, around = None, {}
 
         def judge(i: int, lo: int, hi: int, cosine: float) -> None:
+            nonlocal place, around
             wanted = self.item_words[i]
+            # Items judged at one place share the words around it, out to the next power of two of their lengths.
+            if place != (lo, hi):
+                place, around = (lo, hi), {}
+            reach = 1 << (len(wanted) - 1).bit_length()
+            if (near := around.get(reach)) is None:
+                near = around[reach] = frozenset(ids[max(0, lo - reach) : hi + reach].tolist())
+            most = (len(wanted) - len(self.item_sets[i] - near)) / len(wanted)
+            if most < copied and (most < paraphrased or not self._answerable(i, near)):
+                return
             region = ids[max(0, lo - len(wanted)) : hi + len(wanted)].tolist()
             # No subsequence is longer than what item and region share in any order.
             there = Counter(region)
@@ -215,16 +245,28 @@ class Benchmark:
             # One half more than is judged here: windows of two halves overlap the next chunk.
             part = starts[lo : lo + 2049]
             chunk = ids[part[0] : part[-1] + scale.half]
-            halves = np.add.reduceat(self.table[chunk], part - part[0], axis=0)
-            lengths = np.add.reduceat(self.squares[chunk], part - part[0])
+            begin = part - part[0]
+            lengths, most = np.add.reduceat(self.squares[chunk], begin), np.add.reduceat(scale.most[chunk], begin)
+            if len(part) > 1:
+                lengths, most = lengths[:-1] + lengths[1:], most[:-1] + most[1:]
+            norms = np.sqrt(np.maximum(lengths, 1e-12))
+            like = np.flatnonzero(most >= (floor - ROUNDING) * norms)
+            if not len(like):
+                continue
+            norms = norms[like][:, None]
+            # Vectors of the halves of these windows only.
+            used = np.unique(np.minimum(np.concatenate([like, like + 1]), len(part) - 1))
+            sizes = np.diff(begin, append=len(chunk))
+            rows = self.table[chunk[np.repeat(np.isin(np.arange(len(part)), used), sizes)]]
+            sums = np.add.reduceat(rows, np.cumsum(sizes[used]) - sizes[used], axis=0)
+            halves = sums[np.searchsorted(used, like)]
             if len(part) > 1:
-                halves, lengths = halves[:-1] + halves[1:], lengths[:-1] + lengths[1:]
-            norms = np.sqrt(np.maximum(lengths, 1e-12))[:, None]
+                halves = halves + sums[np.searchsorted(used, like + 1)]
             best: dict[tuple[int, int], float] = {}
             for p in range(0, len(scale.owners), PIECES_AT_ONCE):
                 cosine = (halves @ scale.vectors[:, p : p + PIECES_AT_ONCE]) / norms
                 window, piece = np.nonzero(cosine >= floor)
-                for i, at, c in zip(scale.owners[p + piece].tolist(), part[window].tolist(), cosine[window, piece].tolist(), strict=True):
+                for i, at, c in zip(scale.owners[p + piece].tolist(), part[like[window]].tolist(), cosine[window, piece].tolist(), strict=True):
                     best[i, at] = max(c, best.get((i, at), c))
             yield from best.items()
 
@@ -234,7 +276,7 @@ class Benchmark:
             item, at = grams.places(ids)
             if not len(item):
                 continue
-            sizes = np.array([len(w) for w in self.item_words])[item]
+            sizes = self.item_sizes[item]
             changed = np.floor((1 - copied) * sizes + 1e-9).astype(np.int64)
             least = np.maximum(1, sizes - grams.n + 1 - grams.n * changed)
             last = np.arange(len(item)) + least - 1
@@ -248,7 +290,7 @@ class Benchmark:
                     told[i] = a
                     yield i, a
 
-    def _answerable(self, i: int, there: Counter) -> bool:
+    def _answerable(self, i: int, there: Counter | frozenset[int]) -> bool:
         return sum(1 for w in self.answers[i] if w in there) >= self.needs[i]
 
     def _answered(self, i: int, region: list[int]) -> bool:
@@ -289,7 +331,7 @@ def prepare(docs: DataFrame, items: list[tuple], rank: int = 128) -> Benchmark:
     weights = np.array([np.log((total + 1) / (df.get(w, 0) + 1)) + 0.1 for w in vocabulary])
     other = float(np.log(total + 1) + 0.1)
     if not kept:
-        return Benchmark({}, [], [], [], [], np.zeros((1, 0), np.float32), np.zeros(1), [], [], [])
+        return Benchmark({}, [], [], [], [], np.zeros((1, 0), np.float32), np.zeros(1), [], [], [], [], np.zeros(0, np.int64))
     weight = dict(zip(vocabulary, weights.tolist(), strict=True))
     needs = [-(-3 * len(a) // 4) if a else 0 for _, _, a in kept]
     answers = [a or _rarest(w, weight) for _, w, a in kept]
@@ -305,10 +347,10 @@ def prepare(docs: DataFrame, items: list[tuple], rank: int = 128) -> Benchmark:
         some = [(n, x) for n, x in pieces if half == next((h for h in HALVES if len(x) > h), HALVES[-1])]
         if some:
             latent = np.vstack([_in_units_of_itself(table, weights, [terms[w] for w in x]) for _, x in some]).T.astype(np.float32)
-            scales.append(Scale(half, latent, np.array([n for n, _ in some])))
+            scales.append(Scale.of(half, latent, np.array([n for n, _ in some]), table))
     by_run = {n: {i: w for i, w in enumerate(words) if min(GRAM, len(w)) == n} for n in range(1, GRAM + 1)}
     grams = [Grams.of(some, n) for n, some in by_run.items() if some]
-    return Benchmark(terms, [i for i, _, _ in kept], words, [[terms[x] for x in a] for a in answers], needs, table, squares, scales, grams, [list(Counter(w).items()) for w in words])
+    return Benchmark(terms, [i for i, _, _ in kept], words, [[terms[x] for x in a] for a in answers], needs, table, squares, scales, grams, [list(Counter(w).items()) for w in words], [frozenset(w) for w in words], np.array([len(w) for w in words]))
 
 
 def _pieces(words: list) -> list[list]:
