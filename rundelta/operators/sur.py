@@ -20,6 +20,17 @@ from rundelta.functions.storage import kept
 ROUNDS = 25
 
 
+def alike(cells: DataFrame, keys: list[str], line: str) -> DataFrame:
+    """``cells`` with ``shape``, which lines of a company share if they show the same origins and ages.
+
+    Only such lines are regressed together: as a further key it keeps every origin of a line that others do not show.
+    """
+    whose = {c: f"shape_{c}" for c in (*keys, line)}
+    shown = cells.groupBy(*whose).agg(F.md5(F.to_json(F.array_sort(F.collect_set(F.struct("origin_period", "dev_lag"))))).alias("shape"))
+    same = [F.col(c).eqNullSafe(F.col(o)) for c, o in whose.items()]
+    return cells.join(shown.withColumnsRenamed(whose), same).drop(*whose.values())
+
+
 def _pairs(cells: DataFrame, keys: list[str], line: str, step: int) -> tuple[DataFrame, DataFrame]:
     """Links seen by all lines of a company, and their numbers of lines.
 
@@ -30,7 +41,8 @@ def _pairs(cells: DataFrame, keys: list[str], line: str, step: int) -> tuple[Dat
     lines = cells.select(*keys, line).distinct().withColumn("l", F.row_number().over(Window.partitionBy(*keys).orderBy(line)) - 1).withColumn("k", F.count(F.lit(1)).over(Window.partitionBy(*keys)).cast("int"))
     lines = kept(lines, "sur-lines")
     links = cells.select(*keys, line, "origin_period", "dev_lag", F.col("value").alias("x"), F.max("value").over(w).alias("next")).where("next is not null")
-    links = links.join(lines, [*keys, line])
+    same = [links[c].eqNullSafe(lines[c]) for c in (*keys, line)]
+    links = links.join(lines, same).drop(*[lines[c] for c in (*keys, line)])
     links = links.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy(*keys, "origin_period", "dev_lag"))).where("met = k")
     age = Window.partitionBy(*keys, line, "dev_lag")
     links = links.withColumn("slope", F.sum("next").over(age) / F.sum("x").over(age))
@@ -94,7 +106,8 @@ def steps(cells: DataFrame, keys: list[str], line: str, step: int, rounds: int =
 
 def _latest(cells: DataFrame, keys: list[str], line: str) -> DataFrame:
     """keys, origin_period, latest_dev, amounts (in order of lines) at the last age that all lines of an origin show."""
-    n = cells.select(*keys, line).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("k"), F.array_sort(F.collect_list(line)).alias("lines"))
+    n = cells.select(*keys, line).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("k"), F.array_sort(F.collect_list(F.struct(line))).alias("lines"))
+    n = n.withColumn("lines", F.transform("lines", lambda x: x[line]))
     rows = cells.groupBy(*keys, "origin_period", "dev_lag").agg(F.array_sort(F.collect_list(F.struct(line, "value"))).alias("v")).join(n, keys).where("size(v) = k")
     last = rows.withColumn("turn", F.row_number().over(Window.partitionBy(*keys, "origin_period").orderBy(F.desc("dev_lag")))).where("turn = 1")
     return last.select(*keys, "origin_period", F.col("dev_lag").alias("latest_dev"), "lines", F.transform("v", lambda x: x["value"]).alias("amounts"))
@@ -126,8 +139,8 @@ def draws(cells: DataFrame, keys: list[str], line: str, step: int, n_draws: int
     rows = _ahead(cells, found, keys, line)
     factor = {c: F.expr(f"transform(ages, a -> {let('m', f'a.{c}', let('k', 'a.k', cholesky(positive('m', 'k'), 'k')))})") for c in ("sigma", "coef_cov")}
     rows = rows.withColumns({f"{c}_f": x for c, x in factor.items()})
-    rows = rows.withColumn("company", F.concat_ws("|", *[F.col(k).cast("string") for k in keys])).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_draws))))
-    shock = lambda tag, extra: f"transform(sequence(0, a.k - 1), l -> {normal(f'{seed}, company, draw, a.dev_lag, l, {tag}{extra}')})"
+    rows = rows.withColumn("_company", F.concat_ws("|", *[F.col(k).cast("string") for k in keys])).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_draws))))
+    shock = lambda tag, extra: f"transform(sequence(0, a.k - 1), l -> {normal(f'{seed}, _company, draw, a.dev_lag, l, {tag}{extra}')})"
     times = lambda m, z: f"transform({m}, row -> aggregate(zip_with(slice(row, 1, size({z})), {z}, (s, t) -> coalesce(s, 0D) * t), 0D, (s, t) -> s + t))"
     slopes = let("z", shock("1", ""), f"zip_with(a.beta, {times('coef_cov_f[i]', 'z')}, (b, e) -> b + e)")
     noise = let("z", shock("2", ", origin_period"), times("sigma_f[i]", "z"))

@@ -1188,8 +1188,8 @@ def sur_two_lines(spark, d):
 @query()
 def sur_draws(spark, d):
     """The mean and the spread of each line's ultimate over a thousand correlated draws."""
-    cells = _company(spark, d)[0].where(F.col("lob").isin(_TWO))
-    drawn = sur_lines.draws(cells, ["company"], "lob", STEP)
+    cells = sur_lines.alike(_company(spark, d)[0], ["company"], "lob")
+    drawn = sur_lines.draws(cells, ["company", "shape"], "lob", STEP)
     return drawn.groupBy("company", "lob", "origin_period").agg(F.avg("ultimate").alias("mean"), F.stddev_samp("ultimate").alias("sd"))
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from rundelta.functions.linear import cholesky, inverse, positive, solved
 from rundelta.operators import sur
+from rundelta.plans import catalogue
+from rundelta.sources import marts
 
 K = ["company"]
 SCHEMA = "company string, lob string, origin_period date, dev_lag bigint, value double"
@@ -101,3 +103,32 @@ def test_draws_have_the_covariance_of_process_and_slopes(spark):
     seen = drawn.where("origin_period = '1950-01-01' and draw = 3").collect()
     full = {r["lob"]: r["value"] for r in cells.where("origin_period = '1950-01-01' and dev_lag = 24").collect()}
     assert {r["lob"]: r["ultimate"] for r in seen} == full
+
+
+def test_draws_of_the_catalogue_read_all_segments(spark, tmp_path):
+    """All segments and origins, as the table has them: with a null segment, and one of two years only."""
+    folder = "/root/testdata/sf0.001"
+    few = "case when c_custkey % 10 = 0 then null when c_custkey % 10 = 1 then 'YOUNG' else c_mktsegment end"
+    spark.read.parquet(f"{folder}/customer.parquet").withColumn("c_mktsegment", F.expr(few)).write.parquet(f"{tmp_path}/customer.parquet")
+    orders = spark.read.parquet(f"{folder}/orders.parquet").where("o_custkey % 10 != 1 or year(o_orderdate) >= 1997")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    spark.read.parquet(f"{folder}/lineitem.parquet").write.parquet(f"{tmp_path}/lineitem.parquet")
+    for d in (folder, str(tmp_path)):
+        shown = {tuple(r) for r in marts.cells(spark, d).select("lob", "origin_period").distinct().collect()}
+        found = catalogue.queries()["sur_draws"](spark, d).collect()
+        assert len(found) == len(shown) and {(r["lob"], r["origin_period"]) for r in found} == shown
+        assert {r["company"] for r in found} == {"all"} and all(r["mean"] > 0 for r in found)
+    assert {None, "YOUNG", "BUILDING", "FURNITURE"} < {lob for lob, _ in shown}
+
+
+def test_draws_of_lines_by_shape_are_those_of_their_own_company(spark):
+    """Lines that show the same cells are drawn together; a line of fewer cells takes nothing from them."""
+    cells = company(spark, 12)
+    odd = cells.where("lob = 'a' and origin_period >= '1958-01-01'").withColumn("lob", F.lit(None).cast("string"))
+    shaped = sur.alike(cells.unionByName(odd), K, "lob")
+    assert shaped.count() == cells.count() + odd.count() and shaped.select("shape").distinct().count() == 2
+    steps = sorted(sur.steps(shaped, [*K, "shape"], "lob", 12).collect(), key=lambda r: r["k"])
+    alone = [sur.steps(c, K, "lob", 12).first() for c in (odd.fillna("c", ["lob"]), cells)]
+    assert [r["k"] for r in steps] == [1, 2]
+    for r, s in zip(steps, alone, strict=True):
+        assert np.allclose(r["beta"], s["beta"]) and np.allclose(r["sigma"], s["sigma"]) and r["method"] == s["method"]
