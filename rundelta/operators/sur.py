@@ -21,18 +21,18 @@ ROUNDS = 25
 
 
 def alike(cells: DataFrame, keys: list[str], line: str) -> DataFrame:
-    """``cells`` with ``shape``, which lines of a company share if they show the same origins and ages.
+    """``cells`` with ``shape``, which lines of a company share if they show the same origins and ages, and amounts above zero in the same of them.
 
     Only such lines are regressed together: as a further key it keeps every origin of a line that others do not show.
     """
     whose = {c: f"shape_{c}" for c in (*keys, line)}
-    shown = cells.groupBy(*whose).agg(F.md5(F.to_json(F.array_sort(F.collect_set(F.struct("origin_period", "dev_lag"))))).alias("shape"))
+    shown = cells.groupBy(*whose).agg(F.md5(F.to_json(F.array_sort(F.collect_set(F.struct("origin_period", "dev_lag", (F.col("value") > 0).alias("positive")))))).alias("shape"))
     same = [F.col(c).eqNullSafe(F.col(o)) for c, o in whose.items()]
     return cells.join(shown.withColumnsRenamed(whose), same).drop(*whose.values())
 
 
 def _pairs(cells: DataFrame, keys: list[str], line: str, step: int) -> tuple[DataFrame, DataFrame]:
-    """Links seen by all lines of a company, and their numbers of lines.
+    """Links seen by all lines of a company, from amounts above zero (the variance is in proportion to them), and their numbers of lines.
 
     keys, dev_lag, origin_period, n (origins), x, y (next amount less slope times x), slope, z (its standardised
     residual), by ``line`` number.
@@ -40,7 +40,7 @@ def _pairs(cells: DataFrame, keys: list[str], line: str, step: int) -> tuple[Dat
     w = Window.partitionBy(*keys, line, "origin_period").orderBy("dev_lag").rangeBetween(step, step)
     lines = cells.select(*keys, line).distinct().withColumn("l", F.row_number().over(Window.partitionBy(*keys).orderBy(line)) - 1).withColumn("k", F.count(F.lit(1)).over(Window.partitionBy(*keys)).cast("int"))
     lines = kept(lines, "sur-lines")
-    links = cells.select(*keys, line, "origin_period", "dev_lag", F.col("value").alias("x"), F.max("value").over(w).alias("next")).where("next is not null")
+    links = cells.select(*keys, line, "origin_period", "dev_lag", F.col("value").alias("x"), F.max("value").over(w).alias("next")).where("next is not null and x > 0")
     same = [links[c].eqNullSafe(lines[c]) for c in (*keys, line)]
     links = links.join(lines, same).drop(*[lines[c] for c in (*keys, line)])
     links = links.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy(*keys, "origin_period", "dev_lag"))).where("met = k")
@@ -144,7 +144,7 @@ def draws(cells: DataFrame, keys: list[str], line: str, step: int, n_draws: int
     times = lambda m, z: f"transform({m}, row -> aggregate(zip_with(slice(row, 1, size({z})), {z}, (s, t) -> coalesce(s, 0D) * t), 0D, (s, t) -> s + t))"
     slopes = let("z", shock("1", ""), f"zip_with(a.beta, {times('coef_cov_f[i]', 'z')}, (b, e) -> b + e)")
     noise = let("z", shock("2", ", origin_period"), times("sigma_f[i]", "z"))
-    stepped = let("b", slopes, let("e", noise, "transform(c, (x, l) -> greatest(x * b[l] + sqrt(x) * e[l], 0D))"))
+    stepped = let("b", slopes, let("e", noise, "transform(c, (x, l) -> greatest(x * b[l] + sqrt(greatest(x, 0D)) * e[l], 0D))"))
     rolled = f"aggregate(transform(coalesce(ages, array()), (a, i) -> named_struct('a', a, 'i', i)), amounts, (c, ai) -> {let('a', 'ai.a', let('i', 'ai.i', stepped))})"
     rows = rows.withColumn("ultimate", F.expr(rolled)).select(*keys, "origin_period", "draw", F.explode(F.arrays_zip("lines", "ultimate")).alias("x"))
     return rows.select(*keys, F.col("x.lines").alias(line), "origin_period", "draw", F.col("x.ultimate").alias("ultimate"))

@@ -132,3 +132,17 @@ def test_draws_of_lines_by_shape_are_those_of_their_own_company(spark):
     assert [r["k"] for r in steps] == [1, 2]
     for r, s in zip(steps, alone, strict=True):
         assert np.allclose(r["beta"], s["beta"]) and np.allclose(r["sigma"], s["sigma"]) and r["method"] == s["method"]
+
+
+@pytest.mark.parametrize("factor", [0.0, -1.0])
+def test_lines_without_amounts_leave_the_others_as_they_are(spark, factor):
+    cells = company(spark, 12)
+    odd = cells.where("lob = 'a'").withColumns({"lob": F.lit("odd"), "value": F.col("value") * factor})
+
+    def drawn(rows):
+        found = sur.draws(sur.alike(rows, K, "lob"), [*K, "shape"], "lob", 12, n_draws=20).collect()
+        return {(r["lob"], r["origin_period"], r["draw"]): r["ultimate"] for r in found}
+
+    alone, beside = drawn(cells), drawn(cells.unionByName(odd))
+    assert len(beside) == len(alone) + 13 * 20 and alone.items() <= beside.items()
+    assert all(v == v and v <= 0 for (lob, _, _), v in beside.items() if lob == "odd")
